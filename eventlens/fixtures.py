@@ -58,7 +58,7 @@ def lookup(mapping: dict, key: Column) -> Column:
 
 
 def ts_plus_seconds(ts: Column, secs: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(ts) + (secs * F.lit(1_000_000)).cast("long"))
+    return F.timestamp_micros(F.unix_micros(ts) + secs.cast("long") * F.lit(1_000_000))
 
 
 class Tables:

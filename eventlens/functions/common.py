@@ -34,7 +34,7 @@ def seconds_between(later: Column, earlier: Column) -> Column:
 
 def plus_seconds(ts: Column, secs) -> Column:
     secs = col(secs) if not isinstance(secs, (int, float)) else F.lit(secs)
-    return F.timestamp_micros(F.unix_micros(ts) + (secs * F.lit(1_000_000)).cast("long"))
+    return F.timestamp_micros(F.unix_micros(ts) + (secs.cast("double") * F.lit(1_000_000)).cast("long"))
 
 
 def literal_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Query registry. Importing this package registers every plan module."""
 from eventlens.plans.base import REGISTRY, Plan, tables  # noqa: F401
-from eventlens.plans import aggregate_plans  # noqa: F401
+from eventlens.plans import aggregate_plans, market_plans  # noqa: F401
 
 
 def queries():
