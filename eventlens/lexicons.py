@@ -109,3 +109,85 @@ NEWS_SEVERITY_TERMS = [
     (["sanction", "embargo", "tariff", "export control"], 0.35),
     (["refinery", "gas facility", "lng", "pipeline", "oil"], 0.3),
 ]
+
+# ---------------------------------------------------------------------------
+# Article NLP heuristics
+# ---------------------------------------------------------------------------
+# Relevance keyword groups with their weight (cap = weight, step = weight / 2)
+RELEVANCE_GROUPS = [
+    (0.18, ["geopolitics", "geopolitical", "sanction", "embargo", "tariff", "trade restriction",
+            "export control", "military", "conflict", "war", "missile", "election", "ballot",
+            "policy", "regulation", "antitrust"]),
+    (0.14, ["inflation", "cpi", "gdp", "interest rate", "rate cut", "rate hike", "central bank",
+            "unemployment", "retail sales", "manufacturing", "pmi", "treasury", "yield"]),
+    (0.12, ["oil", "crude", "gas", "lng", "pipeline", "refinery", "opec", "power outage",
+            "energy disruption", "shipping route", "strait of hormuz"]),
+    (0.08, ["market", "stocks", "shares", "equity", "investor", "earnings", "guidance",
+            "volatility", "sector", "semiconductor", "chip", "currency", "forex", "commodity"]),
+]
+IRRELEVANT_TERMS = ["sports", "football", "soccer", "cricket", "nba", "nfl", "movie", "box office",
+                    "celebrity", "fashion", "lifestyle", "recipe", "travel tips", "horoscope",
+                    "weather forecast"]
+TRUSTED_SOURCE_TOKENS = ["reuters", "ap", "associated press", "bloomberg", "wsj", "ft"]
+ENGLISH_STOPWORDS = ["the", "and", "for", "with", "from", "that", "this", "will", "have",
+                     "after", "into", "about"]
+SENTIMENT_POSITIVE = ["approval", "approved", "growth", "deal", "agreement", "stimulus", "eases"]
+SENTIMENT_NEGATIVE = ["ban", "sanction", "attack", "war", "tariff", "shortage", "outage", "strike"]
+RELEVANCE_THRESHOLD = 0.58
+ALLOWED_LANGUAGES = ["en"]
+MIN_LANGUAGE_CONFIDENCE = 0.80
+
+# ---------------------------------------------------------------------------
+# Event extraction heuristics
+# ---------------------------------------------------------------------------
+AUTO_APPROVE_THRESHOLD = 0.72
+HUMAN_REVIEW_THRESHOLD = 0.55
+SOURCE_CREDIBILITY = [("reuters", 0.95), ("associated press", 0.93), ("ap news", 0.90),
+                      ("al jazeera", 0.84), ("newsapi", 0.70), ("gdelt", 0.75)]
+EVENT_KEYWORDS = [
+    ("conflict", ["attack", "conflict", "war", "missile", "military", "offensive", "invasion",
+                  "clash"]),
+    ("sanction", ["sanction", "blacklist", "embargo", "restricted entity"]),
+    ("trade_policy", ["tariff", "export control", "trade restriction", "trade policy",
+                      "import ban"]),
+    ("economic_data", ["inflation", "cpi", "gdp", "jobs report", "interest rate",
+                       "unemployment", "retail sales"]),
+    ("energy_disruption", ["oil supply", "gas supply", "pipeline", "refinery", "opec",
+                           "energy disruption", "power outage"]),
+    ("election", ["election", "vote", "ballot", "polls", "presidential race"]),
+    ("regulation", ["regulation", "regulatory", "antitrust", "compliance", "ban approved",
+                    "policy change"]),
+]
+EVENT_COUNTRY_ALIASES = [
+    ("united states", "United States"), ("u.s.", "United States"), ("us", "United States"),
+    ("china", "China"), ("india", "India"), ("russia", "Russia"), ("ukraine", "Ukraine"),
+    ("united kingdom", "United Kingdom"), ("uk", "United Kingdom"), ("israel", "Israel"),
+    ("iran", "Iran"), ("taiwan", "Taiwan"), ("japan", "Japan"), ("south korea", "South Korea"),
+    ("north korea", "North Korea"), ("saudi arabia", "Saudi Arabia"),
+    ("uae", "United Arab Emirates"), ("germany", "Germany"), ("france", "France"),
+]
+EVENT_SHORT_ALIASES = ["us", "uk", "uae"]
+HIGH_IMPACT_TERMS = ["escalation", "emergency", "nationwide", "record", "surge", "collapsed",
+                     "default", "shutdown", "strike", "retaliation", "explosion", "attack",
+                     "sanctioned", "ban"]
+POSITIVE_IMPACT_TERMS = ["approval", "approved", "deal", "agreement", "growth", "expands",
+                         "eases", "cuts rates", "stimulus"]
+NEGATIVE_IMPACT_TERMS = ["ban", "sanction", "tariff", "export control", "shortage", "strike",
+                         "attack", "invasion", "restriction", "outage"]
+SIMILARITY_STOPWORDS = ["the", "and", "for", "with", "that", "this", "from", "have", "will",
+                        "are", "has", "was", "were", "its", "their", "into", "over", "under",
+                        "after", "before", "about", "amid", "near", "onto", "than", "also",
+                        "more", "most", "just", "news"]
+MARKET_CONTEXT_TERMS = ["stock", "shares", "equity", "bond", "yield", "futures", "market",
+                        "investor", "earnings", "guidance", "volatility", "index"]
+SEVERITY_TYPE_BIAS = {"conflict": 4, "sanction": 4, "energy_disruption": 4, "trade_policy": 3,
+                      "economic_data": 3, "election": 3, "regulation": 2}
+NEGATIVE_TYPES = ["conflict", "sanction", "energy_disruption"]
+SIGNED_TYPES = ["regulation", "economic_data", "trade_policy"]
+
+# HTML entities decoded by the native HTML strip (others stay as text)
+HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
+                 ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
+                 ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"),
+                 ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
+                 ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&")]
