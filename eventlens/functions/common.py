@@ -47,12 +47,16 @@ def contains_count(text: Column, terms: Iterable[str]) -> Column:
     terms = list(terms)
     if not terms:
         return F.lit(0)
-    return sum((F.instr(text, t) > 0).cast("int") for t in terms)
+    # ``contains`` is a byte search, several times faster than ``instr``.
+    return sum(text.contains(t).cast("int") for t in terms)
 
 
 def contains_any(text: Column, terms: Iterable[str]) -> Column:
-    return F.greatest(*[F.instr(text, t) > 0 for t in terms]) if len(list(terms)) > 1 \
-        else (F.instr(text, list(terms)[0]) > 0)
+    out = None
+    for t in terms:
+        c = text.contains(t)
+        out = c if out is None else (out | c)
+    return out if out is not None else F.lit(False)
 
 
 def like_escape(term: str) -> str:

@@ -25,6 +25,21 @@ def article_text(title="title", content="content") -> Column:
     return F.concat(F.coalesce(col(title), F.lit("")), F.lit("\n"), F.coalesce(col(content), F.lit("")))
 
 
+def prepare_text(df, text: Column, prefix: str = "_t"):
+    """Add the three text forms the scorers read, each computed once per row:
+    ``{prefix}_low`` (lower-cased raw text), ``{prefix}_norm`` (whitespace
+    squeezed) and ``{prefix}_nlow`` (squeezed, lower-cased). Score functions
+    take these columns so long documents are lower-cased and squeezed once,
+    not once per keyword."""
+    return (df.withColumn(f"{prefix}_low", F.lower(text))
+            .withColumn(f"{prefix}_norm", squeeze(F.coalesce(text, F.lit(""))))
+            .withColumn(f"{prefix}_nlow", F.lower(F.col(f"{prefix}_norm"))))
+
+
+def drop_prepared(df, prefix: str = "_t"):
+    return df.drop(f"{prefix}_low", f"{prefix}_norm", f"{prefix}_nlow")
+
+
 def squeeze(c) -> Column:
     """Runs of whitespace -> one space, trimmed."""
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
@@ -74,9 +89,10 @@ def _decode_numeric_entities(s: Column) -> Column:
         F.concat(first, F.array_join(F.transform(tail, dec), "")))
 
 
-def language_score(text) -> Column:
-    """TXT-04: fallback language guess -> struct(code, confidence)."""
-    norm = normalize_text(text, None)
+def language_score(text=None, *, norm=None) -> Column:
+    """TXT-04: fallback language guess -> struct(code, confidence).
+    ``norm``: the squeezed text when already prepared."""
+    norm = col(norm) if norm is not None else normalize_text(text, None)
     toks = F.regexp_extract_all(F.lower(norm), F.lit("[A-Za-z]+"), 0)
     ntok = F.size(toks)
     stop = F.size(F.filter(toks, lambda t: t.isin(L.ENGLISH_STOPWORDS)))
@@ -93,10 +109,10 @@ def language_score(text) -> Column:
 UPPER_TOKEN = r"(?U)\b[A-Z]{2,5}\b"
 
 
-def relevance_score(text, source=None) -> Column:
-    """TXT-05: keyword relevance in 0..1."""
-    raw = normalize_text(text, None)
-    low = F.lower(raw)
+def relevance_score(text=None, source=None, *, norm=None, nlow=None) -> Column:
+    """TXT-05: keyword relevance in 0..1 (``norm``/``nlow``: prepared forms)."""
+    raw = col(norm) if norm is not None else normalize_text(text, None)
+    low = col(nlow) if nlow is not None else F.lower(raw)
     score = F.lit(0.16)
     for weight, kws in L.RELEVANCE_GROUPS:
         score = score + F.least(F.lit(weight), contains_count(low, kws) * (weight / 2))
@@ -114,17 +130,21 @@ def relevance_label(score) -> Column:
     return F.when(col(score) >= L.RELEVANCE_THRESHOLD, "relevant").otherwise("irrelevant")
 
 
-def _best_group(low: Column, groups) -> Column:
-    """struct(h, o, n) of the group with most hits; ties go to the earlier group."""
-    return F.array_max(F.array(*[
-        F.struct(contains_count(low, kws).alias("h"), F.lit(-i).alias("o"), F.lit(name).alias("n"))
-        for i, (name, kws) in enumerate(groups)]))
+def _best_group(low: Column, groups, default=None) -> Column:
+    """Name of the group with the most hits (ties: the earlier group); a
+    sentinel entry with 0 hits and the highest order wins when nothing hits,
+    so the result is one ``array_max`` referenced once."""
+    items = [F.struct(contains_count(low, kws).alias("h"), F.lit(-i).alias("o"),
+                      F.lit(name).alias("n")) for i, (name, kws) in enumerate(groups)]
+    items.append(F.struct(F.lit(0).alias("h"), F.lit(1).alias("o"),
+                          F.lit(default).cast("string").alias("n")))
+    return F.array_max(F.array(*items))
 
 
-def news_category(title="title", content="content") -> Column:
+def news_category(title="title", content="content", *, low=None) -> Column:
     """TXT-06: most keyword hits over the 8 news groups, ``general`` on none."""
-    best = _best_group(F.lower(article_text(title, content)), L.NEWS_CATEGORY_KEYWORDS)
-    return F.when(best["h"] > 0, best["n"]).otherwise(F.lit("general"))
+    low = col(low) if low is not None else F.lower(article_text(title, content))
+    return _best_group(low, L.NEWS_CATEGORY_KEYWORDS, "general")["n"]
 
 
 def matched_event_type(category) -> Column:
@@ -139,28 +159,34 @@ def snippet(content="content", n: int = 220) -> Column:
         .otherwise(F.when(F.length(s) > n, F.concat(cut, F.lit("..."))).otherwise(cut))
 
 
-def infer_event_type(text) -> Column:
+def infer_event_type(text=None, *, low=None) -> Column:
     """TXT-07: struct(event_type, confidence); NULL type / 0.0 on no hit."""
-    best = _best_group(F.lower(col(text)), L.EVENT_KEYWORDS)
-    hit = best["h"] > 0
-    return F.struct(F.when(hit, best["n"]).alias("event_type"),
-                    F.when(hit, F.least(F.lit(0.92), 0.45 + best["h"] * 0.11))
-                     .otherwise(F.lit(0.0)).alias("confidence"))
+    best = _best_group(col(low) if low is not None else F.lower(col(text)), L.EVENT_KEYWORDS)
+    return F.struct(best["n"].alias("event_type"),
+                    F.least(F.lit(0.92), 0.45 + best["h"] * 0.11).alias("_c"),
+                    best["h"].alias("_h")).alias("_best")
+
+
+def event_type_fields(s) -> list[Column]:
+    """Expand an ``infer_event_type`` struct into (event_type, confidence)."""
+    s = col(s)
+    return [s["event_type"].alias("event_type"),
+            F.when(s["_h"] > 0, s["_c"]).otherwise(F.lit(0.0)).alias("confidence")]
 
 
-def sentiment(text) -> Column:
+def sentiment(text=None, *, norm=None, nlow=None) -> Column:
     """TXT-08: lexicon sentiment in -1..1 (NULL on empty text, 0 on no hit)."""
-    norm = normalize_text(text, None)
-    low = F.lower(norm)
+    norm = col(norm) if norm is not None else normalize_text(text, None)
+    low = col(nlow) if nlow is not None else F.lower(norm)
     pos, neg = contains_count(low, L.SENTIMENT_POSITIVE), contains_count(low, L.SENTIMENT_NEGATIVE)
     val = F.when((pos == 0) & (neg == 0), F.lit(0.0)).otherwise(
         F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (pos - neg) / F.greatest(F.lit(1), pos + neg))))
     return F.when(F.length(norm) == 0, F.lit(None).cast("double")).otherwise(val)
 
 
-def impact_signal(text) -> Column:
+def impact_signal(text=None, *, low=None) -> Column:
     """TXT-09: struct(polarity in -1..1, intensity in 0.35..1)."""
-    low = F.lower(col(text))
+    low = col(low) if low is not None else F.lower(col(text))
     neg, pos = contains_count(low, L.NEGATIVE_IMPACT_TERMS), contains_count(low, L.POSITIVE_IMPACT_TERMS)
     total = F.greatest(F.lit(1), neg + pos)
     return F.struct(((pos - neg) / total).alias("polarity"),
@@ -169,23 +195,26 @@ def impact_signal(text) -> Column:
 
 def _alias_pos(low: Column, alias: str, short: bool) -> Column:
     """1-based position of the alias (0 when absent); short aliases need word boundaries."""
+    # The cheap byte search gates the position search (both are whole-text scans).
     if short:
-        return F.regexp_instr(low, F.lit(r"(?U)\b" + re.escape(alias) + r"\b"))
-    return F.instr(low, alias)
+        pos = F.regexp_instr(low, F.lit(r"(?U)\b" + re.escape(alias) + r"\b"))
+    else:
+        pos = F.instr(low, alias)
+    return F.when(low.contains(alias), pos).otherwise(F.lit(0))
 
 
-def extract_country(text) -> Column:
+def extract_country(text=None, *, low=None) -> Column:
     """TXT-10: canonical country of the first alias (in list order) present."""
-    low = F.lower(col(text))
+    low = col(low) if low is not None else F.lower(col(text))
     short = set(L.EVENT_SHORT_ALIASES)
     return F.coalesce(*[F.when(_alias_pos(low, a, a in short) > 0, F.lit(c))
                         for a, c in L.EVENT_COUNTRY_ALIASES])
 
 
-def extract_countries(text) -> Column:
+def extract_countries(text=None, *, low=None) -> Column:
     """TXT-11: every country mentioned, in order of first position. A country's
     position is that of its first alias (in list order) found in the text."""
-    low = F.lower(col(text))
+    low = col(low) if low is not None else F.lower(col(text))
     short = set(L.NEWS_SHORT_ALIASES)
     by_country: dict[str, list[tuple[int, str]]] = {}
     for i, (a, c) in enumerate(L.NEWS_COUNTRY_ALIASES):
@@ -216,9 +245,9 @@ def recency_score(ts, as_of) -> Column:
             .otherwise(0.52))
 
 
-def market_context(text, n_tickers) -> Column:
+def market_context(text, n_tickers, *, low=None) -> Column:
     """TXT-15: 0.42 + 0.07 per market term + 0.2 per ticker (capped at 1)."""
-    hits = contains_count(F.lower(col(text)), L.MARKET_CONTEXT_TERMS)
+    hits = contains_count(col(low) if low is not None else F.lower(col(text)), L.MARKET_CONTEXT_TERMS)
     n = col(n_tickers) if not isinstance(n_tickers, int) else F.lit(n_tickers)
     return F.least(F.lit(1.0), 0.42 + hits * 0.07 + F.least(F.lit(1.0), n * 0.2))
 
@@ -242,9 +271,9 @@ def sentiment_label(c, threshold: float = 1.0,
             .when(x >= threshold, names[2]).otherwise(names[1]))
 
 
-def news_severity(category, title="title", content="content") -> Column:
+def news_severity(category, title="title", content="content", *, low=None) -> Column:
     """TXT-20: category base + intensity lifts, capped at 5."""
-    low = F.lower(article_text(title, content))
+    low = col(low) if low is not None else F.lower(article_text(title, content))
     base = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in L.NEWS_CATEGORY_SEVERITY.items()
                                                   for x in kv]), col(category)),
                       F.lit(L.NEWS_CATEGORY_SEVERITY["general"]))

@@ -56,8 +56,8 @@ def search_events(events: DataFrame, impacts: DataFrame, assets: DataFrame, tags
 
 def categorize_news(articles: DataFrame) -> DataFrame:
     """TXT-06: category, matched event type and 220-char snippet per article."""
-    cat = T.news_category("title", "content")
-    return (articles.withColumn("category", cat)
+    p = articles.withColumn("_cat_low", F.lower(T.article_text("title", "content")))
+    return (p.withColumn("category", T.news_category(low="_cat_low")).drop("_cat_low")
             .withColumn("matched_event_type", T.matched_event_type("category"))
             .withColumn("snippet", T.snippet("content")))
 
@@ -145,12 +145,11 @@ def dedup_articles(new: DataFrame, existing: DataFrame | None = None,
 
 def annotate_articles(articles: DataFrame) -> DataFrame:
     """Per-article NLP columns (TXT-04/05/08): language, relevance, sentiment."""
-    text = T.article_text("title", "content")
-    return (articles.withColumn("_text", text)
-            .withColumn("_lang", T.language_score("_text"))
+    p = T.prepare_text(articles, T.article_text("title", "content"), "_a")
+    return (p.withColumn("_lang", T.language_score(norm="_a_norm"))
             .withColumn("language_code", F.col("_lang.code"))
             .withColumn("language_confidence", F.col("_lang.confidence"))
-            .withColumn("relevance_score", T.relevance_score("_text", "source"))
+            .withColumn("relevance_score", T.relevance_score(norm="_a_norm", nlow="_a_nlow", source="source"))
             .withColumn("relevance_label", T.relevance_label("relevance_score"))
-            .withColumn("sentiment_score", T.sentiment("_text"))
-            .drop("_lang", "_text"))
+            .withColumn("sentiment_score", T.sentiment(norm="_a_norm", nlow="_a_nlow"))
+            .drop("_lang", "_a_low", "_a_norm", "_a_nlow"))

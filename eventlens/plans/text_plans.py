@@ -16,8 +16,9 @@ LOW = f"lower({TEXT})"
 NORM = squeeze(f"({TEXT})")
 
 
-def _text(df):
-    return df.withColumn("text", T.article_text("title", "content"))
+def _prep(t):
+    """Articles with the prepared text forms (lower, squeezed, squeezed-lower)."""
+    return T.prepare_text(t.article, T.article_text())
 
 
 @plan("txt01_dedup_articles", oracle=f"""
@@ -74,8 +75,8 @@ _ASCII_RATIO = (f"length(regexp_replace({NORM}, '[^\\x00-\\x7F]', '', 'g')) / "
                 FROM f_article))""")
 def txt04(t):
     """TXT-04: fallback language score of title + body."""
-    s = T.language_score(T.article_text())
-    return t.article.select("article_id", s["code"].alias("code"), s["confidence"].alias("confidence"))
+    df = _prep(t).select("article_id", T.language_score(norm="_t_norm").alias("s"))
+    return df.select("article_id", "s.code", "s.confidence")
 
 
 def _relevance_sql() -> str:
@@ -97,7 +98,8 @@ def _relevance_sql() -> str:
 @plan("txt05_relevance_score", oracle=f"SELECT article_id, CAST({_relevance_sql()} AS DOUBLE) AS relevance_score FROM f_article")
 def txt05(t):
     """TXT-05: keyword relevance of title + body with source bonus."""
-    return t.article.select("article_id", T.relevance_score(T.article_text(), "source").alias("relevance_score"))
+    return _prep(t).select("article_id", T.relevance_score(norm="_t_norm", nlow="_t_nlow", source="source")
+                           .alias("relevance_score"))
 
 
 _SNIP = squeeze("content")
@@ -122,9 +124,8 @@ def txt06(t):
     FROM f_article""")
 def txt07(t):
     """TXT-07: event type and base confidence of title + body."""
-    s = T.infer_event_type(T.article_text())
-    return t.article.select("article_id", s["event_type"].alias("event_type"),
-                            s["confidence"].alias("confidence"))
+    df = _prep(t).select("article_id", T.infer_event_type(low="_t_low").alias("s"))
+    return df.select("article_id", *T.event_type_fields("s"))
 
 
 _NLOW = f"lower({NORM})"
@@ -140,7 +141,7 @@ _NLOW = f"lower({NORM})"
     FROM f_article""")
 def txt08(t):
     """TXT-08: lexicon sentiment of title + body."""
-    return t.article.select("article_id", T.sentiment(T.article_text()).alias("sentiment_score"))
+    return _prep(t).select("article_id", T.sentiment(norm="_t_norm", nlow="_t_nlow").alias("sentiment_score"))
 
 
 _NEG, _POS = hits(LOW, L.NEGATIVE_IMPACT_TERMS), hits(LOW, L.POSITIVE_IMPACT_TERMS)
@@ -152,8 +153,8 @@ _NEG, _POS = hits(LOW, L.NEGATIVE_IMPACT_TERMS), hits(LOW, L.POSITIVE_IMPACT_TER
     FROM f_article""")
 def txt09(t):
     """TXT-09: impact polarity and intensity."""
-    s = T.impact_signal(T.article_text())
-    return t.article.select("article_id", s["polarity"].alias("polarity"), s["intensity"].alias("intensity"))
+    df = _prep(t).select("article_id", T.impact_signal(low="_t_low").alias("s"))
+    return df.select("article_id", "s.polarity", "s.intensity")
 
 
 def _country_sql() -> str:
@@ -166,7 +167,7 @@ def _country_sql() -> str:
 @plan("txt10_extract_country", oracle=f"SELECT article_id, {_country_sql()} AS country FROM f_article")
 def txt10(t):
     """TXT-10: first country alias of title + body."""
-    return t.article.select("article_id", T.extract_country(T.article_text()).alias("country"))
+    return _prep(t).select("article_id", T.extract_country(low="_t_low").alias("country"))
 
 
 def _countries_sql() -> str:
@@ -187,7 +188,7 @@ def _countries_sql() -> str:
 @plan("txt11_extract_countries", oracle=f"SELECT article_id, {_countries_sql()} AS countries FROM f_article")
 def txt11(t):
     """TXT-11: all countries of title + body in order of appearance."""
-    return t.article.select("article_id", T.extract_countries(T.article_text()).alias("countries"))
+    return _prep(t).select("article_id", T.extract_countries(low="_t_low").alias("countries"))
 
 
 def _source_sql(x: str) -> str:
@@ -221,8 +222,8 @@ _UP = "len(regexp_extract_all(" + TEXT + ", '\\b[A-Z]{2,5}\\b'))"
     FROM (SELECT *, CAST(article_id % 4 AS INTEGER) AS nt FROM f_article)""")
 def txt15(t):
     """TXT-15: market-context score (ticker count taken from a derived column)."""
-    df = t.article.withColumn("nt", (F.col("article_id") % 4).cast("int"))
-    return df.select("article_id", T.market_context(T.article_text(), "nt").alias("market_context"))
+    df = _prep(t).withColumn("nt", (F.col("article_id") % 4).cast("int"))
+    return df.select("article_id", T.market_context(None, "nt", low="_t_low").alias("market_context"))
 
 
 @plan("txt16_normalize_entity", oracle="""
@@ -238,7 +239,7 @@ def txt16(t):
     FROM f_article""")
 def txt17(t):
     """TXT-17: similarity tokens of title + body (duplicates kept)."""
-    return t.article.select("article_id", T.sim_tokens(T.article_text()).alias("tokens"))
+    return _prep(t).select("article_id", T.sim_tokens("_t_low").alias("tokens"))
 
 
 @plan("txt18_sentiment_label", oracle="""
@@ -266,8 +267,8 @@ def _severity_sql() -> str:
     FROM (SELECT *, coalesce({best_group(LOW, L.NEWS_CATEGORY_KEYWORDS)}, 'general') AS category FROM f_article)""")
 def txt20(t):
     """TXT-20: news severity estimate."""
-    df = t.article.withColumn("category", T.news_category())
-    return df.select("article_id", "category", T.news_severity("category").alias("severity"))
+    df = _prep(t).withColumn("category", T.news_category(low="_t_low"))
+    return df.select("article_id", "category", T.news_severity("category", low="_t_low").alias("severity"))
 
 
 @plan("txt21_url_host", oracle="""
