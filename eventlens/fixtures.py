@@ -26,6 +26,9 @@ STATUS_TO_DIRECTION = {"F": "up", "O": "down", "P": "neutral"}
 PRIORITY_TO_HORIZON = {"1-URGENT": "1h", "2-HIGH": "6h", "3-MEDIUM": "24h",
                        "4-NOT SPECIFIED": "7d", "5-LOW": "30d"}
 ARTICLE_SOURCES = ["Reuters", "AP News", "Al Jazeera", "GDELT"]
+# Event descriptions reuse the two article phrases of their type (index of the first).
+TYPE_PHRASE_BASE = {"conflict": 0, "sanction": 2, "trade_policy": 4, "economic_data": 6,
+                    "energy_disruption": 8, "election": 10, "regulation": 12}
 REVIEW_ACTIONS = ["edit", "approve", "reject"]
 # Sixteen article phrases: 7 event types x 2, one sports item, one with no keyword.
 ARTICLE_PHRASES = [
@@ -155,8 +158,8 @@ class Tables:
         return ev.select(
             eid.alias("event_id"),
             F.concat(etype, F.lit(" "), (eid % 50).cast("string")).alias("title"),
-            F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" reported "),
-                     F.col("event_type")).alias("description"),
+            F.element_at(F.array(*[F.lit(x) for x in ARTICLE_PHRASES]),
+                         (lookup(TYPE_PHRASE_BASE, etype) + eid % 2 + 1).cast("int")).alias("description"),
             etype.alias("event_type"),
             F.when(eid % 23 == 0, F.lit(None).cast("string"))
              .otherwise(elem(FIXTURE_COUNTRIES, F.col("user_id") % 12)).alias("country"),
@@ -220,7 +223,10 @@ class Tables:
                         F.concat(F.lit("https://news.example.com/a/"), did.cast("string")).alias("url"),
                         F.when(did % 29 == 0, F.lit(None).cast("timestamp")).otherwise(pub).alias("published_at"),
                         ts_plus_seconds(F.lit("2024-02-01 00:00:00").cast("timestamp"), did).alias("created_at"),
-                        F.col("lang").alias("lang")))
+                        F.col("lang").alias("lang"),
+                        F.when(did % 3 == 0, F.lit(None).cast("timestamp"))
+                         .otherwise(ts_plus_seconds(F.lit("2024-02-01 00:00:00").cast("timestamp"),
+                                                    did + did % 120)).alias("nlp_processed_at")))
 
     @functools.cached_property
     def event_article(self) -> DataFrame:
@@ -228,6 +234,34 @@ class Tables:
             (F.col("doc_id") % F.lit(self.n_events)).alias("event_id"),
             F.col("doc_id").alias("article_id"))
 
+    @functools.cached_property
+    def filing(self) -> DataFrame:
+        """Filing documents: each page's HTML plus a sentence naming a customer
+        and a supplier (supplier names from the table), owned by asset
+        ``page_id % S``."""
+        p = self.raw("pages")
+        s = self.raw("supplier").select("s_suppkey", "s_name")
+        S = F.lit(self.n_suppliers)
+        c = s.select(F.col("s_suppkey").alias("_c"), F.col("s_name").alias("_cn"))
+        u = s.select(F.col("s_suppkey").alias("_u"), F.col("s_name").alias("_un"))
+        return (p.join(c, (p.page_id * 7) % S == c._c).join(u, (p.page_id * 3 + 1) % S == u._u)
+                .select("page_id",
+                        F.concat(F.lit("S"), (F.col("page_id") % S).cast("string")).alias("source_ticker"),
+                        F.col("html"),
+                        F.concat(F.lit(" our major customer "), F.lower("_cn"), F.lit(" and supplier "),
+                                 F.lower("_un"), F.lit(" ")).alias("tail")))
+
+    @functools.cached_property
+    def profile(self) -> DataFrame:
+        """Company profiles (ticker, company, industry, country) per supplier."""
+        s, n = self.raw("supplier"), self.raw("nation")
+        k = F.col("s_suppkey")
+        return (s.join(n, s.s_nationkey == n.n_nationkey)
+                .select(F.concat(F.lit("S"), k.cast("string")).alias("ticker"), F.col("s_name").alias("company"),
+                        F.when(k % 5 == 0, F.lit(None).cast("string"))
+                         .otherwise(F.concat(F.lit("Industry "), (k % 4).cast("string"))).alias("industry"),
+                        F.when(k % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("n_name")).alias("country")))
+
     # -- knowledge graph -----------------------------------------------------
     @functools.cached_property
     def kg_edge(self) -> DataFrame:

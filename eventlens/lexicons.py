@@ -191,3 +191,56 @@ HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
                  ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"),
                  ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
                  ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&")]
+
+# ---------------------------------------------------------------------------
+# Asset aliases and entity tags
+# ---------------------------------------------------------------------------
+ASSET_SUFFIX_TOKENS = ["inc", "incorporated", "corp", "corporation", "company", "co", "ltd",
+                       "limited", "plc", "sa", "ag", "nv", "holdings", "holding", "group", "trust",
+                       "series", "adr", "class"]
+GENERIC_SINGLE_TOKEN_ALIASES = ["global", "technology", "energy", "holdings", "capital",
+                                "resources", "materials", "financial", "industrial"]
+TAG_COUNTRY_TERMS = [
+    ("United States", ["united states", "u.s.", "us"]), ("China", ["china"]),
+    ("India", ["india"]), ("Russia", ["russia"]), ("Ukraine", ["ukraine"]),
+    ("United Kingdom", ["united kingdom", "uk"]), ("Israel", ["israel"]), ("Iran", ["iran"]),
+    ("Taiwan", ["taiwan"]), ("Japan", ["japan"]), ("South Korea", ["south korea"]),
+    ("Saudi Arabia", ["saudi arabia"]),
+]
+TOPIC_TAGS = [
+    ("inflation", ["inflation", "cpi", "prices rose"]),
+    ("rates", ["interest rate", "rate cut", "rate hike", "fed", "ecb", "central bank"]),
+    ("semiconductors", ["semiconductor", "chip", "foundry"]),
+    ("energy", ["oil", "gas", "lng", "refinery", "pipeline", "opec"]),
+    ("trade", ["tariff", "trade policy", "export control", "import ban"]),
+    ("sanctions", ["sanction", "embargo", "blacklist"]),
+    ("elections", ["election", "ballot", "vote", "polls"]),
+    ("defense", ["missile", "military", "defense", "drone", "airstrike"]),
+]
+MAX_TAGS = 12
+
+# Knowledge-graph spread (layer 2), sector spread (layer 3),
+# similarity spread (layer 4) and quality gates
+KG_RELATIONSHIPS = ["SUPPLIES_TO", "PART_OF", "COMPETES_WITH", "CORRELATED", "REGULATES"]
+KG_BIDIRECTIONAL = ["SUPPLIES_TO", "COMPETES_WITH", "CORRELATED", "REGULATES"]
+KG_REVERSE_FACTOR = 0.9
+KG_DEFAULT_STRENGTH = 0.5
+L2_HOP1_WEIGHT = 0.60
+L2_HOP2_WEIGHT = 0.35
+L3_MAX_ASSETS_PER_SECTOR = 6
+L3_BASE_WEIGHT = 0.45
+L4_LOOKBACK_EVENTS = 300
+L4_MIN_SIMILARITY = 0.38
+L4_MAX_ASSET_CANDIDATES = 5
+L4_DEFAULT_PRIOR = 0.5
+QUALITY_MIN_CONFIDENCE = 0.55
+QUALITY_TEMPORAL_MAX_HOURS = 48
+KG_SEED_STRENGTH = 0.9
+KG_PROFILE_SECTOR_STRENGTH = 0.78
+KG_PROFILE_COUNTRY_STRENGTH = 0.86
+FILING_WINDOW = 180
+SUPPLIER_TERMS = ["supplier", "suppliers", "supply chain", "sourced from", "procured from"]
+CUSTOMER_TERMS = ["customer", "customers", "revenue from", "sales to", "major customer"]
+# Global macro entity patterns added to the gazetteer
+GAZETTEER_EXTRA = ["Federal Reserve", "European Central Bank", "OPEC", "NATO", "US", "China",
+                   "India", "Russia"]

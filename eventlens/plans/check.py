@@ -37,7 +37,7 @@ def _norm(v, digits: int = 6):
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x, digits) for x in v)
     if isinstance(v, dict):
-        return tuple(sorted((k, _norm(x, digits)) for k, x in v.items()))
+        return tuple(_norm(x, digits) for x in v.values())
     if hasattr(v, "asDict"):
         return tuple(_norm(x, digits) for x in v)
     return v

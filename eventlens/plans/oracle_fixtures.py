@@ -45,7 +45,8 @@ CTES: dict[str, str] = {
     "f_event": f"""
         SELECT event_id,
                etype || ' ' || (event_id % 50) AS title,
-               'user ' || user_id || ' reported ' || event_type AS description,
+               {_list(FX.ARTICLE_PHRASES)}[CASE etype {' '.join(f"WHEN '{k}' THEN {v}" for k, v in FX.TYPE_PHRASE_BASE.items())} END
+                 + event_id % 2 + 1] AS description,
                etype AS event_type,
                CASE WHEN event_id % 23 = 0 THEN NULL
                     ELSE {_list(FX.FIXTURE_COUNTRIES)}[user_id % 12 + 1] END AS country,
@@ -91,7 +92,9 @@ CTES: dict[str, str] = {
                CASE WHEN doc_id % 29 = 0 THEN NULL
                     ELSE TIMESTAMP '2024-01-01' + to_seconds(doc_id * 420) END AS published_at,
                TIMESTAMP '2024-02-01' + to_seconds(doc_id) AS created_at,
-               lang
+               lang,
+               CASE WHEN doc_id % 3 = 0 THEN NULL
+                    ELSE TIMESTAMP '2024-02-01' + to_seconds(doc_id + doc_id % 120) END AS nlp_processed_at
         FROM documents LEFT JOIN supplier ON s_suppkey = doc_id % {S}""",
     "f_event_article": f"""
         SELECT doc_id % {E} AS event_id, doc_id AS article_id FROM documents""",
@@ -147,6 +150,18 @@ CTES: dict[str, str] = {
                CAST(o_orderkey % 50 AS INTEGER) AS position FROM orders""",
     "f_watchlist": f"""
         SELECT DISTINCT o_custkey AS user_id, o_orderkey % {S} AS asset_id FROM orders""",
+    "f_filing": f"""
+        SELECT p.page_id, 'S' || (p.page_id % {S}) AS source_ticker,
+               p.html AS html,
+               ' our major customer ' || lower(c.s_name) || ' and supplier ' || lower(u.s_name) || ' ' AS tail
+        FROM pages p
+        JOIN supplier c ON c.s_suppkey = (p.page_id * 7) % {S}
+        JOIN supplier u ON u.s_suppkey = (p.page_id * 3 + 1) % {S}""",
+    "f_profile": """
+        SELECT 'S' || s_suppkey AS ticker, s_name AS company,
+               CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'Industry ' || (s_suppkey % 4) END AS industry,
+               CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE n_name END AS country
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "f_trade": """
         SELECT 'U' || (user_id % 20) AS ticker, value AS price, ts, event_id AS seq FROM events""",
     "f_kline": """
