@@ -51,6 +51,13 @@ ARTICLE_PHRASES = [
 ]
 
 
+# Context sentence put in front of every article body: it carries relevance
+# terms of all four groups but no event-type keyword, so the invented prose
+# can pass the relevance gate while the title alone decides the event type.
+ARTICLE_CONTEXT = ("Geopolitical risk lifts treasury yield and crude shipping route costs; "
+                   "stocks and currency volatility rise.")
+
+
 def elem(values: list, idx: Column) -> Column:
     """values[idx] as a column expression (0-based)."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
@@ -217,7 +224,7 @@ class Tables:
         return (d.join(s, d._sk == s.s_suppkey, "left")
                 .select(did.alias("article_id"),
                         F.concat(elem(ARTICLE_PHRASES, did % 16), F.lit(" "), F.col("s_name")).alias("title"),
-                        F.col("text").alias("content"),
+                        F.concat(F.lit(ARTICLE_CONTEXT + "\n"), F.col("text")).alias("content"),
                         F.when(did % 5 == 4, F.col("source"))
                          .otherwise(elem(ARTICLE_SOURCES, did % 5)).alias("source"),
                         F.concat(F.lit("https://news.example.com/a/"), did.cast("string")).alias("url"),

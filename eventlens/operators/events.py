@@ -17,6 +17,7 @@ from eventlens.functions import text as T
 from eventlens.functions.common import bounded_broadcast, col, contains_count, seconds_between, ts_lit
 from eventlens.operators import filters as FL
 from eventlens.operators import mapping as MP
+from eventlens.session import cut_lineage
 
 
 def clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
@@ -178,11 +179,15 @@ def build_events(articles: DataFrame, assets: DataFrame, edges: DataFrame, as_of
     reason = (F.when(~lang_ok, "language").when(F.col("relevance_score") < L.RELEVANCE_THRESHOLD, "relevance")
               .when(F.col("event_type").isNull(), "no_event_type"))
     a = a.withColumn("_reject", reason)
+    # The annotated batch feeds every later branch (mentions, tags, layers,
+    # gates, merge): materialise it once in the shared checkpoint folder so
+    # the text work is not repeated per branch and the plan stays small.
+    a = cut_lineage(a)
     s1 = a.where(F.col("_reject").isNull())
 
     aliases = MP.asset_aliases(assets)
     docs = s1.select(key, F.col("_text").alias("text"))
-    l1 = MP.extract_mentions(docs, aliases, key=key)
+    l1 = cut_lineage(MP.extract_mentions(docs, aliases, key=key))
     nt = l1.groupBy(key).agg(F.count(F.lit(1)).alias("n_tickers"))
     s2 = (s1.join(nt, key, "left").fillna(0, subset=["n_tickers"]))
     s2 = score_confidence(s2, as_of)
@@ -198,6 +203,7 @@ def build_events(articles: DataFrame, assets: DataFrame, edges: DataFrame, as_of
           .withColumn("severity", severity_expr("event_type", "_t_low", "confidence", "n_tickers"))
           .withColumn("event_time", F.coalesce(F.col("published_at"), ts_lit(as_of)))
           .drop("_sig"))
+    s2 = cut_lineage(s2)
 
     l1s = l1.join(s2.select(key), key, "left_semi")
     tags = MP.entity_tags(s2.select(key, F.col("_text").alias("text")), l1s, assets, key=key)
@@ -211,56 +217,54 @@ def build_events(articles: DataFrame, assets: DataFrame, edges: DataFrame, as_of
     else:
         l4 = l3.limit(0)
     proposed = direct.unionByName(l4.select(key, "ticker")).distinct()
-    gated = quality_gates(s2, assets, proposed, existing_events, existing_links, key=key)
+    gated = cut_lineage(quality_gates(s2, assets, proposed, existing_events, existing_links, key=key))
     gate_fail = gated.where(F.size("errors") > 0)
     ok = gated.where(F.size("errors") == 0)
 
     # -- merge into events --------------------------------------------------
-    day = F.to_date("published_at")
-    ok = ok.withColumn("_day", day)
-    # Articles without a time never match: give them a singleton group.
-    grp = F.when(F.col("_day").isNull(), F.col(key))
+    ok = ok.withColumn("_day", F.to_date("published_at"))
+    # Articles without a time never match: each forms its own group.
+    grp_day = F.coalesce(F.col("_day").cast("string"), F.concat(F.lit("article:"), F.col(key).cast("string")))
+    ok = ok.withColumn("_gkey", F.sha2(F.to_json(F.struct("title", "event_type", "country",
+                                                          grp_day.alias("d"))), 256))
     first_o = F.struct(F.col("created_at"), F.col(key))
-    g = (ok.groupBy("title", "event_type", F.col("country"), "_day", grp.alias("_single"))
-         .agg(F.min_by(F.struct(F.col(key).alias("first_article"), F.substring("content", 1, 2000).alias("description"),
+    g = (ok.groupBy("_gkey")
+         .agg(F.min_by(F.struct("title", "event_type", "country", "_day", F.col(key).alias("first_article"),
+                                F.substring("content", 1, 2000).alias("description"),
                                 "source", "url", "published_at"), first_o).alias("_f"),
               F.max_by(F.struct("confidence", "severity", "status"),
                        F.struct("confidence", F.unix_micros(F.col("created_at")) * -1, F.col(key) * -1)).alias("_m")))
-    g = g.select("title", "event_type", "country", "_day", "_f.*", "_m.confidence", "_m.severity", "_m.status")
+    g = g.select("_gkey", "_f.*", "_m.confidence", "_m.severity", "_m.status")
     if existing_events is not None:
         ex = existing_events.select(F.col("event_id").alias("_xid"), F.col("title").alias("_xt"),
                                     F.col("event_type").alias("_xe"), F.col("country").alias("_xc"),
                                     F.to_date("published_at").alias("_xd"),
                                     F.col("confidence_score").alias("_xconf"),
                                     F.col("severity").alias("_xsev"), F.col("status").alias("_xst"))
-        # Existing events are probed with the article's day, or the as-of day for undated articles.
-        probe_day = F.coalesce(F.col("_day"), F.to_date(ts_lit(as_of)))
-        g = g.withColumn("_pday", probe_day)
+        # The first existing match per group (smallest id), as a lookup returning one row.
+        g = g.withColumn("_pday", F.coalesce(F.col("_day"), F.to_date(ts_lit(as_of))))
         cond = ((g["title"] == ex["_xt"]) & (g["event_type"] == ex["_xe"]) & g["country"].eqNullSafe(ex["_xc"])
                 & (g["_pday"] == ex["_xd"]))
-        g = g.join(ex, cond, "left").drop("_pday")
+        gx = g.join(ex, cond, "left")
+        g = (gx.groupBy("_gkey").agg(F.min_by(F.struct(*[c for c in gx.columns if c != "_gkey"]),
+                                              F.struct(F.col("_xid").isNull(), F.col("_xid"))).alias("_r"))
+             .select("_gkey", "_r.*").drop("_pday"))
     else:
-        g = g.withColumn("_xid", F.lit(None).cast("long")).withColumn("_xconf", F.lit(None).cast("double")) \
+        g = g.withColumn("_xid", F.lit(None).cast("string")).withColumn("_xconf", F.lit(None).cast("double")) \
              .withColumn("_xsev", F.lit(None).cast("int")).withColumn("_xst", F.lit(None).cast("string"))
     newer = F.col("_xconf").isNull() | (F.col("confidence") > F.col("_xconf"))
     is_new = F.col("_xid").isNull()
     events = g.select(
+        "_gkey",
         F.coalesce(F.col("_xid").cast("string"), F.concat(F.lit("a"), F.col("first_article").cast("string")))
         .alias("event_id"),
         "title", "description", "event_type", "country", "source", "url", "published_at",
         F.when(is_new | newer, F.col("confidence")).otherwise(F.col("_xconf")).alias("confidence_score"),
         F.when(is_new | newer, F.col("severity")).otherwise(F.col("_xsev")).alias("severity"),
         F.when(is_new | newer, F.col("status")).otherwise(F.col("_xst")).alias("status"),
-        is_new.alias("is_new"), "first_article", "_day")
-    ev_key = events.select("event_id", "title", "event_type", "country", "_day", "first_article")
-    # Map each accepted article to its event (same grouping key).
-    link_cond = ((ok["title"] == ev_key["title"]) & (ok["event_type"] == ev_key["event_type"])
-                 & ok["country"].eqNullSafe(ev_key["country"])
-                 & (F.coalesce(ok["_day"].cast("string"), ok[key].cast("string"))
-                    == F.coalesce(ev_key["_day"].cast("string"), ev_key["first_article"].cast("string"))))
-    links = ok.join(ev_key, link_cond).select("event_id", ok[key], ok["relevance"].alias("relevance_score"),
-                                              ok["created_at"], ok["confidence"], ok["impact_strength"],
-                                              ok["impact_direction"])
+        is_new.alias("is_new"), "first_article")
+    links = (ok.select("_gkey", key, F.col("relevance").alias("relevance_score"), "created_at")
+             .join(events.select("_gkey", "event_id"), "_gkey").drop("_gkey"))
     params = ok.select(key, "confidence", "relevance", "impact_strength", "impact_direction")
     per_article = MP.assemble_impacts({1: l1s.join(ok.select(key), key, "left_semi"),
                                        2: l2, 3: l3, 4: l4}, params, assets, key=key)
@@ -278,7 +282,7 @@ def build_events(articles: DataFrame, assets: DataFrame, edges: DataFrame, as_of
                   .unionByName(low_conf.select(F.col("_reject").alias("reason")))
                   .unionByName(gate_fail.select(F.lit("quality").alias("reason")))
                   .groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
-    return {"events": events.drop("_day"), "event_articles": links.select("event_id", key, "relevance_score"),
+    return {"events": events.drop("_gkey"), "event_articles": links.select("event_id", key, "relevance_score"),
             "impacts": impacts, "tags": ev_tags, "rejections": rejections,
             "gate_counts": gate_counts(gate_fail), "annotated": FL.annotate_articles(articles)}
 

@@ -482,3 +482,74 @@ def evt07(t):
     return c.select("event_id", "title", "event_type", "country", "severity", "confidence_score", "published_at",
                     "impact_count", F.col("affected_assets.ticker").alias("affected_tickers"),
                     F.col("affected_assets.confidence_score").alias("affected_confidence"), "tags")
+
+
+# ---------------------------------------------------------------------------
+# event build and backfills
+# ---------------------------------------------------------------------------
+
+def _build(t):
+    ev = t.event.withColumn("event_id", F.col("event_id").cast("string"))
+    links = t.event_article.withColumn("event_id", F.col("event_id").cast("string"))
+    return EV.build_events(t.article, t.asset, t.kg_edge, ARTICLE_AS_OF, existing_events=ev,
+                           existing_links=links, existing_impacts=t.impact)
+
+
+@plan("evt04_build_events")
+def evt04(t):
+    """EVT-04: events built from every article against the existing event store."""
+    return _build(t)["events"]
+
+
+@plan("evt04_event_impacts")
+def evt04b(t):
+    """EVT-04: impacts of the built events (first article, then lowest layer wins)."""
+    return _build(t)["impacts"]
+
+
+@plan("evt04_rejections")
+def evt04c(t):
+    """EVT-04: rejection counts by reason."""
+    return _build(t)["rejections"]
+
+
+def _annot_sql() -> str:
+    from eventlens.plans.text_plans import _ASCII_RATIO, _TOKS, NORM, _relevance_sql
+    from eventlens.plans.text_sql import hits as h
+    nlow = f"lower({NORM})"
+    pos, neg = h(nlow, L.SENTIMENT_POSITIVE), h(nlow, L.SENTIMENT_NEGATIVE)
+    sent = (f"CASE WHEN length({NORM}) = 0 THEN NULL WHEN {pos} = 0 AND {neg} = 0 THEN 0.0 "
+            f"ELSE greatest(-1.0, least(1.0, ({pos} - {neg}) / greatest(1, {pos} + {neg}))) END")
+    return f"""
+    SELECT article_id, CASE WHEN nchar = 0 OR ntok = 0 THEN 'unknown' ELSE 'en' END AS language_code,
+           CAST(CASE WHEN nchar = 0 OR ntok = 0 THEN 0.0
+                     WHEN ratio >= 0.95 AND ntok >= 3 THEN greatest(c, 0.82) ELSE c END AS DOUBLE) AS language_confidence,
+           rel AS relevance_score, CASE WHEN rel >= 0.58 THEN 'relevant' ELSE 'irrelevant' END AS relevance_label,
+           sent AS sentiment_score, TIMESTAMP '{ARTICLE_AS_OF}' AS nlp_processed_at
+    FROM (SELECT *, least(0.92, 0.52 + stop / greatest(1, ntok) * 1.6 + ratio * 0.18) AS c FROM (
+            SELECT article_id, length({NORM}) AS nchar, len({_TOKS}) AS ntok,
+                   len(list_filter({_TOKS}, lambda x: x IN {inlist(L.ENGLISH_STOPWORDS)})) AS stop,
+                   {_ASCII_RATIO} AS ratio, CAST({_relevance_sql()} AS DOUBLE) AS rel, {sent} AS sent
+            FROM (SELECT * FROM f_article WHERE nlp_processed_at IS NULL
+                  ORDER BY created_at NULLS FIRST, article_id LIMIT 500)))"""
+
+
+@mplan("evt05_backfill_metadata", _annot_sql())
+def evt05(t):
+    """EVT-05: NLP backfill of the oldest 500 unprocessed articles."""
+    b = EV.backfill_metadata(t.article, ARTICLE_AS_OF, 500)
+    return b.select("article_id", "language_code", "language_confidence", "relevance_score",
+                    "relevance_label", "sentiment_score", "nlp_processed_at")
+
+
+@plan("evt06_backfill_entities")
+def evt06(t):
+    """EVT-06: re-mapped tags of the newest 250 events from all their articles."""
+    ev = t.event.withColumn("event_id", F.col("event_id"))
+    return EV.backfill_entities(ev, t.event_article, t.article, t.asset, t.kg_edge, t.impact, n=250)["tags"]
+
+
+@plan("evt06_backfill_impacts")
+def evt06b(t):
+    """EVT-06: new impacts of the newest 250 events from all their articles."""
+    return EV.backfill_entities(t.event, t.event_article, t.article, t.asset, t.kg_edge, t.impact, n=250)["impacts"]

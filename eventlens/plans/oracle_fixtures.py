@@ -85,7 +85,7 @@ CTES: dict[str, str] = {
     "f_article": f"""
         SELECT doc_id AS article_id,
                {_list(FX.ARTICLE_PHRASES)}[doc_id % 16 + 1] || ' ' || s_name AS title,
-               text AS content,
+               '{FX.ARTICLE_CONTEXT}' || chr(10) || text AS content,
                CASE WHEN doc_id % 5 = 4 THEN source
                     ELSE {_list(FX.ARTICLE_SOURCES)}[doc_id % 5 + 1] END AS source,
                'https://news.example.com/a/' || doc_id AS url,

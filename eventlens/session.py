@@ -39,6 +39,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # Local mode runs everything in the driver JVM.
+            b = b.config("spark.driver.memory", os.environ.get("EVENTLENS_DRIVER_MEMORY", "16g"))
     for k, v in {**RESULT_CONF, **SCALE_CONF}.items():
         b = b.config(k, v)
     b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
