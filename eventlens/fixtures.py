@@ -30,6 +30,7 @@ ARTICLE_SOURCES = ["Reuters", "AP News", "Al Jazeera", "GDELT"]
 TYPE_PHRASE_BASE = {"conflict": 0, "sanction": 2, "trade_policy": 4, "economic_data": 6,
                     "energy_disruption": 8, "election": 10, "regulation": 12}
 REVIEW_ACTIONS = ["edit", "approve", "reject"]
+QUOTE_PROVIDERS = ["binance", "fcs", "twelvedata", "polygon", "eodhd", "alphavantage", "finnhub"]
 # Sixteen article phrases: 7 event types x 2, one sports item, one with no keyword.
 ARTICLE_PHRASES = [
     "Missile attack near Ukraine border, military escalation",
@@ -123,6 +124,26 @@ class Tables:
                 .select("asset_id", F.col("day").cast("timestamp").alias("ts"),
                         "open", "high", "low", "close", "volume"))
 
+    @functools.cached_property
+    def quote(self) -> DataFrame:
+        """Provider quotes per asset: the latest bar close scaled by provider,
+        missing (NULL) or zero for some (asset, provider) pairs."""
+        last = self.bar.groupBy("asset_id").agg(F.max_by("close", "ts").alias("_c"), F.max("ts").alias("as_of"))
+        prov = F.array(*[F.lit(p) for p in QUOTE_PROVIDERS])
+        x = last.select("asset_id", "_c", "as_of", F.posexplode(prov).alias("i", "provider"))
+        k = (F.col("asset_id") + F.col("i")) % 4
+        price = (F.when(k == 0, F.lit(None).cast("double")).when(k == 1, F.lit(0.0))
+                 .otherwise(F.col("_c") * (1 + F.col("i") / 100.0)))
+        return x.select("asset_id", "provider", price.alias("price"),
+                        ((F.col("i") - 3) / 10.0).alias("change"), "as_of")
+
+    @functools.cached_property
+    def last_good(self) -> DataFrame:
+        """Last-good snapshot per asset: the first bar of the series."""
+        return (self.bar.groupBy("asset_id")
+                .agg(F.min_by("close", "ts").alias("price"), F.min("ts").alias("as_of"))
+                .select("asset_id", "price", F.lit(0.0).alias("change"), "as_of"))
+
     @functools.cached_property
     def trade(self) -> DataFrame:
         ev = self.raw("events")
@@ -305,6 +326,7 @@ class Tables:
         secs = lookup({k: v for k, v in L.HORIZON_SECONDS.items()}, horizon)
         return o.select(
             ok.alias("prediction_id"),
+            ck.alias("user_id"),
             (ok % F.lit(self.n_events)).alias("event_id"),
             (ck % F.lit(self.n_suppliers)).alias("asset_id"),
             lookup(STATUS_TO_DIRECTION, F.col("o_orderstatus")).alias("predicted_direction"),
@@ -330,7 +352,8 @@ class Tables:
                          etype.alias("event_type"),
                          F.when(ck % 4 == 0, F.lit(None).cast("double"))
                           .otherwise((ck % 10) / 10.0).alias("threshold"),
-                         (ck % 6 != 0).alias("is_active"))
+                         (ck % 6 != 0).alias("is_active"),
+                         F.timestamp_seconds(F.lit(1700000000) + ck * 60).alias("created_at"))
                 .where(F.col("asset_id").isNotNull() | F.col("event_type").isNotNull()))
 
     @functools.cached_property

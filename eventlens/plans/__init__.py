@@ -1,6 +1,7 @@
 """Query registry. Importing this package registers every plan module."""
 from eventlens.plans.base import REGISTRY, Plan, tables  # noqa: F401
-from eventlens.plans import aggregate_plans, feature_plans, mapping_plans, market_plans, text_plans  # noqa: F401
+from eventlens.plans import (aggregate_plans, feature_plans, mapping_plans, market_plans,  # noqa: F401
+                             serving_plans, text_plans)
 
 
 def queries():

@@ -111,7 +111,7 @@ CTES: dict[str, str] = {
         SELECT 'ASSET:S' || s_suppkey, 'COUNTRY:' || n_name, 'PART_OF', 0.9::DOUBLE
         FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "f_prediction": f"""
-        SELECT o_orderkey AS prediction_id, o_orderkey % {E} AS event_id,
+        SELECT o_orderkey AS prediction_id, o_custkey AS user_id, o_orderkey % {E} AS event_id,
                o_custkey % {S} AS asset_id,
                {_case('o_orderstatus', FX.STATUS_TO_DIRECTION)} AS predicted_direction,
                (o_orderkey % 31 - 15) / 4.0::DOUBLE AS predicted_change_pct,
@@ -133,7 +133,8 @@ CTES: dict[str, str] = {
                  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE {_case('c_mktsegment', FX.SEGMENT_TO_TYPE)} END
                    AS event_type,
                  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE (c_custkey % 10) / 10.0::DOUBLE END AS threshold,
-                 c_custkey % 6 <> 0 AS is_active
+                 c_custkey % 6 <> 0 AS is_active,
+                 to_timestamp(1700000000 + c_custkey * 60)::TIMESTAMP AS created_at
           FROM customer)
         WHERE asset_id IS NOT NULL OR event_type IS NOT NULL""",
     "f_user": """
@@ -162,6 +163,15 @@ CTES: dict[str, str] = {
                CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'Industry ' || (s_suppkey % 4) END AS industry,
                CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE n_name END AS country
         FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    "f_quote": f"""
+        SELECT asset_id, provider,
+               CASE WHEN (asset_id + i) % 4 = 0 THEN NULL WHEN (asset_id + i) % 4 = 1 THEN 0.0::DOUBLE
+                    ELSE c * (1 + i / 100.0::DOUBLE) END AS price,
+               (i - 3) / 10.0::DOUBLE AS change, as_of
+        FROM (SELECT asset_id, arg_max(close, ts) AS c, max(ts) AS as_of FROM f_bar GROUP BY 1),
+             (SELECT unnest(range(0, {len(FX.QUOTE_PROVIDERS)})) AS i, unnest({_list(FX.QUOTE_PROVIDERS)}) AS provider)""",
+    "f_last_good": """
+        SELECT asset_id, arg_min(close, ts) AS price, 0.0::DOUBLE AS change, min(ts) AS as_of FROM f_bar GROUP BY 1""",
     "f_trade": """
         SELECT 'U' || (user_id % 20) AS ticker, value AS price, ts, event_id AS seq FROM events""",
     "f_kline": """
