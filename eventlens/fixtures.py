@@ -79,8 +79,16 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
 
-    def raw(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+    def raw(self, name: str, stream: bool = False) -> DataFrame:
+        """A base table; ``stream=True`` reads the same file as a streaming
+        source (one file per trigger), for the Structured Streaming operators."""
+        path = os.path.join(self.sf_dir, f"{name}.parquet")
+        if stream:
+            schema = self.spark.read.parquet(path).schema
+            df = (self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+                  .option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir))
+        else:
+            df = self.spark.read.parquet(path)
         # Source timestamps carry no zone; the session runs in UTC.
         for f in df.schema.fields:
             if f.dataType.typeName() == "timestamp_ntz":
@@ -146,7 +154,13 @@ class Tables:
 
     @functools.cached_property
     def trade(self) -> DataFrame:
-        ev = self.raw("events")
+        return self.trade_from(self.raw("events"))
+
+    def trade_stream(self) -> DataFrame:
+        return self.trade_from(self.raw("events", stream=True))
+
+    @staticmethod
+    def trade_from(ev: DataFrame) -> DataFrame:
         return ev.select(F.concat(F.lit("U"), (F.col("user_id") % 20).cast("string")).alias("ticker"),
                          F.col("value").alias("price"), F.col("ts"), F.col("event_id").alias("seq"))
 
@@ -164,7 +178,10 @@ class Tables:
 
     @functools.cached_property
     def provider_log(self) -> DataFrame:
-        ev = self.raw("events")
+        return self.provider_log_from(self.raw("events"))
+
+    @staticmethod
+    def provider_log_from(ev: DataFrame) -> DataFrame:
         return ev.select(F.col("event_id").alias("request_id"),
                          F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string")).alias("provider"),
                          (F.col("event_type") != "error").alias("success"),
@@ -175,7 +192,12 @@ class Tables:
     # -- events --------------------------------------------------------------
     @functools.cached_property
     def event(self) -> DataFrame:
-        ev = self.raw("events")
+        return self.event_from(self.raw("events"))
+
+    def event_stream(self) -> DataFrame:
+        return self.event_from(self.raw("events", stream=True))
+
+    def event_from(self, ev: DataFrame) -> DataFrame:
         eid = F.col("event_id")
         k = F.get_json_object("props", "$.k").cast("int")
         tod = F.unix_micros("ts") % F.lit(86_400_000_000)
@@ -237,7 +259,12 @@ class Tables:
     # -- articles ------------------------------------------------------------
     @functools.cached_property
     def article(self) -> DataFrame:
-        d = self.raw("documents")
+        return self.article_from(self.raw("documents"))
+
+    def article_stream(self) -> DataFrame:
+        return self.article_from(self.raw("documents", stream=True))
+
+    def article_from(self, d: DataFrame) -> DataFrame:
         s = self.raw("supplier").select("s_suppkey", "s_name")
         did = F.col("doc_id")
         d = d.withColumn("_sk", did % F.lit(self.n_suppliers))
