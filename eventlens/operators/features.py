@@ -282,3 +282,127 @@ def build_dataset(prices: DataFrame, events: DataFrame, by: str = "symbol",
     df = market_features(df, by, date)
     df = event_features(df, by, date)
     return label_breakout(df, by, date)
+
+
+# ---------------------------------------------------------------------------
+# FEA-09 online feature row
+# ---------------------------------------------------------------------------
+
+def latest_features(prices: DataFrame, events: DataFrame, impacts: DataFrame, as_of,
+                    price_rows: int = 30, event_days: int = 14) -> DataFrame:
+    """FEA-09: one feature row per asset at ``as_of``: the last 30 bars ->
+    daily last close -> 1/7-day log returns, 7-row volatility, 14-row MA
+    (gaps 0); impacts of events published in the last 14 days on a dense
+    14-day calendar -> count, mean strength, momentum and its sign, spike vs
+    the 7-day mean, max |goldstein|, lags of max |strength|; interactions.
+    (The reference re-indexes date objects with timestamps, which zeroes the
+    event block; the dense calendar join here is the evident intent.)"""
+    from eventlens.functions.common import ts_lit
+    w = Window.partitionBy("asset_id").orderBy(F.col("ts").desc())
+    last = prices.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= price_rows)
+    daily = last.groupBy("asset_id", F.to_date("ts").alias("date")).agg(F.max_by("close", "ts").alias("close"))
+    wd = Window.partitionBy("asset_id").orderBy("date")
+    c = F.col("close")
+    m = (daily.withColumn("return_7d", F.coalesce(F.log(c / F.lag("close", 7).over(wd)), F.lit(0.0)))
+         .withColumn("return_1d", F.coalesce(F.log(c / F.lag("close", 1).over(wd)), F.lit(0.0)))
+         .withColumn("_pct", c / F.lag("close", 1).over(wd) - 1))
+    m = (m.withColumn("volatility_7d", F.coalesce(rolling(F.stddev_samp, "_pct", wd, -6), F.lit(0.0)))
+         .withColumn("ma_14", F.coalesce(rolling(F.avg, "close", wd, -13), F.lit(0.0))))
+    market = (m.groupBy("asset_id").agg(F.max_by(F.struct("return_7d", "return_1d", "volatility_7d", "ma_14"),
+                                                 "date").alias("_m"))
+              .select("asset_id", "_m.*"))
+    now = ts_lit(as_of)
+    since = now - F.make_dt_interval(F.lit(event_days))
+    ev = events.where(F.col("published_at") >= since).select("event_id", "published_at", "goldstein")
+    rows = (impacts.select("event_id", "asset_id", "impact_strength").join(ev, "event_id")
+            .select("asset_id", F.to_date("published_at").alias("date"),
+                    F.coalesce(F.when(F.col("impact_strength") != 0, F.col("impact_strength")), F.lit(0.0)).alias("s"),
+                    F.coalesce(F.when(F.col("goldstein") != 0, F.col("goldstein")), F.lit(0.0)).alias("g")))
+    dly = rows.groupBy("asset_id", "date").agg(F.count("s").alias("event_count"), F.avg("s").alias("avg_sentiment"),
+                                               F.max(F.abs("g")).alias("max_abs_goldstein"),
+                                               F.max(F.abs("s")).alias("max_abs_sentiment"))
+    cal = (dly.select("asset_id").distinct()
+           .select("asset_id", F.explode(F.sequence(F.date_sub(F.to_date(now), event_days - 1), F.to_date(now)))
+                   .alias("date")))
+    d = cal.join(dly, ["asset_id", "date"], "left").fillna(0, subset=["event_count", "avg_sentiment",
+                                                                      "max_abs_goldstein", "max_abs_sentiment"])
+    d = (d.withColumn("sentiment_momentum", F.coalesce(F.col("avg_sentiment") - F.lag("avg_sentiment").over(wd),
+                                                       F.lit(0.0)))
+         .withColumn("sentiment_trend", F.signum("sentiment_momentum"))
+         .withColumn("event_spike", (F.col("event_count") > rolling(F.avg, "event_count", wd, -6)).cast("int"))
+         .withColumn("max_sent_lag_1", F.coalesce(F.lag("max_abs_sentiment", 1).over(wd), F.lit(0.0)))
+         .withColumn("max_sent_lag_2", F.coalesce(F.lag("max_abs_sentiment", 2).over(wd), F.lit(0.0))))
+    evf = (d.where(F.col("date") == F.to_date(now))
+           .select("asset_id", F.col("event_count").cast("long").alias("event_count"), "event_spike",
+                   "sentiment_trend", "max_abs_goldstein", "max_sent_lag_1", "max_sent_lag_2", "sentiment_momentum"))
+    out = market.join(evf, "asset_id", "left").fillna(0, subset=[
+        "event_count", "event_spike", "sentiment_trend", "max_abs_goldstein", "max_sent_lag_1", "max_sent_lag_2",
+        "sentiment_momentum"])
+    return (out.withColumn("sentiment_x_volatility", F.col("sentiment_momentum") * F.col("volatility_7d"))
+            .withColumn("event_x_return", F.col("event_count") * F.col("return_1d"))
+            .withColumn("vol_rank", F.lit(0.5)).withColumn("ts", now))
+
+
+# ---------------------------------------------------------------------------
+# FEA-10 / FEA-11 candle features, FEA-14 alignment
+# ---------------------------------------------------------------------------
+
+CANDLE_FEATURES = ["ret_1", "ret_3", "ret_6", "ret_24", "vol_6", "vol_24", "range_pct", "body_pct",
+                   "volume_z24", "num_trades_log", "taker_buy_ratio", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]
+CANDLE_LABEL_THRESHOLD = 0.0010
+
+
+def candle_features(klines: DataFrame, by: str = "symbol", t: str = "open_time") -> DataFrame:
+    """FEA-10: candle features per symbol (``open_time`` a timestamp): returns
+    over 1/3/6/24 bars, volatility of 1-bar returns over 6/24 full windows,
+    range and body, 24-bar volume z-score (full window, std 0 -> NULL),
+    log1p trades, taker ratio clipped to 0..1, hour and weekday on the circle."""
+    import math
+    w = Window.partitionBy(by).orderBy(t)
+    c = F.col("close")
+    nz = lambda x: F.when(x != 0, x)
+    df = klines.select("*", *[(c / F.lag("close", k).over(w) - 1).alias(f"ret_{k}") for k in (1, 3, 6, 24)])
+    df = (df.withColumn("vol_6", full_rolling(F.stddev_samp, "ret_1", w, 6))
+          .withColumn("vol_24", full_rolling(F.stddev_samp, "ret_1", w, 24))
+          .withColumn("range_pct", (F.col("high") - F.col("low")) / nz(c))
+          .withColumn("body_pct", (c - F.col("open")) / nz(F.col("open")))
+          .withColumn("volume_z24", (F.col("volume") - full_rolling(F.avg, "volume", w, 24))
+                      / nz(full_rolling(F.stddev_samp, "volume", w, 24)))
+          .withColumn("num_trades_log", F.log1p(F.greatest(F.col("num_trades").cast("double"), F.lit(0.0))))
+          .withColumn("taker_buy_ratio", F.greatest(F.lit(0.0), F.least(F.lit(1.0),
+                                                                        F.col("taker_buy_volume") / nz(F.col("volume"))))))
+    h = F.hour(t).cast("double")
+    d = F.weekday(t).cast("double")
+    return (df.withColumn("hour_sin", F.sin(2 * math.pi * h / 24.0)).withColumn("hour_cos", F.cos(2 * math.pi * h / 24.0))
+            .withColumn("dow_sin", F.sin(2 * math.pi * d / 7.0)).withColumn("dow_cos", F.cos(2 * math.pi * d / 7.0)))
+
+
+def candle_training(klines: DataFrame, threshold: float = CANDLE_LABEL_THRESHOLD, by: str = "symbol",
+                    t: str = "open_time") -> DataFrame:
+    """FEA-11: next-bar return label up/down/flat at +-threshold; rows with any
+    missing feature or no next bar are dropped."""
+    w = Window.partitionBy(by).orderBy(t)
+    df = candle_features(klines, by, t).withColumn("future_ret_1h", F.lead("close").over(w) / F.col("close") - 1.0)
+    df = df.withColumn("label", F.when(F.col("future_ret_1h") > threshold, "up")
+                       .when(F.col("future_ret_1h") < -threshold, "down").otherwise("flat"))
+    return df.dropna(subset=CANDLE_FEATURES + ["future_ret_1h"])
+
+
+def candle_latest(klines: DataFrame, by: str = "symbol", t: str = "open_time", min_bars: int = 48) -> DataFrame:
+    """FEA-11: the latest complete feature row per symbol (symbols with at
+    least ``min_bars`` bars); latest-per-symbol is a max_by aggregate."""
+    f = candle_features(klines, by, t).dropna(subset=CANDLE_FEATURES)
+    enough = klines.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_bars).select(by)
+    return (f.join(enough, by, "left_semi").groupBy(by)
+            .agg(F.max_by(F.struct(t, *CANDLE_FEATURES), t).alias("_r")).select(by, "_r.*"))
+
+
+def align_features(df: DataFrame, order: Sequence[str], vol_col: str = "7d_vol", max_abs_vol: float = 5.0) -> DataFrame:
+    """FEA-14: columns in the saved training order, missing ones as 0, NULLs
+    as 0; rows whose |vol| exceeds 5 are rejected."""
+    cols = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) if c in df.columns
+            else F.lit(0.0).alias(c) for c in order]
+    out = df.select(*cols)
+    if vol_col in order:
+        out = out.where(F.abs(F.col(f"`{vol_col}`")) <= max_abs_vol)
+    return out
