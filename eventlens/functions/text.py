@@ -304,3 +304,55 @@ def parse_enum(c, values: Sequence[str]) -> Column:
     """FLT-11: case/hyphen/space-insensitive enum parse; unknown -> NULL."""
     norm = F.lower(F.regexp_replace(F.trim(col(c)), "[- ]", "_"))
     return F.when(norm.isin(list(values)), norm)
+
+
+# ---------------------------------------------------------------------------
+# TXT-19 symbol normalisation and provider routing
+# ---------------------------------------------------------------------------
+# TwelveData interval names
+TWELVEDATA_INTERVALS = {"1m": "1min", "5m": "5min", "15m": "15min", "30m": "30min", "1h": "1hour",
+                        "2h": "2hours", "4h": "4hours", "1d": "1day", "1w": "1week", "1mo": "1month",
+                        "1M": "1month"}
+
+
+def forex_symbol(c) -> Column:
+    """Six-letter forex ticker -> AAA/BBB (others unchanged)."""
+    t = col(c)
+    return F.when(F.length(t) == 6, F.concat(F.substring(t, 1, 3), F.lit("/"), F.substring(t, 4, 3))).otherwise(t)
+
+
+def crypto_symbol(c) -> Column:
+    """Crypto ticker -> exchange pair: upper, '-' and '/' removed, trailing USD dropped, + USDT."""
+    t = F.regexp_replace(F.upper(col(c)), "[-/]", "")
+    t = F.when(t.endswith("USD"), F.substring(t, F.lit(1), F.length(t) - 3)).otherwise(t)
+    return F.concat(t, F.lit("USDT"))
+
+
+def twelve_symbol(c, asset_type) -> Column:
+    """Forex AAA/BBB or crypto XXX/USD notation for the time-series provider."""
+    n = F.regexp_replace(F.upper(col(c)), "/", "")
+    at = col(asset_type)
+    return (F.when((at == "forex") & (F.length(n) == 6) & n.rlike("^[A-Z]+$"),
+                   F.concat(F.substring(n, 1, 3), F.lit("/"), F.substring(n, 4, 3)))
+            .when((at == "crypto") & (F.length(n) <= 5) & n.rlike("^[A-Z0-9]+$"), F.concat(n, F.lit("/USD")))
+            .otherwise(F.upper(col(c))))
+
+
+def provider_symbol(c, provider: str) -> Column:
+    """Per-provider spelling: binance '-USD' -> 'USDT', polygon class shares '.' -> '-'."""
+    if provider == "binance":
+        return F.replace(col(c), F.lit("-USD"), F.lit("USDT"))
+    if provider == "polygon":
+        return F.replace(col(c), F.lit("."), F.lit("-"))
+    return col(c)
+
+
+def route_provider(c) -> Column:
+    """Symbols ending in USDT/BUSD go to the crypto exchange, others to the equity provider."""
+    u = F.upper(col(c))
+    return F.when(u.endswith("USDT") | u.endswith("BUSD"), "binance").otherwise("polygon")
+
+
+def provider_interval(interval: str, provider: str) -> str:
+    """Interval name for a provider (TwelveData spells them out)."""
+    return TWELVEDATA_INTERVALS.get(interval, interval) if provider.lower() == "twelvedata" else interval

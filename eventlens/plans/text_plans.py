@@ -362,3 +362,72 @@ def flt10(t):
     """FLT-10: price cleaning with >500 % spike flags."""
     df = t.bar.select(F.col("asset_id").alias("symbol"), F.col("ts").alias("timestamp"), "close")
     return FL.clean_prices(df)
+
+
+@plan("txt19_normalize_symbol", oracle="""
+    WITH a AS (SELECT asset_id, ticker, asset_type,
+                      CASE asset_type WHEN 'forex' THEN 'EUR' || ticker || 'X' WHEN 'crypto' THEN ticker || '-USD'
+                                      ELSE ticker || '.B' END AS sym FROM f_asset)
+    SELECT asset_id, sym,
+           CASE WHEN length(sym) = 6 THEN sym[1:3] || '/' || sym[4:6] ELSE sym END AS forex,
+           CASE WHEN ends_with(regexp_replace(upper(sym), '[-/]', '', 'g'), 'USD')
+                THEN regexp_replace(upper(sym), '[-/]', '', 'g')[1:-4] ELSE regexp_replace(upper(sym), '[-/]', '', 'g')
+           END || 'USDT' AS crypto,
+           CASE WHEN asset_type = 'forex' AND length(replace(upper(sym), '/', '')) = 6
+                     AND regexp_matches(replace(upper(sym), '/', ''), '^[A-Z]+$')
+                THEN replace(upper(sym), '/', '')[1:3] || '/' || replace(upper(sym), '/', '')[4:6]
+                WHEN asset_type = 'crypto' AND length(replace(upper(sym), '/', '')) <= 5
+                     AND regexp_matches(replace(upper(sym), '/', ''), '^[A-Z0-9]+$')
+                THEN replace(upper(sym), '/', '') || '/USD' ELSE upper(sym) END AS twelve,
+           replace(sym, '-USD', 'USDT') AS binance, replace(sym, '.', '-') AS polygon,
+           CASE WHEN ends_with(upper(replace(sym, '-USD', 'USDT')), 'USDT')
+                  OR ends_with(upper(replace(sym, '-USD', 'USDT')), 'BUSD') THEN 'binance' ELSE 'polygon' END AS route
+    FROM a""")
+def txt19(t):
+    """TXT-19: symbol spellings and routing for every asset (forex/crypto/class-share variants)."""
+    sym = (F.when(F.col("asset_type") == "forex", F.concat(F.lit("EUR"), F.col("ticker"), F.lit("X")))
+           .when(F.col("asset_type") == "crypto", F.concat(F.col("ticker"), F.lit("-USD")))
+           .otherwise(F.concat(F.col("ticker"), F.lit(".B"))))
+    a = t.asset.withColumn("sym", sym)
+    return a.select("asset_id", "sym", T.forex_symbol("sym").alias("forex"), T.crypto_symbol("sym").alias("crypto"),
+                    T.twelve_symbol("sym", "asset_type").alias("twelve"),
+                    T.provider_symbol("sym", "binance").alias("binance"),
+                    T.provider_symbol("sym", "polygon").alias("polygon"),
+                    T.route_provider(T.provider_symbol("sym", "binance")).alias("route"))
+
+
+@plan("flt06_filter_low_signal", oracle="""
+    SELECT count(*) AS kept FROM events
+    WHERE event_id % 53 <> 0 AND (CAST(json_extract_string(props, '$.k') AS INTEGER) % 12 + 1) >= 2
+      AND event_id % 41 <> 0 AND event_id % 11 <> 0 AND event_id % 37 <> 0""")
+def flt06(t):
+    """FLT-06: low-signal filter over the landed GDELT rows (articles >= 2, code, actor, 8-digit date)."""
+    from eventlens.operators.filters import filter_low_signal
+    from eventlens.plans.source_plans import _land_gdelt
+    from eventlens.sources.events import read_gdelt
+    return filter_low_signal(read_gdelt(t.spark, _land_gdelt(t))).agg(F.count(F.lit(1)).alias("kept"))
+
+
+@plan("flt07_language_gate", oracle=f"""
+    SELECT article_id FROM (
+      SELECT article_id, CASE WHEN nchar = 0 OR ntok = 0 THEN 'unknown' ELSE 'en' END AS code,
+             CASE WHEN nchar = 0 OR ntok = 0 THEN 0.0
+                  WHEN ratio >= 0.95 AND ntok >= 3 THEN greatest(c, 0.82) ELSE c END AS conf
+      FROM (SELECT *, least(0.92, 0.52 + stop / greatest(1, ntok) * 1.6 + ratio * 0.18) AS c
+            FROM (SELECT article_id, length({NORM}) AS nchar, len({_TOKS}) AS ntok,
+                         len(list_filter({_TOKS}, lambda x: x IN {inlist(L.ENGLISH_STOPWORDS)})) AS stop,
+                         {_ASCII_RATIO} AS ratio FROM f_article)))
+    WHERE code IN ('en') AND conf >= 0.80""")
+def flt07(t):
+    """FLT-07: articles passing the language gate (allowed 'en', confidence >= 0.80)."""
+    return FL.language_gate(FL.annotate_articles(t.article)).select("article_id")
+
+
+@plan("flt08_relevance_gate", oracle=f"""
+    SELECT article_id, 'relevant' AS relevance_label FROM (
+      SELECT article_id, CAST({_relevance_sql()} AS DOUBLE) AS s FROM f_article) WHERE s >= 0.58""")
+def flt08(t):
+    """FLT-08: articles at or above the 0.58 relevance threshold, labelled."""
+    a = _prep(t).select("article_id", T.relevance_score(norm="_t_norm", nlow="_t_nlow", source="source")
+                        .alias("relevance_score"))
+    return FL.relevance_gate(a).select("article_id", "relevance_label")
