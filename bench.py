@@ -4,7 +4,9 @@ Runs each query's full plan at $BENCH_SF_DIR (default /root/testdata/sf0.1)
 on local[$BENCH_CPUS] and prints one JSON line:
 {"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}
 Every query is executed end to end into the no-op sink (all rows produced,
-nothing collected to the driver). BENCH_ALL=1 runs every registered query.
+nothing collected to the driver). Each query runs twice: ``queries`` holds
+the second (warm: JIT-compiled code paths, parquet footers cached) time,
+``cold`` the first. BENCH_ALL=1 runs every registered query.
 """
 from __future__ import annotations
 
@@ -38,7 +40,7 @@ def main() -> None:
     from eventlens.session import get_session
     from eventlens.plans import REGISTRY
 
-    spark = get_session(f"local[{cpus}]", int(cpus) * 2)
+    spark = get_session(f"local[{cpus}]", int(cpus))
     spark.sparkContext.setLogLevel("ERROR")
     names = list(REGISTRY) if os.environ.get("BENCH_ALL") else [n for n in HEADLINE if n in REGISTRY]
     extra = os.environ.get("BENCH_EXTRA")
@@ -47,14 +49,17 @@ def main() -> None:
     # Warm-up: JVM, parquet footers, codegen caches.
     REGISTRY[names[0]].fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
+    cold: dict[str, float] = {}
     for name in names:
-        t0 = time.time()
-        REGISTRY[name].fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+        for rep in range(2):
+            t0 = time.time()
+            REGISTRY[name].fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            (cold if rep == 0 else times)[name] = round(time.time() - t0, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_total_sec", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir,
-                      "cpus": int(cpus)}))
+                      "unit": "sec", "queries": times, "cold": cold,
+                      "cold_total_sec": round(sum(cold.values()), 3),
+                      "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus)}))
     spark.stop()
 
 

@@ -18,7 +18,7 @@ def _bucket(ts: Column, bucket_seconds: int) -> Column:
 def asof_price(targets: DataFrame, prices: DataFrame, *, by: str | Sequence[str] = "asset_id",
                at: str = "target_at", ts: str = "ts", value: str = "close",
                direction: str = "nearest", out: str = "price",
-               bucket_seconds: int = DAY) -> DataFrame:
+               bucket_seconds: int = 7 * DAY) -> DataFrame:
     """MKT-01: price of the first bar at or after ``at``, else the last bar at
     or before it (``direction='nearest'``); ``'forward'`` and ``'backward'``
     take one side only. Every target row is kept; no price gives NULL.
@@ -29,6 +29,8 @@ def asof_price(targets: DataFrame, prices: DataFrame, *, by: str | Sequence[str]
     summary (first/last value per bucket, one row per bucket) carries the
     neighbour values across empty stretches. A hot key is therefore spread over
     its time buckets, and the carry table grows with time span, not rows.
+    ``bucket_seconds`` (default 7 days, right for daily bars) should shrink for
+    dense intraday data so that one (key, bucket) stays a small task.
     """
     keys = [by] if isinstance(by, str) else list(by)
     tcols = targets.columns
