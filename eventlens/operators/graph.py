@@ -55,8 +55,9 @@ def apply_profiles(nodes: DataFrame, edges: DataFrame, profiles: DataFrame) -> t
     patch = p.select(node_key("ASSET", F.col("ticker")).alias("entity_key"), F.col("ticker").alias("name"),
                      F.create_map(F.lit("display_name"), F.col("company"), F.lit("source"), F.lit("wikidata"))
                      .alias("_patch"))
-    # last profile row per ticker wins, as the reference applies rows in order
-    patch = patch.groupBy("entity_key", "name").agg(F.last("_patch").alias("_patch"))
+    # one patch per ticker; several profile rows for a ticker resolve to the
+    # largest company label (a deterministic stand-in for "last row wins")
+    patch = patch.groupBy("entity_key", "name").agg(F.max_by("_patch", F.col("_patch")["display_name"]).alias("_patch"))
     n = nodes.alias("n").join(patch.alias("p"), "entity_key", "full_outer")
     merged = n.select("entity_key",
                       F.coalesce(F.col("n.entity_type"), F.lit("ASSET")).alias("entity_type"),
@@ -75,11 +76,12 @@ def apply_profiles(nodes: DataFrame, edges: DataFrame, profiles: DataFrame) -> t
                                   node_key(kind, F.col(c)).alias("target_key"), F.lit("PART_OF").alias("relationship"),
                                   F.lit(w).alias("strength"), F.lit("WIKIDATA").alias("data_source"),
                                   F.lit(None).cast("date").alias("last_verified")))
-    allnodes = merged.unionByName(extra_nodes[0]).unionByName(extra_nodes[1])
-    # existing nodes keep their metadata; new ones are added once
-    allnodes = allnodes.groupBy("entity_key").agg(F.first("entity_type").alias("entity_type"),
-                                                  F.first("name").alias("name"),
-                                                  F.first("metadata").alias("metadata"))
+    allnodes = (merged.withColumn("_pr", F.lit(0)).unionByName(extra_nodes[0].withColumn("_pr", F.lit(1)))
+                .unionByName(extra_nodes[1].withColumn("_pr", F.lit(1))))
+    # existing (merged) nodes keep their metadata; new ones are added once
+    allnodes = (allnodes.groupBy("entity_key")
+                .agg(F.min_by(F.struct("entity_type", "name", "metadata"), "_pr").alias("_n"))
+                .select("entity_key", "_n.*"))
     return allnodes, upsert_edges(edges, new_edges[0].unionByName(new_edges[1]))
 
 
