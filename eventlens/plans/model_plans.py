@@ -25,13 +25,42 @@ def _klines(t):
     return t.kline
 
 
-@plan("fea10_candle_features")
+_CANDLE_SQL = """
+    WITH k0 AS (
+      SELECT *, close / lag(close, 1) OVER w - 1 AS ret_1, close / lag(close, 3) OVER w - 1 AS ret_3,
+             close / lag(close, 6) OVER w - 1 AS ret_6, close / lag(close, 24) OVER w - 1 AS ret_24
+      FROM f_kline WINDOW w AS (PARTITION BY symbol ORDER BY open_time)),
+    k1 AS (
+      SELECT *,
+        CASE WHEN count(ret_1) OVER w6 = 6 THEN stddev_samp(ret_1) OVER w6 END AS vol_6,
+        CASE WHEN count(ret_1) OVER w24 = 24 THEN stddev_samp(ret_1) OVER w24 END AS vol_24,
+        (high - low) / nullif(close, 0) AS range_pct, (close - open) / nullif(open, 0) AS body_pct,
+        (volume - CASE WHEN count(volume) OVER w24 = 24 THEN avg(volume) OVER w24 END)
+          / nullif(CASE WHEN count(volume) OVER w24 = 24 THEN stddev_samp(volume) OVER w24 END, 0) AS volume_z24,
+        ln(1 + greatest(CAST(num_trades AS DOUBLE), 0.0)) AS num_trades_log,
+        greatest(0.0, least(1.0, taker_buy_volume / nullif(volume, 0))) AS taker_buy_ratio,
+        sin(2 * pi() * hour(open_time) / 24.0) AS hour_sin, cos(2 * pi() * hour(open_time) / 24.0) AS hour_cos,
+        sin(2 * pi() * (isodow(open_time) - 1) / 7.0) AS dow_sin, cos(2 * pi() * (isodow(open_time) - 1) / 7.0) AS dow_cos
+      FROM k0
+      WINDOW w6 AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 5 PRECEDING AND CURRENT ROW),
+             w24 AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))"""
+
+
+@plan("fea10_candle_features", oracle=_CANDLE_SQL + " SELECT * FROM k1")
 def fea10(t):
     """FEA-10: candle features of the hourly klines."""
     return X.candle_features(_klines(t))
 
 
-@plan("fea11_candle_training")
+@plan("fea11_candle_training", oracle=_CANDLE_SQL + """
+    SELECT symbol, open_time, ret_1, ret_3, ret_6, ret_24, vol_6, vol_24, range_pct, body_pct, volume_z24,
+           num_trades_log, taker_buy_ratio, hour_sin, hour_cos, dow_sin, dow_cos, future_ret_1h,
+           CASE WHEN future_ret_1h > 0.001 THEN 'up' WHEN future_ret_1h < -0.001 THEN 'down' ELSE 'flat' END AS label
+    FROM (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY open_time) / close - 1.0 AS future_ret_1h FROM k1)
+    WHERE ret_1 IS NOT NULL AND ret_3 IS NOT NULL AND ret_6 IS NOT NULL AND ret_24 IS NOT NULL
+      AND vol_6 IS NOT NULL AND vol_24 IS NOT NULL AND range_pct IS NOT NULL AND body_pct IS NOT NULL
+      AND volume_z24 IS NOT NULL AND num_trades_log IS NOT NULL AND taker_buy_ratio IS NOT NULL
+      AND future_ret_1h IS NOT NULL""")
 def fea11(t):
     """FEA-11: labelled candle rows (next-bar return at +-0.001)."""
     return X.candle_training(_klines(t)).select("symbol", "open_time", *X.CANDLE_FEATURES, "future_ret_1h", "label")

@@ -178,7 +178,33 @@ def _annotated(t):
     return FL.annotate_articles(t.article)
 
 
-@plan("agg02_news_heatmap")
+def _news_heatmap_sql() -> str:
+    from eventlens.plans.text_plans import (_ASCII_RATIO, _TOKS, LOW, NORM, _countries_sql, _relevance_sql,
+                                            _severity_sql)
+    from eventlens.plans.text_sql import best_group
+    lang = (f"CASE WHEN length({NORM}) = 0 OR len({_TOKS}) = 0 THEN 0.0 "
+            f"WHEN {_ASCII_RATIO} >= 0.95 AND len({_TOKS}) >= 3 THEN greatest(least(0.92, 0.52 + "
+            f"len(list_filter({_TOKS}, lambda x: x IN {inlist(L.ENGLISH_STOPWORDS)})) / greatest(1, len({_TOKS})) * 1.6"
+            f" + {_ASCII_RATIO} * 0.18), 0.82) ELSE least(0.92, 0.52 + "
+            f"len(list_filter({_TOKS}, lambda x: x IN {inlist(L.ENGLISH_STOPWORDS)})) / greatest(1, len({_TOKS})) * 1.6"
+            f" + {_ASCII_RATIO} * 0.18) END")
+    return f"""
+    WITH a AS (
+      SELECT *, {_countries_sql()} AS countries, {_severity_sql()} AS sev,
+             coalesce(nullif(rel, 0), nullif(lc, 0), 0.62) AS conf,
+             CASE WHEN category = 'conflict' THEN 1.0 ELSE 0.0 END AS cf
+      FROM (SELECT *, CAST({_relevance_sql()} AS DOUBLE) AS rel, CAST({lang} AS DOUBLE) AS lc,
+                   coalesce({best_group(LOW, L.NEWS_CATEGORY_KEYWORDS)}, 'general') AS category
+            FROM f_article
+            WHERE published_at IS NOT NULL AND published_at >= TIMESTAMP '{ARTICLE_AS_OF}' - INTERVAL 60 DAY)),
+    x AS (SELECT unnest(countries) AS country, sev, conf, cf FROM a),
+    g AS (SELECT country, count(*) AS event_count, avg(sev) AS avg_severity, avg(conf) AS avg_confidence,
+                 coalesce(avg(cf), 0.0) AS conflict_share FROM x GROUP BY 1)
+    SELECT g.*, c.latitude, c.longitude FROM g LEFT JOIN f_coords c USING (country)
+    ORDER BY event_count DESC, conflict_share DESC, avg_severity DESC, country LIMIT 80"""
+
+
+@plan("agg02_news_heatmap", oracle=_news_heatmap_sql(), extra_ctes=COORDS_CTE)
 def agg02(t):
     """AGG-02: article-based country heatmap over the last 60 days."""
     return S.news_heatmap(_annotated(t), ARTICLE_AS_OF, days=60)
@@ -377,3 +403,4 @@ def alr02(t):
 def alr03(t):
     """ALR-03: every alert with its optional asset."""
     return AL.list_alerts(t.alert, t.asset)
+
