@@ -66,7 +66,19 @@ def fea11(t):
     return X.candle_training(_klines(t)).select("symbol", "open_time", *X.CANDLE_FEATURES, "future_ret_1h", "label")
 
 
-@plan("fea11_candle_latest")
+@plan("fea11_candle_latest", oracle=_CANDLE_SQL + """
+    SELECT symbol, r.* FROM (
+      SELECT symbol, arg_max({'open_time': open_time, 'ret_1': ret_1, 'ret_3': ret_3, 'ret_6': ret_6,
+                              'ret_24': ret_24, 'vol_6': vol_6, 'vol_24': vol_24, 'range_pct': range_pct,
+                              'body_pct': body_pct, 'volume_z24': volume_z24, 'num_trades_log': num_trades_log,
+                              'taker_buy_ratio': taker_buy_ratio, 'hour_sin': hour_sin, 'hour_cos': hour_cos,
+                              'dow_sin': dow_sin, 'dow_cos': dow_cos}, open_time) AS r
+      FROM k1
+      WHERE ret_1 IS NOT NULL AND ret_3 IS NOT NULL AND ret_6 IS NOT NULL AND ret_24 IS NOT NULL
+        AND vol_6 IS NOT NULL AND vol_24 IS NOT NULL AND range_pct IS NOT NULL AND body_pct IS NOT NULL
+        AND volume_z24 IS NOT NULL AND num_trades_log IS NOT NULL AND taker_buy_ratio IS NOT NULL
+        AND symbol IN (SELECT symbol FROM f_kline GROUP BY 1 HAVING count(*) >= 48)
+      GROUP BY symbol)""")
 def fea11b(t):
     """FEA-11: latest complete candle feature row per symbol."""
     return X.candle_latest(_klines(t))

@@ -74,7 +74,43 @@ def prd08(t):
     return SG.fuse_fixed(d).select("symbol", "date", "chronos_direction", "final_change_pct", "final_confidence")
 
 
-@plan("prd09_fuse_regime")
+_REGIME_SQL = """
+    WITH i AS (
+      SELECT symbol, date,
+             CASE WHEN market_regime = 1 THEN 'risk-on' WHEN bear_regime = 1 THEN 'risk-off' ELSE 'neutral' END AS regime,
+             CASE WHEN return_1d > 0 THEN 'up' WHEN return_1d < 0 THEN 'down' ELSE 'neutral' END AS xd,
+             coalesce(vol_rank, 0.5) AS xc,
+             CASE WHEN sentiment_momentum > 0 THEN 'up' WHEN sentiment_momentum < 0 THEN 'down' ELSE 'neutral' END AS ld,
+             coalesce(vol_rank / 2, 0.5) AS lc, 100.0 * exp(coalesce(future_return, 0.0)) AS med
+      FROM o_label),
+    c AS (
+      SELECT *,
+             greatest(-10.0, least(10.0, CASE xd WHEN 'up' THEN 3.0 * xc WHEN 'down' THEN -3.0 * xc ELSE 0.0 END)) AS xch,
+             greatest(-10.0, least(10.0, CASE ld WHEN 'up' THEN 5.0 * lc WHEN 'down' THEN -5.0 * lc ELSE 0.0 END)) AS lch,
+             greatest(-10.0, least(10.0, (med - 100.0) / 100.0 * 100.0)) AS cch,
+             greatest(0.3, least(1.0, 1.0 - abs(101.5 - 99.0) / greatest(med, 1e-6))) AS cc
+      FROM i),
+    w AS (
+      SELECT *,
+             CASE WHEN cc < 0.05 THEN 0.0 WHEN regime = 'risk-on' THEN 0.6 WHEN regime = 'risk-off' THEN 0.3 ELSE 0.4 END AS wc,
+             CASE WHEN xc < 0.05 THEN 0.0 WHEN regime = 'risk-on' THEN 0.3 WHEN regime = 'risk-off' THEN 0.1 ELSE 0.4 END AS wx,
+             CASE WHEN lc < 0.05 THEN 0.0 WHEN regime = 'risk-on' THEN 0.1 WHEN regime = 'risk-off' THEN 0.6 ELSE 0.2 END AS wl
+      FROM c),
+    f AS (
+      SELECT *, greatest(-15.0, least(15.0,
+               (cch * cc * wc + xch * xc * wx + lch * lc * wl) / (cc * wc + xc * wx + lc * wl + 1e-6)
+               - CASE WHEN ld = 'down' THEN 0.5 * 0.6 ELSE 0.0 END + CASE WHEN ld = 'up' THEN 0.5 * 0.6 ELSE 0.0 END))
+               AS ch,
+             abs(sign(cch) + sign(xch) + sign(lch)) / 3.0 AS agree
+      FROM w)
+    SELECT symbol, date, ch AS final_change_pct,
+           CASE WHEN ch > 0.5 THEN 'up' WHEN ch < -0.5 THEN 'down' ELSE 'neutral' END AS final_direction,
+           (cc + xc + lc) / 3.0 * agree AS final_confidence, ch - lc * 4.0 AS expected_min_pct,
+           ch + lc * 4.0 AS expected_max_pct
+    FROM f"""
+
+
+@splan("prd09_fuse_regime", _REGIME_SQL)
 def prd09(t):
     """PRD-09: regime-weighted fusion of stand-in model columns."""
     d = _scored(t)
