@@ -151,13 +151,32 @@ def prd14b(t):
     return C.apply_reviews(t.event, dec)[1]
 
 
-@plan("prd15_corpora_relevance")
+_EX_SQL = """
+    WITH ev AS (SELECT *, CASE WHEN status = 'human_approved' THEN 'approve' ELSE 'reject' END AS review_action
+                FROM f_event WHERE status IN ('human_approved', 'rejected')),
+         rev AS (SELECT event_id, action AS review_action FROM f_review_action GROUP BY 1, 2),
+         ex AS (SELECT ev.event_id, l.article_id, ev.status AS label_status, ev.created_at,
+                       trim(array_to_string(list_filter([trim(coalesce(a.title, '')), trim(coalesce(a.content, ''))],
+                                                        lambda x: x <> ''), chr(10))) AS text
+                FROM ev JOIN rev USING (event_id, review_action) JOIN f_event_article l USING (event_id)
+                JOIN f_article a ON a.article_id = l.article_id),
+         dirs AS (SELECT event_id, list(impact_direction) AS d FROM f_impact GROUP BY 1)
+    """
+
+
+@plan("prd15_corpora_relevance", oracle=_EX_SQL + """
+    SELECT event_id || '-' || article_id AS id, text, CAST(label_status = 'human_approved' AS INTEGER) AS label,
+           created_at FROM ex WHERE text <> ''""")
 def prd15(t):
     """PRD-15: relevance corpus from the training examples."""
     return C.corpora_from_examples(_examples(t))["relevance"]
 
 
-@plan("prd15_corpora_sentiment")
+@plan("prd15_corpora_sentiment", oracle=_EX_SQL + """
+    SELECT event_id || '-' || article_id AS id, text,
+           CASE WHEN list_contains(d, 'negative') THEN 'negative' WHEN list_contains(d, 'positive') THEN 'positive'
+                ELSE 'neutral' END AS label, created_at
+    FROM ex JOIN dirs USING (event_id) WHERE text <> '' AND len(d) > 0""")
 def prd15b(t):
     """PRD-15: sentiment corpus from the examples' impact directions."""
     return C.corpora_from_examples(_examples(t))["sentiment"]
