@@ -278,7 +278,11 @@ def snk03(t):
     return t.spark.read.text(path + "/dataset_meta")
 
 
-@plan("src12_fundamentals")
+@plan("src12_fundamentals", oracle="""
+    SELECT 'S' || s_suppkey AS ticker, s_acctbal * 1e6 AS market_cap, CAST(s_suppkey % 40 + 5 AS DOUBLE) AS pe_ratio,
+           s_acctbal / 1000 AS eps, CAST(NULL AS DOUBLE) AS dividend_yield, s_acctbal AS week_52_high,
+           s_acctbal / 2 AS week_52_low
+    FROM supplier""")
 def src12(t):
     """SRC-12: fundamentals payloads built from supplier balances and parsed."""
     s = t.raw("supplier")
@@ -293,7 +297,16 @@ def src12(t):
     return SP.normalize_fundamentals(p)
 
 
-@plan("src14_latest_filing")
+@plan("src14_latest_filing", oracle="""
+    WITH r AS (SELECT o_custkey % 50 AS cik, date_trunc('year', o_orderdate) AS y, o_orderdate AS d,
+                      ['8-K', '10-K', '10-Q', '20-F'][o_orderkey % 4 + 1] AS form,
+                      '0000' || o_orderkey || '-24' AS acc, 'doc' || o_orderkey || '.htm' AS doc FROM orders),
+         g AS (SELECT cik, y, arg_min({'acc': acc, 'doc': doc, 'd': d}, (-epoch_us(d), form, acc, doc))
+                        FILTER (WHERE form IN ('10-K', '20-F')) AS f
+               FROM r GROUP BY 1, 2)
+    SELECT cik, 'https://www.sec.gov/Archives/edgar/data/' || cik || '/' || replace(f.acc, '-', '') || '/' || f.doc AS url,
+           CAST(f.d AS DATE) AS filing_date
+    FROM g""")
 def src14(t):
     """SRC-14: newest 10-K/20-F per company from parallel filing arrays built from orders."""
     o = t.raw("orders")
