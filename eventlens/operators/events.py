@@ -302,37 +302,43 @@ def backfill_entities(events: DataFrame, links: DataFrame, articles: DataFrame,
                       edges: DataFrame, impacts: DataFrame | None = None, n: int | None = 250,
                       corpus=None) -> dict[str, DataFrame]:
     """EVT-06: re-map the newest ``n`` events from the text of all their
-    articles (joined newest first), with the fixed 0.7 relevance / 0.6
-    strength of the reference, the base direction of the event type and the
-    event confidence (0 or NULL -> 0.6). Returns tags and new impacts."""
+    articles, with the fixed 0.7 relevance / 0.6 strength of the reference,
+    the base direction of the event type and the event confidence (0 or NULL
+    -> 0.6). Returns tags and new impacts.
+
+    The reference concatenates every article of an event into one string.
+    Here mentions, tags and term counts are computed per article and merged
+    per event (sets and summed counts), which gives the same result without
+    building one unbounded string per event (only a phrase spanning the
+    boundary of two articles is not matched)."""
     ev = events
     if n is not None:
         ev = ev.orderBy(F.col("created_at").desc(), F.col("event_id").desc()).limit(n)
-    art = articles.select("article_id", "published_at", T.article_text("title", "content").alias("_txt"))
-    la = links.select("event_id", "article_id").join(ev.select("event_id"), "event_id", "left_semi").join(art, "article_id")
-    # Newest first; NULL times first (PostgreSQL DESC), ties by id.
-    combined = (la.groupBy("event_id")
-                .agg(F.array_join(F.transform(
-                    F.array_sort(F.collect_list(F.struct(
-                        F.when(F.col("published_at").isNull(), 0).otherwise(1).alias("_nn"),
-                        (F.unix_micros("published_at") * -1).alias("_t"), F.col("article_id").alias("_id"),
-                        F.col("_txt").alias("_x")))), lambda s: s["_x"]), "\n").alias("text")))
-    docs = combined.join(ev.select("event_id", "event_type", "confidence_score"), "event_id")
+    art = articles.select("article_id", T.article_text("title", "content").alias("text"))
+    la = (links.select("event_id", "article_id").join(ev.select("event_id", "event_type", "confidence_score"),
+                                                      "event_id")
+          .join(art, "article_id"))
     aliases = MP.asset_aliases(assets)
+    per_art = MP.extract_mentions(la.select("article_id", "text").distinct(), aliases, key="article_id")
+    l1 = per_art.join(la.select("article_id", "event_id").distinct(), "article_id").select("event_id", "ticker").distinct()
+    atags = MP.entity_tags(la.select("article_id", "text").distinct(), per_art, assets, key="article_id")
+    w = Window.partitionBy("event_id").orderBy("tag")
+    tags = (atags.join(la.select("article_id", "event_id").distinct(), "article_id")
+            .select("event_id", F.explode("tags").alias("tag")).distinct()
+            .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= L.MAX_TAGS).drop("_rn"))
     key = "event_id"
-    l1 = MP.extract_mentions(docs.select(key, "text"), aliases, key=key)
-    tags = MP.entity_tags(docs.select(key, "text"), l1, assets, key=key)
+    docs = ev.select(key, "event_type", "confidence_score")
     rel = docs.select(key, F.lit(0.7).alias("relevance"))
     l2 = MP.expand_graph(l1, edges, key=key)
     l3 = MP.expand_sector(l1, assets, rel, key=key)
     layers = {1: l1, 2: l2, 3: l3}
     if corpus is not None:
-        layers[4] = MP.expand_similar(docs.select(key, "text", "event_type"), corpus, l1, key=key)
+        layers[4] = MP.expand_similar(la.select(key, "text", "event_type"), corpus, l1, key=key)
     conf = F.coalesce(F.when(F.col("confidence_score") != 0, F.col("confidence_score")), F.lit(0.6))
     params = docs.select(key, conf.alias("confidence"), F.lit(0.7).alias("relevance"),
                          F.lit(0.6).alias("impact_strength"), base_direction("event_type").alias("impact_direction"))
     imps = MP.assemble_impacts(layers, params, assets, impacts, key=key)
-    return {"tags": tags.select(key, F.explode("tags").alias("tag")), "impacts": imps}
+    return {"tags": tags, "impacts": imps}
 
 
 # ---------------------------------------------------------------------------

@@ -247,7 +247,9 @@ def expand_similar(docs: DataFrame, corpus: tuple[DataFrame, DataFrame], direct:
     The dot product is an equi-join on (event type, token) with the broadcast
     corpus and a grouped sum, so frequent tokens cost one hash probe each."""
     vec, prior = corpus
-    dv = tf_vectors(docs, key, F.col(text)).join(docs.select(key, F.col(event_type).alias("c_type")), key)
+    # ``docs`` may hold several rows per key (e.g. the articles of one event):
+    # their token counts add up, which is the vector of the joined text.
+    dv = tf_vectors(docs, key, F.col(text)).join(docs.select(key, F.col(event_type).alias("c_type")).distinct(), key)
     sim = (dv.join(vec.withColumnRenamed("weight", "cw"), ["c_type", "token"])
            .groupBy(key, "c_event").agg(F.sum(F.col("weight") * F.col("cw")).alias("sim"))
            .withColumn("sim", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("sim"))))
