@@ -361,10 +361,15 @@ def cross_class_pairs(cards: DataFrame, assets: DataFrame, top: int = 5, samples
                                                            F.explode("affected_tickers").alias("ticker"))
     cls = (e.join(a, "ticker").groupBy("event_id", "title")
            .agg(F.array_sort(F.collect_set("cls")).alias("_c")))
-    k = cls.where(F.size("_c") >= 2).select(F.array_join("_c", "<->").alias("pair"), "title")
-    g = k.groupBy("pair").agg(F.count_distinct("title").alias("event_count"),
-                              F.slice(F.array_sort(F.collect_set("title")), 1, samples).alias("events"))
-    return g.orderBy(F.desc("event_count"), "pair").limit(top)
+    k = cls.where(F.size("_c") >= 2).select(F.array_join("_c", "<->").alias("pair"), "title").distinct()
+    cnt = k.groupBy("pair").agg(F.count(F.lit(1)).alias("event_count"))
+    # the 3 sample titles per pair come from a per-group top-k (partial
+    # WindowGroupLimit), so no pair ever collects all of its titles
+    w = Window.partitionBy("pair").orderBy("title")
+    smp = (k.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= samples)
+           .groupBy("pair").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "title"))),
+                                            lambda x: x["title"]).alias("events")))
+    return cnt.join(smp, "pair").orderBy(F.desc("event_count"), "pair").limit(top)
 
 
 def quota_usage(pred_log: DataFrame, boards: DataFrame) -> DataFrame:

@@ -144,12 +144,12 @@ def src05(t):
            sha256(title || '::' || coalesce(left(content, 200), '')) AS content_hash
     FROM f_article WHERE published_at IS NOT NULL""")
 def src07(t):
-    """SRC-07: NewsAPI payloads (one per article day) built from the articles and parsed back."""
+    """SRC-07: NewsAPI payloads (one per publication minute) built from the articles and parsed back."""
     a = t.article.where(F.col("published_at").isNotNull())
     art = F.struct(F.col("title"), F.substring("content", 1, 200).alias("description"), F.col("content"),
                    F.col("url"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"),
                    F.struct(F.col("source").alias("name")).alias("source"))
-    payloads = (a.groupBy(F.to_date("published_at").alias("day"))
+    payloads = (a.groupBy(F.date_trunc("minute", "published_at").alias("minute"))
                 .agg(F.to_json(F.struct(F.collect_list(art).alias("articles"))).alias("payload")))
     return SP.normalize_news(payloads, "newsapi")
 
@@ -227,13 +227,13 @@ def src11(t):
 @plan("src13_profiles", oracle="""
     SELECT upper(ticker) AS ticker, company, industry, country FROM f_profile""")
 def src13(t):
-    """SRC-13: knowledge-base result bindings built from the profile table (one payload per region) and flattened."""
+    """SRC-13: knowledge-base result bindings built from the profile table (one payload per ticker) and flattened."""
     p = t.profile
     b = F.struct(F.struct(F.col("ticker").alias("value")).alias("ticker"),
                  F.struct(F.col("company").alias("value")).alias("companyLabel"),
                  F.struct(F.col("industry").alias("value")).alias("industryLabel"),
                  F.struct(F.col("country").alias("value")).alias("countryLabel"))
-    payload = (p.groupBy(F.substring("ticker", -1, 1).alias("g"))
+    payload = (p.groupBy("ticker")
                .agg(F.to_json(F.struct(F.struct(F.collect_list(b).alias("bindings")).alias("results"))).alias("payload")))
     return SP.normalize_profiles(payload)
 
