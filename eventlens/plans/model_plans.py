@@ -15,7 +15,50 @@ from eventlens.sources import events as SE
 from eventlens.sources import payloads as SP
 
 
-@plan("fea09_latest_features")
+@plan("fea09_latest_features", oracle=f"""
+    WITH last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY ts DESC) AS rn FROM f_bar)
+                  WHERE rn <= 30),
+         daily AS (SELECT asset_id, CAST(ts AS DATE) AS date, arg_max(close, ts) AS close FROM last GROUP BY 1, 2),
+         m AS (SELECT *, coalesce(ln(close / lag(close, 7) OVER w), 0.0) AS return_7d,
+                      coalesce(ln(close / lag(close, 1) OVER w), 0.0) AS return_1d,
+                      close / lag(close, 1) OVER w - 1 AS _pct
+               FROM daily WINDOW w AS (PARTITION BY asset_id ORDER BY date)),
+         m2 AS (SELECT *, coalesce(stddev_samp(_pct) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 0.0) AS volatility_7d,
+                       coalesce(avg(close) OVER (w ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), 0.0) AS ma_14
+                FROM m WINDOW w AS (PARTITION BY asset_id ORDER BY date)),
+         market AS (SELECT asset_id, arg_max({{'return_7d': return_7d, 'return_1d': return_1d,
+                                               'volatility_7d': volatility_7d, 'ma_14': ma_14}}, date) AS r
+                    FROM m2 GROUP BY 1),
+         ev AS (SELECT i.asset_id, CAST(e.published_at AS DATE) AS date,
+                       coalesce(CASE WHEN i.impact_strength <> 0 THEN i.impact_strength END, 0.0) AS s,
+                       coalesce(CASE WHEN e.goldstein <> 0 THEN e.goldstein END, 0.0) AS g
+                FROM f_impact i JOIN f_event e USING (event_id)
+                WHERE e.published_at >= TIMESTAMP '{EVENT_AS_OF}' - INTERVAL 14 DAY),
+         dly AS (SELECT asset_id, date, count(s) AS event_count, avg(s) AS avg_sentiment, max(abs(g)) AS max_abs_goldstein,
+                        max(abs(s)) AS max_abs_sentiment FROM ev GROUP BY 1, 2),
+         cal AS (SELECT a.asset_id, CAST(d AS DATE) AS date
+                 FROM (SELECT DISTINCT asset_id FROM dly) a,
+                      range(CAST(TIMESTAMP '{EVENT_AS_OF}' AS DATE) - 13, CAST(TIMESTAMP '{EVENT_AS_OF}' AS DATE) + 1,
+                            INTERVAL 1 DAY) t(d)),
+         d AS (SELECT c.asset_id, c.date, coalesce(x.event_count, 0) AS event_count,
+                      coalesce(x.avg_sentiment, 0.0) AS avg_sentiment, coalesce(x.max_abs_goldstein, 0.0) AS max_abs_goldstein,
+                      coalesce(x.max_abs_sentiment, 0.0) AS max_abs_sentiment
+               FROM cal c LEFT JOIN dly x USING (asset_id, date)),
+         d2 AS (SELECT *, coalesce(avg_sentiment - lag(avg_sentiment) OVER w, 0.0) AS sentiment_momentum,
+                       CAST(event_count > avg(event_count) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS INTEGER) AS event_spike,
+                       coalesce(lag(max_abs_sentiment, 1) OVER w, 0.0) AS max_sent_lag_1,
+                       coalesce(lag(max_abs_sentiment, 2) OVER w, 0.0) AS max_sent_lag_2
+                FROM d WINDOW w AS (PARTITION BY asset_id ORDER BY date)),
+         evf AS (SELECT * FROM d2 WHERE date = CAST(TIMESTAMP '{EVENT_AS_OF}' AS DATE))
+    SELECT m.asset_id, m.r.return_7d AS return_7d, m.r.return_1d AS return_1d, m.r.volatility_7d AS volatility_7d,
+           m.r.ma_14 AS ma_14, CAST(coalesce(e.event_count, 0) AS BIGINT) AS event_count,
+           coalesce(e.event_spike, 0) AS event_spike, coalesce(sign(e.sentiment_momentum), 0.0) AS sentiment_trend,
+           coalesce(e.max_abs_goldstein, 0.0) AS max_abs_goldstein, coalesce(e.max_sent_lag_1, 0.0) AS max_sent_lag_1,
+           coalesce(e.max_sent_lag_2, 0.0) AS max_sent_lag_2, coalesce(e.sentiment_momentum, 0.0) AS sentiment_momentum,
+           coalesce(e.sentiment_momentum, 0.0) * m.r.volatility_7d AS sentiment_x_volatility,
+           coalesce(e.event_count, 0) * m.r.return_1d AS event_x_return, 0.5 AS vol_rank,
+           TIMESTAMP '{EVENT_AS_OF}' AS ts
+    FROM market m LEFT JOIN evf e USING (asset_id)""")
 def fea09(t):
     """FEA-09: online feature row per asset at the end of the event history."""
     return X.latest_features(t.bar, t.event, t.impact, EVENT_AS_OF)
