@@ -10,7 +10,7 @@ from eventlens.operators import features as X
 from eventlens.operators import ml as ML
 from eventlens.plans.base import ARTICLE_AS_OF, EVENT_AS_OF, plan
 from eventlens.plans.feature_plans import _labelled
-from eventlens.plans.source_plans import _land_gdelt, _scratch
+from eventlens.plans.source_plans import _land_gdelt, _scratch, gdelt_full_sql
 from eventlens.sources import events as SE
 from eventlens.sources import payloads as SP
 
@@ -235,7 +235,16 @@ def prd16(t):
     return C.corpora_from_history(_history(t))["relevance"]
 
 
-@plan("prd16_weak_tags")
+@plan("prd16_weak_tags", oracle=gdelt_full_sql("""
+    SELECT canonical_id AS id, trim(array_to_string(list_filter([trim(title), trim(description)], lambda x: x <> ''),
+                                                    chr(10))) AS text,
+           list_distinct_ordered AS tags, published_at AS created_at
+    FROM (SELECT *, list_slice(list_filter(
+                      [c FOR c IN list_transform([country, location_name, actor1, actor2, event_type, sub_event_type],
+                                                 lambda x: left(regexp_replace(trim(coalesce(x, '')), '\s+', ' ', 'g'), 80))
+                       IF c <> ''], lambda x: true), 1, 14) AS raw_tags
+          FROM g) q, LATERAL (SELECT list_filter(raw_tags, lambda x, i: list_position(raw_tags, x) = i)
+                                AS list_distinct_ordered)"""))
 def prd16b(t):
     """PRD-16: weak-tag corpus from normalised history."""
     return C.corpora_from_history(_history(t))["weak_ner"]
@@ -251,7 +260,17 @@ def prd17(t):
                                               .otherwise(F.col("provider"))), t.article)
 
 
-@plan("prd18_weak_label_frame")
+@plan("prd18_weak_label_frame", oracle=gdelt_full_sql("""
+    SELECT text, label, lower(coalesce(event_type, 'unknown')) AS event_type, lower(coalesce(country, 'unknown')) AS country,
+           lower(coalesce(provider, 'unknown')) AS provider, sentiment_score, CAST(num_mentions AS DOUBLE) AS num_mentions,
+           CAST(num_articles AS DOUBLE) AS num_articles, CAST(num_sources AS DOUBLE) AS num_sources,
+           CAST(hour(CAST(published_at[1:10] AS TIMESTAMP)) AS INTEGER) AS published_hour,
+           CAST(isodow(CAST(published_at[1:10] AS TIMESTAMP)) - 1 AS INTEGER) AS published_dow
+    FROM (SELECT *, CASE WHEN sentiment_score >= 1.5 THEN 'up' WHEN sentiment_score <= -1.5 THEN 'down'
+                         WHEN sentiment_score IS NOT NULL THEN 'neutral' END AS label,
+                 trim(coalesce(title, '') || chr(10) || coalesce(description, '') || chr(10) || coalesce(actor1, '')
+                      || ' ' || coalesce(actor2, '')) AS text FROM g)
+    WHERE label IS NOT NULL AND length(text) > 0"""))
 def prd18(t):
     """PRD-18: weak-label training frame from normalised history (threshold 1.5)."""
     return C.weak_label_frame(_history(t), 1.5)

@@ -81,6 +81,47 @@ _GDELT_SQL = """
     FROM n WHERE d <> '' AND code <> ''"""
 
 
+_GDELT_FULL = """
+    WITH r AS (
+      SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, ts,
+             CASE WHEN event_id % 37 = 0 THEN '' ELSE strftime(ts, '%Y%m%d') END AS d,
+             lpad(CAST(event_id % 20 + 1 AS VARCHAR), 2, '0') AS root, value,
+             CASE WHEN event_id % 11 = 0 THEN '' ELSE 'USER' || user_id END AS a1,
+             CASE WHEN event_id % 2 = 0 THEN 'PEER' || (event_id % 13) ELSE '' END AS a2,
+             {countries}[user_id % 12 + 1] AS loc,
+             CASE WHEN event_id % 10 = 0 THEN 'https://www.reuters.com/world/' || event_id
+                  ELSE 'https://news' || (event_id % 9) || '.example.com/a/' || event_id END AS url
+      FROM events WHERE event_id % 53 <> 0),
+    n AS (
+      SELECT *, CASE WHEN event_id % 41 = 0 THEN '' ELSE root || '0' END AS code,
+             CASE WHEN event_id % 7 = 0 THEN 'C' || (user_id % 5) ELSE upper(loc)[1:2] END AS country,
+             CASE root {root_map} ELSE 'Economic Data' END AS etype
+      FROM r),
+    g AS (
+      SELECT sha1(array_to_string(list_filter([d[1:4] || '-' || d[5:6] || '-' || d[7:8], code, lower(url), lower(a1),
+                                               lower(a2), lower(country), lower(loc)], lambda x: x <> ''), '|'))
+               AS canonical_id, 'gdelt' AS provider,
+             d[1:4] || '-' || d[5:6] || '-' || d[7:8] || 'T00:00:00Z' AS published_at,
+             d[1:4] || '-' || d[5:6] || '-' || d[7:8] AS event_date,
+             CASE WHEN a1 <> '' AND a2 <> '' THEN a1 || ' / ' || a2 || ' - ' || etype
+                  WHEN a1 <> '' THEN a1 || ' - ' || etype WHEN a2 <> '' THEN a2 || ' - ' || etype
+                  ELSE etype || ' - ' || loc END AS title,
+             array_to_string(list_filter([a1, a2, loc], lambda x: x <> ''), ' / ') || ' mapped to ' || etype
+               || ' (' || k || ' mentions, ' || (k % 12 + 1) || ' articles)' AS description,
+             country, loc AS location_name, nullif(a1, '') AS actor1, nullif(a2, '') AS actor2, etype AS event_type,
+             code AS sub_event_type, CAST(k AS BIGINT) AS num_mentions, CAST(k % 5 AS BIGINT) AS num_sources,
+             CAST(k % 12 + 1 AS BIGINT) AS num_articles,
+             round(((k - 50) / 5 + (value - 245) / 50) / 2.0, 4) AS sentiment_score
+      FROM n WHERE d <> '' AND code <> '')
+    """
+
+
+def gdelt_full_sql(select: str) -> str:
+    root_map = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SE.GDELT_ROOT_EVENT_MAP.items())
+    countries = "[" + ", ".join(f"'{c}'" for c in FX.FIXTURE_COUNTRIES) + "]"
+    return _GDELT_FULL.format(root_map=root_map, countries=countries) + select
+
+
 def _gdelt_oracle():
     root_map = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SE.GDELT_ROOT_EVENT_MAP.items())
     countries = "[" + ", ".join(f"'{c}'" for c in FX.FIXTURE_COUNTRIES) + "]"
