@@ -241,7 +241,7 @@ def prd16(t):
            list_distinct_ordered AS tags, published_at AS created_at
     FROM (SELECT *, list_slice(list_filter(
                       [c FOR c IN list_transform([country, location_name, actor1, actor2, event_type, sub_event_type],
-                                                 lambda x: left(regexp_replace(trim(coalesce(x, '')), '\s+', ' ', 'g'), 80))
+                                                 lambda x: left(regexp_replace(trim(coalesce(x, '')), '\\s+', ' ', 'g'), 80))
                        IF c <> ''], lambda x: true), 1, 14) AS raw_tags
           FROM g) q, LATERAL (SELECT list_filter(raw_tags, lambda x, i: list_position(raw_tags, x) = i)
                                 AS list_distinct_ordered)"""))
