@@ -291,10 +291,12 @@ def build_events(articles: DataFrame, assets: DataFrame, edges: DataFrame, as_of
 # EVT-05 / EVT-06 backfills
 # ---------------------------------------------------------------------------
 
-def backfill_metadata(articles: DataFrame, as_of, n: int = 500) -> DataFrame:
-    """EVT-05: NLP columns for the oldest ``n`` articles never processed."""
-    todo = (articles.where(F.col("nlp_processed_at").isNull())
-            .orderBy(F.col("created_at").asc_nulls_first(), F.col("article_id")).limit(n))
+def backfill_metadata(articles: DataFrame, as_of, n: int | None = 500) -> DataFrame:
+    """EVT-05: NLP columns for the articles never processed (the oldest ``n``
+    as one batch, as the reference's task; None: all of them)."""
+    todo = articles.where(F.col("nlp_processed_at").isNull())
+    if n is not None:
+        todo = todo.orderBy(F.col("created_at").asc_nulls_first(), F.col("article_id")).limit(n)
     return FL.annotate_articles(todo.drop("nlp_processed_at")).withColumn("nlp_processed_at", ts_lit(as_of))
 
 

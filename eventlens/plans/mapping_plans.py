@@ -530,26 +530,25 @@ def _annot_sql() -> str:
             SELECT article_id, length({NORM}) AS nchar, len({_TOKS}) AS ntok,
                    len(list_filter({_TOKS}, lambda x: x IN {inlist(L.ENGLISH_STOPWORDS)})) AS stop,
                    {_ASCII_RATIO} AS ratio, CAST({_relevance_sql()} AS DOUBLE) AS rel, {sent} AS sent
-            FROM (SELECT * FROM f_article WHERE nlp_processed_at IS NULL
-                  ORDER BY created_at NULLS FIRST, article_id LIMIT 500)))"""
+            FROM (SELECT * FROM f_article WHERE nlp_processed_at IS NULL)))"""
 
 
 @mplan("evt05_backfill_metadata", _annot_sql())
 def evt05(t):
-    """EVT-05: NLP backfill of the oldest 500 unprocessed articles."""
-    b = EV.backfill_metadata(t.article, ARTICLE_AS_OF, 500)
+    """EVT-05: NLP backfill of every unprocessed article."""
+    b = EV.backfill_metadata(t.article, ARTICLE_AS_OF, None)
     return b.select("article_id", "language_code", "language_confidence", "relevance_score",
                     "relevance_label", "sentiment_score", "nlp_processed_at")
 
 
 @plan("evt06_backfill_entities")
 def evt06(t):
-    """EVT-06: re-mapped tags of the newest 250 events from all their articles."""
+    """EVT-06: re-mapped tags of every event from all its articles."""
     ev = t.event.withColumn("event_id", F.col("event_id"))
-    return EV.backfill_entities(ev, t.event_article, t.article, t.asset, t.kg_edge, t.impact, n=250)["tags"]
+    return EV.backfill_entities(ev, t.event_article, t.article, t.asset, t.kg_edge, t.impact, n=None)["tags"]
 
 
 @plan("evt06_backfill_impacts")
 def evt06b(t):
-    """EVT-06: new impacts of the newest 250 events from all their articles."""
-    return EV.backfill_entities(t.event, t.event_article, t.article, t.asset, t.kg_edge, t.impact, n=250)["impacts"]
+    """EVT-06: new impacts of every event from all its articles."""
+    return EV.backfill_entities(t.event, t.event_article, t.article, t.asset, t.kg_edge, t.impact, n=None)["impacts"]

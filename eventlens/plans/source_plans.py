@@ -250,15 +250,18 @@ def src10(t):
     return SP.normalize_quote(p, "polygon")
 
 
-@plan("src11_trades", oracle="SELECT upper(ticker) AS ticker, price, ts FROM f_trade")
+@plan("src11_trades", oracle="""
+    SELECT upper(ticker) AS ticker, price, ts FROM f_trade
+    UNION ALL SELECT upper(ticker), price, ts FROM f_trade""")
 def src11(t):
-    """SRC-11: trade messages (polygon arrays per ticker-minute, finnhub objects) parsed back."""
+    """SRC-11: every trade sent through both feeds (polygon arrays and finnhub
+    objects per ticker-minute) and parsed back: each trade appears twice."""
     tr = t.trade
     msg = F.struct(F.lit("T").alias("ev"), F.lower("ticker").alias("sym"), F.col("price").alias("p"),
                    F.unix_micros("ts").cast("string").alias("t"))
-    poly = (tr.where(F.col("seq") % 2 == 0).groupBy("ticker", F.date_trunc("minute", "ts"))
+    poly = (tr.groupBy("ticker", F.date_trunc("minute", "ts"))
             .agg(F.to_json(F.collect_list(msg)).alias("payload")))
-    fin = (tr.where(F.col("seq") % 2 == 1).groupBy("ticker", F.date_trunc("minute", "ts"))
+    fin = (tr.groupBy("ticker", F.date_trunc("minute", "ts"))
            .agg(F.to_json(F.struct(F.lit("trade").alias("type"), F.collect_list(F.struct(
                F.col("ticker").alias("s"), F.col("price").alias("p"),
                F.unix_micros("ts").cast("string").alias("t"))).alias("data"))).alias("payload")))
@@ -285,7 +288,7 @@ def src15(t):
     n = SE.normalize_gdelt(SE.read_gdelt(t.spark, _land_gdelt(t)))
     path = _scratch(t, "jsonl")
     good = n.select(F.to_json(F.struct(*n.columns)).alias("value"))
-    bad = t.raw("events").where(F.col("event_id") % 97 == 0).select(F.lit("{not json").alias("value"))
+    bad = t.raw("supplier").select(F.concat(F.lit("{not json "), F.col("s_name")).alias("value"))
     good.unionByName(bad).write.text(path)
     return SE.read_events_jsonl(t.spark, path)
 
