@@ -111,7 +111,8 @@ _GDELT_FULL = """
              country, loc AS location_name, nullif(a1, '') AS actor1, nullif(a2, '') AS actor2, etype AS event_type,
              code AS sub_event_type, CAST(k AS BIGINT) AS num_mentions, CAST(k % 5 AS BIGINT) AS num_sources,
              CAST(k % 12 + 1 AS BIGINT) AS num_articles,
-             round(((k - 50) / 5 + (value - 245) / 50) / 2.0, 4) AS sentiment_score
+             round(((k - 50) / 5 + (value - 245) / 50) / 2.0, 4) AS sentiment_score,
+             (k - 50) / 5 AS goldstein, contains(lower(url), 'reuters') AS is_reuters
       FROM n WHERE d <> '' AND code <> '')
     """
 
@@ -282,7 +283,9 @@ def src13(t):
     return SP.normalize_profiles(payload)
 
 
-@plan("src15_events_jsonl")
+@plan("src15_events_jsonl", oracle=gdelt_full_sql("""
+    SELECT CAST(event_date AS TIMESTAMP) AS published_at, sentiment_score AS sentiment, goldstein,
+           num_articles, num_mentions, event_type FROM g"""))
 def src15(t):
     """SRC-15: normalised-event JSON lines (with corrupt lines) landed from the GDELT normalisation and re-read."""
     n = SE.normalize_gdelt(SE.read_gdelt(t.spark, _land_gdelt(t)))
@@ -299,7 +302,12 @@ def _land_gdelt(t):
     return path
 
 
-@plan("src16_combine_events")
+@plan("src16_combine_events", oracle=gdelt_full_sql("""
+    SELECT 'reuters' AS provider, count(*) AS written FROM g WHERE is_reuters
+    UNION ALL
+    SELECT 'gdelt', count(*) FROM g WHERE canonical_id NOT IN (SELECT canonical_id FROM g WHERE is_reuters)
+    UNION ALL
+    SELECT 'duplicates_skipped', count(*) FROM g WHERE canonical_id IN (SELECT canonical_id FROM g WHERE is_reuters)"""))
 def src16(t):
     """SRC-16: Reuters rows (by provenance) suppress the same canonical id in GDELT; counts by provider."""
     raw = SE.read_gdelt(t.spark, _land_gdelt(t))
