@@ -229,7 +229,14 @@ def _history(t):
     return SE.normalize_gdelt(SE.read_gdelt(t.spark, _land_gdelt(t)))
 
 
-@plan("prd16_corpora_history")
+@plan("prd16_corpora_history", oracle=gdelt_full_sql("""
+    , b AS (SELECT *, row_number() OVER (ORDER BY published_at, canonical_id) - 1 AS idx,
+                  trim(array_to_string(list_filter([trim(title), trim(description)], lambda x: x <> ''), chr(10))) AS text
+           FROM g)
+    SELECT canonical_id AS id, text, 1 AS label, published_at AS created_at FROM b WHERE text <> ''
+    UNION ALL
+    SELECT canonical_id || '-neg', [{tpl}][idx % 4 + 1], 0, published_at FROM b WHERE text <> ''
+    """.replace("{tpl}", ", ".join("'" + x + "'" for x in C.NEGATIVE_RELEVANCE_TEMPLATES))))
 def prd16(t):
     """PRD-16: relevance corpus (positives and template negatives) from normalised history."""
     return C.corpora_from_history(_history(t))["relevance"]

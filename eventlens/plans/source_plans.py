@@ -139,7 +139,30 @@ def src01(t):
                     "event_type", "num_articles", "sentiment_score")
 
 
-@plan("src03_acled_normalize")
+_ACLED_SQL = """
+    WITH r AS (
+      SELECT o_orderkey AS ok, CAST(o_orderdate AS DATE) AS d, {countries}[o_orderkey % 12 + 1] AS country,
+             'Region ' || (o_orderkey % 5) AS admin1,
+             ['Battles', 'Protests', 'Riots', 'Strategic developments', ''][o_orderkey % 5 + 1] AS ev,
+             ['Political violence', 'Demonstrations'][o_orderkey % 2 + 1] AS dis,
+             o_orderkey % 9 AS events, o_orderkey % 3 AS fat
+      FROM orders)
+    SELECT sha1(array_to_string(list_filter([CAST(d AS VARCHAR), lower(country), lower(admin1), lower(ev),
+                                             'acled_fixture'], lambda x: x <> ''), '|')) AS canonical_id,
+           CAST(ok AS VARCHAR) AS provider_record_id, CAST(d AS VARCHAR) AS event_date,
+           ev || ' - ' || admin1 || ' - ' || country AS title,
+           'ACLED weekly aggregate with ' || events || ' event(s) and ' || fat || ' fatalities' AS description,
+           country, admin1,
+           CASE lower(ev) WHEN 'strategic developments' THEN 'Regulation' ELSE 'Conflict' END AS event_type,
+           ev AS sub_event_type, CAST(fat AS BIGINT) AS fatalities, CAST(events AS BIGINT) AS num_articles,
+           CASE WHEN fat > 0 THEN -CAST(fat AS DOUBLE) WHEN contains(lower(dis), 'violence') THEN -1.0 ELSE 0.0 END
+             AS sentiment_score,
+           CASE WHEN fat > 0 OR contains(lower(dis), 'violence') THEN 'negative' ELSE 'neutral' END AS sentiment_label
+    FROM r WHERE ev <> ''"""
+
+
+@plan("src03_acled_normalize", oracle=_ACLED_SQL.format(
+    countries="[" + ", ".join(f"'{c}'" for c in FX.FIXTURE_COUNTRIES) + "]"))
 def src03(t):
     """SRC-03/04/05: ACLED-style weekly CSV (mixed date formats, lower-case
     headers) landed from the orders table, sniffed, read and normalised."""
@@ -158,7 +181,9 @@ def src03(t):
                     ok.cast("string").alias("id"))
     path = _scratch(t, "acled")
     rows.write.option("header", True).option("sep", "\t").csv(path)
-    return SE.normalize_acled(SE.read_rows(t.spark, path), "acled_fixture")
+    n = SE.normalize_acled(SE.read_rows(t.spark, path), "acled_fixture")
+    return n.select("canonical_id", "provider_record_id", "event_date", "title", "description", "country", "admin1",
+                    "event_type", "sub_event_type", "fatalities", "num_articles", "sentiment_score", "sentiment_label")
 
 
 @plan("src05_parse_date", oracle="""
