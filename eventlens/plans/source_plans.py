@@ -221,16 +221,22 @@ def src07(t):
     return SP.normalize_news(payloads, "newsapi")
 
 
-@plan("src08_read_klines")
+@plan("src08_read_klines", oracle="""
+    SELECT symbol, epoch_ms(open_time) AS open_time, open, high, low, close, volume,
+           CAST(epoch_ms(open_time) + 3599999 AS DOUBLE) AS close_time, volume AS base_asset_volume,
+           CAST(num_trades AS DOUBLE) AS num_trades, taker_buy_volume, taker_buy_volume AS taker_buy_base_asset_volume,
+           0.0::DOUBLE AS ignore
+    FROM f_kline""")
 def src08(t):
-    """SRC-08: kline CSV files (monthly + daily overlap) landed from the kline table; last row per open time wins."""
+    """SRC-08: kline CSV files (one folder per symbol) landed from the kline table and read back; one row per
+    (symbol, open time), the last file's row winning."""
     k = t.kline.select(F.col("symbol"), (F.unix_micros("open_time") / 1000).cast("long").alias("open_time"),
                        "open", "high", "low", "close", "volume",
                        ((F.unix_micros("open_time") / 1000).cast("long") + 3599999).alias("close_time"),
                        "volume", "num_trades", "taker_buy_volume", "taker_buy_volume", F.lit(0).alias("ignore"))
     path = _scratch(t, "klines")
     k.write.partitionBy("symbol").csv(os.path.join(path, "monthly"))
-    return SP.read_klines(t.spark, os.path.join(path, "monthly", "*", "*.csv"), symbol_from_path=False)
+    return SP.read_klines(t.spark, os.path.join(path, "monthly", "*", "*.csv"))
 
 
 _OHLCV_SQL = """

@@ -123,7 +123,10 @@ def read_klines(spark: SparkSession, paths, symbol_from_path: bool = True) -> Da
     raw = spark.read.option("header", False).schema(
         T.StructType([T.StructField(c, S) for c in KLINE_COLUMNS])).csv(paths)
     f = F.input_file_name()
-    sym = F.regexp_extract(f, r"([^/]+?)-[^/]*$", 1) if symbol_from_path else F.lit(None)
+    # symbol from a ``symbol=XXX`` folder, else from the file name prefix ("BTCUSDT-1h-2024-01.csv")
+    part = F.regexp_extract(f, r"symbol=([^/]+)/", 1)
+    sym = (F.when(part != "", part).otherwise(F.regexp_extract(f, r"([^/]+?)-[^/]*$", 1))
+           if symbol_from_path else F.lit(None).cast("string"))
     df = raw.select(sym.alias("symbol"), f.alias("_file"),
                     *[F.col(c).try_cast("double").alias(c) for c in KLINE_COLUMNS])
     df = df.dropna(subset=["open_time", "open", "high", "low", "close"])
