@@ -210,6 +210,8 @@ def with_fixtures(sql: str, extra: dict[str, str] | None = None) -> str:
         return sql
     body = ",\n".join(f"{n} AS ({allc[n]})" for n in order if n in need)
     stripped = sql.lstrip()
+    if stripped[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {body},\n{stripped[15:]}"
     if stripped[:5].upper() == "WITH ":
         # Merge the query's own CTE list after the fixture CTEs.
         return f"WITH {body},\n{stripped[5:]}"
