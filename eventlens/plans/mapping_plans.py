@@ -136,7 +136,7 @@ def map02(t):
     return _mentions(t)
 
 
-@mplan("map03_entity_tags", f"""
+_TAGS_SQL = f"""
     SELECT x.article_id,
            list_slice(list_sort(list_distinct(list_concat(x.xt, coalesce(m.mt, [])))), 1, {L.MAX_TAGS}) AS tags
     FROM (SELECT article_id, list_filter({_ctags_sql('pad', 'norm')}, lambda v: v IS NOT NULL) AS xt FROM o_norm) x
@@ -148,7 +148,10 @@ def map02(t):
                f.sector, f.country]) AS tg
         FROM o_mentions m JOIN o_alias0 a ON a.ticker = m.ticker JOIN f_asset f ON f.asset_id = a.asset_id)
       WHERE tg IS NOT NULL AND tg <> '' GROUP BY 1) m
-    ON m.article_id = x.article_id""")
+    ON m.article_id = x.article_id"""
+
+
+@mplan("map03_entity_tags", _TAGS_SQL)
 def map03(t):
     """MAP-03: entity tags of every article."""
     return MP.entity_tags(_docs(t), _mentions(t), t.asset, key="article_id")
@@ -541,7 +544,12 @@ def evt05(t):
                     "relevance_label", "sentiment_score", "nlp_processed_at")
 
 
-@plan("evt06_backfill_entities")
+@mplan("evt06_backfill_entities", f"""
+    WITH art_tags AS ({_TAGS_SQL}),
+         et AS (SELECT DISTINCT l.event_id, unnest(a.tags) AS tag
+                FROM art_tags a JOIN f_event_article l USING (article_id))
+    SELECT event_id, tag FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY tag) AS rn FROM et)
+    WHERE rn <= {L.MAX_TAGS}""")
 def evt06(t):
     """EVT-06: re-mapped tags of every event from all its articles."""
     ev = t.event.withColumn("event_id", F.col("event_id"))
