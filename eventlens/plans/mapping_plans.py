@@ -498,7 +498,42 @@ def _build(t):
                            existing_links=links, existing_impacts=t.impact)
 
 
-@plan("evt04_build_events")
+def _rejections_sql() -> str:
+    from eventlens.plans.text_plans import _ASCII_RATIO, _TOKS, NORM, _relevance_sql
+    return f"""
+    WITH lg AS (
+      SELECT article_id, CASE WHEN nchar = 0 OR ntok = 0 THEN 'unknown' ELSE 'en' END AS code,
+             CASE WHEN nchar = 0 OR ntok = 0 THEN 0.0
+                  WHEN ratio >= 0.95 AND ntok >= 3 THEN greatest(c, 0.82) ELSE c END AS lconf,
+             rel
+      FROM (SELECT *, least(0.92, 0.52 + stop / greatest(1, ntok) * 1.6 + ratio * 0.18) AS c
+            FROM (SELECT article_id, length({NORM}) AS nchar, len({_TOKS}) AS ntok,
+                         len(list_filter({_TOKS}, lambda x: x IN {inlist(L.ENGLISH_STOPWORDS)})) AS stop,
+                         {_ASCII_RATIO} AS ratio, CAST({_relevance_sql()} AS DOUBLE) AS rel FROM f_article))),
+         sc AS ({_SCORED})
+    SELECT reason, count(*) AS n FROM (
+      SELECT CASE WHEN NOT (lg.code IN ('en') AND lg.lconf >= 0.80) THEN 'language'
+                  WHEN lg.rel < 0.58 THEN 'relevance'
+                  WHEN sc.event_type IS NULL THEN 'no_event_type'
+                  WHEN sc.status = 'rejected' THEN 'low_confidence' END AS reason
+      FROM lg JOIN sc USING (article_id))
+    WHERE reason IS NOT NULL GROUP BY 1"""
+
+
+def _events_sql() -> str:
+    base = _rejections_sql()
+    head = base[:base.index("    SELECT reason, count(*) AS n FROM (")]
+    return head + f"""
+    SELECT 'a' || a.article_id AS event_id, a.title, substr(a.content, 1, 2000) AS description, sc.event_type,
+           c.country, a.source, a.url, a.published_at, sc.confidence AS confidence_score, sc.severity, sc.status,
+           true AS is_new, a.article_id AS first_article
+    FROM lg JOIN sc USING (article_id) JOIN f_article a USING (article_id)
+    JOIN (SELECT article_id, {_country_sql_l()} AS country FROM f_article) c USING (article_id)
+    WHERE lg.code IN ('en') AND lg.lconf >= 0.80 AND lg.rel >= 0.58 AND sc.event_type IS NOT NULL
+      AND sc.status <> 'rejected'"""
+
+
+@mplan("evt04_build_events", _events_sql())
 def evt04(t):
     """EVT-04: events built from every article against the existing event store."""
     return _build(t)["events"]
@@ -510,7 +545,7 @@ def evt04b(t):
     return _build(t)["impacts"]
 
 
-@plan("evt04_rejections")
+@mplan("evt04_rejections", _rejections_sql())
 def evt04c(t):
     """EVT-04: rejection counts by reason."""
     return _build(t)["rejections"]
