@@ -9,6 +9,7 @@ from eventlens.operators import corpora as C
 from eventlens.operators import features as X
 from eventlens.operators import ml as ML
 from eventlens.plans.base import ARTICLE_AS_OF, EVENT_AS_OF, plan
+from eventlens.plans.feature_plans import CHAIN as FEATURE_CHAIN
 from eventlens.plans.feature_plans import _labelled
 from eventlens.plans.source_plans import _land_gdelt, _scratch, gdelt_full_sql
 from eventlens.sources import events as SE
@@ -131,8 +132,7 @@ def fea11b(t):
     SELECT coalesce(CAST(volatility_7d AS DOUBLE), 0.0) AS "7d_vol",
            coalesce(CAST(sentiment_momentum AS DOUBLE), 0.0) AS sentiment_momentum,
            0.0::DOUBLE AS symbol_BTCUSDT, coalesce(CAST(event_count AS DOUBLE), 0.0) AS event_count
-    FROM o_label WHERE abs(coalesce(volatility_7d, 0.0)) <= 5""", extra_ctes=__import__(
-    "eventlens.plans.feature_plans", fromlist=["CHAIN"]).CHAIN)
+    FROM o_label WHERE abs(coalesce(volatility_7d, 0.0)) <= 5""", extra_ctes=FEATURE_CHAIN)
 def fea14(t):
     """FEA-14: labelled rows aligned to a saved feature order (missing one-hot column padded)."""
     d = _labelled(t).withColumnRenamed("volatility_7d", "7d_vol")
