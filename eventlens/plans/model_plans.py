@@ -257,7 +257,21 @@ def prd16b(t):
     return C.corpora_from_history(_history(t))["weak_ner"]
 
 
-@plan("prd17_pair_articles")
+@plan("prd17_pair_articles", oracle=gdelt_full_sql("""
+    , h AS (SELECT *, '2024-01-' || event_date[9:10] || 'T00:00:00Z' AS pub,
+                   CASE WHEN is_reuters THEN 'reuters' ELSE provider END AS prov FROM g),
+    firsts AS (SELECT pub[1:10] AS day, arg_min({'id': provider_record_id, 'event_type': event_type,
+                                                 'event_date': event_date, 'country': country}, canonical_id) AS c
+               FROM h GROUP BY 1)
+    SELECT 'reuters-' || canonical_id AS pair_id, 'reuters' AS provider, title AS article_title,
+           description AS article_text, pub AS article_published_at, provider_record_id AS gdelt_event_id,
+           event_type AS gdelt_event_type, event_date AS gdelt_event_date, country AS gdelt_country
+    FROM h WHERE prov = 'reuters'
+    UNION ALL
+    SELECT 'news-' || a.article_id, a.source, a.title, a.content, strftime(a.published_at, '%Y-%m-%dT%H:%M:%S'),
+           f.c.id, f.c.event_type, f.c.event_date, f.c.country
+    FROM f_article a JOIN firsts f ON f.day = strftime(a.published_at, '%Y-%m-%d')
+    WHERE a.published_at IS NOT NULL AND (a.source ILIKE '%reuters%' OR a.source ILIKE '%ap%')"""))
 def prd17(t):
     """PRD-17: Reuters history rows and Reuters/AP articles paired with same-day history events."""
     h = _history(t)

@@ -100,7 +100,7 @@ _GDELT_FULL = """
     g AS (
       SELECT sha1(array_to_string(list_filter([d[1:4] || '-' || d[5:6] || '-' || d[7:8], code, lower(url), lower(a1),
                                                lower(a2), lower(country), lower(loc)], lambda x: x <> ''), '|'))
-               AS canonical_id, 'gdelt' AS provider,
+               AS canonical_id, 'gdelt' AS provider, CAST(event_id AS VARCHAR) AS provider_record_id,
              d[1:4] || '-' || d[5:6] || '-' || d[7:8] || 'T00:00:00Z' AS published_at,
              d[1:4] || '-' || d[5:6] || '-' || d[7:8] AS event_date,
              CASE WHEN a1 <> '' AND a2 <> '' THEN a1 || ' / ' || a2 || ' - ' || etype
