@@ -182,7 +182,13 @@ def prd14(t):
     return ev.select("event_id", "title", "status")
 
 
-@plan("prd14_review_audit")
+@plan("prd14_review_audit", oracle="""
+    SELECT e.event_id, r.reviewer_id, r.action, e.status AS from_status,
+           CASE WHEN r.action = 'approve' THEN 'human_approved' WHEN r.action = 'reject' THEN 'rejected'
+                ELSE e.status END AS to_status,
+           '{"title":"Edited ' || e.event_id || '","severity":' || (e.event_id % 7) || '}' AS changes,
+           r.created_at
+    FROM f_event e JOIN f_review_action r USING (event_id)""")
 def prd14b(t):
     """PRD-14: audit rows of the applied reviews."""
     dec = t.review_action.select("event_id", "action_id", "action", "reviewer_id", "created_at",
