@@ -114,9 +114,11 @@ def pct_rank(df: DataFrame, col: str, by: str | None = "symbol", out: str | None
     """
     out = out or f"{col}_rank"
     part = [by] if by else []
+    # one window spec (one sort per symbol): ties are the peers of the
+    # current value (range frame 0..0), n the non-NULL values of the symbol
     w = Window.partitionBy(*part).orderBy(F.col(col).asc_nulls_last())
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*part, col))
-    n = F.count(col).over(Window.partitionBy(*part))
+    ties = F.count(F.lit(1)).over(w.rangeBetween(0, 0))
+    n = F.count(col).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     val = (F.rank().over(w) + (ties - 1) / 2.0) / n
     return df.withColumn(out, F.when(F.col(col).isNotNull(), val))
 
