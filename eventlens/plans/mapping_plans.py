@@ -591,7 +591,39 @@ def evt06(t):
     return EV.backfill_entities(ev, t.event_article, t.article, t.asset, t.kg_edge, t.impact, n=None)["tags"]
 
 
-@plan("evt06_backfill_impacts")
+@mplan("evt06_backfill_impacts", f"""
+    WITH em AS (SELECT DISTINCT l.event_id, m.ticker FROM o_mentions m JOIN f_event_article l USING (article_id)),
+         l2 AS (
+           SELECT p.event_id, p.ticker, max(p.score) AS score FROM (
+             SELECT event_id, substr(node, 7) AS ticker, score FROM (
+               SELECT r.event_id, a.dst AS node, a.w * {L.L2_HOP1_WEIGHT} AS score
+               FROM em r JOIN o_adj a ON a.src = 'ASSET:' || r.ticker
+               UNION ALL
+               SELECT r.event_id, b.dst, a.w * b.w * {L.L2_HOP2_WEIGHT}
+               FROM em r JOIN o_adj a ON a.src = 'ASSET:' || r.ticker JOIN o_adj b ON b.src = a.dst)
+             WHERE starts_with(node, 'ASSET:')) p
+           LEFT JOIN em m ON m.event_id = p.event_id AND m.ticker = p.ticker
+           WHERE m.ticker IS NULL GROUP BY 1, 2),
+         l3 AS (
+           SELECT s.event_id, mb.ticker, max(least(1.0, {L.L3_BASE_WEIGHT} * 0.7)) AS score
+           FROM (SELECT DISTINCT r.event_id, a.sector FROM em r JOIN f_asset a ON upper(a.ticker) = r.ticker
+                 WHERE a.sector IS NOT NULL) s
+           JOIN o_members mb ON mb.sector = s.sector
+           LEFT JOIN em m ON m.event_id = s.event_id AND m.ticker = mb.ticker
+           WHERE m.ticker IS NULL GROUP BY 1, 2),
+         u AS (SELECT event_id, ticker, CAST(NULL AS DOUBLE) AS score, 1 AS layer FROM em
+               UNION ALL SELECT event_id, ticker, score, 2 FROM l2
+               UNION ALL SELECT event_id, ticker, score, 3 FROM l3),
+         f AS (SELECT event_id, ticker, arg_min(score, layer) AS score, min(layer) AS layer FROM u GROUP BY 1, 2),
+         p AS (SELECT event_id, coalesce(CASE WHEN confidence_score <> 0 THEN confidence_score END, 0.6) AS conf,
+                      CASE WHEN event_type IN {inlist(L.NEGATIVE_TYPES)} THEN 'negative' ELSE 'neutral' END AS dir
+               FROM f_event)
+    SELECT f.event_id, a.asset_id, f.ticker, f.layer, p.dir AS impact_direction,
+           greatest(0.0, least(1.0, CASE WHEN f.layer = 1 THEN 0.6 ELSE f.score END)) AS impact_strength,
+           greatest(0.0, least(1.0, CASE WHEN f.layer = 1 THEN (p.conf + 0.7) / 2
+                                         ELSE (p.conf + 0.7) / 2 * f.score END)) AS confidence_score
+    FROM f JOIN f_asset a ON upper(a.ticker) = f.ticker JOIN p USING (event_id)
+    WHERE NOT EXISTS (SELECT 1 FROM f_impact x WHERE x.event_id = f.event_id AND x.asset_id = a.asset_id)""")
 def evt06b(t):
     """EVT-06: new impacts of every event from all its articles."""
     return EV.backfill_entities(t.event, t.event_article, t.article, t.asset, t.kg_edge, t.impact, n=None)["impacts"]
