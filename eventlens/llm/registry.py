@@ -8,13 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from eventlens.llm.common import table
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.decontaminate import find_leaks
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventlens.llm.pii import pii_report
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.language import identify
+    return identify(table(spark, sf_dir, "documents"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
+    "op8_language": op8_language,
 }
 
 _ORACLES: dict[str, str] = {}
