@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from eventlens.llm.common import table
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from eventlens.llm.token_files import token_file_report
+    return token_file_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventlens.llm.decontaminate import find_leaks
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -18,14 +24,22 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from eventlens.llm.packing import pack_report
+    return pack_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventlens.llm.language import identify
     return identify(table(spark, sf_dir, "documents"))
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
     "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
+    "op6_packing": op6_packing,
     "op8_language": op8_language,
 }
 
