@@ -30,6 +30,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.warc import archive_report
+    return archive_report(table(spark, sf_dir, "pages"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventlens.llm.language import identify
     return identify(table(spark, sf_dir, "documents"))
@@ -40,6 +45,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
     "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
     "op8_language": op8_language,
 }
 

@@ -17,6 +17,7 @@ no file and no row. Other columns are not read.
 """
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -107,10 +108,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_ids: i
         if first is None:
             return
 
-        def all_batches():
-            yield first
-            yield from batches
-
         with published(uri) as out:
             doc_ids, lengths, parts, held = [], [], [], 0
 
@@ -118,7 +115,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_ids: i
                 out.write(encode_block(np.array(doc_ids, np.int64), np.array(lengths, np.int64), np.concatenate(parts)))
                 doc_ids.clear(), lengths.clear(), parts.clear()
 
-            for b in all_batches():
+            for b in itertools.chain([first], batches):
                 texts = b.column("text")
                 for row, end, _, _ in text_slices(texts, 8 << 20):
                     ids_here = b.column("doc_id").slice(row, end - row).to_pylist()
