@@ -24,6 +24,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.near_copies import near_copies
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from eventlens.llm.packing import pack_report
@@ -44,6 +49,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
+    "op5_near_copies": op5_near_copies,
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
     "op8_language": op8_language,
