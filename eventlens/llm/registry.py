@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from eventlens.llm.common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.secrets import find_secrets
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from eventlens.llm.token_files import token_file_report
@@ -46,6 +51,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_token_files": op2_token_files,
     "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
