@@ -50,6 +50,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.repeats import repeats_report
+    return repeats_report(table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventlens.llm.embedding_links import embedding_links
     return embedding_links(table(spark, sf_dir, "embeddings"))
@@ -64,6 +69,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
     "op8_language": op8_language,
+    "op9_repeats": op9_repeats,
     "op10_embedding_links": op10_embedding_links,
 }
 
