@@ -62,15 +62,3 @@ def contains_any(text: Column, terms: Iterable[str]) -> Column:
 def like_escape(term: str) -> str:
     """Escape a literal for LIKE/ILIKE (used where user text must not be a pattern)."""
     return re.sub(r"([\\%_])", r"\\\1", term)
-
-
-# Broadcast bound for dimension tables (rows). Above it the planner's
-# shuffle join is used instead.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count (one small count
-    of a dimension table); beyond ``max_rows`` the join shuffles instead."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df

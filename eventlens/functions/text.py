@@ -45,7 +45,7 @@ def squeeze(c) -> Column:
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
 
 
-def normalize_text(c, max_chars: int | None = TEXT_CUT) -> Column:
+def normalize_text(c, max_chars: int | None = None) -> Column:
     """TXT-02: whitespace squeeze, trim, cut at ``max_chars`` (None: whole text)."""
     s = squeeze(F.coalesce(col(c), F.lit("")))
     return F.substring(s, 1, max_chars) if max_chars else s
@@ -78,6 +78,9 @@ def _decode_numeric_entities(s: Column) -> Column:
         m = F.regexp_extract(p, r"^([0-9]{1,7});", 1)
         h = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6});", 1)
         code = F.when(m != "", F.conv(m, 10, 16)).when(h != "", F.upper(h))
+        number = F.conv(F.coalesce(code, F.lit("0")), 16, 10).try_cast("long")
+        valid = code.isNotNull() & (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        code = F.when(code.isNull() | valid, code).otherwise("FFFD")  # no character: the replacement mark
         ch = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
         rest = F.when(m != "", F.substring(p, F.length(m) + 2, 1 << 30)) \
                 .when(h != "", F.substring(p, F.length(h) + 3, 1 << 30))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from eventlens import lexicons as L
 from eventlens.functions import text as T
-from eventlens.functions.common import bounded_broadcast, col, contains_count, seconds_between, ts_lit
+from eventlens.functions.common import col, contains_count, seconds_between, ts_lit
 from eventlens.operators import filters as FL
 from eventlens.operators import mapping as MP
 from eventlens.session import cut_lineage
@@ -99,7 +99,7 @@ def quality_gates(df: DataFrame, assets: DataFrame, proposed: DataFrame | None =
     same type, country (NULL equals NULL) and day)."""
     out = df
     if proposed is not None:
-        known = bounded_broadcast(assets.select(F.upper("ticker").alias("ticker")).distinct())
+        known = assets.select(F.upper("ticker").alias("ticker")).distinct()
         bad = (proposed.select(key, F.upper("ticker").alias("ticker"))
                .join(known, "ticker", "left_anti").select(key).distinct()
                .withColumn("_bad_asset", F.lit(True)))
@@ -230,7 +230,7 @@ def build_events(articles: DataFrame, assets: DataFrame, edges: DataFrame, as_of
     first_o = F.struct(F.col("created_at"), F.col(key))
     g = (ok.groupBy("_gkey")
          .agg(F.min_by(F.struct("title", "event_type", "country", "_day", F.col(key).alias("first_article"),
-                                F.substring("content", 1, 2000).alias("description"),
+                                F.col("content").alias("description"),
                                 "source", "url", "published_at"), first_o).alias("_f"),
               F.max_by(F.struct("confidence", "severity", "status"),
                        F.struct("confidence", F.unix_micros(F.col("created_at")) * -1, F.col(key) * -1)).alias("_m")))
@@ -291,7 +291,7 @@ def build_events(articles: DataFrame, assets: DataFrame, edges: DataFrame, as_of
 # EVT-05 / EVT-06 backfills
 # ---------------------------------------------------------------------------
 
-def backfill_metadata(articles: DataFrame, as_of, n: int | None = 500) -> DataFrame:
+def backfill_metadata(articles: DataFrame, as_of, n: int | None = None) -> DataFrame:
     """EVT-05: NLP columns for the articles never processed (the oldest ``n``
     as one batch, as the reference's task; None: all of them)."""
     todo = articles.where(F.col("nlp_processed_at").isNull())
@@ -301,7 +301,7 @@ def backfill_metadata(articles: DataFrame, as_of, n: int | None = 500) -> DataFr
 
 
 def backfill_entities(events: DataFrame, links: DataFrame, articles: DataFrame, assets: DataFrame,
-                      edges: DataFrame, impacts: DataFrame | None = None, n: int | None = 250,
+                      edges: DataFrame, impacts: DataFrame | None = None, n: int | None = None,
                       corpus=None) -> dict[str, DataFrame]:
     """EVT-06: re-map the newest ``n`` events from the text of all their
     articles, with the fixed 0.7 relevance / 0.6 strength of the reference,
@@ -353,7 +353,7 @@ def event_cards(events: DataFrame, impacts: DataFrame, assets: DataFrame, tags:
     (NULL confidence last... as PostgreSQL DESC puts NULL first, it is first
     here too) and the first 8 tags alphabetically — one pass, no per-event
     query. Per-event top-k uses ``row_number`` (a partial WindowGroupLimit)."""
-    a = bounded_broadcast(assets.select("asset_id", "ticker", "name"))
+    a = assets.select("asset_id", "ticker", "name")
     imp = impacts.join(a, "asset_id")
     w = Window.partitionBy("event_id").orderBy(F.col("confidence_score").desc_nulls_first(), F.col("ticker"))
     top = (imp.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top_assets)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from eventlens import lexicons as L
 from eventlens.functions import text as T
-from eventlens.functions.common import bounded_broadcast
 
 
 def node_key(entity_type, name):

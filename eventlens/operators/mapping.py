@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from eventlens import lexicons as L
 from eventlens.functions import text as T
-from eventlens.functions.common import bounded_broadcast
 
 
 # ---------------------------------------------------------------------------
@@ -81,8 +80,8 @@ def extract_mentions(docs: DataFrame, aliases: DataFrame, *, key: str = "doc_id"
     al = aliases.select("alias", "ticker", "is_ticker", "n_tokens")
     if max_tokens is None:
         max_tokens = al.where(~F.col("is_ticker")).agg(F.max("n_tokens")).first()[0] or 1
-    tick = bounded_broadcast(al.where(F.col("is_ticker")).select(F.col("alias").alias("_tok"), "ticker"))
-    phr = bounded_broadcast(al.where(~F.col("is_ticker")).select(F.col("alias").alias("_g"), "ticker"))
+    tick = al.where(F.col("is_ticker")).select(F.col("alias").alias("_tok"), "ticker")
+    phr = al.where(~F.col("is_ticker")).select(F.col("alias").alias("_g"), "ticker")
 
     up = docs.select(key, F.explode(F.array_distinct(
         F.regexp_extract_all(F.upper(F.coalesce(F.col(text), F.lit(""))), F.lit(TICKER_TOKEN), 0)))
@@ -107,11 +106,11 @@ def entity_tags(docs: DataFrame, mentions: DataFrame, assets: DataFrame, *,
     """MAP-03: (key, tags) — ticker, first three name words capitalised,
     sector and country of every mention, countries named in the text (whole
     words), topic tags (substring of the normalised text); sorted, first 12."""
-    a = bounded_broadcast(assets.select(
+    a = assets.select(
         F.upper("ticker").alias("ticker"),
         F.initcap(F.array_join(F.slice(F.split(T.normalize_entity(F.coalesce(F.col("name"), F.lit(""))), " "),
                                        1, 3), " ")).alias("_label"),
-        "sector", "country"))
+        "sector", "country")
     per = (mentions.select(key, F.upper("ticker").alias("ticker")).join(a, "ticker")
            .select(key, F.array_compact(F.array("ticker", F.when(F.col("_label") != "", F.col("_label")),
                                                 "sector", "country")).alias("_t")))
@@ -160,7 +159,7 @@ def expand_graph(mentions: DataFrame, edges: DataFrame, *, key: str = "doc_id",
     mentioned assets are excluded. Hop-1 paths are reduced to the best weight
     per (key, node) before the second hop (max distributes over the product),
     so hub nodes do not multiply rows."""
-    adj = bounded_broadcast(directed_edges(edges))
+    adj = directed_edges(edges)
     roots = mentions.select(key, F.upper("ticker").alias("ticker")).distinct()
     r = roots.select(key, F.concat(F.lit(asset_prefix), F.col("ticker")).alias("src"))
     h1 = r.join(adj, "src").groupBy(key, F.col("dst").alias("n1")).agg(F.max("w").alias("w1"))
@@ -191,10 +190,10 @@ def expand_sector(mentions: DataFrame, assets: DataFrame, relevance: DataFrame,
     """MAP-05: (key, ticker, score) — the first 6 members of every mentioned
     asset's sector (capped before excluding the mentioned ones), score
     ``min(1, 0.45 * clamp(relevance, 0.25, 1))``. ``relevance``: (key, relevance)."""
-    a = bounded_broadcast(assets.select(F.upper("ticker").alias("ticker"), "sector"))
+    a = assets.select(F.upper("ticker").alias("ticker"), "sector")
     roots = mentions.select(key, F.upper("ticker").alias("ticker")).distinct()
     secs = roots.join(a, "ticker").where(F.col("sector").isNotNull()).select(key, "sector").distinct()
-    mem = bounded_broadcast(sector_members(assets))
+    mem = sector_members(assets)
     rel = F.greatest(F.lit(0.25), F.least(F.lit(1.0), F.col("relevance")))
     cand = (secs.join(mem, "sector").join(relevance.select(key, "relevance"), key)
             .select(key, "ticker", F.least(F.lit(1.0), L.L3_BASE_WEIGHT * rel).alias("score")))
@@ -236,7 +235,7 @@ def similarity_corpus(events: DataFrame, impacts: DataFrame, assets: DataFrame,
     vec = (tf_vectors(recent.join(prior.select("c_event").distinct(), "c_event", "left_semi"),
                       "c_event", text)
            .join(recent.select("c_event", "c_type"), "c_event"))
-    return F.broadcast(vec), F.broadcast(prior)
+    return vec, prior
 
 
 def expand_similar(docs: DataFrame, corpus: tuple[DataFrame, DataFrame], direct: DataFrame, *,
@@ -288,7 +287,7 @@ def assemble_impacts(layers: dict[int, DataFrame], params: DataFrame, assets: Da
     first = (u.groupBy(key, "ticker")
              .agg(F.min_by(F.struct("layer", "score"), "layer").alias("_f"))
              .select(key, "ticker", "_f.layer", "_f.score"))
-    a = bounded_broadcast(assets.select("asset_id", F.upper("ticker").alias("ticker")))
+    a = assets.select("asset_id", F.upper("ticker").alias("ticker"))
     base = (F.col("confidence") + F.col("relevance")) / 2
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     out = (first.join(a, "ticker").join(params, key)

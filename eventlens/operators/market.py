@@ -23,7 +23,7 @@ def asof_price(targets: DataFrame, prices: DataFrame, *, by: str | Sequence[str]
     or before it (``direction='nearest'``); ``'forward'`` and ``'backward'``
     take one side only. Every target row is kept; no price gives NULL.
 
-    Plan (no range join, no single hot-key task): targets and bars are unioned
+    Plan (no range join, linear in the rows of a key and bucket): targets and bars are unioned
     and windowed per (key, time bucket), which finds the answer whenever the
     bucket holds it; a second window over the small per-(key, bucket)
     summary (first/last value per bucket, one row per bucket) carries the
@@ -46,7 +46,10 @@ def asof_price(targets: DataFrame, prices: DataFrame, *, by: str | Sequence[str]
     # For equal times the target sorts first, so a bar at exactly ``at`` is
     # "at or after"; the backward pass only matters when no such bar exists.
     w = Window.partitionBy(*keys, "_b").orderBy("_t", "_k")
-    fwd = F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Read backwards the next value is a running last value, so both passes
+    # are linear (a frame that ends at unboundedFollowing is rebuilt per row).
+    back = Window.partitionBy(*keys, "_b").orderBy(F.desc("_t"), F.desc("_k"))
+    fwd = F.last("_v", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     bwd = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     inb = (u.select(*tcols, "_t", "_k", "_b", fwd.alias("_fwd"), bwd.alias("_bwd"))
            .where(F.col("_k") == 0).drop("_k"))
@@ -59,9 +62,10 @@ def asof_price(targets: DataFrame, prices: DataFrame, *, by: str | Sequence[str]
             .groupBy(*keys, "_b").agg(F.first("_first", ignorenulls=True).alias("_first"),
                                        F.first("_last", ignorenulls=True).alias("_last")))
     ws = Window.partitionBy(*keys).orderBy("_b")
+    wb = Window.partitionBy(*keys).orderBy(F.desc("_b"))
     carry = allb.select(
         *keys, "_b",
-        F.first("_first", ignorenulls=True).over(ws.rowsBetween(1, Window.unboundedFollowing)).alias("_next"),
+        F.last("_first", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_next"),
         F.last("_last", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"))
     j = inb.join(carry, on=[*keys, "_b"], how="left")
     fwd_v = F.coalesce("_fwd", "_next")

@@ -33,11 +33,13 @@ def classify_outcome(direction: Column, pct: Column) -> Column:
     return F.when(direction == "up", up).when(direction == "down", down).otherwise(neutral)
 
 
-def due_predictions(preds: DataFrame, as_of, n: int = 200) -> DataFrame:
-    """FLT-09: the oldest ``n`` pending predictions whose resolve time has passed."""
-    return (preds.where((F.col("outcome") == "pending") & F.col("resolve_at").isNotNull()
+def due_predictions(preds: DataFrame, as_of, n: int | None = None) -> DataFrame:
+    """FLT-09: pending predictions whose resolve time has passed; ``n`` keeps the
+    oldest ones as one batch."""
+    due = (preds.where((F.col("outcome") == "pending") & F.col("resolve_at").isNotNull()
                         & (F.col("resolve_at") <= ts_lit(as_of)))
-            .orderBy("resolve_at", "prediction_id").limit(n))
+           )
+    return due.orderBy("resolve_at", "prediction_id").limit(n) if n is not None else due
 
 
 def verify_predictions(preds: DataFrame, prices: DataFrame, as_of,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eventlens import lexicons as L
 from eventlens.functions import text as T
-from eventlens.functions.common import bounded_broadcast, col, literal_table, seconds_between, ts_lit
+from eventlens.functions.common import col, literal_table, seconds_between, ts_lit
 from eventlens.operators.aggregates import country_coords
 
 # ---------------------------------------------------------------------------
@@ -80,11 +80,13 @@ def choose_quote(assets: DataFrame, quotes: DataFrame, last_good: DataFrame | No
 
 def epoch_to_ts(c) -> Column:
     """MKT-06: epoch number to timestamp; > 1e18 ns, > 1e15 us, > 1e12 ms,
-    else s. Exact decimal arithmetic, rounded half-even to the microsecond."""
-    x = col(c).cast("decimal(38,9)")
+    else s. Exact decimal arithmetic, rounded half-even to the microsecond; text
+    that is no number, and numbers beyond the timestamp range, are NULL."""
+    x = col(c).try_cast("decimal(38,9)")
     micros = (F.when(x > 1e18, x / 1000).when(x > 1e15, x).when(x > 1e12, x * 1000)
               .otherwise(x * 1_000_000))
-    return F.timestamp_micros(F.bround(micros, 0).cast("long"))
+    whole = F.bround(micros, 0)
+    return F.timestamp_micros(F.when(F.abs(whole) < F.lit(253_402_300_800_000_000), whole).try_cast("long"))
 
 
 def minute_bucket(ts) -> Column:
@@ -356,7 +358,7 @@ def cross_class_pairs(cards: DataFrame, assets: DataFrame, top: int = 5, samples
     sorted classes joined by '<->'; distinct titles per key, 3 sample titles
     (alphabetical), top 5 keys by title count. ``cards``: (event_id, title,
     affected_tickers)."""
-    a = bounded_broadcast(assets.select("ticker", F.col("asset_type").alias("cls")))
+    a = assets.select("ticker", F.col("asset_type").alias("cls"))
     e = cards.where(F.size("affected_tickers") >= 2).select("event_id", "title",
                                                            F.explode("affected_tickers").alias("ticker"))
     cls = (e.join(a, "ticker").groupBy("event_id", "title")

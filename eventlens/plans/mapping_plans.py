@@ -524,7 +524,7 @@ def _events_sql() -> str:
     base = _rejections_sql()
     head = base[:base.index("    SELECT reason, count(*) AS n FROM (")]
     return head + f"""
-    SELECT 'a' || a.article_id AS event_id, a.title, substr(a.content, 1, 2000) AS description, sc.event_type,
+    SELECT 'a' || a.article_id AS event_id, a.title, a.content AS description, sc.event_type,
            c.country, a.source, a.url, a.published_at, sc.confidence AS confidence_score, sc.severity, sc.status,
            true AS is_new, a.article_id AS first_article
     FROM lg JOIN sc USING (article_id) JOIN f_article a USING (article_id)

@@ -207,7 +207,7 @@ def src05(t):
 
 
 @plan("src07_news_payloads", oracle="""
-    SELECT left(title, 500) AS title, content, source, url, published_at,
+    SELECT title, content, source, url, published_at,
            sha256(title || '::' || coalesce(left(content, 200), '')) AS content_hash
     FROM f_article WHERE published_at IS NOT NULL""")
 def src07(t):

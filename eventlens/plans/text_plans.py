@@ -40,7 +40,7 @@ def txt01(t):
     SELECT article_id, substr({squeeze("coalesce(content, '')")}, 1, 5000) AS norm FROM f_article""")
 def txt02(t):
     """TXT-02: whitespace squeeze, trim and 5,000-character cut of article bodies."""
-    return t.article.select("article_id", T.normalize_text("content").alias("norm"))
+    return t.article.select("article_id", T.normalize_text("content", T.TEXT_CUT).alias("norm"))
 
 
 def _strip_sql(x: str) -> str:

@@ -58,11 +58,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Only when it is unset (local tests) a scratch folder is made.
+    used as is. Only a local master gets a scratch folder when it is unset.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not cur:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         cur = tempfile.mkdtemp(prefix="eventlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     if sc.getCheckpointDir() is None:

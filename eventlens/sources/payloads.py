@@ -49,7 +49,7 @@ NEWS_SCHEMAS = {
 
 def normalize_news(raw: DataFrame, provider: str, payload: str = "payload",
                    feed_url: str | None = None) -> DataFrame:
-    """SRC-07: provider payload -> article rows (title <= 500, content, source,
+    """SRC-07: provider payload -> article rows (whole title and content, source,
     url, published_at, content_hash) with each provider's field paths, empty
     or "[Removed]" titles dropped and the provider's hash recipe."""
     p = F.from_json(F.col(payload), NEWS_SCHEMAS[provider])
@@ -57,7 +57,7 @@ def normalize_news(raw: DataFrame, provider: str, payload: str = "payload",
         a = raw.select(F.explode(p["articles"]).alias("a")).select("a.*")
         t = F.coalesce(F.col("title"), F.lit(""))
         out = a.where((t != "") & (t != "[Removed]")).select(
-            F.substring(t, 1, 500).alias("title"), F.col("content"),
+            t.alias("title"), F.col("content"),
             F.coalesce(F.col("source.name"), F.lit("NewsAPI")).alias("source"),
             F.coalesce(F.col("url"), F.lit("")).alias("url"), parse_ts(F.col("publishedAt")).alias("published_at"),
             content_hash(t, F.coalesce(F.col("description"), F.lit(""))).alias("content_hash"))
@@ -65,7 +65,7 @@ def normalize_news(raw: DataFrame, provider: str, payload: str = "payload",
         a = raw.select(F.explode(p["articles"]).alias("a")).select("a.*")
         t = F.coalesce(F.col("title"), F.lit(""))
         out = a.where(t != "").select(
-            F.substring(t, 1, 500).alias("title"), F.lit(None).cast("string").alias("content"),
+            t.alias("title"), F.lit(None).cast("string").alias("content"),
             F.coalesce(F.col("domain"), F.lit("GDELT")).alias("source"), F.coalesce(F.col("url"), F.lit("")).alias("url"),
             parse_ts(F.col("seendate")).alias("published_at"),
             content_hash(t, F.coalesce(F.col("url"), F.lit(""))).alias("content_hash"))
@@ -78,8 +78,8 @@ def normalize_news(raw: DataFrame, provider: str, payload: str = "payload",
         src = F.coalesce(F.get_json_object(F.col("source"), "$.title"), F.when(~F.col("source").startswith("{"),
                                                                                 F.col("source")), F.lit("EventRegistry"))
         out = a.where((t != "") & (url != "")).select(
-            F.substring(t, 1, 500).alias("title"), F.when(body != "", F.substring(body, 1, 5000)).alias("content"),
-            F.substring(src, 1, 100).alias("source"), url.alias("url"),
+            t.alias("title"), F.when(body != "", body).alias("content"),
+            src.alias("source"), url.alias("url"),
             parse_ts(F.coalesce(F.col("dateTimePub"), F.col("dateTime"))).alias("published_at"),
             content_hash(t, F.when(body != "", body).otherwise(url)).alias("content_hash"))
     elif provider == "mediastack":
@@ -88,9 +88,9 @@ def normalize_news(raw: DataFrame, provider: str, payload: str = "payload",
         desc = F.trim(F.coalesce(F.col("description"), F.lit("")))
         url = F.coalesce(F.col("url"), F.lit(""))
         out = a.where((t != "") & (url != "")).select(
-            F.substring(t, 1, 500).alias("title"),
+            t.alias("title"),
             F.coalesce(F.col("content"), F.when(desc != "", desc)).alias("content"),
-            F.substring(F.coalesce(F.col("source"), F.lit("Mediastack")), 1, 100).alias("source"), url.alias("url"),
+            F.coalesce(F.col("source"), F.lit("Mediastack")).alias("source"), url.alias("url"),
             parse_ts(F.col("published_at")).alias("published_at"),
             content_hash(t, F.when(desc != "", desc).otherwise(url)).alias("content_hash"))
     elif provider == "rss":
@@ -99,8 +99,8 @@ def normalize_news(raw: DataFrame, provider: str, payload: str = "payload",
         summ = F.coalesce(F.col("summary"), F.lit(""))
         src = F.coalesce(F.col("_ft"), F.lit(feed_url or ""))
         out = a.where(t != "").select(
-            F.substring(t, 1, 500).alias("title"), F.when(summ != "", F.substring(summ, 1, 5000)).alias("content"),
-            F.substring(src, 1, 100).alias("source"), F.coalesce(F.col("link"), F.lit("")).alias("url"),
+            t.alias("title"), F.when(summ != "", summ).alias("content"),
+            src.alias("source"), F.coalesce(F.col("link"), F.lit("")).alias("url"),
             parse_ts(F.col("published")).alias("published_at"), content_hash(t, summ).alias("content_hash"))
     else:
         raise ValueError(provider)
@@ -231,7 +231,7 @@ def normalize_quote(raw: DataFrame, provider: str, payload: str = "payload", key
     price, change, ts = paths[provider]
     out = raw.select(key, price.alias("price"), change.alias("change"), ts.alias("as_of"),
                      F.lit(provider).alias("source"))
-    return out.where(F.col("price").isNotNull() & (F.col("price") > 0))
+    return out.where(F.col("price").isNotNull() & ~F.isnan("price") & (F.col("price") > 0))
 
 
 def parse_trades(raw: DataFrame, provider: str, payload: str = "payload") -> DataFrame:
