@@ -223,23 +223,21 @@ def class_balance(df: DataFrame, target: str = "target") -> DataFrame:
 def standardize(df: DataFrame, cols: Sequence[str] | None = None,
                 train_only: Column | None = None) -> DataFrame:
     """FEA-08: z-score each feature with its mean and sample std (columns with
-    std 0 or NULL are left as is). Statistics are scalar subqueries over one
-    aggregate (merged by the optimizer into one scan). ``train_only``
-    restricts the statistics to a row subset (no-leak mode)."""
+    std 0 or NULL are left as is). The statistics are one aggregate, joined as a
+    table of one row. ``train_only`` restricts the statistics to a row subset (no-leak mode)."""
     cols = list(cols or feature_columns(df))
     src = df.where(train_only) if train_only is not None else df
-    stats = src.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
-                    *[F.stddev_samp(c).alias(f"s_{i}") for i, c in enumerate(cols)])
+    stats = src.agg(*[F.avg(c).alias(f"_m_{i}") for i, c in enumerate(cols)],
+                    *[F.stddev_samp(c).alias(f"_s_{i}") for i, c in enumerate(cols)])
     out = []
     for f in df.columns:
         if f in cols:
             i = cols.index(f)
-            m = stats.select(f"m_{i}").scalar()
-            s = stats.select(f"s_{i}").scalar()
+            m, s = F.col(f"_m_{i}"), F.col(f"_s_{i}")
             out.append(F.when(s > 0, (F.col(f) - m) / s).otherwise(F.col(f).cast("double")).alias(f))
         else:
             out.append(F.col(f))
-    return df.select(*out)
+    return df.crossJoin(F.broadcast(stats)).select(*out)  # stats is one row
 
 
 def temporal_split(df: DataFrame, q: float = 0.8, date: str = "date") -> DataFrame:

@@ -110,23 +110,17 @@ def filing_aliases(assets: DataFrame) -> DataFrame:
 
 
 def filing_edges(filings: DataFrame, assets: DataFrame, *, text: str = "text",
-                 source: str = "source_ticker", key: str = "filing_id",
-                 max_aliases: int = 200_000) -> DataFrame:
+                 source: str = "source_ticker", key: str = "filing_id") -> DataFrame:
     """KG-04: supply-chain edges from filing text (already HTML-stripped and
     lower-cased). Every occurrence of another company's alias (substring,
     left to right, non-overlapping) opens a +-180 character window; supplier
     terms add (target -> source), customer terms add (source -> target);
     strength = min(0.95, 0.45 + 0.08 * count).
 
-    Candidate (filing, alias) pairs come from a broadcast join on
-    ``contains`` (the alias list is size-checked and bounded by the asset
-    universe); occurrences are found by splitting the text on the alias, so
+    Candidate (filing, alias) pairs come from a join on ``contains``;
+    occurrences are found by splitting the text on the alias, so
     positions are exact without a per-row Python loop."""
     al = filing_aliases(assets)
-    n = al.count()
-    if n > max_aliases:
-        raise ValueError(f"{n} aliases exceed the broadcast bound {max_aliases}")
-    al = F.broadcast(al)
     f = filings.select(F.col(key).alias("_fid"), F.upper(source).alias("src"), F.col(text).alias("_x"))
     pairs = f.join(al, f["_x"].contains(al["alias"]) & (f["src"] != al["ticker"]))
     parts = F.split(F.col("_x"), F.concat(F.lit("\\Q"), F.col("alias"), F.lit("\\E")), -1)

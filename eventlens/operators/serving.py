@@ -156,7 +156,8 @@ def rank_snapshot(df: DataFrame, mode: str = "ticker", asset_type: str | None =
            "volatile": F.abs("change").desc(), "impact": imp.desc(),
            "movers": (imp * F.abs("change")).desc()}.get(mode)
     order = [key, F.col("ticker")] if key is not None else [F.col("ticker")]
-    return d.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    from eventlens.operators.signals import row_index
+    return row_index(d, order, out="_at").withColumn("rank", (F.col("_at") + 1).cast("int")).drop("_at")
 
 
 def merge_live(bars: DataFrame, quotes: DataFrame, by: str = "asset_id", tolerance_s: int = 60) -> DataFrame:
@@ -313,9 +314,9 @@ def quality_summary(examples: DataFrame, articles: DataFrame, events: DataFrame,
     ex = examples.where(F.col("review_action").isin("approve", "reject"))
     tot_rev = ex.agg(F.count(F.lit(1))).scalar()
     appr = ex.agg(F.count(F.when(F.col("review_action") == "approve", 1))).scalar()
-    w = Window.orderBy(F.col("nlp_processed_at").desc(), F.col("article_id").desc())
+    # The newest ones by a top-k (each split sends at most the window), not by a global rank.
     lat = (articles.where(F.col("nlp_processed_at").isNotNull())
-           .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= latency_window)
+           .orderBy(F.col("nlp_processed_at").desc(), F.col("article_id").desc()).limit(latency_window)
            .where(F.col("created_at").isNotNull())
            .select(F.greatest(F.lit(0.0), seconds_between(F.col("nlp_processed_at"), F.col("created_at"))).alias("l")))
     p95 = lat.agg(nearest_rank(F.sort_array(F.collect_list("l")), 0.95)).scalar()

@@ -164,8 +164,8 @@ def row_index(df: DataFrame, order: Sequence[str], partitions: int | None = None
     ``monotonically_increasing_id`` and add the prefix sum of the per-partition
     counts (a table with one row per partition). No single-partition window
     over the data."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    r = cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    r = cut_lineage(ranged.sortWithinPartitions(*order))
     r = r.withColumn("_mid", F.monotonically_increasing_id())
     r = r.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_loc", F.col("_mid").bitwiseAND((1 << 33) - 1))
     cnt = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
