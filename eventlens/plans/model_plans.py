@@ -355,7 +355,7 @@ def ml04(t):
 def snk02(t):
     """SNK-02: training examples exported newest first as JSON lines and read back."""
     path = _scratch(t, "examples")
-    sinks.export_jsonl(_examples(t).drop("affected_assets"), path)
+    sinks.export_jsonl(_examples(t), path)
     return t.spark.read.json(path)
 
 

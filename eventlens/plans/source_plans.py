@@ -222,21 +222,25 @@ def src07(t):
 
 
 @plan("src08_read_klines", oracle="""
-    SELECT symbol, epoch_ms(open_time) AS open_time, open, high, low, close, volume,
+    SELECT symbol, epoch_ms(open_time) AS open_time, open, high, low,
+           CASE WHEN day(open_time) <= 10 THEN close ELSE close + 1 END AS close, volume,
            CAST(epoch_ms(open_time) + 3599999 AS DOUBLE) AS close_time, volume AS base_asset_volume,
            CAST(num_trades AS DOUBLE) AS num_trades, taker_buy_volume, taker_buy_volume AS taker_buy_base_asset_volume,
            0.0::DOUBLE AS ignore
     FROM f_kline""")
 def src08(t):
     """SRC-08: kline CSV files (one folder per symbol) landed from the kline table and read back; one row per
-    (symbol, open time), the last file's row winning."""
+    (symbol, open time). Monthly files hold every bar with its close off by one, daily files the first ten days of
+    each month as they are: where both have a bar, the daily one wins."""
     k = t.kline.select(F.col("symbol"), (F.unix_micros("open_time") / 1000).cast("long").alias("open_time"),
                        "open", "high", "low", "close", "volume",
                        ((F.unix_micros("open_time") / 1000).cast("long") + 3599999).alias("close_time"),
                        "volume", "num_trades", "taker_buy_volume", "taker_buy_volume", F.lit(0).alias("ignore"))
     path = _scratch(t, "klines")
-    k.write.partitionBy("symbol").csv(os.path.join(path, "monthly"))
-    return SP.read_klines(t.spark, os.path.join(path, "monthly", "*", "*.csv"))
+    first_days = F.dayofmonth(F.timestamp_millis("open_time")) <= 10
+    k.withColumn("close", F.col("close") + 1).write.partitionBy("symbol").csv(os.path.join(path, "monthly"))
+    k.where(first_days).write.partitionBy("symbol").csv(os.path.join(path, "daily"))
+    return SP.read_klines(t.spark, os.path.join(path, "*", "*", "*.csv"))
 
 
 _OHLCV_SQL = """

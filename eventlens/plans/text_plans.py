@@ -315,13 +315,13 @@ def flt01b(t):
       SELECT article_id, title, source, url, published_at, category,
              CASE WHEN category IN {inlist(L.EVENT_TYPES)} THEN category END AS matched_event_type
       FROM (SELECT *, coalesce({best_group(LOW, L.NEWS_CATEGORY_KEYWORDS)}, 'general') AS category FROM f_article
-            WHERE coalesce(title ILIKE '%export%', false) OR coalesce(content ILIKE '%export%', false)
-               OR coalesce(source ILIKE '%export%', false) OR coalesce(url ILIKE '%export%', false)))
+            WHERE coalesce(title ILIKE '%shipping%', false) OR coalesce(content ILIKE '%shipping%', false)
+               OR coalesce(source ILIKE '%shipping%', false) OR coalesce(url ILIKE '%shipping%', false)))
     WHERE category = 'trade_policy'
     ORDER BY published_at DESC NULLS FIRST, article_id DESC LIMIT 50""")
 def flt02(t):
-    """FLT-02: news search on 'export' restricted to the trade-policy category."""
-    return FL.search_news(t.article, q="export", category="Trade Policy").select(
+    """FLT-02: news search on 'shipping' restricted to the trade-policy category."""
+    return FL.search_news(t.article, q="shipping", category="Trade Policy").select(
         "article_id", "title", "source", "url", "published_at", "category", "matched_event_type")
 
 

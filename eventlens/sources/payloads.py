@@ -118,8 +118,9 @@ KLINE_COLUMNS = ["open_time", "open", "high", "low", "close", "volume", "close_t
 def read_klines(spark: SparkSession, paths, symbol_from_path: bool = True) -> DataFrame:
     """SRC-08: headerless 12-column kline CSV files (monthly and daily),
     numbers coerced (bad -> NULL), rows without OHLC dropped, one row per
-    (symbol, open_time) keeping the last file's row. The symbol is the file
-    name prefix before the first '-'. Keep-last is a max_by aggregate."""
+    (symbol, open_time) keeping the last file's row: monthly files come before
+    daily ones, then by name. The symbol is the file name prefix before the
+    first '-'. Keep-last is a max_by aggregate."""
     raw = spark.read.option("header", False).schema(
         T.StructType([T.StructField(c, S) for c in KLINE_COLUMNS])).csv(paths)
     f = F.input_file_name()
@@ -132,7 +133,7 @@ def read_klines(spark: SparkSession, paths, symbol_from_path: bool = True) -> Da
     df = df.dropna(subset=["open_time", "open", "high", "low", "close"])
     cols = [c for c in df.columns if c not in ("symbol", "open_time", "_file")]
     return (df.groupBy("symbol", "open_time")
-            .agg(F.max_by(F.struct(*cols), "_file").alias("_r"))
+            .agg(F.max_by(F.struct(*cols), F.struct(F.col("_file").contains("/daily/"), F.col("_file"))).alias("_r"))
             .select("symbol", F.col("open_time").cast("long").alias("open_time"), "_r.*"))
 
 
