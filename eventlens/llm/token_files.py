@@ -160,7 +160,7 @@ def read_token_files(directory: DataFrame) -> DataFrame:
                             ["doc_id", "start", "n_tokens", "ids_crc32"])
                         base += int(ends[-1])
 
-    spread = files.select("path", "base").repartition(F.col("path"))
+    spread = files.select("path", "base").repartition(max(1, directory.count()))  # a file a task
     return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

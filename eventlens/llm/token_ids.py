@@ -12,25 +12,32 @@ import re
 
 import numpy as np
 
-#: Chunks remembered in a worker; the memory is emptied when it is full.
-MAX_CHUNKS = 400_000
+#: Words and encoded chunks remembered in a worker; a memory is emptied when it is full.
+MAX_WORDS = 500_000
+MAX_CHUNKS = 800_000
+#: Chunks encoded in one call.
+CALL_CHUNKS = 512
 
 _TAIL = ".,#*&%$!"
 _DOUBLE_SPACE = re.compile(r"\s\s")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-_ENDS_IN_LETTER = re.compile(r"[a-zA-Zà-öø-ÿ]$")  # letters that stay one letter in lower case
+# Letters that stay one letter in lower case.
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, range(0xE0, 0xF7))) + "øùúûüýþÿ")
 
 
 class ChunkEncoder:
     """``encode(texts)`` gives the ids of each text as little-endian bytes of
     ``dtype``, the same as the library gives for the whole text."""
 
-    def __init__(self, path: str, max_chunks: int = MAX_CHUNKS):
+    def __init__(self, path: str, max_words: int = MAX_WORDS, max_chunks: int = MAX_CHUNKS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.max_chunks = max_chunks
+        self.max_words, self.max_chunks = max_words, max_chunks
+        # A special token cuts a text before anything else looks at it, so it can stand between chunks.
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.cut_id, self.cut = next((i, t.content) for i, t in sorted(added.items()) if t.special)
         # A tokenizer that drops white space sees no difference between "a" and " a".
         self.drops_space = not self._ids([" "])[0]
         self.folds_case = self._ids(["A"]) == self._ids(["a"])
@@ -42,46 +49,56 @@ class ChunkEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(i, self.dtype).tobytes() for i in self._ids(texts)]
+    def _bytes(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk: many chunks in one call, with the cut between."""
+        plain = [c for c in chunks if self.cut not in c]
+        parts = [plain[i:i + CALL_CHUNKS] for i in range(0, len(plain), CALL_CHUNKS)]
+        out: dict[str, bytes] = {}
+        width = self.dtype.itemsize
+        for part, ids in zip(parts, self._ids([self.cut.join(p) for p in parts])):
+            ids = np.array(ids, self.dtype)
+            raw, cuts = ids.tobytes(), np.flatnonzero(ids == self.cut_id) * width
+            out.update(zip(part, (raw[a:b] for a, b in zip([0, *(cuts + width).tolist()], [*cuts.tolist(), len(raw)]))))
+        if len(plain) < len(chunks):
+            odd = [c for c in chunks if self.cut in c]
+            out.update(zip(odd, (np.array(i, self.dtype).tobytes() for i in self._ids(odd))))
+        return [out[c] for c in chunks]
 
     def _encode_new(self, chunks: list[str]) -> None:
-        new = [c for c in dict.fromkeys(chunks) if c not in self.core]
+        new = list(set(chunks).difference(self.core))
         if len(self.core) + len(new) > self.max_chunks:
             self.core.clear()
-            new = list(dict.fromkeys(chunks))
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            self.core.update(zip(part, self._bytes(part)))
+            new = list(set(chunks))
+        self.core.update(zip(new, self._bytes(new)))
 
     def _learn(self, words: set[str]) -> None:
         """Encode unknown words: a letter and a run of marks after it are two
         pre-tokens, so the marks are split off; plain ASCII is folded."""
-        if len(self.known) + len(words) > self.max_chunks:
-            self.known.clear()
-        split = []
+        lead, folds = self.lead, self.folds_case
+        heads, tails = [], []
         for w in words:
-            head = w.rstrip(_TAIL)
-            if head == w or not _ENDS_IN_LETTER.search(head):
-                head, tail = w, ""
-            else:
-                tail = w[len(head):]
-            if self.folds_case and head.isascii():
+            head, tail = w.rstrip(_TAIL), ""
+            if len(head) != len(w):
+                if head and head[-1] in _LETTERS:
+                    tail = w[len(head):]
+                else:
+                    head = w
+            if folds and head.isascii():
                 head = head.lower()
-            split.append((w, self.lead + head, tail))
-        self._encode_new([h for _, h, _ in split] + [t for _, _, t in split if t])
+            heads.append(lead + head if lead else head)
+            tails.append(tail)
+        self._encode_new(heads + [t for t in set(tails) if t])
         core = self.core
-        for w, h, t in split:
-            self.known[w] = core[h] + core[t] if t else core[h]
+        self.known.update((w, core[h] + core[t] if t else core[h]) for w, h, t in zip(words, heads, tails))
 
     def _joined(self, lists: list[list[str]]) -> list[bytes]:
         missing = set().union(*lists) - self.known.keys()
-        if len(missing) > self.max_chunks // 2:  # more than memory holds: in parts
+        if len(missing) > self.max_words // 2:  # more than memory holds: in parts
             half = len(lists) // 2
             if half:
                 return self._joined(lists[:half]) + self._joined(lists[half:])
         if missing:
-            if len(self.known) + len(missing) > self.max_chunks:
+            if len(self.known) + len(missing) > self.max_words:
                 self.known.clear()
                 missing = set().union(*lists)
             self._learn(missing)

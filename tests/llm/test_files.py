@@ -27,7 +27,7 @@ def test_chunks_give_the_librarys_ids(path):
     texts = ["", "  a  b", "a\n\nb", "a \n b", "The.\nTo x ", "\n", "a\tb c", "don't it's we'LL, x's.,", "<|endoftext|> a<|endoftext|>b",
              "Σας ΟΔΟΣ. İstanbul", "a\x1cb \x85 c", "é ́x", "日本 語。 ー", "x\r\ny z\r\n\r\n w", "ﬁ ǅ ẞ", "tail  \n"]
     texts += ["".join(rng.choice(marks) for _ in range(rng.randrange(60))) for _ in range(2000)]
-    enc = ChunkEncoder(path, max_chunks=500)
+    enc = ChunkEncoder(path, max_words=500, max_chunks=700)
     whole = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [enc.ids(x).tolist() for x in enc.encode(texts)] == whole
 
