@@ -109,32 +109,26 @@ def filing_aliases(assets: DataFrame) -> DataFrame:
             .where(F.col("alias").isNotNull() & (F.col("alias") != "")).distinct())
 
 
+# A word of a filing or an alias.
+WORD = r"[\p{L}\p{N}_]+"
+
+
 def filing_edges(filings: DataFrame, assets: DataFrame, *, text: str = "text",
-                 source: str = "source_ticker", key: str = "filing_id") -> DataFrame:
+                 source: str = "source_ticker", key: str = "filing_id", substring: bool = False) -> DataFrame:
     """KG-04: supply-chain edges from filing text (already HTML-stripped and
-    lower-cased). Every occurrence of another company's alias (substring,
-    left to right, non-overlapping) opens a +-180 character window; supplier
-    terms add (target -> source), customer terms add (source -> target);
-    strength = min(0.95, 0.45 + 0.08 * count).
-
-    Candidate (filing, alias) pairs come from a join on ``contains``;
-    occurrences are found by splitting the text on the alias, so
-    positions are exact without a per-row Python loop."""
-    al = filing_aliases(assets)
+    lower-cased). Every occurrence of another company's alias opens a +-180
+    character window; supplier terms add (target -> source), customer terms
+    add (source -> target); strength = min(0.95, 0.45 + 0.08 * count).
+
+    An occurrence is a run of whole words equal to the alias's words: the
+    filing's word n-grams, with their places, are joined to the aliases by
+    equality. ``substring=True`` also matches inside words (left to right,
+    non-overlapping); that takes a join on ``contains``."""
+    find = _substring_windows if substring else _word_windows
     f = filings.select(F.col(key).alias("_fid"), F.upper(source).alias("src"), F.col(text).alias("_x"))
-    pairs = f.join(al, f["_x"].contains(al["alias"]) & (f["src"] != al["ticker"]))
-    parts = F.split(F.col("_x"), F.concat(F.lit("\\Q"), F.col("alias"), F.lit("\\E")), -1)
-    # Start of occurrence i (0-based chars) = sum of lengths of parts[0..i] + i * len(alias).
-    occ = pairs.select("_fid", "src", "ticker", "alias", "_x",
-                       F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("i", "_p"))
-    wp = Window.partitionBy("_fid", "ticker", "alias").orderBy("i")
-    occ = occ.withColumn("_cum", F.sum(F.length("_p")).over(wp.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.col("_cum") + F.col("i") * F.length("alias")
-    lo = F.greatest(F.lit(0), start - L.FILING_WINDOW)
-    hi = F.least(F.length("_x"), start + F.length("alias") + L.FILING_WINDOW)
-    win = F.substring("_x", lo + 1, hi - lo)
-    sup = F.greatest(*[win.contains(t) for t in L.SUPPLIER_TERMS])
-    cus = F.greatest(*[win.contains(t) for t in L.CUSTOMER_TERMS])
+    occ = find(f, filing_aliases(assets))
+    sup = F.greatest(*[F.col("win").contains(t) for t in L.SUPPLIER_TERMS])
+    cus = F.greatest(*[F.col("win").contains(t) for t in L.CUSTOMER_TERMS])
     hits = occ.select("src", "ticker", sup.alias("sup"), cus.alias("cus"))
     e1 = hits.where("sup").select(F.col("ticker").alias("s"), F.col("src").alias("t"))
     e2 = hits.where("cus").select(F.col("src").alias("s"), F.col("ticker").alias("t"))
@@ -145,6 +139,51 @@ def filing_edges(filings: DataFrame, assets: DataFrame, *, text: str = "text",
                       F.lit("SEC_FILING").alias("data_source"), "mentions")
 
 
+def _window_text(start, end):
+    lo = F.greatest(F.lit(0), start - L.FILING_WINDOW)
+    return F.substring("_x", lo + 1, F.least(F.length("_x"), end + L.FILING_WINDOW) - lo).alias("win")
+
+
+def _word_windows(f: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(src, ticker, win) of whole-word occurrences. Only the hits meet the
+    filing texts again."""
+    words = F.regexp_extract_all("alias", F.lit(WORD), F.lit(0))
+    al = (aliases.select("ticker", F.array_join(words, " ").alias("gram"), F.size(words).alias("n"))
+          .where("n > 0").distinct())
+    lengths = [r["n"] for r in al.select("n").distinct().orderBy("n").collect()]
+    w = Window.partitionBy("_fid").orderBy("pos")
+    pairs = F.zip_with(F.regexp_extract_all("_x", F.lit(WORD), F.lit(0)), F.split("_x", WORD, -1),
+                       lambda word, gap: F.struct(word.alias("word"), gap.alias("gap")))
+    toks = (f.select("_fid", "src", F.posexplode(pairs).alias("pos", "p")).select("_fid", "src", "pos", "p.word", "p.gap")
+            .where(F.col("word").isNotNull()))
+    through = lambda c: F.sum(F.length(c)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    toks = toks.withColumn("end", through("gap") + through("word"))
+    grams = [F.struct(F.lit(n).alias("n"),
+                      F.concat_ws(" ", *[F.lead("word", i).over(w) if i else F.col("word") for i in range(n)]).alias("gram"),
+                      (F.lead("end", n - 1).over(w) if n > 1 else F.col("end")).alias("end")) for n in lengths]
+    if not grams:
+        return f.select("src", F.col("src").alias("ticker"), F.col("_x").alias("win")).limit(0)
+    start = (F.col("end") - F.length("word")).alias("start")
+    runs = (toks.select("_fid", "src", start, F.array(*grams).alias("gs")).select("_fid", "src", "start", F.explode("gs").alias("g"))
+            .select("_fid", "src", "start", "g.n", "g.gram", F.col("g.end").alias("stop")).where(F.col("stop").isNotNull()))
+    hits = runs.join(al, ["n", "gram"]).where("src <> ticker").select("_fid", "ticker", "start", "stop")
+    return hits.join(f, "_fid").select("src", "ticker", _window_text(F.col("start"), F.col("stop")))
+
+
+def _substring_windows(f: DataFrame, al: DataFrame) -> DataFrame:
+    """(src, ticker, win) of occurrences anywhere; places are found by
+    splitting the text on the alias."""
+    pairs = f.join(al, f["_x"].contains(al["alias"]) & (f["src"] != al["ticker"]))
+    parts = F.split(F.col("_x"), F.concat(F.lit("\\Q"), F.col("alias"), F.lit("\\E")), -1)
+    # Start of occurrence i (0-based chars) = sum of lengths of parts[0..i] + i * len(alias).
+    occ = pairs.select("_fid", "src", "ticker", "alias", "_x",
+                       F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("i", "_p"))
+    wp = Window.partitionBy("_fid", "ticker", "alias").orderBy("i")
+    occ = occ.withColumn("_cum", F.sum(F.length("_p")).over(wp.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.col("_cum") + F.col("i") * F.length("alias")
+    return occ.select("src", "ticker", _window_text(start, start + F.length("alias")))
+
+
 def gazetteer(assets: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """KG-05: (label, pattern) entity patterns — ORG for tickers and names,
     GPE for countries; ``extra`` rows are appended; distinct."""

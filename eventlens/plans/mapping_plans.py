@@ -120,7 +120,7 @@ CHAIN = {
 }
 
 
-def mplan(name, sql):
+def mplan(name, sql=None):
     return plan(name, oracle=sql, extra_ctes=CHAIN)
 
 
@@ -351,6 +351,13 @@ def _filing_sql() -> str:
 def kg04(t):
     """KG-04: supply edges mined from filing texts (substring alias matches)."""
     f = t.filing.select("page_id", "source_ticker", F.concat(T.strip_html("html"), F.col("tail")).alias("text"))
+    return G.filing_edges(f, t.asset, key="page_id", substring=True)
+
+
+@mplan("kg04_filing_edges_words")
+def kg04w(t):
+    """KG-04: supply edges mined from filing texts (whole-word alias matches)."""
+    f = t.filing.select("page_id", "source_ticker", F.concat(T.strip_html("html"), F.col("tail")).alias("text"))
     return G.filing_edges(f, t.asset, key="page_id")
 
 

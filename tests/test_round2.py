@@ -75,3 +75,27 @@ def test_asof_is_linear_in_a_hot_bucket(spark):
     seconds(1_000)
     small, large = seconds(20_000), seconds(80_000)
     assert large < 6 * small + 3
+
+
+def test_filing_edges_match_whole_words(spark):
+    import re
+    from eventlens.operators.graph import filing_aliases, filing_edges
+    assets = spark.createDataFrame([("AA", "Alpha Corp"), ("BET", "Beta Works Inc"), ("GAM", "Gamma-Ray")], "ticker string, name string")
+    texts = [("AA", "our supplier beta works inc. and better betas; bet again " + "x " * 200 + "gamma-ray, a customer"),
+             ("BET", "alpha sales to alphabet and aa; " + "y " * 200 + "the alpha corp"), ("GAM", ""), ("GAM", None)]
+    filings = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(texts)], "filing_id int, source_ticker string, text string")
+    want = {}
+    for src, text in texts:
+        for ticker, alias in {(r.ticker, " ".join(re.findall(r"\w+", r.alias))) for r in filing_aliases(assets).collect()}:
+            words = [(m[0], m.start(), m.end()) for m in re.finditer(r"\w+", text or "")]
+            n = len(alias.split())
+            for i in range(len(words) - n + 1):
+                if src != ticker and " ".join(w for w, _, _ in words[i:i + n]) == alias:
+                    win = text[max(0, words[i][1] - 180):words[i + n - 1][2] + 180]
+                    if any(k in win for k in ("supplier", "supply chain", "sourced from", "procured from")):
+                        want[ticker, src] = want.get((ticker, src), 0) + 1
+                    if any(k in win for k in ("customer", "revenue from", "sales to")):
+                        want[src, ticker] = want.get((src, ticker), 0) + 1
+    got = {(r.source_key[6:], r.target_key[6:]): r.mentions for r in filing_edges(filings, assets).collect()}
+    assert got == want and want
+    assert filing_edges(filings, assets.limit(0)).count() == 0
