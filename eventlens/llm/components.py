@@ -1,15 +1,18 @@
 """Connected components of a link table by alternating large and small stars."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import written
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written to the shared folder, and a checksum of them that
+    the same job observes."""
+    seen = Observation()
+    watched = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+    return written(watched, "edges"), (seen.get["n"], seen.get["h"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,8 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     the smallest node reachable. Each round writes its edges to the shared
     folder; a vertex with very many links is reduced by the partial minimum
     before the shuffle, and its join is an ordinary one that Spark can split."""
-    edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = _state(edges)
+    edges, before = _kept(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while before[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
@@ -28,8 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = (large.join(least, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
                  .union(least.select("a", F.col("low").alias("b"))).distinct())
-        edges = written(small, "edges")
-        after = _state(edges)
+        edges, after = _kept(small)
         if after == before:
             break
         before = after
