@@ -13,9 +13,9 @@ Bands of registers give candidates; the overlap of the whole multisets
 verifies them.
 
 Links: texts with the same words are one class from the start. Each bucket's
-members are compared with one member (its pivot), not with one another; what
-is still in several components after two pivots is compared member by member,
-in blocks. Components of the links are the classes.
+members are compared with one member (its pivot), not with one another; in
+buckets still spread over several components after two pivots, the members
+outside the largest component are compared with all, in blocks. Components of the links are the classes.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased.
 Defined results: a text of one to four words has one shingle of all of them;
@@ -224,25 +224,28 @@ def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
 
 
 def _blockwise(members: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """Links between members (key, doc, component) of a bucket that are in
-    different components: blocks of the bucket against one another, each group
-    at most two blocks."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = (members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
-              .join(bags, "doc"))
+    """Links between members (key, doc, component, ...) of an open bucket that
+    are in different components. Those outside the bucket's largest component
+    are compared with all members, a block of each at a time; members of the
+    largest one never meet each other."""
+    own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "qb", "mb", "asks", "doc", "component"]
+    asking = (members.filter("component <> main").withColumn("qb", own("q_blocks")).withColumn("mb", every("m_blocks"))
+              .withColumn("asks", F.lit(True)).select(columns))
+    asked = (members.withColumn("mb", own("m_blocks")).withColumn("qb", every("q_blocks"))
+             .withColumn("asks", F.lit(False)).select(columns))
 
     def run(table: pa.Table) -> pa.Table:
-        docs, comp, own = (table.column(c).to_numpy() for c in ("doc", "component", "own"))
+        docs, comp = (table.column(c).to_numpy() for c in ("doc", "component"))
+        asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         bag = [np.frombuffer(x, np.uint64) for x in table.column("bag").to_pylist()]
-        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        out = [(docs[x], docs[y]) for x in range(len(docs)) for y in range(x)
-               if comp[x] != comp[y] and (same or own[x] != own[y])
-               and min(len(bag[x]), len(bag[y])) >= least * max(len(bag[x]), len(bag[y])) and _similarity(bag[x], bag[y]) >= least]
+        out = [(docs[x], docs[y]) for x in np.flatnonzero(asks) for y in np.flatnonzero(~asks & (comp != comp[x]))
+               if min(len(bag[x]), len(bag[y])) >= least * max(len(bag[x]), len(bag[y])) and _similarity(bag[x], bag[y]) >= least]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return placed.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    placed = asking.union(asked).join(bags, "doc")
+    return placed.groupBy("key", "qb", "mb").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -258,14 +261,15 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("doc"), "left_semi")
     bags = written(multisets(texts).dropDuplicates(["doc"]), "bags")
 
-    first = verified(members.filter("doc <> low").select(F.col("doc").alias("a"), F.col("low").alias("b")).distinct(), bags, least)
-    links = written(first, "links")
-    open_members = _still_open(members, links)
-    second = verified(open_members.filter("component <> high_component")
-                      .select(F.col("doc").alias("a"), F.col("high").alias("b")).distinct(), bags, least)
-    links = written(links.union(second), "links")
-    last = _blockwise(_still_open(members, links).select("key", "doc", "component"), bags, least)
-    comp = components(links.union(last))
+    first = written(verified(members.filter("doc <> low").select(F.col("doc").alias("a"), F.col("low").alias("b")).distinct(),
+                             bags, least), "links")
+    apart = members.filter("doc <> low AND doc <> high").join(
+        first, (F.col("doc") == F.col("a")) & (F.col("low") == F.col("b")), "left_anti")
+    second = verified(apart.select(F.col("doc").alias("a"), F.col("high").alias("b")).distinct(), bags, least)
+    comp = written(components(first.union(second)), "classes")
+    last = written(_blockwise(_still_open(members, comp), bags, least), "links")
+    if not last.isEmpty():
+        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(last))
 
     found = (sketched.join(reps.select("digest", F.col("doc").alias("node")), "digest", "left")
              .join(comp, "node", "left"))
@@ -274,14 +278,17 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         "kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
 
 
-def _still_open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of the buckets that are still spread over several components."""
-    comp = components(links)
-    named = (members.join(comp.withColumnRenamed("node", "doc"), "doc", "left")
+def _still_open(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, doc, component, main, q_blocks, m_blocks) of the buckets that are
+    spread over several components; ``main`` is the largest one."""
+    named = (members.select("key", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
              .withColumn("component", F.coalesce("component", "doc")))
-    spread = (named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"),
-                                       F.max_by("component", "doc").alias("high_component")).filter("c0 <> c1"))
-    return written(named.join(spread.select("key", "high_component"), "key"), "open-buckets")
+    spread = (named.groupBy("key", "component").agg(F.count("*").alias("n"))
+              .groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"),
+                                  F.sum("n").alias("total"), F.max("n").alias("most")).filter("total > most"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    load = spread.select("key", "main", blocks(F.col("total") - F.col("most")).alias("q_blocks"), blocks(F.col("total")).alias("m_blocks"))
+    return written(named.join(load, "key"), "open-buckets")
 
 
 def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
