@@ -43,11 +43,12 @@ DIRECTORY = ("first_key string, last_key string, archive string, index string, b
 
 def url_key(url: Column) -> Column:
     """Reversed-host sort key: ``https://www.Example.com:80/a?b#c`` gives
-    ``com,example,www)/a?b``."""
+    ``com,example,www)/a?b``. White space and control characters become ``_``."""
     url = F.coalesce(url, F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     rest = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^#]*)", 1)
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
+    key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
+    return F.regexp_replace(key, r"[\x00-\x20\x7f]", "_")
 
 
 def capture_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -139,7 +140,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01
                 coder = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 member = coder.compress(record(page_id, url, html.encode(), refers_to, date)) + coder.flush()
                 out.write(member)
-                lines.append(f"{_clean(key)}\t{'' if page_id is None else page_id}\t{at}\t{len(member)}")
+                lines.append(f"{key}\t{'' if page_id is None else page_id}\t{at}\t{len(member)}")
                 at += len(member)
                 if len(lines) == BLOCK_CAPTURES or at - records_at >= BLOCK_BYTES:
                     flush()
@@ -194,7 +195,7 @@ def lookup(directory: DataFrame, urls: list[str]) -> DataFrame:
     """The captures of some urls (a short list): key, url, payload and the
     columns of ``read_archives``."""
     spark = directory.sparkSession
-    wanted = sorted({_clean(r["k"]) for r in spark.createDataFrame([(u,) for u in urls], "u string")
+    wanted = sorted({r["k"] for r in spark.createDataFrame([(u,) for u in urls], "u string")
                     .select(url_key(F.col("u")).alias("k")).collect()})
     kinds = {"key": pa.string(), "url": pa.string(), "payload": pa.binary()} | _OUT
 
