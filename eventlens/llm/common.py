@@ -54,15 +54,19 @@ def text_slices(texts: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int
 
 def polynomial_hashes(codes: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
     """Polynomial hash (mod 2^64) of every window of ``length`` values of the
-    uint64 array ``codes``, by doubling: H(2p)[i] = H(p)[i] * base^p + H(p)[i+p]."""
+    uint64 array ``codes``, by doubling: H(2p)[i] = H(p)[i] * base^p + H(p)[i+p].
+    Only the parts that ``length`` is made of are kept."""
     n = len(codes) - length + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        parts, p, power = {1: (codes, base)}, 1, base
-        while p * 2 <= length:
-            h = parts[p][0]
-            parts[2 * p] = (h[:len(h) - p] * power + h[p:], power * power)
+        parts, p, power, h = {}, 1, base, codes
+        while True:
+            if length & p:
+                parts[p] = (h, power)
+            if p * 2 > length:
+                break
+            h = h[:len(h) - p] * power + h[p:]
             power, p = power * power, 2 * p
         out, done = None, 0
         for p in sorted(parts, reverse=True):

@@ -42,16 +42,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import byte_codes, mix64, polynomial_hashes, text_slices
-from eventlens.llm.suffix_sort import prefix_hashes, sort_suffixes, verified_extensions
+from eventlens.llm.suffix_sort import prefix_hashes, row_hashes, sort_suffixes, verified_extensions
 
 LENGTH = 50
 GRAM = 16
 REACH = LENGTH - GRAM             # bytes that a string can hold before its anchor
 CONTEXT = REACH + LENGTH
 CHUNK_DOCS = 256
-BUCKET_BYTES = 16 << 20
-_WINDOWS = 1 << 21                # windows whose minimum is taken at a time
-_SORT_ROWS = 50_000               # contexts sorted at a time (whole groups)
+BUCKET_BYTES = 8 << 20
+_WINDOWS = 1 << 19                # windows whose minimum is taken at a time
+_SORT_ROWS = 20_000               # contexts sorted at a time (whole groups)
 
 _CODES = byte_codes(17)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -107,6 +107,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return place, grams[place]
 
 
+def _buckets(gram: np.ndarray, bits: int) -> np.ndarray:
+    """Buckets of grams; mixed once more, since anchors have small hashes."""
+    return (mix64(gram ^ _BASE) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class _Refs:
     """Documents of a packed table: id, checksum of the text (rows may share an
     id), and how many entries each has."""
@@ -127,16 +132,16 @@ def _named(texts: pa.Array, ids: pa.Array, row: int, end: int, data: np.ndarray,
 
 
 def _anchor_blobs(rows: DataFrame, bits: int) -> DataFrame:
-    """(bucket, blob): anchors of each run of texts by the top bits of the gram."""
+    """(bucket, blob): anchors of each run of texts by bucket of the gram."""
     def run(batches):
         for b in batches:
-            for row, end, data, off in text_slices(b.column("text"), 4 << 20):
+            for row, end, data, off in text_slices(b.column("text"), 1 << 20):
                 place, gram = anchors(data, off)
                 if not len(place):
                     continue
                 refs = _named(b.column("text"), b.column("doc_id"), row, end, data, off)
                 text = np.searchsorted(off, place, side="right") - 1
-                bucket = (gram >> np.uint64(64 - bits)).astype(np.int64)
+                bucket = _buckets(gram, bits)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0))
                 blobs = []
@@ -237,6 +242,14 @@ def _places_of(blobs: list[bytes]) -> dict[tuple[int, int], list[np.ndarray]]:
     return {k: [np.concatenate(c) for c in zip(*v)] for k, v in out.items()}
 
 
+def _differ(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows ``a`` and ``b`` differ, a slice at a time."""
+    out = np.empty(len(a), bool)
+    for i in range(0, len(a), _SORT_ROWS):
+        out[i:i + _SORT_ROWS] = (rows[a[i:i + _SORT_ROWS]] != rows[b[i:i + _SORT_ROWS]]).any(1)
+    return out
+
+
 def _contexts(texts: pa.Table, shared: pa.Table, bits: int) -> pa.Table:
     """Step 2 in a chunk: (bucket, blob) of distinct contexts and their places."""
     places = _places_of(shared.column("blob").to_pylist())
@@ -261,14 +274,15 @@ def _contexts(texts: pa.Table, shared: pa.Table, bits: int) -> pa.Table:
         return empty
     m, l, r, d, p = map(np.concatenate, (rows, left, right, doc_no, pos))
     gram = gram_hashes((m[:, REACH:REACH + GRAM] - 1).astype(np.uint8).reshape(-1))[::GRAM] if len(m) else np.empty(0, np.uint64)
-    whole = prefix_hashes(m)[:, -1]
+    whole = row_hashes(m)
     order = np.lexsort((d, whole, gram))
     g, w = gram[order], whole[order]
     new = np.append(True, (g[1:] != g[:-1]) | (w[1:] != w[:-1]))
-    same = new | (m[order] == m[np.append(order[0], order[:-1])]).all(1)
-    new |= ~same                            # equal hashes of other bytes are contexts of their own
+    new[1:] |= _differ(m, order[1:], order[:-1])  # equal hashes of other bytes are contexts of their own
+    bucket = _buckets(g, bits)
+    by = np.argsort(bucket, kind="stable")   # equal contexts stay together
+    order, new, bucket = order[by], new[by], bucket[by]
     context = np.cumsum(new) - 1
-    bucket = (g >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.flatnonzero(np.append(True, np.diff(bucket) > 0))
     packer = zstandard.ZstdCompressor(level=1)
     id_table, crc_table = np.array(ids, np.int64), np.array(crcs, np.uint32)
@@ -336,14 +350,16 @@ def _spans(table: pa.Table) -> pa.Table:
         context.append(np.repeat(np.arange(n, n + len(l)), count))
         ids.append(d[number]), crcs.append(c[number]), pos.append(p.astype(np.int64))
         n += len(l)
-    rows, left, right, context, doc, crc, pos = map(np.concatenate, (codes, left, right, context, ids, crcs, pos))
+    rows = np.concatenate(codes)
+    codes.clear()
+    left, right, context, doc, crc, pos = map(np.concatenate, (left, right, context, ids, crcs, pos))
     # equal contexts of several chunks are one, owned by the smallest document
     gram = gram_hashes((rows[:, REACH:REACH + GRAM] - 1).astype(np.uint8).reshape(-1))[::GRAM]
-    whole = prefix_hashes(rows)[:, -1]
+    whole = row_hashes(rows)
     by = np.lexsort((whole, gram))
     g, w = gram[by], whole[by]
     new = np.append(True, (g[1:] != g[:-1]) | (w[1:] != w[:-1]))
-    new |= ~(rows[by] == rows[np.append(by[0], by[:-1])]).all(1)
+    new[1:] |= _differ(rows, by[1:], by[:-1])
     number = np.empty(len(by), np.int64)
     number[by] = np.cumsum(new) - 1
     one = by[new]

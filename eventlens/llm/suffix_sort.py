@@ -20,6 +20,15 @@ def prefix_hashes(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each whole row."""
+    out = np.zeros(len(rows), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(rows.shape[1]):
+            out = out * _BASE + _CODES[rows[:, k]]
+    return out
+
+
 def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the longest common prefix of rows ``a`` and ``b``, by binary
     search over their prefix hashes."""
