@@ -1,11 +1,11 @@
 """WARC archives with a two-level capture index (operator 7).
 
-Captures are sorted by reversed-host URL key (``com,example,www)/path``), each
-range of keys becomes one archive: a gzip member per record. Beside it lies
-its index: lines sorted by key, in compressed blocks. The block directory, one
-row per block, is the sparse upper level. A lookup binary-searches the
-directory, reads one block by its range, binary-searches the block and reads
-the record by its range.
+Each task writes its pages to one archive, a gzip member per record. The
+captures are then sorted by reversed-host URL key (``com,example,www)/path``)
+into index files of compressed blocks: only keys and places move, no payload.
+The block directory, one row per block, is the sparse upper level. A lookup
+binary-searches the directory, reads one block by its range, binary-searches
+the block and reads the record by its range.
 
 Of records with equal payloads of at least ``min_bytes`` bytes, that with the
 smallest page_id is a response, the others are revisits of it; smaller
@@ -24,7 +24,7 @@ import hashlib
 import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,11 +34,10 @@ from eventlens.llm.common import shared_path, written
 from eventlens.llm.files import opened, published
 
 BLOCK_CAPTURES = 256
-BLOCK_BYTES = 4 << 20
 LEVEL = 5
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DIRECTORY = ("first_key string, last_key string, archive string, index string, block_at bigint, block_length bigint, "
-             "records_at bigint, records_length bigint, captures bigint")
+CAPTURES = "key string, page_id bigint, archive string, at bigint, length bigint"
+DIRECTORY = "first_key string, last_key string, index string, block_at bigint, block_length bigint, captures bigint"
 
 
 def url_key(url: Column) -> Column:
@@ -103,73 +102,77 @@ def parse_record(raw: bytes) -> dict:
 
 
 def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Write all pages as archives with their index; returns the directory."""
+    """Write all pages as archives; returns the captures: key, page_id,
+    archive, at, length. Payloads are shuffled once, by page_id."""
     folder = shared_path(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "key": url_key(F.col("url"))})
-    roles = capture_roles(rows, min_bytes)
-    ordered = (rows.join(roles, ["page_id", "digest"], "left").select("key", "page_id", "url", "html", "refers_to")
-               .repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id"))
+    placed = rows.join(capture_roles(rows, min_bytes), ["page_id", "digest"], "left").select("key", "page_id", "url", "html", "refers_to")
 
     def write(batches):
         from pyspark import TaskContext
-        task = TaskContext.get().partitionId()
-        archive, index = f"{folder}/pages-{task:06d}.warc.gz", f"{folder}/pages-{task:06d}.cdx.gz"
+        archive = f"{folder}/pages-{TaskContext.get().partitionId():06d}.warc.gz"
         first = next(batches, None)
         if first is None:
             return
-
-        def all_rows():
+        keys, ids, places, lengths, at = [], [], [], [], 0
+        with published(archive) as out:
             for b in itertools.chain([first], batches):
-                yield from zip(*(c.to_pylist() for c in b.columns))
-
-        blocks = []
-        with published(archive) as out, published(index) as idx:
-            lines, at, block_at, records_at = [], 0, 0, 0
-
-            def flush():
-                nonlocal block_at, records_at
-                packed = zlib.compress("\n".join(lines).encode(), LEVEL)
-                idx.write(packed)
-                blocks.append((lines[0].split("\t")[0], lines[-1].split("\t")[0], archive, index, block_at, len(packed),
-                               records_at, at - records_at, len(lines)))
-                block_at, records_at = block_at + len(packed), at
-                lines.clear()
-
-            for key, page_id, url, html, refers_to in all_rows():
-                coder = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                member = coder.compress(record(page_id, url, html.encode(), refers_to, date)) + coder.flush()
-                out.write(member)
-                lines.append(f"{key}\t{'' if page_id is None else page_id}\t{at}\t{len(member)}")
-                at += len(member)
-                if len(lines) == BLOCK_CAPTURES or at - records_at >= BLOCK_BYTES:
-                    flush()
-            if lines:
-                flush()
+                for key, page_id, url, html, refers_to in zip(*(c.to_pylist() for c in b.columns)):
+                    coder = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                    member = coder.compress(record(page_id, url, html.encode(), refers_to, date)) + coder.flush()
+                    out.write(member)
+                    keys.append(key), ids.append(page_id), places.append(at), lengths.append(len(member))
+                    at += len(member)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.int64()), pa.array([archive] * len(keys), pa.string()),
+                                          pa.array(places, pa.int64()), pa.array(lengths, pa.int64())],
+                                         ["key", "page_id", "archive", "at", "length"])
+
+    return written(placed.mapInArrow(write, CAPTURES), "captures")
+
+
+def index_captures(captures: DataFrame) -> DataFrame:
+    """Sort the captures by key into index files of compressed blocks;
+    returns the block directory."""
+    folder = shared_path(captures.sparkSession, "cdx")
+    ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+
+    def write(batches):
+        from pyspark import TaskContext
+        index = f"{folder}/captures-{TaskContext.get().partitionId():06d}.cdx.z"
+        first = next(batches, None)
+        if first is None:
+            return
+        blocks, at = [], 0
+        with published(index) as out:
+            rows = (r for b in itertools.chain([first], batches) for r in zip(*(c.to_pylist() for c in b.columns)))
+            while block := list(itertools.islice(rows, BLOCK_CAPTURES)):
+                packed = zlib.compress("\n".join("\t".join("" if v is None else str(v) for v in r) for r in block).encode(), LEVEL)
+                out.write(packed)
+                blocks.append((block[0][0], block[-1][0], index, at, len(packed), len(block)))
+                at += len(packed)
         names = [c.split()[0] for c in DIRECTORY.split(", ")]
         yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*blocks)))))
 
-    return written(ordered.mapInArrow(write, DIRECTORY), "warc-directory")
+    return written(ordered.mapInArrow(write, DIRECTORY), "cdx-directory")
 
 
-def _index_block(entry: dict) -> list[tuple[str, int, int]]:
-    """(key, offset, length) of each capture of a block, read by its range."""
+def _index_block(entry: dict) -> list[tuple[str, str, int, int]]:
+    """(key, archive, at, length) of each capture of a block, read by its range."""
     with opened(entry["index"]) as f:
         f.seek(entry["block_at"])
         lines = zlib.decompress(f.read(entry["block_length"])).decode().split("\n")
-    return [(k, int(at), int(n)) for k, _, at, n in (line.split("\t") for line in lines)]
+    return [(k, archive, int(at), int(n)) for k, _, archive, at, n in (line.split("\t") for line in lines)]
 
 
-def _records(entry: dict, captures: list[tuple[str, int, int]]) -> Iterator[dict]:
-    """Records of neighbouring captures, by one range read."""
-    if not captures:
-        return
-    begin = captures[0][1]
-    with opened(entry["archive"]) as f:
-        f.seek(begin)
-        raw = f.read(captures[-1][1] + captures[-1][2] - begin)
-    for key, at, n in captures:
-        yield {"key": key} | parse_record(zlib.decompress(raw[at - begin:at - begin + n], 31))
+def _records(captures: Iterable[tuple[str, str, int, int]]) -> Iterator[dict]:
+    """Records of captures, each by its range; an archive stays open while
+    captures of it follow one another."""
+    for archive, part in itertools.groupby(captures, key=lambda c: c[1]):
+        with opened(archive) as f:
+            for key, _, at, n in part:
+                f.seek(at)
+                yield {"key": key} | parse_record(zlib.decompress(f.read(n), 31))
 
 
 _OUT = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(),
@@ -182,13 +185,23 @@ def _batch(rows: list[dict], kinds: dict) -> pa.RecordBatch:
 
 
 def read_archives(directory: DataFrame) -> DataFrame:
-    """Every record of every archive, block by block."""
-    def read(batches):
+    """Every capture of the index, read from its archive in order of place."""
+    def captures(batches):
         for b in batches:
             for entry in b.to_pylist():
-                yield _batch(list(_records(entry, _index_block(entry))), _OUT)
+                keys, archives, places, lengths = zip(*_index_block(entry))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(archives), pa.array(places, pa.int64()), pa.array(lengths, pa.int64())],
+                                                 ["key", "archive", "at", "length"])
+
+    def read(batches):
+        for b in batches:
+            found = _records(zip(*(c.to_pylist() for c in b.columns)))
+            while rows := list(itertools.islice(found, BLOCK_CAPTURES)):
+                yield _batch(rows, _OUT)
 
-    return directory.repartition(F.col("archive"), F.col("block_at")).mapInArrow(read, _SCHEMA)
+    tasks = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = directory.mapInArrow(captures, "key string, archive string, at bigint, length bigint")
+    return listed.repartition(tasks, "archive").sortWithinPartitions("archive", "at").mapInArrow(read, _SCHEMA)
 
 
 def lookup(directory: DataFrame, urls: list[str]) -> DataFrame:
@@ -209,7 +222,7 @@ def lookup(directory: DataFrame, urls: list[str]) -> DataFrame:
                     captures = _index_block(rows[at])
                     lo = bisect.bisect_left(captures, key, key=lambda c: c[0])
                     hi = bisect.bisect_right(captures, key, key=lambda c: c[0])
-                    found = list(_records(rows[at], captures[lo:hi]))
+                    found = list(_records(captures[lo:hi]))
                     if found:
                         yield _batch(found, kinds)
                     at -= 1
@@ -218,4 +231,4 @@ def lookup(directory: DataFrame, urls: list[str]) -> DataFrame:
 
 
 def archive_report(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    return read_archives(write_archives(pages, min_bytes))
+    return read_archives(index_captures(write_archives(pages, min_bytes)))

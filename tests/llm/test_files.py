@@ -15,7 +15,7 @@ from eventlens.llm.embedding_links import MultiIndex, embedding_links
 from eventlens.llm.packing import WINDOW, deal, differencing, pack_report
 from eventlens.llm.token_files import pack_ranks, token_file_report, unpack_ranks
 from eventlens.llm.token_ids import ChunkEncoder
-from eventlens.llm.warc import archive_report, lookup, read_archives, write_archives
+from eventlens.llm.warc import archive_report, index_captures, lookup, read_archives, write_archives
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
@@ -125,7 +125,7 @@ def test_archives_odd_rows_and_lookup(spark):
     rows = [(1, "http://a.com/x", "q"), (2, None, "q"), (3, "junk", None), (4, "", ""), (5, "https://B.a.com:80/z?1#f", "é" * 100),
             (5, "https://B.a.com:80/z?1#f", "é" * 100), (6, "http://a.com/x", "w\r\n\r\nw"), (7, "http://a.com/\r\ny", "w" * 300_000), (None, "u", "q")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("digest", F.lit(2))
-    directory = write_archives(df)
+    directory = index_captures(write_archives(df))
     assert sorted((tuple(r) for r in read_archives(directory).collect()), key=str) == _captures(rows)
     found = {(r.page_id, bytes(r.payload)) for r in lookup(directory, ["http://a.com/x", "https://b.a.com/z?1", "http://none"]).collect()}
     assert found == {(1, b"q"), (6, b"w\r\n\r\nw"), (5, ("é" * 100).encode())}
