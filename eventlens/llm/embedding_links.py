@@ -15,9 +15,8 @@ compared in blocks, and a block pair gives counts per vector and a spanning
 set of its links, never all pairs.
 
 Defined results: null, zero and empty vectors and those with null or
-non-finite parts link with nothing; vectors of other lengths than the most
-common one are compared among those of their own length only if that is the
-most common one, else they link with nothing; rows without vec_id take no part;
+non-finite parts link with nothing; vectors are compared among those of their
+own length, each length with an index of its own; rows without vec_id take no part;
 repeated rows of a vec_id with the same vector count once; an empty table
 gives no row. Other columns (labels) are not read.
 """
@@ -130,11 +129,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding as doubles) of the vectors that can link."""
     e = F.col("embedding").cast("array<double>")
-    ok = vectors.filter(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).filter(
+    return vectors.filter(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).filter(
         F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("embedding", lambda x: x != 0))
-    sizes = ok.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return ok.filter(F.size("embedding") == (sizes["d"] if sizes else 0))
 
 
 def _unit(vectors: DataFrame) -> DataFrame:
@@ -146,28 +143,30 @@ def _unit(vectors: DataFrame) -> DataFrame:
 
 
 def fit_index(distinct: DataFrame, rows: int, cosine: float = COSINE, sample: int = SAMPLE) -> MultiIndex:
-    """Fit on about ``sample`` rows chosen by a hash of the id."""
+    """Fit on about ``sample`` rows, all of one length, chosen by a hash of the id."""
     share = min(1.0, sample / max(1, rows))
     picked = distinct.filter(F.pmod(F.xxhash64("vec_id", F.lit(10)), F.lit(1 << 24)) < int(share * (1 << 24)) + 1)
     return MultiIndex.fit(_matrix(picked.orderBy("vec_id").select("unit").toArrow().column("unit")), rows, cosine)
 
 
-def _placed(distinct: DataFrame, index: MultiIndex) -> DataFrame:
-    shared = distinct.sparkSession.sparkContext.broadcast(index)
+def _placed(distinct: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
+    """Adds the cell and the cells to visit, by the index of the vector's length."""
+    shared = distinct.sparkSession.sparkContext.broadcast(indexes)
 
     def run(batches):
         for b in batches:
-            x = _matrix(b.column("unit"))
-            if not len(x):
-                continue
-            visits = shared.value.traverse(x)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * visits.shape[1], pa.int32()), pa.array(visits.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("copies"), b.column("unit"),
-                                              pa.array(shared.value.cells(x)), lists],
-                                             ["vec_id", "copies", "unit", "cell", "visits"])
+            sizes = b.column("unit").value_lengths().to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes).tolist():
+                part, index = b.filter(pa.array(sizes == size)), shared.value[size]
+                x = _matrix(part.column("unit"))
+                visits = index.traverse(x)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * visits.shape[1], pa.int32()), pa.array(visits.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("copies"), part.column("unit"),
+                                                  pa.array(np.full(len(x), size, np.int32)), pa.array(index.cells(x)), lists],
+                                                 ["vec_id", "copies", "unit", "size", "cell", "visits"])
 
     return distinct.select("vec_id", "copies", "unit").mapInArrow(
-        run, "vec_id bigint, copies bigint, unit array<double>, cell bigint, visits array<bigint>")
+        run, "vec_id bigint, copies bigint, unit array<double>, size int, cell bigint, visits array<bigint>")
 
 
 def _compare(table: pa.Table, cosine: float) -> pa.Table:
@@ -210,20 +209,20 @@ def _compare(table: pa.Table, cosine: float) -> pa.Table:
 def find_links(placed: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(a, b, n): ``n`` links found for ``a`` (with copies counted), and ``b``
     reachable from ``a`` by links of the same block pair (b = a if none)."""
-    asked = placed.select("vec_id", "copies", "unit", F.col("cell").alias("home"), F.explode("visits").alias("cell"))
-    load = (asked.groupBy("cell").agg(F.count("*").alias("asks"))
-            .join(placed.groupBy("cell").agg(F.count("*").alias("holds")), "cell")
-            .select("cell", F.ceil(F.col("asks") / BLOCK).cast("int").alias("q_blocks"),
+    asked = placed.select("vec_id", "copies", "unit", "size", F.col("cell").alias("home"), F.explode("visits").alias("cell"))
+    load = (asked.groupBy("size", "cell").agg(F.count("*").alias("asks"))
+            .join(placed.groupBy("size", "cell").agg(F.count("*").alias("holds")), ["size", "cell"])
+            .select("size", "cell", F.ceil(F.col("asks") / BLOCK).cast("int").alias("q_blocks"),
                     F.ceil(F.col("holds") / BLOCK).cast("int").alias("m_blocks")))
     load = written(load, "cell-load")
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["cell", "qb", "mb", "member", "vec_id", "copies", "unit", "home", "visits"]
-    queries = (asked.join(load, "cell").withColumn("qb", own("q_blocks")).withColumn("mb", every("m_blocks"))
+    columns = ["size", "cell", "qb", "mb", "member", "vec_id", "copies", "unit", "home", "visits"]
+    queries = (asked.join(load, ["size", "cell"]).withColumn("qb", own("q_blocks")).withColumn("mb", every("m_blocks"))
                .withColumns({"member": F.lit(0), "visits": F.lit(None).cast("array<bigint>")}).select(columns))
-    members = (placed.withColumn("home", F.col("cell")).join(load, "cell").withColumn("mb", own("m_blocks"))
+    members = (placed.withColumn("home", F.col("cell")).join(load, ["size", "cell"]).withColumn("mb", own("m_blocks"))
                .withColumn("qb", every("q_blocks")).withColumn("member", F.lit(1)).select(columns))
-    return queries.union(members).groupBy("cell", "qb", "mb").applyInArrow(
+    return queries.union(members).groupBy("size", "cell", "qb", "mb").applyInArrow(
         lambda t: _compare(t, cosine), "a bigint, b bigint, n bigint")
 
 
@@ -233,10 +232,10 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     by_vector = units.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count_distinct("vec_id").alias("copies"),
                                                F.first("unit").alias("unit"))
     distinct = written(by_vector.select("vec_id", "copies", "unit", "embedding"), "distinct-vectors")
-    rows = distinct.count()
-    if rows:
-        index = fit_index(distinct, rows, cosine)
-        found = written(find_links(written(_placed(distinct, index), "placed-vectors"), cosine), "links")
+    sizes = distinct.groupBy(F.size("unit").alias("d")).agg(F.count("*").alias("n")).collect()  # one row per length
+    if sizes:
+        indexes = {r["d"]: fit_index(distinct.filter(F.size("unit") == r["d"]), r["n"], cosine) for r in sizes}
+        found = written(find_links(written(_placed(distinct, indexes), "placed-vectors"), cosine), "links")
         counts = found.groupBy("a").agg(F.sum("n").alias("others"))
         comp = components(found.select("a", "b"))
     else:
