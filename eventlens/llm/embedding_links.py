@@ -149,6 +149,18 @@ def fit_index(distinct: DataFrame, rows: int, cosine: float = COSINE, sample: in
     return MultiIndex.fit(_matrix(picked.orderBy("vec_id").select("unit").toArrow().column("unit")), rows, cosine)
 
 
+def _indexes(distinct: DataFrame, cosine: float) -> dict[int, MultiIndex]:
+    """An index for each vector length. Where the rows make one cell, there is
+    nothing to fit, so rare lengths cost no job."""
+    out = {}
+    for r in distinct.groupBy(F.size("unit").alias("d")).agg(F.count("*").alias("n")).collect():  # one row per length
+        if r["n"] < 4 * CELL_ROWS:
+            out[r["d"]] = MultiIndex(np.zeros((1, r["d"] // 2)), np.zeros((1, r["d"] - r["d"] // 2)), 1)
+        else:
+            out[r["d"]] = fit_index(distinct.filter(F.size("unit") == r["d"]), r["n"], cosine)
+    return out
+
+
 def _placed(distinct: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
     """Adds the cell and the cells to visit, by the index of the vector's length."""
     shared = distinct.sparkSession.sparkContext.broadcast(indexes)
@@ -232,9 +244,8 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     by_vector = units.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count_distinct("vec_id").alias("copies"),
                                                F.first("unit").alias("unit"))
     distinct = written(by_vector.select("vec_id", "copies", "unit", "embedding"), "distinct-vectors")
-    sizes = distinct.groupBy(F.size("unit").alias("d")).agg(F.count("*").alias("n")).collect()  # one row per length
-    if sizes:
-        indexes = {r["d"]: fit_index(distinct.filter(F.size("unit") == r["d"]), r["n"], cosine) for r in sizes}
+    indexes = _indexes(distinct, cosine)
+    if indexes:
         found = written(find_links(written(_placed(distinct, indexes), "placed-vectors"), cosine), "links")
         counts = found.groupBy("a").agg(F.sum("n").alias("others"))
         comp = components(found.select("a", "b"))

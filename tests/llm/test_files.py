@@ -157,6 +157,23 @@ def test_embeddings_match_brute_force(spark):
     assert np.mean([got[i * 3].component_id == label[i] for i in range(1500)]) > 0.98
 
 
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for k, (n, d) in enumerate([(900, 16), (700, 8), (3, 1)]):
+        x = rng.standard_normal((n, d))
+        x[n // 2:n // 2 + n // 3] = x[0]
+        ids = np.arange(n) * 3 + k
+        links, label = _linked(ids, x / np.linalg.norm(x, axis=1)[:, None])
+        rows += [(int(i), v.tolist()) for i, v in zip(ids, x)]
+        want |= {int(i): (int(a), int(b)) for i, a, b in zip(ids, links, label)}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for k, low in enumerate([0.98, 0.98, 1.0]):
+        ids = [i for i in want if i % 3 == k]
+        assert sum(got[i][0] for i in ids) >= low * sum(want[i][0] for i in ids) and all(got[i][0] <= want[i][0] for i in ids)
+        assert np.mean([got[i][1] == want[i][1] for i in ids]) >= low
+
+
 def test_traversal_visits_the_nearest_cells():
     rng = np.random.default_rng(6)
     index = MultiIndex(rng.standard_normal((9, 4)), rng.standard_normal((9, 4)), 20)
