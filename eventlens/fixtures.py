@@ -89,9 +89,12 @@ class Tables:
         source (one file per trigger), for the Structured Streaming operators."""
         path = os.path.join(self.sf_dir, f"{name}.parquet")
         if stream:
-            schema = self.spark.read.parquet(path).schema
-            df = (self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-                  .option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir))
+            table = self.spark.read.parquet(path)
+            df = self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
+            if all(f.endswith(f"/{name}.parquet") for f in table.inputFiles()):
+                df = df.option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+            else:  # a folder of part files
+                df = df.parquet(path)
         else:
             df = spread(self.spark.read.parquet(path)) if name in SPREAD_TABLES else self.spark.read.parquet(path)
         # Source timestamps carry no zone; the session runs in UTC.
