@@ -1,18 +1,18 @@
 """Connected components of a link table by alternating large and small stars."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import written
 
 
 def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges, written to the shared folder, and a checksum of them that
-    the same job observes."""
-    seen = Observation()
-    watched = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-    return written(watched, "edges"), (seen.get["n"], seen.get["h"])
+    """The edges, written to the shared folder, and a checksum of them read
+    from the files just written (two numbers reach the driver)."""
+    kept = written(edges, "edges")
+    seen = kept.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    return kept, (seen["n"], seen["h"])
 
 
 def components(links: DataFrame) -> DataFrame:

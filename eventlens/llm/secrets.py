@@ -31,7 +31,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import written
+from eventlens.llm.common import shared_path, written
 from eventlens.llm.spans import regex_spans
 
 PADDING = r"(?:={1,2}+(?![A-Za-z0-9_/+=-]))?+"
@@ -175,7 +175,12 @@ def train(findings: DataFrame, words: DataFrame) -> RandomForestClassificationMo
     first = rows.groupBy("proposal").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "proposal"]), order).alias("r")).select("proposal", "r.*")
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_features(first, words))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="features")
-    return forest.fit(written(data.select("label", "features"), "labelled-findings"))
+    fitted = forest.fit(written(data.select("label", "features"), "labelled-findings"))
+    # A fitted model keeps its training summary and with it the session, which
+    # tasks can't always be sent; a loaded one holds the trees alone.
+    path = shared_path(findings.sparkSession, "forest")
+    fitted.write().save(path)
+    return RandomForestClassificationModel.load(path)
 
 
 def _outermost(kept: DataFrame) -> DataFrame:
