@@ -1,0 +1,3 @@
+"""Folders of the given tables."""
+SF001 = "/root/testdata/sf0.001"
+SF01 = "/root/testdata/sf0.01"

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventlens.operators import features as X
-from conftest import SF001
+from paths import SF001
 
 
 def _series(spark, t):

@@ -8,7 +8,7 @@ import pytest
 from eventlens.plans import REGISTRY
 from eventlens.plans.check import compare, duck
 
-from conftest import SF01
+from paths import SF01
 
 SLOW = {"ml01_train_text", "ml02_train_mixed", "ml03_train_breakout", "ml04_train_forest", "str08_stream_events"}
 _con = None

@@ -3,7 +3,7 @@ mapping layers, pushdown reaches the scan."""
 import pytest
 
 from eventlens.plans import REGISTRY
-from conftest import SF001
+from paths import SF001
 
 BATCH = ["agg01_event_heatmap", "mkt01_asof_price", "txt05_relevance_score", "map02_extract_mentions",
          "map04_expand_graph", "map06_expand_similar", "alr01_match_alerts", "fea06_label_breakout",
