@@ -60,6 +60,11 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.spelling import corpus_words, variant_groups
+    return variant_groups(corpus_words(table(spark, sf_dir, "documents"), slip_every=31))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_token_files": op2_token_files,
@@ -71,6 +76,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_repeats": op9_repeats,
     "op10_embedding_links": op10_embedding_links,
+    "op11_spelling": op11_spelling,
 }
 
 _ORACLES: dict[str, str] = {}
