@@ -65,6 +65,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_groups(corpus_words(table(spark, sf_dir, "documents"), slip_every=31))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.licenses import license_report
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_token_files": op2_token_files,
@@ -77,6 +82,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeats": op9_repeats,
     "op10_embedding_links": op10_embedding_links,
     "op11_spelling": op11_spelling,
+    "op12_licenses": op12_licenses,
 }
 
 _ORACLES: dict[str, str] = {}
