@@ -8,7 +8,8 @@ holds it, the others are empty); the two partitions with the largest imbalance
 are merged with opposing order, until one partition with near-equal windows is
 left. If a window is over capacity, the batch is dealt anew to one window
 more. Batches end where the tokens fill their windows but for a small slack,
-so a piece may be cut there and go on in the next batch.
+so a piece may be cut there and go on in the next batch; a batch of very many
+small pieces ends earlier, with fewer windows.
 
 Defined results: null text counts as empty (one piece with the end id only);
 equal texts and repeated ids are packed each on its own; an empty table gives
@@ -25,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import text_slices
 from eventlens.llm.token_ids import encoder
 
 WINDOW = 2048
 PIECE = 256
 BATCH_WINDOWS = 256
+#: Pieces dealt at once, a bound for the memory of a batch of tiny documents.
+BATCH_PIECES = 4096
 SLACK = 1  # tokens a window that a batch leaves free
 
 
@@ -78,11 +80,11 @@ def deal(sizes: np.ndarray, capacity: int = WINDOW) -> tuple[np.ndarray, int]:
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, piece: int = PIECE,
-         batch_windows: int = BATCH_WINDOWS) -> DataFrame:
+         batch_windows: int = BATCH_WINDOWS, batch_pieces: int = BATCH_PIECES) -> DataFrame:
     """One row per piece: doc_id, start (ids of its document before it),
     length, ids (little-endian uint32), doc_tokens, sequence_id, offset. Each
     task packs the documents of its split: no shuffle, and never more than a
-    batch of pieces in memory."""
+    batch of pieces and one run of texts in memory."""
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
               ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
@@ -99,13 +101,26 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
             nonlocal sequence
             filled = [0] * windows
             for (doc_id, start, ids, total), w in zip(pieces, to.tolist()):
-                rows.append((doc_id, start, len(ids), ids.astype("<u4").tobytes(), total, sequence + w, filled[w]))
+                rows.append((doc_id, start, len(ids), ids.tobytes(), total, sequence + w, filled[w]))
                 filled[w] += len(ids)
             sequence += windows
 
-        def flush():
-            place(waiting, *deal(np.array([len(p[2]) for p in waiting], np.int64), window))
-            waiting.clear()
+        def flush(tokens):
+            """Deal the first ``tokens`` tokens that wait; a piece is cut where they end."""
+            nonlocal held
+            n, filled = 0, 0
+            while n < len(waiting) and filled + len(waiting[n][2]) <= tokens:
+                filled += len(waiting[n][2])
+                n += 1
+            now = waiting[:n]
+            del waiting[:n]
+            if filled < tokens:
+                doc_id, at, ids, total = waiting[0]
+                cut = tokens - filled
+                now.append((doc_id, at, ids[:cut], total))
+                waiting[0] = (doc_id, at + cut, ids[cut:], total)
+            held -= tokens
+            place(now, *deal(np.array([len(p[2]) for p in now], np.int64), window))
 
         def take():
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], [f for f, _ in fields])
@@ -113,27 +128,30 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
             return out
 
         for b in batches:
-            texts = b.column("text")
-            for row, end, _, _ in text_slices(texts, 8 << 20):
-                doc_ids = b.column("doc_id").slice(row, end - row).to_pylist()
-                coded = enc.encode([t or "" for t in texts.slice(row, end - row).to_pylist()])
-                for doc_id, c in zip(doc_ids, coded):
-                    ids = np.append(enc.ids(c), enc.dtype.type(end_id))
-                    total, at = len(ids), 0
+            doc_ids = b.column("doc_id").to_pylist()
+            for row, end, flat, ends in enc.encode(b.column("text")):
+                flat = np.insert(flat, ends, end_id).astype("<u4")        # after each document's ids
+                ends = (ends + np.arange(1, end - row + 1)).tolist()
+                begin = 0
+                for doc_id, stop in zip(doc_ids[row:end], ends):
+                    ids, total, at = flat[begin:stop], stop - begin, 0
+                    begin = stop
                     while total - at >= window:
                         place([(doc_id, at, ids[at:at + window], total)], np.zeros(1, np.int64), 1)
                         at += window
                     while at < total:
-                        n = min(piece, total - at, target - held)
+                        n = min(piece, total - at)
                         waiting.append((doc_id, at, ids[at:at + n], total))
                         at, held = at + n, held + n
-                        if held == target:
-                            flush()
-                            held = 0
+                        if held >= target:
+                            flush(target)
+                        elif len(waiting) >= batch_pieces and held >= window - SLACK:
+                            flush(held // (window - SLACK) * (window - SLACK))
+                waiting = [(i, at, ids.copy(), total) for i, at, ids, total in waiting]  # what waits doesn't hold the run's ids
                 if rows:
                     yield take()
         if waiting:
-            flush()
+            flush(held)
         if rows:
             yield take()
 

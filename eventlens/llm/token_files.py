@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import shared_path, text_slices, written
+from eventlens.llm.common import shared_path, written
 from eventlens.llm.files import opened, published
 from eventlens.llm.token_ids import encoder
 
@@ -112,23 +113,30 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_ids: i
             doc_ids, lengths, parts, held = [], [], [], 0
 
             def flush():
-                out.write(encode_block(np.array(doc_ids, np.int64), np.array(lengths, np.int64), np.concatenate(parts)))
+                nonlocal held
+                out.write(encode_block(np.concatenate(doc_ids), np.concatenate(lengths), np.concatenate(parts)))
                 doc_ids.clear(), lengths.clear(), parts.clear()
+                held = 0
 
             for b in itertools.chain([first], batches):
-                texts = b.column("text")
-                for row, end, _, _ in text_slices(texts, 8 << 20):
-                    ids_here = b.column("doc_id").slice(row, end - row).to_pylist()
-                    for doc_id, coded in zip(ids_here, enc.encode([t or "" for t in texts.slice(row, end - row).to_pylist()])):
-                        ids = np.append(enc.ids(coded), enc.dtype.type(end_id))
-                        if held and held + len(ids) > block_ids:
-                            flush()
-                            held = 0
-                        doc_ids.append(NULL_ID if doc_id is None else doc_id)
-                        lengths.append(len(ids))
-                        parts.append(ids)
-                        held += len(ids)
-                        n_docs, n_ids = n_docs + 1, n_ids + len(ids)
+                numbers = pc.fill_null(b.column("doc_id"), NULL_ID).to_numpy()
+                for row, end, ids, ends in enc.encode(b.column("text")):
+                    ids = np.insert(ids, ends, end_id)                    # after each document's ids
+                    ends = ends + np.arange(1, end - row + 1)
+                    n_docs, n_ids = n_docs + end - row, n_ids + len(ids)
+                    here, begin = 0, 0
+                    while here < end - row:                               # as many documents as the block has room for
+                        stop = int(np.searchsorted(ends, begin + block_ids - held, side="right"))
+                        if stop == here:
+                            if held:
+                                flush()
+                                continue
+                            stop += 1
+                        doc_ids.append(numbers[row + here:row + stop])
+                        lengths.append(np.diff(np.append(begin, ends[here:stop])))
+                        parts.append(ids[begin:ends[stop - 1]])
+                        held += int(ends[stop - 1]) - begin
+                        here, begin = stop, int(ends[stop - 1])
             if parts:
                 flush()
         yield pa.RecordBatch.from_pydict({"file_no": pa.array([task], pa.int64()), "path": [uri],

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,9 +28,14 @@ def test_chunks_give_the_librarys_ids(path):
     texts = ["", "  a  b", "a\n\nb", "a \n b", "The.\nTo x ", "\n", "a\tb c", "don't it's we'LL, x's.,", "<|endoftext|> a<|endoftext|>b",
              "Σας ΟΔΟΣ. İstanbul", "a\x1cb \x85 c", "é ́x", "日本 語。 ー", "x\r\ny z\r\n\r\n w", "ﬁ ǅ ẞ", "tail  \n"]
     texts += ["".join(rng.choice(marks) for _ in range(rng.randrange(60))) for _ in range(2000)]
-    enc = ChunkEncoder(path, max_words=500, max_chunks=700)
-    whole = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [enc.ids(x).tolist() for x in enc.encode(texts)] == whole
+    texts += ["A" * 40 + ", " + "long" * 30 + ".", "<|ENDOFTEXT|> Ab", None, "x" * 5000, "ÀÉ., é, ×. a\x01 b"]
+    enc = ChunkEncoder(path, max_chunks=700, piece=300)  # a memory that is emptied often
+    whole = [e.ids for e in enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    got = []
+    for row, end, ids, ends in enc.encode(pa.array(texts, pa.string()), max_bytes=3000):
+        assert row == len(got) and end - row == len(ends)
+        got += [x.tolist() for x in np.split(ids, ends[:-1])]
+    assert got == whole
 
 
 def test_ranks_round_trip():
@@ -96,6 +102,15 @@ def test_packing_odd_rows(spark):
     assert pack_report(spark.sql(ODD).limit(0), BYTE).count() == 0
 
 
+def test_packing_very_many_tiny_texts(spark):
+    import time
+    df = spark.range(600_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a b").otherwise("").alias("text"))
+    began = time.time()
+    r = pack_report(df, BYTE).agg(F.sum("length").alias("n"), F.count_distinct("sequence_id").alias("k"), F.count_distinct("doc_id").alias("d")).first()
+    assert r.n == 1_000_000 and r.d == 600_000 and r.k <= 1.01 * r.n / WINDOW + 2
+    assert time.time() - began < 120
+
+
 def test_differencing_balances_and_capacity_raises_windows():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 257, 600)
