@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from eventlens.llm import oracles
 from eventlens.llm.common import table
 
 
@@ -70,6 +71,11 @@ def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.lexical_search import ranked_search
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_token_files": op2_token_files,
@@ -83,9 +89,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_links": op10_embedding_links,
     "op11_spelling": op11_spelling,
     "op12_licenses": op12_licenses,
+    "op13_search": op13_search,
 }
 
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, Callable[[], str]] = {
+    "op12_licenses": oracles.licenses,
+    "op13_search": oracles.search,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -93,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return {k: sql() for k, sql in _ORACLES.items()}
