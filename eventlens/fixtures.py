@@ -64,6 +64,12 @@ ARTICLE_CONTEXT = ("Geopolitical risk lifts treasury yield and crude shipping ro
                    "stocks and currency volatility rise.")
 
 
+# Later reports on the same story (article updates) of half the documents, and
+# what a quarter of them add to the body.
+UPDATE_ID = 1_000_000_000
+UPDATE_BODY = " A nationwide emergency: record default."
+
+
 def elem(values: list, idx: Column) -> Column:
     """values[idx] as a column expression (0-based)."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
@@ -291,6 +297,33 @@ class Tables:
                          .otherwise(ts_plus_seconds(F.lit("2024-02-01 00:00:00").cast("timestamp"),
                                                     did + did % 120)).alias("nlp_processed_at")))
 
+    @functools.cached_property
+    def article_update(self) -> DataFrame:
+        """A second report on the story of every document with doc_id % 4 in (1, 2):
+        same title and day, a minute later, from another source; one in 40 has no url."""
+        did = F.col("article_id")
+        return (self.article.where((did % 4).isin(1, 2)).select(
+            (did + UPDATE_ID).alias("article_id"), "title",
+            F.when(did % 8 == 1, F.concat("content", F.lit(UPDATE_BODY))).otherwise(F.col("content")).alias("content"),
+            F.when(did % 4 == 1, "Reuters").otherwise("a blog").alias("source"),
+            F.when(did % 40 == 21, "").otherwise(F.concat("url", F.lit("/update"))).alias("url"),
+            ts_plus_seconds(F.col("published_at"), F.lit(60)).alias("published_at"),
+            ts_plus_seconds(F.col("created_at"), F.lit(86400)).alias("created_at"), "lang",
+            F.lit(None).cast("timestamp").alias("nlp_processed_at")))
+
+    @functools.cached_property
+    def wire(self) -> DataFrame:
+        """Articles and their updates."""
+        return self.article.unionByName(self.article_update)
+
+    @functools.cached_property
+    def kg_edge_stale(self) -> DataFrame:
+        """The graph with edges to assets that are listed no more."""
+        s = self.raw("supplier").where(F.col("s_suppkey") % 50 == 7).select(F.col("s_suppkey").cast("string").alias("k"))
+        return self.kg_edge.unionByName(s.select(
+            F.concat(F.lit("ASSET:S"), "k").alias("source_key"), F.concat(F.lit("ASSET:OLD"), "k").alias("target_key"),
+            F.lit("SUPPLIES_TO").alias("relationship"), F.lit(0.4).alias("strength")))
+
     @functools.cached_property
     def event_article(self) -> DataFrame:
         return self.raw("documents").select(

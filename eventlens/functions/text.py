@@ -248,9 +248,10 @@ def recency_score(ts, as_of) -> Column:
             .otherwise(0.52))
 
 
-def market_context(text, n_tickers, *, low=None) -> Column:
-    """TXT-15: 0.42 + 0.07 per market term + 0.2 per ticker (capped at 1)."""
-    hits = contains_count(col(low) if low is not None else F.lower(col(text)), L.MARKET_CONTEXT_TERMS)
+def market_context(text, n_tickers, *, low=None, hits=None) -> Column:
+    """TXT-15: 0.42 + 0.07 per market term + 0.2 per ticker (capped at 1).
+    ``hits``: the number of market terms when already counted."""
+    hits = col(hits) if hits is not None else contains_count(col(low) if low is not None else F.lower(col(text)), L.MARKET_CONTEXT_TERMS)
     n = col(n_tickers) if not isinstance(n_tickers, int) else F.lit(n_tickers)
     return F.least(F.lit(1.0), 0.42 + hits * 0.07 + F.least(F.lit(1.0), n * 0.2))
 

@@ -28,12 +28,12 @@ def clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
 # EVT-01 / EVT-02 / EVT-03 scoring expressions
 # ---------------------------------------------------------------------------
 
-def confidence_expr(base, source, published_at, low, n_tickers, as_of) -> Column:
+def confidence_expr(base, source, published_at, low, n_tickers, as_of, market_hits=None) -> Column:
     """EVT-01: 0.46 base + 0.20 source + 0.16 recency + 0.18 market context,
     + 0.02 per asset (max 3), clamped to 0..0.95."""
     n = col(n_tickers)
     blended = (0.46 * col(base) + 0.20 * T.source_score(source) + 0.16 * T.recency_score(published_at, as_of)
-               + 0.18 * T.market_context(None, n, low=low))
+               + 0.18 * T.market_context(None, n, low=low, hits=market_hits))
     return clamp(blended + 0.02 * F.least(F.lit(3), n), 0.0, 0.95)
 
 
@@ -44,16 +44,17 @@ def status_expr(conf) -> Column:
 
 
 def score_confidence(df: DataFrame, as_of, *, base="base_confidence", source="source",
-                     published_at="published_at", low="_t_low", n_tickers="n_tickers") -> DataFrame:
+                     published_at="published_at", low="_t_low", n_tickers="n_tickers", market_hits=None) -> DataFrame:
     """EVT-01 on a frame: ``confidence`` and ``status`` columns."""
-    return (df.withColumn("confidence", confidence_expr(base, source, published_at, low, n_tickers, as_of))
+    return (df.withColumn("confidence", confidence_expr(base, source, published_at, low, n_tickers, as_of, market_hits))
             .withColumn("status", status_expr("confidence")))
 
 
-def severity_expr(event_type, low, conf, n_tickers) -> Column:
+def severity_expr(event_type, low, conf, n_tickers, hits=None) -> Column:
     """EVT-02: type bias + min(2, high-impact hits // 2) + confidence and
-    multi-asset lifts, clamped to 1..5."""
-    hits = contains_count(col(low), L.HIGH_IMPACT_TERMS)
+    multi-asset lifts, clamped to 1..5. ``hits``: the number of high-impact
+    terms when already counted."""
+    hits = col(hits) if hits is not None else contains_count(col(low), L.HIGH_IMPACT_TERMS)
     bias = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in L.SEVERITY_TYPE_BIAS.items()
                                                   for x in kv]), col(event_type)), F.lit(3))
     score = (bias + F.least(F.lit(2), F.floor(hits / 2).cast("int"))
@@ -140,28 +141,37 @@ def gate_counts(gated: DataFrame) -> DataFrame:
 # EVT-04 build events
 # ---------------------------------------------------------------------------
 
-def annotate(articles: DataFrame, as_of) -> DataFrame:
-    """Per-article NLP (language, relevance, sentiment, event type, country,
-    polarity) with the prepared text forms kept for later steps."""
+def annotate(articles: DataFrame, as_of, aliases: MP.AliasIndex) -> DataFrame:
+    """All that the event build reads from an article's text, row by row: NLP
+    columns, the first gate it fails, and for articles that pass these gates
+    term counts, impact signal, country, text tags and alias candidates. The
+    text itself is not kept."""
     a = articles.withColumn("_text", T.article_text("title", "content"))
     a = T.prepare_text(a, F.col("_text"))
     a = (a.withColumn("_lang", T.language_score(norm="_t_norm"))
-         .withColumn("language_code", F.col("_lang.code"))
-         .withColumn("language_confidence", F.col("_lang.confidence"))
          .withColumn("relevance_score", T.relevance_score(norm="_t_norm", nlow="_t_nlow", source="source"))
-         .withColumn("relevance_label", T.relevance_label("relevance_score"))
-         .withColumn("sentiment_score", T.sentiment(norm="_t_norm", nlow="_t_nlow"))
-         .withColumn("_et", T.infer_event_type(low="_t_low"))
-         .withColumn("event_type", F.col("_et.event_type"))
-         .withColumn("base_confidence", F.when(F.col("_et._h") > 0, F.col("_et._c")).otherwise(0.0))
-         .withColumn("nlp_processed_at", ts_lit(as_of))
-         .drop("_lang", "_et"))
-    return a
+         .withColumn("_et", T.infer_event_type(low="_t_low")))
+    lang_ok = F.col("_lang.code").isin(L.ALLOWED_LANGUAGES) & (F.col("_lang.confidence") >= L.MIN_LANGUAGE_CONFIDENCE)
+    reason = (F.when(~lang_ok, "language").when(F.col("relevance_score") < L.RELEVANCE_THRESHOLD, "relevance")
+              .when(F.col("_et.event_type").isNull(), "no_event_type"))
+    a = a.withColumn("_reject", reason)
+    passed = lambda c: F.when(F.col("_reject").isNull(), c)
+    return a.select(
+        "article_id", "title", "source", "url", "published_at", "created_at",
+        F.col("_lang.code").alias("language_code"), F.col("_lang.confidence").alias("language_confidence"),
+        "relevance_score", T.relevance_label("relevance_score").alias("relevance_label"),
+        T.sentiment(norm="_t_norm", nlow="_t_nlow").alias("sentiment_score"), ts_lit(as_of).alias("nlp_processed_at"),
+        F.col("_et.event_type").alias("event_type"), F.when(F.col("_et._h") > 0, F.col("_et._c")).otherwise(0.0).alias("base_confidence"),
+        "_reject",
+        passed(contains_count(F.col("_t_low"), L.MARKET_CONTEXT_TERMS)).alias("_market"),
+        passed(contains_count(F.col("_t_low"), L.HIGH_IMPACT_TERMS)).alias("_high"),
+        passed(T.impact_signal(low="_t_low")).alias("_sig"), passed(T.extract_country(low="_t_low")).alias("country"),
+        passed(MP.text_tags(F.col("_text"))).alias("text_tags"), passed(aliases.candidates(F.col("_text"))).alias("_cand"))
 
 
 def build_events(articles: DataFrame, assets: DataFrame, edges: DataFrame, as_of, *,
                  existing_events: DataFrame | None = None, existing_links: DataFrame | None = None,
-                 existing_impacts: DataFrame | None = None) -> dict[str, DataFrame]:
+                 existing_impacts: DataFrame | None = None, corpus=None) -> dict[str, DataFrame]:
     """EVT-04: articles -> (events, event_articles, impacts, tags, rejections).
 
     Order of gates as in the reference: language, relevance, event type,
@@ -172,52 +182,48 @@ def build_events(articles: DataFrame, assets: DataFrame, edges: DataFrame, as_of
     same key, those three are replaced only when the new confidence is
     higher. An article without a time forms its own event (a NULL day never
     matches). Impacts: first article, then lowest layer, wins per (event, asset).
+
+    Layer 4 compares with ``corpus`` (``mapping.similarity_corpus``); without
+    one it is made from the existing events and impacts, if there are any.
+    What is checkpointed between the steps holds scores and short arrays; the
+    text is read once for them, and the body joined back to the new events.
     """
     key = "article_id"
-    a = annotate(articles, as_of)
-    lang_ok = a["language_code"].isin(L.ALLOWED_LANGUAGES) & (a["language_confidence"] >= L.MIN_LANGUAGE_CONFIDENCE)
-    reason = (F.when(~lang_ok, "language").when(F.col("relevance_score") < L.RELEVANCE_THRESHOLD, "relevance")
-              .when(F.col("event_type").isNull(), "no_event_type"))
-    a = a.withColumn("_reject", reason)
-    # The annotated batch feeds every later branch (mentions, tags, layers,
-    # gates, merge): materialise it once in the shared checkpoint folder so
-    # the text work is not repeated per branch and the plan stays small.
-    a = cut_lineage(a)
+    aliases = MP.AliasIndex.of(MP.asset_aliases(assets))
+    a = cut_lineage(annotate(articles, as_of, aliases))
     s1 = a.where(F.col("_reject").isNull())
 
-    aliases = MP.asset_aliases(assets)
-    docs = s1.select(key, F.col("_text").alias("text"))
-    l1 = cut_lineage(MP.extract_mentions(docs, aliases, key=key))
+    l1 = cut_lineage(aliases.mentions(s1, key, "_cand"))
     nt = l1.groupBy(key).agg(F.count(F.lit(1)).alias("n_tickers"))
-    s2 = (s1.join(nt, key, "left").fillna(0, subset=["n_tickers"]))
-    s2 = score_confidence(s2, as_of)
+    s2 = (s1.drop("_cand").join(nt, key, "left").fillna(0, subset=["n_tickers"]))
+    s2 = score_confidence(s2, as_of, market_hits="_market")
     s2 = s2.withColumn("_reject", F.when(F.col("status") == "rejected", "low_confidence"))
     low_conf = s2.where(F.col("_reject").isNotNull())
     s2 = s2.where(F.col("_reject").isNull())
-    mc = T.market_context(None, F.col("n_tickers"), low="_t_low")
-    s2 = (s2.withColumn("country", T.extract_country(low="_t_low"))
-          .withColumn("relevance", clamp((F.col("confidence") + mc) / 2))
-          .withColumn("_sig", T.impact_signal(low="_t_low"))
+    mc = T.market_context(None, F.col("n_tickers"), hits="_market")
+    s2 = (s2.withColumn("relevance", clamp((F.col("confidence") + mc) / 2))
           .withColumn("impact_direction", direction_expr("event_type", "_sig.polarity"))
           .withColumn("impact_strength", strength_expr("confidence", "_sig.intensity"))
-          .withColumn("severity", severity_expr("event_type", "_t_low", "confidence", "n_tickers"))
+          .withColumn("severity", severity_expr("event_type", None, "confidence", "n_tickers", hits="_high"))
           .withColumn("event_time", F.coalesce(F.col("published_at"), ts_lit(as_of)))
-          .drop("_sig"))
+          .drop("_sig", "_market", "_high"))
     s2 = cut_lineage(s2)
 
     l1s = l1.join(s2.select(key), key, "left_semi")
-    tags = MP.entity_tags(s2.select(key, F.col("_text").alias("text")), l1s, assets, key=key)
+    tags = MP.merge_tags(s2.select(key, "text_tags"), l1s, assets, key=key)
     l2 = MP.expand_graph(l1s, edges, key=key)
     l3 = MP.expand_sector(l1s, assets, s2.select(key, "relevance"), key=key)
     direct = (l1s.select(key, "ticker").unionByName(l2.select(key, "ticker"))
               .unionByName(l3.select(key, "ticker")).distinct())
-    if existing_events is not None and existing_impacts is not None:
+    if corpus is None and existing_events is not None and existing_impacts is not None:
         corpus = MP.similarity_corpus(existing_events, existing_impacts, assets)
-        l4 = MP.expand_similar(s2.select(key, F.col("_text").alias("text"), "event_type"), corpus, direct, key=key)
+    if corpus is not None:
+        texts = articles.select(key, T.article_text("title", "content").alias("text")).join(s2.select(key, "event_type"), key)
+        l4 = MP.expand_similar(texts, corpus, direct, key=key)
     else:
         l4 = l3.limit(0)
     proposed = direct.unionByName(l4.select(key, "ticker")).distinct()
-    gated = cut_lineage(quality_gates(s2, assets, proposed, existing_events, existing_links, key=key))
+    gated = cut_lineage(quality_gates(s2.drop("text_tags"), assets, proposed, existing_events, existing_links, key=key))
     gate_fail = gated.where(F.size("errors") > 0)
     ok = gated.where(F.size("errors") == 0)
 
@@ -230,8 +236,7 @@ def build_events(articles: DataFrame, assets: DataFrame, edges: DataFrame, as_of
     first_o = F.struct(F.col("created_at"), F.col(key))
     g = (ok.groupBy("_gkey")
          .agg(F.min_by(F.struct("title", "event_type", "country", "_day", F.col(key).alias("first_article"),
-                                F.col("content").alias("description"),
-                                "source", "url", "published_at"), first_o).alias("_f"),
+                                "source", "url", "published_at", "created_at"), first_o).alias("_f"),
               F.max_by(F.struct("confidence", "severity", "status"),
                        F.struct("confidence", F.unix_micros(F.col("created_at")) * -1, F.col(key) * -1)).alias("_m")))
     g = g.select("_gkey", "_f.*", "_m.confidence", "_m.severity", "_m.status")
@@ -254,17 +259,20 @@ def build_events(articles: DataFrame, assets: DataFrame, edges: DataFrame, as_of
              .withColumn("_xsev", F.lit(None).cast("int")).withColumn("_xst", F.lit(None).cast("string"))
     newer = F.col("_xconf").isNull() | (F.col("confidence") > F.col("_xconf"))
     is_new = F.col("_xid").isNull()
-    events = g.select(
+    merged = cut_lineage(g.select(
         "_gkey",
         F.coalesce(F.col("_xid").cast("string"), F.concat(F.lit("a"), F.col("first_article").cast("string")))
         .alias("event_id"),
-        "title", "description", "event_type", "country", "source", "url", "published_at",
+        "title", "event_type", "country", "source", "url", "published_at", "created_at",
         F.when(is_new | newer, F.col("confidence")).otherwise(F.col("_xconf")).alias("confidence_score"),
         F.when(is_new | newer, F.col("severity")).otherwise(F.col("_xsev")).alias("severity"),
         F.when(is_new | newer, F.col("status")).otherwise(F.col("_xst")).alias("status"),
-        is_new.alias("is_new"), "first_article")
+        is_new.alias("is_new"), "first_article"))
+    body = articles.select(F.col(key).alias("first_article"), F.col("content").alias("description"))
+    events = merged.drop("_gkey").join(body, "first_article").select(
+        "event_id", "title", "description", *[c for c in merged.columns if c not in ("_gkey", "event_id", "title")])
     links = (ok.select("_gkey", key, F.col("relevance").alias("relevance_score"), "created_at")
-             .join(events.select("_gkey", "event_id"), "_gkey").drop("_gkey"))
+             .join(merged.select("_gkey", "event_id"), "_gkey").drop("_gkey"))
     params = ok.select(key, "confidence", "relevance", "impact_strength", "impact_direction")
     per_article = MP.assemble_impacts({1: l1s.join(ok.select(key), key, "left_semi"),
                                        2: l2, 3: l3, 4: l4}, params, assets, key=key)
@@ -282,9 +290,11 @@ def build_events(articles: DataFrame, assets: DataFrame, edges: DataFrame, as_of
                   .unionByName(low_conf.select(F.col("_reject").alias("reason")))
                   .unionByName(gate_fail.select(F.lit("quality").alias("reason")))
                   .groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
-    return {"events": events.drop("_gkey"), "event_articles": links.select("event_id", key, "relevance_score"),
+    annotated = a.select(key, "language_code", "language_confidence", "relevance_score", "relevance_label",
+                         "sentiment_score", "nlp_processed_at")
+    return {"events": events, "event_articles": links.select("event_id", key, "relevance_score"),
             "impacts": impacts, "tags": ev_tags, "rejections": rejections,
-            "gate_counts": gate_counts(gate_fail), "annotated": FL.annotate_articles(articles)}
+            "gate_counts": gate_counts(gate_fail), "annotated": annotated}
 
 
 # ---------------------------------------------------------------------------

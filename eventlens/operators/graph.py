@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from eventlens import lexicons as L
 from eventlens.functions import text as T
+from eventlens.functions.phrases import PhraseFilter, let, running_sums
 
 
 def node_key(entity_type, name):
@@ -121,11 +122,11 @@ def filing_edges(filings: DataFrame, assets: DataFrame, *, text: str = "text",
     add (source -> target); strength = min(0.95, 0.45 + 0.08 * count).
 
     An occurrence is a run of whole words equal to the alias's words: the
-    filing's word n-grams, with their places, are joined to the aliases by
-    equality. ``substring=True`` also matches inside words (left to right,
+    filing's word n-grams that may be aliases are joined to them by equality.
+    ``substring=True`` also matches inside words (left to right,
     non-overlapping); that takes a join on ``contains``."""
     find = _substring_windows if substring else _word_windows
-    f = filings.select(F.col(key).alias("_fid"), F.upper(source).alias("src"), F.col(text).alias("_x"))
+    f = filings.select(F.col(key).alias("_fid"), F.upper(source).alias("src"), F.coalesce(F.col(text), F.lit("")).alias("_x"))
     occ = find(f, filing_aliases(assets))
     sup = F.greatest(*[F.col("win").contains(t) for t in L.SUPPLIER_TERMS])
     cus = F.greatest(*[F.col("win").contains(t) for t in L.CUSTOMER_TERMS])
@@ -140,34 +141,32 @@ def filing_edges(filings: DataFrame, assets: DataFrame, *, text: str = "text",
 
 
 def _window_text(start, end):
-    lo = F.greatest(F.lit(0), start - L.FILING_WINDOW)
-    return F.substring("_x", lo + 1, F.least(F.length("_x"), end + L.FILING_WINDOW) - lo).alias("win")
+    lo = F.greatest(F.lit(0), start - L.FILING_WINDOW).cast("int")
+    return F.substring("_x", lo + 1, F.least(F.length("_x"), end + L.FILING_WINDOW).cast("int") - lo)
 
 
 def _word_windows(f: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(src, ticker, win) of whole-word occurrences. Only the hits meet the
-    filing texts again."""
+    """(src, ticker, win) of whole-word occurrences. A filing's words, their
+    places and the n-grams that may be aliases are found inside its row; only
+    those leave it, each with its window."""
     words = F.regexp_extract_all("alias", F.lit(WORD), F.lit(0))
-    al = (aliases.select("ticker", F.array_join(words, " ").alias("gram"), F.size(words).alias("n"))
-          .where("n > 0").distinct())
-    lengths = [r["n"] for r in al.select("n").distinct().orderBy("n").collect()]
-    w = Window.partitionBy("_fid").orderBy("pos")
-    pairs = F.zip_with(F.regexp_extract_all("_x", F.lit(WORD), F.lit(0)), F.split("_x", WORD, -1),
-                       lambda word, gap: F.struct(word.alias("word"), gap.alias("gap")))
-    toks = (f.select("_fid", "src", F.posexplode(pairs).alias("pos", "p")).select("_fid", "src", "pos", "p.word", "p.gap")
-            .where(F.col("word").isNotNull()))
-    through = lambda c: F.sum(F.length(c)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    toks = toks.withColumn("end", through("gap") + through("word"))
-    grams = [F.struct(F.lit(n).alias("n"),
-                      F.concat_ws(" ", *[F.lead("word", i).over(w) if i else F.col("word") for i in range(n)]).alias("gram"),
-                      (F.lead("end", n - 1).over(w) if n > 1 else F.col("end")).alias("end")) for n in lengths]
-    if not grams:
-        return f.select("src", F.col("src").alias("ticker"), F.col("_x").alias("win")).limit(0)
-    start = (F.col("end") - F.length("word")).alias("start")
-    runs = (toks.select("_fid", "src", start, F.array(*grams).alias("gs")).select("_fid", "src", "start", F.explode("gs").alias("g"))
-            .select("_fid", "src", "start", "g.n", "g.gram", F.col("g.end").alias("stop")).where(F.col("stop").isNotNull()))
-    hits = runs.join(al, ["n", "gram"]).where("src <> ticker").select("_fid", "ticker", "start", "stop")
-    return hits.join(f, "_fid").select("src", "ticker", _window_text(F.col("start"), F.col("stop")))
+    al = aliases.select("ticker", words.alias("words")).where(F.size("words") > 0).distinct()
+    known = PhraseFilter.of(al)
+    kind = "array<struct<gram:string,win:string>>"
+
+    def windows(w):
+        gaps = F.slice(F.split("_x", WORD, -1), F.lit(1), F.size(w))
+        lengths = F.zip_with(gaps, w, lambda gap, word: (F.length(gap) + F.length(word)).cast("bigint"))
+        start = lambda ends, g: F.get(ends, g["at"] - 1) - F.length(F.get(w, g["at"] - 1))
+        stop = lambda ends, g: F.get(ends, g["at"] + g["n"] - 2)
+        placed = lambda gs: let(running_sums(lengths), lambda ends: F.transform(gs, lambda g: F.struct(
+            g["gram"].alias("gram"), _window_text(start(ends, g), stop(ends, g)).alias("win"))))
+        return let(known.grams(w), lambda gs: F.when(F.size(gs) > 0, placed(gs)).otherwise(F.array().cast(kind)))
+
+    # Each step is bound once inside the row: a filter that the optimizer derives from it can't repeat it per word.
+    hits = let(F.regexp_extract_all("_x", F.lit(WORD), F.lit(0)), windows)
+    return (f.select("src", F.explode(hits).alias("h")).select("src", "h.gram", "h.win")
+            .join(al.select("ticker", F.array_join("words", " ").alias("gram")), "gram").where("src <> ticker").select("src", "ticker", "win"))
 
 
 def _substring_windows(f: DataFrame, al: DataFrame) -> DataFrame:
@@ -181,7 +180,7 @@ def _substring_windows(f: DataFrame, al: DataFrame) -> DataFrame:
     wp = Window.partitionBy("_fid", "ticker", "alias").orderBy("i")
     occ = occ.withColumn("_cum", F.sum(F.length("_p")).over(wp.rowsBetween(Window.unboundedPreceding, 0)))
     start = F.col("_cum") + F.col("i") * F.length("alias")
-    return occ.select("src", "ticker", _window_text(start, start + F.length("alias")))
+    return occ.select("src", "ticker", _window_text(start, start + F.length("alias")).alias("win"))
 
 
 def gazetteer(assets: DataFrame, extra: DataFrame | None = None) -> DataFrame:

@@ -1,18 +1,21 @@
 """Event-to-asset mapping in four layers (MAP-01..07).
 
-Every layer is an equi-join: phrase matching joins document n-grams with the
-alias table, the graph spread is two self-joins of the edge list, sector
-spread joins on sector, and similarity joins (event type, token) pairs. No
-cross joins, no per-document loops. Dimension tables (aliases, assets, the
-300-event similarity corpus) are broadcast only after a size check.
+Every layer is an equi-join: phrase matching sifts document n-grams by bitmaps
+of the aliases and joins what is left, the graph spread is two self-joins of
+the edge list, sector spread joins on sector, and similarity joins tokens of
+the same event type. No cross joins, no per-document loops, no broadcast
+hints: the planner decides by bytes.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens import lexicons as L
 from eventlens.functions import text as T
+from eventlens.functions.phrases import PhraseFilter, let
 
 
 # ---------------------------------------------------------------------------
@@ -61,51 +64,72 @@ def asset_aliases(assets: DataFrame) -> DataFrame:
 TICKER_TOKEN = r"(?U)\b[A-Z][A-Z0-9]{0,9}\b"
 
 
-def _ngrams(tokens: Column, n: int) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-                        lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+@dataclass(frozen=True)
+class AliasIndex:
+    """An alias table split into tickers and phrases, with their bitmaps."""
+    tickers: DataFrame
+    phrases: DataFrame
+    known_tickers: PhraseFilter
+    known_phrases: PhraseFilter
+
+    @classmethod
+    def of(cls, aliases: DataFrame) -> "AliasIndex":
+        tick = aliases.where(F.col("is_ticker")).select(F.col("alias").alias("_tok"), "ticker")
+        phr = aliases.where(~F.col("is_ticker")).select(F.col("alias").alias("_g"), "ticker")
+        return cls(tick, phr, PhraseFilter.of(tick.select(F.array("_tok").alias("words"))),
+                   PhraseFilter.of(phr.select(F.split("_g", " ").alias("words"))))
+
+    def candidates(self, text: Column) -> Column:
+        """struct(toks, grams): the ticker-shaped tokens and the n-grams of the
+        normalised text that may be aliases, each once."""
+        body = F.coalesce(text, F.lit(""))
+        toks = F.filter(F.array_distinct(F.regexp_extract_all(F.upper(body), F.lit(TICKER_TOKEN), 0)), self.known_tickers.may_be)
+        words = F.filter(F.split(T.normalize_entity(body), " "), lambda t: t != "")
+        grams = let(words, lambda w: F.array_distinct(F.transform(self.known_phrases.grams(w), lambda g: g["gram"])))
+        return F.struct(toks.alias("toks"), grams.alias("grams"))
+
+    def mentions(self, rows: DataFrame, key: str, candidates: str) -> DataFrame:
+        """(key, ticker) of the candidates that are aliases."""
+        m1 = rows.select(key, F.explode(f"{candidates}.toks").alias("_tok")).join(self.tickers, "_tok").select(key, "ticker")
+        m2 = rows.select(key, F.explode(f"{candidates}.grams").alias("_g")).join(self.phrases, "_g").select(key, "ticker")
+        return m1.unionByName(m2).distinct()
 
 
 def extract_mentions(docs: DataFrame, aliases: DataFrame, *, key: str = "doc_id",
-                     text: str = "text", max_tokens: int | None = None) -> DataFrame:
+                     text: str = "text") -> DataFrame:
     """MAP-02: (key, ticker) for every ticker-shaped token that is a ticker and
     every alias phrase present as whole words in the normalised text.
 
     A phrase ``a`` occurs in ``" " + normalised + " "`` exactly when it equals
-    an n-gram of the normalised tokens, so documents are exploded into their
-    distinct n-grams (n up to the longest alias) and equi-joined with the
-    broadcast alias table: work is linear in text length.
+    an n-gram of the normalised tokens. N-grams and ticker tokens are sifted
+    inside the row by bitmaps of the aliases (``PhraseFilter``); only what may
+    be an alias leaves the row and is joined to the alias table by equality.
     """
-    al = aliases.select("alias", "ticker", "is_ticker", "n_tokens")
-    if max_tokens is None:
-        max_tokens = al.where(~F.col("is_ticker")).agg(F.max("n_tokens")).first()[0] or 1
-    tick = al.where(F.col("is_ticker")).select(F.col("alias").alias("_tok"), "ticker")
-    phr = al.where(~F.col("is_ticker")).select(F.col("alias").alias("_g"), "ticker")
-
-    up = docs.select(key, F.explode(F.array_distinct(
-        F.regexp_extract_all(F.upper(F.coalesce(F.col(text), F.lit(""))), F.lit(TICKER_TOKEN), 0)))
-        .alias("_tok"))
-    m1 = up.join(tick, "_tok").select(key, "ticker")
-
-    norm = T.normalize_entity(F.coalesce(F.col(text), F.lit("")))
-    d = docs.select(key, F.filter(F.split(norm, " "), lambda t: t != "").alias("_toks"))
-    grams = F.array_distinct(F.flatten(F.array(*[_ngrams(F.col("_toks"), n)
-                                                 for n in range(1, int(max_tokens) + 1)])))
-    m2 = (d.select(key, F.explode(grams).alias("_g"))
-          .join(phr, "_g").select(key, "ticker"))
-    return m1.unionByName(m2).distinct()
+    index = AliasIndex.of(aliases)
+    return index.mentions(docs.select(key, index.candidates(F.col(text)).alias("_cand")), key, "_cand")
 
 
 # ---------------------------------------------------------------------------
 # MAP-03 entity tags
 # ---------------------------------------------------------------------------
 
-def entity_tags(docs: DataFrame, mentions: DataFrame, assets: DataFrame, *,
-                key: str = "doc_id", text: str = "text") -> DataFrame:
-    """MAP-03: (key, tags) — ticker, first three name words capitalised,
-    sector and country of every mention, countries named in the text (whole
-    words), topic tags (substring of the normalised text); sorted, first 12."""
+def text_tags(text: Column) -> Column:
+    """MAP-03, the part read from the text: countries named in it (whole
+    words) and topic tags (substrings of the normalised text)."""
+    def tags(norm):
+        padded = F.concat(F.lit(" "), norm, F.lit(" "))
+        named = lambda aliases: F.greatest(*[padded.contains(" " + _norm_alias(a) + " ") for a in aliases], F.lit(False))
+        ctags = [F.when(named(aliases), F.lit(country)) for country, aliases in L.TAG_COUNTRY_TERMS]
+        ttags = [F.when(F.greatest(*[norm.contains(k) for k in kws], F.lit(False)), F.lit(tag)) for tag, kws in L.TOPIC_TAGS]
+        return F.array_compact(F.array(*ctags, *ttags))
+
+    return let(T.normalize_entity(F.coalesce(text, F.lit(""))), tags)
+
+
+def merge_tags(own: DataFrame, mentions: DataFrame, assets: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """MAP-03: (key, tags) — the text's tags (``own``: key, text_tags) with
+    ticker, first three name words capitalised, sector and country of every
+    mention; sorted, first 12."""
     a = assets.select(
         F.upper("ticker").alias("ticker"),
         F.initcap(F.array_join(F.slice(F.split(T.normalize_entity(F.coalesce(F.col("name"), F.lit(""))), " "),
@@ -115,19 +139,15 @@ def entity_tags(docs: DataFrame, mentions: DataFrame, assets: DataFrame, *,
            .select(key, F.array_compact(F.array("ticker", F.when(F.col("_label") != "", F.col("_label")),
                                                 "sector", "country")).alias("_t")))
     mtags = per.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("_t"))).alias("_mt"))
+    allt = F.array_union(F.col("text_tags"), F.coalesce(F.col("_mt"), F.array().cast("array<string>")))
+    return own.join(mtags, key, "left").select(
+        key, F.slice(F.array_sort(F.filter(allt, lambda x: x != "")), 1, L.MAX_TAGS).alias("tags"))
 
-    d0 = docs.select(key, T.normalize_entity(F.coalesce(F.col(text), F.lit(""))).alias("_en"))
-    d0 = d0.withColumn("_pad", F.concat(F.lit(" "), F.col("_en"), F.lit(" ")))
-    norm, padded = F.col("_en"), F.col("_pad")
-    ctags = [F.when(F.greatest(*[padded.contains(" " + _norm_alias(a_) + " ") for a_ in aliases]
-                               ) if len(aliases) > 1 else padded.contains(" " + _norm_alias(aliases[0]) + " "),
-                    F.lit(country)) for country, aliases in L.TAG_COUNTRY_TERMS]
-    ttags = [F.when(F.greatest(*[norm.contains(k) for k in kws]), F.lit(tag)) for tag, kws in L.TOPIC_TAGS]
-    d = d0.select(key, F.array_compact(F.array(*ctags, *ttags)).alias("_xt"))
-    out = d.join(mtags, key, "left")
-    allt = F.array_union(F.col("_xt"), F.coalesce(F.col("_mt"), F.array().cast("array<string>")))
-    return out.select(key, F.slice(F.array_sort(F.filter(allt, lambda x: x != "")), 1, L.MAX_TAGS)
-                      .alias("tags"))
+
+def entity_tags(docs: DataFrame, mentions: DataFrame, assets: DataFrame, *,
+                key: str = "doc_id", text: str = "text") -> DataFrame:
+    """MAP-03: ``merge_tags`` of the tags in each row's text."""
+    return merge_tags(docs.select(key, text_tags(F.col(text)).alias("text_tags")), mentions, assets, key=key)
 
 
 def _norm_alias(a: str) -> str:
@@ -213,17 +233,20 @@ def tf_vectors(df: DataFrame, key: str, text: Column) -> DataFrame:
     return cnt.join(norm, key).select(key, "token", (F.col("c") / F.col("_n")).alias("weight"))
 
 
+def recent_published(events: DataFrame, n: int = L.L4_LOOKBACK_EVENTS) -> DataFrame:
+    """The last ``n`` published events: newest published first, NULLs last,
+    then newest created."""
+    return (events.where(F.col("status").isin(L.PUBLISHED_STATUSES))
+            .orderBy(F.col("published_at").desc_nulls_last(), F.col("created_at").desc(), F.col("event_id").desc()).limit(n))
+
+
 def similarity_corpus(events: DataFrame, impacts: DataFrame, assets: DataFrame,
                       lookback: int = L.L4_LOOKBACK_EVENTS) -> tuple[DataFrame, DataFrame]:
     """The last ``lookback`` approved events (newest published first, NULLs
     last, then newest created) that have impacts: (vectors, asset priors).
     Both are bounded by ``lookback`` and broadcast."""
-    recent = (events.where(F.col("status").isin(L.PUBLISHED_STATUSES))
-              .orderBy(F.col("published_at").desc_nulls_last(), F.col("created_at").desc(),
-                       F.col("event_id").desc())
-              .limit(lookback)
-              .select(F.col("event_id").alias("c_event"), F.col("event_type").alias("c_type"),
-                      "title", "description"))
+    recent = recent_published(events, lookback).select(
+        F.col("event_id").alias("c_event"), F.col("event_type").alias("c_type"), "title", "description")
     a = assets.select("asset_id", F.upper("ticker").alias("ticker"))
     prior = (impacts.join(a, "asset_id")
              .select(F.col("event_id").alias("c_event"), "ticker",

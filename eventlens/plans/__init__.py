@@ -1,6 +1,6 @@
 """Query registry. Importing this package registers every plan module."""
 from eventlens.plans.base import REGISTRY, Plan, tables  # noqa: F401
-from eventlens.plans import (aggregate_plans, feature_plans, mapping_plans, market_plans,  # noqa: F401
+from eventlens.plans import (aggregate_plans, event_plans, feature_plans, mapping_plans, market_plans,  # noqa: F401
                              model_plans, serving_plans, signal_plans, source_plans, streaming_plans,
                              text_plans)
 

@@ -269,18 +269,15 @@ def fea07b(t):
     return X.class_balance(X.validate(_labelled(t)))
 
 
-@fplan("fea08_standardize", """
-    SELECT symbol, date,
-           CASE WHEN s1 > 0 THEN (return_1d - m1) / s1 ELSE return_1d END AS return_1d,
-           CASE WHEN s2 > 0 THEN (avg_sentiment - m2) / s2 ELSE avg_sentiment END AS avg_sentiment,
-           CASE WHEN s3 > 0 THEN (event_count - m3) / s3 ELSE CAST(event_count AS DOUBLE) END AS event_count
-    FROM o_label, (SELECT avg(return_1d) m1, stddev_samp(return_1d) s1, avg(avg_sentiment) m2,
-                          stddev_samp(avg_sentiment) s2, avg(event_count) m3, stddev_samp(event_count) s3
-                   FROM o_label)""")
+_SCALED = ["return_1d", "avg_sentiment", "event_count", "avg_goldstein", "volatility_7d", "sentiment_momentum", "ma_7"]
+
+
+@fplan("fea08_standardize", "SELECT symbol, date, " + ", ".join(
+    f"CASE WHEN stddev_samp({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () ELSE CAST({c} AS DOUBLE) END AS {c}"
+    for c in _SCALED) + " FROM o_label")
 def fea08a(t):
     """FEA-08: z-scored features (statistics over the whole labelled table)."""
-    df = _labelled(t).select("symbol", "date", "return_1d", "avg_sentiment", "event_count")
-    return X.standardize(df, ["return_1d", "avg_sentiment", "event_count"])
+    return X.standardize(_labelled(t).select("symbol", "date", *_SCALED), _SCALED)
 
 
 @fplan("fea08_temporal_split", """

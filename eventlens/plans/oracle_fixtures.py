@@ -96,6 +96,15 @@ CTES: dict[str, str] = {
                CASE WHEN doc_id % 3 = 0 THEN NULL
                     ELSE TIMESTAMP '2024-02-01' + to_seconds(doc_id + doc_id % 120) END AS nlp_processed_at
         FROM documents LEFT JOIN supplier ON s_suppkey = doc_id % {S}""",
+    "f_article_update": f"""
+        SELECT article_id + {FX.UPDATE_ID} AS article_id, title,
+               CASE WHEN article_id % 8 = 1 THEN content || '{FX.UPDATE_BODY}' ELSE content END AS content,
+               CASE WHEN article_id % 4 = 1 THEN 'Reuters' ELSE 'a blog' END AS source,
+               CASE WHEN article_id % 40 = 21 THEN '' ELSE url || '/update' END AS url,
+               published_at + INTERVAL 60 SECOND AS published_at, created_at + INTERVAL 86400 SECOND AS created_at, lang,
+               CAST(NULL AS TIMESTAMP) AS nlp_processed_at
+        FROM f_article WHERE article_id % 4 IN (1, 2)""",
+    "f_wire": "SELECT * FROM f_article UNION ALL SELECT * FROM f_article_update",
     "f_event_article": f"""
         SELECT doc_id % {E} AS event_id, doc_id AS article_id FROM documents""",
     "f_kg_edge": f"""
@@ -185,6 +194,10 @@ CTES: dict[str, str] = {
         SELECT event_id AS request_id, 'p' || (user_id % 7) AS provider,
                event_type <> 'error' AS success, event_type = 'signup' AS skipped,
                value * 5 AS latency_ms, 1.0::DOUBLE AS weight, ts FROM events""",
+    "f_kg_edge_stale": """
+        SELECT * FROM f_kg_edge
+        UNION ALL SELECT 'ASSET:S' || s_suppkey, 'ASSET:OLD' || s_suppkey, 'SUPPLIES_TO', 0.4::DOUBLE
+        FROM supplier WHERE s_suppkey % 50 = 7""",
 }
 
 # f_impact reads f_event; keep dependency order when emitting.

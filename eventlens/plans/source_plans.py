@@ -379,3 +379,19 @@ def snk01(t):
            .select("asset_id", "ts", (F.col("open") * 2).alias("open"), "close"))
     once = sinks.upsert(old, new, ["asset_id", "ts"], keep_first=["open"])
     return sinks.upsert(once, new, ["asset_id", "ts"], keep_first=["open"])   # idempotent re-run
+
+
+@plan("snk01_upsert_partitions", oracle="""
+    SELECT asset_id, ts, open, close, date_trunc('month', ts)::DATE AS month FROM f_bar WHERE ts < TIMESTAMP '1996-01-01'
+    UNION ALL
+    SELECT asset_id, ts, CASE WHEN ts < TIMESTAMP '1998-06-01' THEN open ELSE open * 2 END, close * 3, date_trunc('month', ts)::DATE
+    FROM f_bar WHERE ts >= TIMESTAMP '1996-01-01'""")
+def snk01b(t):
+    """SNK-01: stored bars (to May 1998) in monthly partitions, then re-fetched ones (from 1996) merged twice into the months they touch; read back."""
+    path = _scratch(t, "bars")
+    bars = t.bar.select("asset_id", "ts", "open", "close", F.trunc("ts", "month").alias("month"))
+    sinks.upsert_partitions(bars.where("ts < timestamp '1998-06-01'"), path, ["asset_id", "ts"], "month", keep_first=["open"])
+    again = bars.where("ts >= timestamp '1996-01-01'").withColumn("open", F.col("open") * 2).withColumn("close", F.col("close") * 3)
+    for _ in range(2):
+        sinks.upsert_partitions(again, path, ["asset_id", "ts"], "month", keep_first=["open"])
+    return sinks.read_partitions(t.spark, path, bars.schema, "month")
