@@ -36,17 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import text_slices, written
+from eventlens.llm.common import arrow_rows, text_slices, written
 from eventlens.llm.near_copies import word_hashes
 
 TOP = 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BLOCK_DOCS = 1 << 16
 #: Items are read by every task; more are searched group by group.
 MAX_ITEM_BYTES = 16 << 20
 #: Ranges of documents that are cut together.
 BEAM = 64
-WINDOW_BYTES = 2 << 20
+WINDOW_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -318,7 +318,8 @@ def document_frequencies(index: DataFrame, items: Items) -> np.ndarray:
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], ["term", "df"])
 
-    counts = index.select("terms", "df").mapInArrow(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    with arrow_rows(index.sparkSession, 8):
+        counts = index.select("terms", "df").mapInArrow(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     out = np.zeros(len(items.terms), np.int64)
     out[counts.column("term").to_numpy()] = counts.column("df").to_numpy()
     return out
@@ -336,12 +337,12 @@ def search(index: DataFrame, items: DataFrame, n_docs: int, top: int = TOP, max_
     out = None
     for g in range(groups):
         part = asked if groups == 1 else asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        found = _search(index, part.toArrow(), n_docs, top, g)
+        found = _search(index, part.toArrow(), n_docs, top)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(index: DataFrame, asked: pa.Table, n_docs: int, top: int, group: int) -> DataFrame:
+def _search(index: DataFrame, asked: pa.Table, n_docs: int, top: int) -> DataFrame:
     items = Items.build(asked.column("item_id").to_pylist(), asked.column("text").combine_chunks())
     df = document_frequencies(index, items)
     weights = np.array([weight(int(k), n_docs) if k else 0 for k in df], np.int64)
@@ -384,7 +385,9 @@ def _search(index: DataFrame, asked: pa.Table, n_docs: int, top: int, group: int
              pa.array(np.concatenate([*docs, np.empty(0, np.int64)]), pa.int64()), pa.array(np.concatenate([*scores, np.empty(0, np.int64)]), pa.int64())],
             ["item", "item_id", "doc_id", "score"])
 
-    hits = index.select("doc_ids", "terms", "rows", "height", "masks", "maxima").mapInArrow(run, "item bigint, item_id bigint, doc_id bigint, score bigint")
+    blocks = index.select("doc_ids", "terms", "rows", "height", "masks", "maxima")
+    with arrow_rows(index.sparkSession, 1):  # a block at a time
+        hits = written(blocks.mapInArrow(run, "item bigint, item_id bigint, doc_id bigint, score bigint"), "search-hits")
     order = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
 
