@@ -44,8 +44,9 @@ def test_throttle_sorts_across_pieces_and_batches(spark, tmp_path):
     seconds = pd.Series(range(30_000)).sample(frac=1, random_state=1)
     half = seconds < 15_000
     schema = "ticker string, price double, ts timestamp, seq long"
-    for k, part in enumerate((seconds[half], seconds[~half])):
-        rows = pd.DataFrame({"ticker": "A", "price": 1.0, "ts": base + pd.to_timedelta(part, unit="s"), "seq": part})
+    late = pd.Series([31_000])  # a tick of another ticker moves the watermark past the last slab
+    for k, part in enumerate((seconds[half], seconds[~half], late)):
+        rows = pd.DataFrame({"ticker": "A" if k < 2 else "Z", "price": 1.0, "ts": base + pd.to_timedelta(part, unit="s"), "seq": part})
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/b={k}")
     stream = (spark.readStream.schema(schema + ", b int").option("maxFilesPerTrigger", 1)
               .parquet(f"{tmp_path}/in").select("ticker", "price", "ts", "seq"))
