@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from eventlens import lexicons as L
 from eventlens.functions import text as T
 from eventlens.functions.phrases import PhraseFilter, let
+from eventlens.session import cut_lineage
 
 
 # ---------------------------------------------------------------------------
@@ -233,18 +234,19 @@ def tf_vectors(df: DataFrame, key: str, text: Column) -> DataFrame:
     return cnt.join(norm, key).select(key, "token", (F.col("c") / F.col("_n")).alias("weight"))
 
 
-def recent_published(events: DataFrame, n: int = L.L4_LOOKBACK_EVENTS) -> DataFrame:
+def recent_published(events: DataFrame, n: int | None = L.L4_LOOKBACK_EVENTS) -> DataFrame:
     """The last ``n`` published events: newest published first, NULLs last,
-    then newest created."""
-    return (events.where(F.col("status").isin(L.PUBLISHED_STATUSES))
-            .orderBy(F.col("published_at").desc_nulls_last(), F.col("created_at").desc(), F.col("event_id").desc()).limit(n))
+    then newest created (None: all of them)."""
+    published = events.where(F.col("status").isin(L.PUBLISHED_STATUSES))
+    if n is None:
+        return published
+    return (published.orderBy(F.col("published_at").desc_nulls_last(), F.col("created_at").desc(), F.col("event_id").desc()).limit(n))
 
 
 def similarity_corpus(events: DataFrame, impacts: DataFrame, assets: DataFrame,
-                      lookback: int = L.L4_LOOKBACK_EVENTS) -> tuple[DataFrame, DataFrame]:
-    """The last ``lookback`` approved events (newest published first, NULLs
-    last, then newest created) that have impacts: (vectors, asset priors).
-    Both are bounded by ``lookback`` and broadcast."""
+                      lookback: int | None = L.L4_LOOKBACK_EVENTS) -> tuple[DataFrame, DataFrame]:
+    """The last ``lookback`` approved events (None: all) that have impacts:
+    (vectors, asset priors)."""
     recent = recent_published(events, lookback).select(
         F.col("event_id").alias("c_event"), F.col("event_type").alias("c_type"), "title", "description")
     a = assets.select("asset_id", F.upper("ticker").alias("ticker"))
@@ -261,20 +263,53 @@ def similarity_corpus(events: DataFrame, impacts: DataFrame, assets: DataFrame,
     return vec, prior
 
 
+def _all_sharing(dv: DataFrame, vec: DataFrame, key: str) -> DataFrame:
+    """(key, c_event, sim) of all pairs that share a token of the same type."""
+    return (dv.join(vec.withColumnRenamed("weight", "cw"), ["c_type", "token"])
+            .groupBy(key, "c_event").agg(F.sum(F.col("weight") * F.col("cw")).alias("sim")))
+
+
+def _prefix_pairs(dv: DataFrame, vec: DataFrame, key: str, least: float) -> DataFrame:
+    """(key, c_event, sim) of the pairs with cosine >= ``least``, and few others.
+
+    Tokens are ordered from the corpus's rarest to its most frequent. A
+    vector's prefix ends where the norm of what follows falls below ``least``;
+    two vectors whose prefixes share no token have all their common tokens in
+    the rest of one of them, so their dot product is below that norm. Only
+    prefix tokens meet, and the whole vectors of the pairs found."""
+    seen = vec.groupBy("c_type", "token").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(v: DataFrame, by: str) -> DataFrame:
+        after = Window.partitionBy(by).orderBy("df", "token").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        rest = F.sum(F.col("weight") * F.col("weight")).over(after)
+        return (v.join(seen, ["c_type", "token"]).withColumn("_rest", rest)
+                .where(F.col("_rest") >= least * least - 1e-9).select(by, "c_type", "token"))
+
+    pairs = (prefix(dv, key).join(prefix(vec, "c_event"), ["c_type", "token"]).select(key, "c_event").distinct())
+    return (pairs.join(dv.select(key, "token", "weight"), key)
+            .join(vec.select("c_event", "token", F.col("weight").alias("cw")), ["c_event", "token"])
+            .groupBy(key, "c_event").agg(F.sum(F.col("weight") * F.col("cw")).alias("sim")))
+
+
 def expand_similar(docs: DataFrame, corpus: tuple[DataFrame, DataFrame], direct: DataFrame, *,
-                   key: str = "doc_id", text: str = "text", event_type: str = "event_type") -> DataFrame:
+                   key: str = "doc_id", text: str = "text", event_type: str = "event_type",
+                   prefix_filter: bool = False) -> DataFrame:
     """MAP-06: (key, ticker, score) — cosine of the document's TF vector with
     every corpus event of the same type; at >= 0.38 each prior asset scores
     ``sim * prior``; max per asset, direct assets excluded, top 5 per document.
-    The dot product is an equi-join on (event type, token) with the broadcast
-    corpus and a grouped sum, so frequent tokens cost one hash probe each."""
+    The dot product is an equi-join on (event type, token) and a grouped sum.
+    That suits the bounded corpus of the newest events; for a corpus of all
+    events ``prefix_filter`` joins rare tokens only, with the same result."""
     vec, prior = corpus
     # ``docs`` may hold several rows per key (e.g. the articles of one event):
     # their token counts add up, which is the vector of the joined text.
     dv = tf_vectors(docs, key, F.col(text)).join(docs.select(key, F.col(event_type).alias("c_type")).distinct(), key)
-    sim = (dv.join(vec.withColumnRenamed("weight", "cw"), ["c_type", "token"])
-           .groupBy(key, "c_event").agg(F.sum(F.col("weight") * F.col("cw")).alias("sim"))
-           .withColumn("sim", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("sim"))))
+    if prefix_filter:
+        dv, vec = cut_lineage(dv), cut_lineage(vec)
+        found = _prefix_pairs(dv, vec, key, L.L4_MIN_SIMILARITY)
+    else:
+        found = _all_sharing(dv, vec, key)
+    sim = (found.withColumn("sim", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("sim"))))
            .where(F.col("sim") >= L.L4_MIN_SIMILARITY))
     cand = (sim.join(prior, "c_event")
             .select(key, "ticker", (F.col("sim") * F.col("prior")).alias("score"))

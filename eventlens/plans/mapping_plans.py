@@ -217,6 +217,19 @@ def map06(t):
     return MP.expand_similar(docs, corpus, _mentions(t), key="article_id")
 
 
+@mplan("map06_expand_similar_all", _SIM_CHAIN.replace(f"DESC LIMIT {L.L4_LOOKBACK_EVENTS}", "DESC") + f"""
+    SELECT article_id, ticker, round(greatest(0.0, least(1.0, score)), 9) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY round(score, 9) DESC, ticker) AS rn FROM cand)
+    WHERE rn <= {L.L4_MAX_ASSET_CANDIDATES}""")
+def map06b(t):
+    """MAP-06: similarity spread against all approved events of the same type (rare tokens joined first)."""
+    docs = _docs(t).withColumn("_s", T.infer_event_type(low=F.lower("text")))
+    docs = docs.select("article_id", "text", F.col("_s.event_type").alias("event_type"))
+    corpus = MP.similarity_corpus(t.event, t.impact, t.asset, lookback=None)
+    out = MP.expand_similar(docs, corpus, _mentions(t), key="article_id", prefix_filter=True)
+    return out.withColumn("score", F.round("score", 9))
+
+
 @mplan("map07_assemble_impacts", """
     WITH u AS (
         SELECT article_id, ticker, CAST(NULL AS DOUBLE) AS score, 1 AS layer FROM o_mentions
