@@ -3,6 +3,8 @@ quality metrics, boards and quotas (MKT-05/06/08..15, AGG-02..06, AGG-08..11,
 PRD-19)."""
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from eventlens import lexicons as L
 from eventlens.functions import text as T
 from eventlens.functions.common import col, literal_table, seconds_between, ts_lit
 from eventlens.operators.aggregates import country_coords
+from eventlens.session import cut_lineage
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -49,7 +52,7 @@ WEEKLY_REVIEW_TARGET = (50, 100)
 PROVIDER_FAIL_LIMIT = 0.6
 HEALTH_DECAY = 0.8
 HEALTH_FLOOR = 0.05
-HEALTH_WINDOW = 200          # rows per provider that determine the EMA exactly in double
+HEALTH_SLICE = 1024          # consecutive requests that are folded together
 LATENCY_START_MS = 200.0
 
 
@@ -152,42 +155,16 @@ def rank_snapshot(df: DataFrame, mode: str = "ticker", asset_type: str | None =
     if search:
         d = d.where(F.col("ticker").contains(search.upper()))
     imp = F.coalesce(F.col("impact_score"), F.lit(0.0))
-    key = {"gainers": F.col("change").desc(), "losers": F.col("change").asc(),
-           "volatile": F.abs("change").desc(), "impact": imp.desc(),
-           "movers": (imp * F.abs("change")).desc()}.get(mode)
-    order = [key, F.col("ticker")] if key is not None else [F.col("ticker")]
+    falling = {"gainers": F.col("change"), "volatile": F.abs("change"), "impact": imp, "movers": imp * F.abs("change")}
+    # Sort columns that rise: NULLs come last in falling order, first in rising order.
+    if mode in falling:
+        d = d.withColumns({"_on": falling[mode].isNull(), "_o": -falling[mode].cast("double")})
+    elif mode == "losers":
+        d = d.withColumns({"_on": F.col("change").isNotNull(), "_o": F.col("change").cast("double")})
+    else:
+        d = d.withColumns({"_on": F.lit(False), "_o": F.lit(0.0)})
     from eventlens.operators.signals import row_index
-    return row_index(d, order, out="_at").withColumn("rank", (F.col("_at") + 1).cast("int")).drop("_at")
-
-
-def merge_live(bars: DataFrame, quotes: DataFrame, by: str = "asset_id", tolerance_s: int = 60) -> DataFrame:
-    """MKT-12: merge the latest live quote into each bar series: within 60 s
-    of the last bar it replaces that bar's close, otherwise it is appended."""
-    last = bars.groupBy(by).agg(F.max("ts").alias("_last"))
-    q = quotes.select(by, F.col("as_of").alias("_qts"), F.col("price").alias("_qp")).join(last, by)
-    replace = F.unix_micros("_qts") <= F.unix_micros("_last") + tolerance_s * 1_000_000
-    b = bars.join(q, by, "left")
-    upd = b.select(*[F.when((F.col("ts") == F.col("_last")) & F.coalesce(replace, F.lit(False)), F.col("_qp"))
-                      .otherwise(F.col(c)).alias(c) if c == "close" else F.col(c) for c in bars.columns])
-    app = (q.where(~replace)
-           .select(by, F.col("_qts").alias("ts"), F.col("_qp").alias("close")))
-    return upd.unionByName(app, allowMissingColumns=True)
-
-
-def watchlist_view(watch: DataFrame, assets: DataFrame, impacts: DataFrame, events: DataFrame) -> DataFrame:
-    """MKT-13: watchlist rows with the asset and its latest impact (newest
-    event publication, then newest impact; NULL times first as PostgreSQL
-    sorts DESC)."""
-    ev = events.select("event_id", F.col("title").alias("event_title"), "event_type", "published_at")
-    j = impacts.join(ev, "event_id")
-    order = F.struct(F.col("published_at").isNull(), F.col("published_at"), F.col("created_at").isNull(),
-                     F.col("created_at"), F.col("event_id"))
-    latest = (j.groupBy("asset_id")
-              .agg(F.max_by(F.struct("event_id", "event_title", "event_type", "impact_direction",
-                                     "impact_strength", "confidence_score", "published_at"), order)
-                   .alias("latest_impact")))
-    return (watch.join(assets.select("asset_id", "ticker", "name", "asset_type"), "asset_id")
-            .join(latest, "asset_id", "left"))
+    return row_index(d, ["_on", "_o", "ticker"], out="_at").withColumn("rank", (F.col("_at") + 1).cast("int")).drop("_at", "_on", "_o")
 
 
 # ---------------------------------------------------------------------------
@@ -209,25 +186,41 @@ def provider_scores(log: DataFrame, limit: float = PROVIDER_FAIL_LIMIT, min_atte
             .withColumn("unstable", (att >= min_attempts) & (F.col("success") >= 2) & (F.col("score") < limit)))
 
 
+def _after(f, g):
+    """The clamped affine map x -> max(lo, min(hi, a x + b)) of ``f``, then
+    that of ``g``: again such a map (a >= 0)."""
+    held = lambda x: F.greatest(g["lo"], F.least(g["hi"], g["a"] * x + g["b"]))
+    return F.struct((f["a"] * g["a"]).alias("a"), (g["a"] * f["b"] + g["b"]).alias("b"), held(f["lo"]).alias("lo"), held(f["hi"]).alias("hi"))
+
+
+def _folded(slices: DataFrame, by: str, maps: Sequence[str]) -> DataFrame:
+    """One composed map per key: neighbouring slices of a key (column ``slice``
+    in order) are composed ``HEALTH_SLICE`` at a time, until one is left."""
+    while True:
+        grouped = (slices.withColumn("_next", F.floor(F.col("slice") / HEALTH_SLICE)).groupBy(by, "_next")
+                   .agg(F.sort_array(F.collect_list(F.struct("slice", *maps))).alias("_q")))
+        one = lambda m: F.aggregate(F.slice("_q", 2, F.size("_q")), F.col("_q")[0][m], lambda f, g: _after(f, g[m])).alias(m)
+        slices = cut_lineage(grouped.select(by, F.col("_next").alias("slice"), *[one(m) for m in maps]))
+        if slices.groupBy(by).count().where("count > 1").isEmpty():
+            return slices.drop("slice")
+
+
 def provider_health(log: DataFrame, order: str = "ts", key: str = "request_id") -> DataFrame:
     """MKT-15: EMA health per provider (decay 0.8, floor 0.05), latency EMA
     from 200 ms, composite 50 % score + 30 % latency + 20 % success rate.
 
-    Only the newest 200 requests per provider can change the EMA in double
-    precision (0.8^200 ~ 4e-20 and the clamp is 1-Lipschitz), so the fold runs
-    over those (a per-provider top-k), started from the initial state; the
-    raw success rate counts every request."""
-    w = Window.partitionBy("provider").orderBy(F.col(order).desc(), F.col(key).desc())
-    recent = log.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= HEALTH_WINDOW)
-    seq = (recent.groupBy("provider")
-           .agg(F.sort_array(F.collect_list(F.struct(F.col("_rn") * -1, F.col("success").cast("double").alias("s"),
-                                                     F.col("latency_ms").cast("double").alias("l")))).alias("_q")))
-    d, floor = HEALTH_DECAY, HEALTH_FLOOR
-    score = F.aggregate("_q", F.lit(1.0), lambda acc, x: F.greatest(F.lit(floor), F.least(
-        F.lit(1.0), acc * d + x["s"] * (1 - d))))
-    lat = F.aggregate("_q", F.lit(LATENCY_START_MS), lambda acc, x: acc * d + x["l"] * (1 - d))
+    A request maps the score x to clamp(0.8 x + 0.2 success), and such maps
+    compose to one of their kind. So the whole log is folded in parallel: each
+    run of ``HEALTH_SLICE`` requests to one map, then the maps in turn."""
+    from eventlens.operators.signals import row_index
+    d, inf = HEALTH_DECAY, F.lit(float("inf"))
+    each = lambda x, lo, hi: F.struct(F.lit(d).alias("a"), (x.cast("double") * (1 - d)).alias("b"), lo.alias("lo"), hi.alias("hi"))
+    rows = row_index(log.select("provider", order, key, each(F.col("success"), F.lit(HEALTH_FLOOR), F.lit(1.0)).alias("s"),
+                                each(F.col("latency_ms"), -inf, inf).alias("l")), ["provider", order, key], out="slice")
+    maps = _folded(rows.select("provider", "slice", "s", "l"), "provider", ["s", "l"])
+    at = lambda m, x: F.greatest(F.col(f"{m}.lo"), F.least(F.col(f"{m}.hi"), F.col(f"{m}.a") * x + F.col(f"{m}.b")))
     rate = log.groupBy("provider").agg((F.sum(F.col("success").cast("double")) / F.count(F.lit(1))).alias("raw_rate"))
-    h = seq.select("provider", score.alias("score"), lat.alias("latency_ema")).join(rate, "provider")
+    h = maps.select("provider", at("s", 1.0).alias("score"), at("l", LATENCY_START_MS).alias("latency_ema")).join(rate, "provider")
     latc = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (2000 - F.col("latency_ema")) / 1800))
     comp = F.greatest(F.lit(0.05), F.least(F.lit(1.0), 0.5 * F.col("score") + 0.3 * latc + 0.2 * F.col("raw_rate")))
     return h.withColumn("composite", comp)

@@ -3,6 +3,7 @@ reports (PRD-07..12, ML-05). Model scores enter as columns; the reference's
 model inference itself is out of scope."""
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -155,38 +156,57 @@ def filter_signals(scored: DataFrame, key: str = "row_id", prob: str = "prob",
     return g.select("coverage", "trades", "precision", top10.scalar().alias("top10_accuracy"))
 
 
+def _positions(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> tuple[DataFrame, int]:
+    """(order columns, _n, _at) per distinct key, and the number of rows: how
+    many rows have the key and the position of the first of them. Only the key
+    columns are sorted and materialised; offsets are prefix sums over one row
+    per partition."""
+    keys = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = keys.repartitionByRange(partitions, *order) if partitions else keys.repartitionByRange(*order)
+    k = cut_lineage(ranged.sortWithinPartitions(*order)).withColumn("_mid", F.monotonically_increasing_id())
+    k = k.withColumn("_pid", F.shiftright("_mid", 33))
+    sums = k.groupBy("_pid").agg(F.sum("_n").alias("_rows"), F.max("_n").alias("_most"))
+    off = cut_lineage(sums.select("_pid", "_rows", "_most", F.coalesce(F.sum("_rows").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off")))
+    total, most = off.agg(F.sum("_rows"), F.max("_most")).first()
+    if most and most > 1:
+        inside = F.sum("_n").over(Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1))
+        at = F.col("_off") + F.coalesce(inside, F.lit(0))
+    else:  # every key once: the place in the partition is the number of keys before it
+        at = F.col("_off") + F.col("_mid").bitwiseAND((1 << 33) - 1)
+    return k.join(off.select("_pid", "_off"), "_pid").select(*order, "_n", at.alias("_at")), int(total or 0)
+
+
+def _indexed(df: DataFrame, order: Sequence[str], positions: DataFrame, out: str) -> DataFrame:
+    """The rows with their position; rows of equal keys follow one another in any order."""
+    same = [F.col(f"_d.{c}").eqNullSafe(F.col(f"_p.{c}")) for c in order]
+    j = df.alias("_d").join(positions.alias("_p"), same).select("_d.*", "_p._n", "_p._at")
+    again = F.row_number().over(Window.partitionBy(*order).orderBy(F.lit(0))) - 1
+    once = j.where("_n = 1").select(*df.columns, F.col("_at").alias(out))
+    more = j.where("_n > 1").select(*df.columns, (F.col("_at") + again).alias(out))
+    return once.unionByName(more) if positions.where("_n > 1").limit(1).count() else once
+
+
 def row_index(df: DataFrame, order: Sequence[str], partitions: int | None = None,
               out: str = "row_index") -> DataFrame:
-    """Distributed 0-based row position in ``order`` (unique key expected).
-
-    Range-partition and sort, materialise once (so partition contents are
-    fixed), read each row's in-partition position from
-    ``monotonically_increasing_id`` and add the prefix sum of the per-partition
-    counts (a table with one row per partition). No single-partition window
-    over the data."""
-    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    r = cut_lineage(ranged.sortWithinPartitions(*order))
-    r = r.withColumn("_mid", F.monotonically_increasing_id())
-    r = r.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_loc", F.col("_mid").bitwiseAND((1 << 33) - 1))
-    cnt = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    off = cnt.select("_pid", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (r.join(F.broadcast(off), "_pid").withColumn(out, F.col("_off") + F.col("_loc"))
-            .drop("_mid", "_pid", "_loc", "_off"))
+    """Distributed 0-based row position in ``order``. The key columns alone are
+    range-partitioned, sorted and materialised (``_positions``); the rows are
+    joined to them. No single-partition window over the data, and no row is
+    written anywhere."""
+    positions, _ = _positions(df, order, partitions)
+    return _indexed(df, order, positions, out)
 
 
 def chrono_split(df: DataFrame, order: Sequence[str], ratios: Sequence[float] = (0.8, 0.1)) -> DataFrame:
     """PRD-12: chronological split by row position: the first int(N r1) rows
     train, the next int(N r2) validation, the rest test (ratios (0.85,) or
     (0.8,) give a two-way split)."""
-    idx = row_index(df, order)
-    total = idx.agg(F.count(F.lit(1))).scalar()
-    b1 = F.floor(total * float(ratios[0]))
+    positions, total = _positions(df, order)
+    b1 = math.floor(total * float(ratios[0]))
     label = F.when(F.col("row_index") < b1, "train")
     if len(ratios) > 1:
-        b2 = b1 + F.floor(total * float(ratios[1]))
-        label = label.when(F.col("row_index") < b2, "val")
-    return idx.withColumn("split", label.otherwise("test"))
+        label = label.when(F.col("row_index") < b1 + math.floor(total * float(ratios[1])), "val")
+    return _indexed(df, order, positions, "row_index").withColumn("split", label.otherwise("test"))
 
 
 def class_report(scored: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:

@@ -97,7 +97,7 @@ def fea10(t):
     return X.candle_features(_klines(t))
 
 
-@plan("fea11_candle_training", oracle=_CANDLE_SQL + """
+_CANDLE_ROWS = """
     SELECT symbol, open_time, ret_1, ret_3, ret_6, ret_24, vol_6, vol_24, range_pct, body_pct, volume_z24,
            num_trades_log, taker_buy_ratio, hour_sin, hour_cos, dow_sin, dow_cos, future_ret_1h,
            CASE WHEN future_ret_1h > 0.001 THEN 'up' WHEN future_ret_1h < -0.001 THEN 'down' ELSE 'flat' END AS label
@@ -105,7 +105,10 @@ def fea10(t):
     WHERE ret_1 IS NOT NULL AND ret_3 IS NOT NULL AND ret_6 IS NOT NULL AND ret_24 IS NOT NULL
       AND vol_6 IS NOT NULL AND vol_24 IS NOT NULL AND range_pct IS NOT NULL AND body_pct IS NOT NULL
       AND volume_z24 IS NOT NULL AND num_trades_log IS NOT NULL AND taker_buy_ratio IS NOT NULL
-      AND future_ret_1h IS NOT NULL""")
+      AND future_ret_1h IS NOT NULL"""
+
+
+@plan("fea11_candle_training", oracle=_CANDLE_SQL + _CANDLE_ROWS)
 def fea11(t):
     """FEA-11: labelled candle rows (next-bar return at +-0.001)."""
     return X.candle_training(_klines(t)).select("symbol", "open_time", *X.CANDLE_FEATURES, "future_ret_1h", "label")
@@ -308,44 +311,77 @@ def prd18(t):
 # MLlib
 # ---------------------------------------------------------------------------
 
-@plan("ml01_train_text")
+def _split_sql(rows: str, ratio: float, extra: str = "") -> str:
+    """Sizes of the ordered split; a model must beat the most frequent class of its training rows."""
+    return (f"SELECT CAST(floor(n * {ratio}) AS BIGINT) AS train_rows, CAST(n - floor(n * {ratio}) AS BIGINT) AS test_rows,"
+            f" true AS learned{extra} FROM (SELECT count(*) AS n FROM {rows})")
+
+
+def _checked(metrics, extra=()):
+    return metrics.select("train_rows", "test_rows", (F.col("accuracy") >= F.col("majority_accuracy")).alias("learned"), *extra)
+
+
+@plan("ml01_train_text", oracle=_split_sql("f_article", 0.85))
 def ml01(t):
-    """ML-01: TF-IDF + balanced logistic regression on the news categories of all articles."""
+    """ML-01: TF-IDF + balanced logistic regression on the news categories of all articles: split sizes, better than the majority."""
     from eventlens.functions import text as T
     a = t.article.select("article_id", "created_at", T.article_text().alias("text"),
                          T.news_category().alias("label"))
-    _, metrics = ML.train_text(a, ["created_at", "article_id"])
-    return metrics
+    return _checked(ML.train_text(a, ["created_at", "article_id"])[1])
+
+
+_HISTORY_ROWS = gdelt_full_sql("""
+    SELECT 1 FROM (SELECT *, CASE WHEN sentiment_score IS NOT NULL THEN 1 END AS label,
+                          trim(coalesce(title, '') || chr(10) || coalesce(description, '') || chr(10) || coalesce(actor1, '')
+                               || ' ' || coalesce(actor2, '')) AS text FROM g)
+    WHERE label IS NOT NULL AND length(text) > 0""")
 
 
-@plan("ml02_train_mixed")
+@plan("ml02_train_mixed", oracle=_split_sql(f"({_HISTORY_ROWS})", 0.8))
 def ml02(t):
-    """ML-02: weak-label mixed classifier (text + categoricals + numerics) on normalised history."""
-    w = C.weak_label_frame(_history(t), 1.5).withColumn("_k", F.monotonically_increasing_id() * 0)
-    w = w.withColumn("_o", F.sha2(F.col("text"), 256))
-    _, metrics = ML.train_mixed(w, ["_o"], ["event_type", "country", "provider"],
-                                ["num_mentions", "num_articles", "num_sources", "published_hour"])
-    return metrics
+    """ML-02: weak-label mixed classifier (text + categoricals + numerics) on normalised history: split sizes, better than the majority."""
+    w = C.weak_label_frame(_history(t), 1.5).withColumn("_o", F.sha2(F.col("text"), 256))
+    return _checked(ML.train_mixed(w, ["_o"], ["event_type", "country", "provider"],
+                                   ["num_mentions", "num_articles", "num_sources", "published_hour"])[1])
 
 
-@plan("ml03_train_breakout")
+@plan("ml03_train_breakout", oracle=_split_sql("o_label", 0.8, ", 11 AS features, 1.0::DOUBLE AS importance").replace(" true AS learned,", ""),
+      extra_ctes=FEATURE_CHAIN)
 def ml03(t):
-    """ML-03: boosted-tree breakout classifier on the labelled dataset; importances."""
-    d = X.edge_signals(_labelled(t))
-    d = (d.withColumn("max_sent_lag_1", F.col("max_sent_lag_1")).withColumn("max_sent_lag_2", F.col("max_sent_lag_2")))
-    _, metrics, imp = ML.train_breakout(d, ["date", "symbol"], max_iter=20)
-    return imp
+    """ML-03: boosted-tree breakout classifier on the labelled dataset: split sizes, features and their importance in all."""
+    _, metrics, imp = ML.train_breakout(X.edge_signals(_labelled(t)), ["date", "symbol"], max_iter=20)
+    total = imp.agg(F.count(F.lit(1)).cast("int").alias("features"), F.round(F.sum("importance"), 6).alias("importance"))
+    return metrics.crossJoin(total).select("train_rows", "test_rows", "features", "importance")  # one row each
 
 
-@plan("ml04_train_forest")
-def ml04(t):
-    """ML-04: random-forest direction classifier on candle features (symbol one-hot)."""
+def _forest(t, trees: int, relabel=None):
     d = X.candle_training(_klines(t))
+    d = d if relabel is None else relabel(d)
     syms = ["K0", "K1", "K2", "K3", "K4"]
     d = d.select("*", *[(F.col("symbol") == s).cast("double").alias(f"sym_{s}") for s in syms])
-    _, report = ML.train_forest(d, ["open_time", "symbol"], X.CANDLE_FEATURES + [f"sym_{s}" for s in syms],
-                                num_trees=120)
-    return report
+    return ML.train_forest(d, ["open_time", "symbol"], X.CANDLE_FEATURES + [f"sym_{s}" for s in syms], num_trees=trees)
+
+
+@plan("ml04_train_forest", oracle=_CANDLE_SQL + f"""
+    SELECT CAST(floor(n * 0.8) AS BIGINT) AS train_rows, CAST(n - floor(n * 0.8) AS BIGINT) AS test_rows, k AS n_classes
+    FROM (SELECT count(*) AS n, count(DISTINCT label) AS k FROM ({_CANDLE_ROWS}))""")
+def ml04(t):
+    """ML-04: random-forest direction classifier (120 trees) on candle features (symbol one-hot): split sizes and classes."""
+    return _forest_sizes(_forest(t, 120))
+
+
+def _forest_sizes(fitted):
+    model, report, metrics = fitted
+    return metrics.select("train_rows", "test_rows", F.lit(model.stages[-1].numClasses - 1).cast("bigint").alias("n_classes"))
+
+
+@plan("ml04_train_regime", oracle="""
+    SELECT CAST(floor(n * 0.8) AS BIGINT) AS train_rows, CAST(n - floor(n * 0.8) AS BIGINT) AS test_rows, 3 AS n_classes
+    FROM (SELECT count(*) AS n FROM f_impact i JOIN f_event e USING (event_id) WHERE e.severity IS NOT NULL AND i.confidence_score IS NOT NULL)""")
+def ml04b(t):
+    """ML-04: regime filter (50 trees of depth 3) on sentiment and severity with the one-hour return label: split sizes and classes."""
+    from eventlens.operators import market as M
+    return _forest_sizes(ML.train_regime(M.event_returns(t.impact, t.event, t.bar), ["event_id", "asset_id"]))
 
 
 # ---------------------------------------------------------------------------
