@@ -8,8 +8,11 @@ document q-gram that some item holds is counted in the diagonal band of the
 item; two neighbouring bands together hold all diagonals of an occurrence.
 Bands that reach the bound are verified by banded alignment.
 
+Items of ``MIN_ITEM`` to ``SHORT_ITEM`` normalised bytes are found by the same
+count, exactly and as whole words only.
+
 Defined results: null or empty texts and items match nothing; items shorter
-than ``min_item`` normalised characters are left out (too short to be told
+than ``MIN_ITEM`` normalised bytes are left out (too short to be told
 from chance); repeated documents and repeated items each give their rows; an
 empty benchmark or table gives no rows. Where an item occurs several times in a document, each
 region is reported once (neighbouring bands that verify to the same best end
@@ -29,7 +32,7 @@ from eventlens.llm.common import byte_codes, mix64, polynomial_hashes, text_slic
 
 Q = 8
 EDIT_RATE = 0.08
-MIN_ITEM = 40
+MIN_ITEM, SHORT_ITEM = 2 * Q, 40
 #: Items are read by every task; a larger benchmark is checked group by group.
 MAX_ITEM_BYTES = 16 << 20
 
@@ -118,9 +121,9 @@ class BenchmarkIndex:
         ends = offsets[1:].copy()
         trail = (ends > offsets[:-1]) & (data[np.maximum(ends, 1) - 1] == _GAP) if len(data) else np.zeros(len(ends), bool)
         length = ends - trail - offsets[:-1]
-        budget = np.array([edits_allowed(int(n)) for n in length], np.int64)
+        budget = np.array([edits_allowed(int(n)) if n >= SHORT_ITEM else 0 for n in length], np.int64)
         need = length + 1 - Q * (budget + 1)
-        use = length >= max(MIN_ITEM, 2 * Q)
+        use = length >= MIN_ITEM
         h = mix64(polynomial_hashes(_CODES[data], Q, _BASE))
         items, places = [], []
         for i in np.flatnonzero(use):
@@ -184,7 +187,12 @@ class BenchmarkIndex:
                     continue
                 region = data[left:right]
                 exact = region.tobytes().find(pattern.tobytes())
-                got = (exact, exact + len(pattern), 0) if exact >= 0 else banded_alignment(pattern, region, e)
+                if len(pattern) < SHORT_ITEM:
+                    first, last = left + exact, left + exact + len(pattern)
+                    whole = exact >= 0 and (first == offsets[t] or data[first - 1] == _GAP) and (last == offsets[t + 1] or data[last] == _GAP)
+                    got = (exact, exact + len(pattern), 0) if whole else None
+                else:
+                    got = (exact, exact + len(pattern), 0) if exact >= 0 else banded_alignment(pattern, region, e)
                 if got and (t, i, left + got[1]) not in reported:
                     reported.add((t, i, left + got[1]))
                     yield t, i, left + got[0], left + got[1], got[2]

@@ -40,6 +40,8 @@ MIN_COUNT = 2
 #: Filter cells per n-gram (power of two above) and probes.
 CELLS_PER_GRAM = 8
 PROBES = 3
+#: Bytes of text whose n-grams are looked up together.
+SLICE_BYTES = 1 << 19
 #: Below this share of n-grams known to the language a document is rejected.
 REJECT_BELOW = 0.2
 
@@ -52,7 +54,7 @@ _CLASS[128:] = np.arange(128, 256)
 
 def held_out(doc_id: Column) -> Column:
     """Documents that no model learns from: crc32 of the id's text mod 4 is 2."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +76,8 @@ def _lower(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts)
 
 
-def gram_counts(labelled: DataFrame) -> DataFrame:
-    """(lang, gram, n) over whole texts; counted per batch, then added up."""
+def gram_counts(labelled: DataFrame, least: int = MIN_COUNT) -> DataFrame:
+    """(lang, gram, n) over whole texts of n-grams seen ``least`` times; counted per batch, then added up."""
     def count(batches):
         for b in batches:
             for row, end, data, off in text_slices(_lower(b.column("text"))):
@@ -89,7 +91,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                     ["lang", "gram", "n"])
 
     rows = labelled.select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint")
-    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
+    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def bounded_sample(labelled: DataFrame, per_lang: int = SAMPLE_DOCS_PER_LANG) -> DataFrame:
@@ -104,16 +106,14 @@ def bounded_sample(labelled: DataFrame, per_lang: int = SAMPLE_DOCS_PER_LANG) ->
 
 @dataclass(frozen=True)
 class LanguageFilters:
-    """Bit-sliced Bloom filters. ``masks[cell]`` has bit l set if the cell is
-    set in the filter of ``langs[l]``."""
+    """Bit-sliced Bloom filters. ``masks[cell]`` is one or more words; bit l of
+    them is set if the cell is set in the filter of ``langs[l]``."""
     langs: tuple[str, ...]
     masks: np.ndarray
     false_positive: np.ndarray
 
     @classmethod
     def build(cls, langs: list[str], lang_no: np.ndarray, gram: np.ndarray, n: np.ndarray) -> "LanguageFilters":
-        if len(langs) > 64:
-            raise ValueError("at most 64 languages fit one mask word")
         totals = np.bincount(lang_no, n, len(langs))
         share = n / totals[lang_no]
         distinct, at = np.unique(gram, return_inverse=True)
@@ -121,11 +121,13 @@ class LanguageFilters:
         np.maximum.at(most, at, share)
         typical = share >= TYPICAL_SHARE * most[at]
         size = 1 << max(10, int(np.ceil(np.log2(max(1, CELLS_PER_GRAM * len(distinct))))))
-        kind = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(langs) <= bits)
-        masks = np.zeros(size, kind)
+        kind = next((t for t in (np.uint8, np.uint16, np.uint32) if len(langs) <= np.iinfo(t).bits), np.uint64)
+        bits = np.iinfo(kind).bits
+        masks = np.zeros((size, -(-len(langs) // bits)), kind)
+        word, bit = np.divmod(lang_no[typical], bits)
         for cell in cls._cells(gram[typical].astype(np.uint32), size):
-            np.bitwise_or.at(masks, cell, (kind(1) << lang_no[typical].astype(kind)))
-        fill = np.array([np.count_nonzero(masks & (kind(1) << kind(l))) / size for l in range(len(langs))])
+            np.bitwise_or.at(masks, (cell.astype(np.int64), word), kind(1) << bit.astype(kind))
+        fill = np.array([np.count_nonzero(masks[:, l // bits] & (kind(1) << kind(l % bits))) / size for l in range(len(langs))])
         return cls(tuple(langs), masks, fill ** PROBES)
 
     @staticmethod
@@ -136,7 +138,7 @@ class LanguageFilters:
             yield ((h >> np.uint64(p * 21)) & np.uint64((1 << 21) - 1) if bits <= 21 else mix64(h + np.uint64(p))) & np.uint64(size - 1)
 
     def languages_of(self, code: np.ndarray) -> np.ndarray:
-        """Mask of all languages whose filter contains each n-gram."""
+        """Mask words of all languages whose filter contains each n-gram."""
         out = None
         for cell in self._cells(code, len(self.masks)):
             hit = self.masks[cell.astype(np.int64)]
@@ -149,9 +151,10 @@ class LanguageFilters:
         mask = self.languages_of(code)
         total = np.bincount(owner, minlength=n_docs).astype(float)
         known = np.empty((len(self.langs), n_docs))
-        one = self.masks.dtype.type(1)
+        kind = self.masks.dtype.type
+        bits = np.iinfo(kind).bits
         for l, p in enumerate(self.false_positive):
-            hits = np.bincount(owner[(mask >> self.masks.dtype.type(l)) & one != 0], minlength=n_docs)
+            hits = np.bincount(owner[(mask[:, l // bits] >> kind(l % bits)) & kind(1) != 0], minlength=n_docs)
             known[l] = np.maximum(0.0, (hits - total * p) / max(1e-9, 1 - p))
         best = known.argmax(0)
         return best, np.clip(known[best, np.arange(n_docs)] / np.maximum(total, 1), 0.0, 1.0)
@@ -162,7 +165,10 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_DOCS_PER_LANG) -> Language
     or text are left out. The sample is bounded by ``per_lang``; its n-gram
     counts (bounded with it) come to the driver as one Arrow table."""
     rows = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = gram_counts(bounded_sample(rows, per_lang)).toArrow()
+    sample = bounded_sample(rows, per_lang)
+    counts = gram_counts(sample).toArrow()
+    if not counts.num_rows:
+        counts = gram_counts(sample, 1).toArrow()
     if not counts.num_rows:
         return None
     lang = counts.column("lang").combine_chunks().dictionary_encode()
@@ -193,7 +199,7 @@ def predict(docs: DataFrame, model: LanguageFilters | None) -> DataFrame:
         for b in batches:
             texts = b.column("text")
             langs, scores = [], []
-            for row, end, data, off in text_slices(_lower(texts)):
+            for row, end, data, off in text_slices(_lower(texts), SLICE_BYTES):
                 code, owner = _grams(data, off)
                 best, score = m.decide(code, owner, end - row)
                 lang = names[best]

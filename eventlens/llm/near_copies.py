@@ -21,7 +21,8 @@ Words are runs of letters, digits and non-ASCII characters, lower-cased.
 Defined results: a text of one to four words has one shingle of all of them;
 a text without words (null, empty, marks only) is its own class; rows without
 doc_id have no class and stay; repeated rows of a document share its class;
-an empty table gives no row. Other columns are not read.
+rows that share a doc_id but not the words are documents of their own, each with
+its class; an empty table gives no row. Other columns are not read.
 """
 from __future__ import annotations
 
@@ -160,8 +161,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, keys): a digest of the words and the band keys; a text
-    without words has neither."""
+    """(doc_id, text_hash, digest, keys): a hash of the text, a digest of its
+    words and the band keys; a text without words has neither of the last two."""
     def run(batches):
         for b in batches:
             for row, end, data, off in text_slices(pc.utf8_lower(b.column("text"))):
@@ -172,11 +173,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 raw, at = memoryview(words.tobytes()), (8 * begin).tolist()
                 digest = [hashlib.md5(raw[at[i]:at[i + 1]]).digest() if has[i] else None for i in range(n)]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * BANDS)), pa.int32()), pa.array(keys[has].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, n), pa.array(digest, pa.binary()), lists],
-                                                 ["doc_id", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, n), b.column("text_hash").slice(row, n),
+                                                  pa.array(digest, pa.binary()), lists], ["doc_id", "text_hash", "digest", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, digest binary, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        run, "doc_id bigint, text_hash bigint, digest binary, keys array<bigint>")
 
 
 def multisets(docs: DataFrame) -> DataFrame:
@@ -248,18 +249,38 @@ def _blockwise(members: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return placed.groupBy("key", "qb", "mb").applyInArrow(run, "a bigint, b bigint")
 
 
-def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of its class)
-    and kept (it is that document)."""
+def _with_nodes(reps: DataFrame) -> tuple[DataFrame, bool]:
+    """``reps`` (digest, doc, keys) with a node number each, and whether some
+    differs from its doc. Where texts of several words share their smallest
+    doc_id, one keeps it as its node; the others get numbers above all ids."""
+    shared = written(reps.groupBy("doc").agg(F.count(F.lit(1)).alias("texts"), F.min("digest").alias("own")).filter("texts > 1"), "shared-ids")
+    if shared.isEmpty():
+        return reps.withColumn("node", F.col("doc")), False
+    other = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("digest"), 2)
+    named = reps.join(shared.select("doc", "own"), "doc", "left")
+    return named.withColumn("node", F.when(F.col("own").isNull() | (F.col("own") == F.col("digest")), F.col("doc")).otherwise(other)).drop("own"), True
+
+
+def _classes(docs: DataFrame, least: float) -> DataFrame:
+    """One row per row: doc_id, text_hash, class_id."""
     sketched = written(sketches(docs), "sketches")
     reps = (sketched.filter("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest")
-            .agg(F.min("doc_id").alias("doc"), F.first("keys").alias("keys")))
-    buckets = reps.select(F.explode("keys").alias("key"), "doc")
+            .agg(F.min("doc_id").alias("doc"), F.first("keys").alias("keys"), F.min("text_hash").alias("text_hash")))
+    reps, apart_ids = _with_nodes(reps)
+    buckets = reps.select(F.explode("keys").alias("key"), F.col("node").alias("doc"))
     shared = (buckets.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high"))
     members = written(buckets.join(shared, "key"), "bucket-members")
     wanted = members.select("doc").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("doc"), "left_semi")
-    bags = written(multisets(texts).dropDuplicates(["doc"]), "bags")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if apart_ids:  # the text of a node is told by its hash beside the id
+        named = written(reps.select("node", F.col("doc").alias("_id"), "digest").join(wanted, F.col("node") == F.col("doc"), "left_semi"), "node-ids")
+        rows = sketched.select("doc_id", "text_hash", "digest").distinct().join(named, (F.col("doc_id") == F.col("_id")) & (
+            sketched["digest"] == named["digest"])).select(F.col("node").alias("doc"), "_id", "text_hash")
+        texts = texts.withColumn("_hash", F.xxhash64("text")).join(
+            rows, (F.col("doc_id") == F.col("_id")) & F.col("_hash").eqNullSafe(F.col("text_hash"))).select("text", "doc")
+    else:
+        texts = texts.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").select("text", F.col("doc_id").alias("doc"))
+    bags = written(multisets(texts.withColumnRenamed("doc", "doc_id")).dropDuplicates(["doc"]), "bags")
 
     first = written(verified(members.filter("doc <> low").select(F.col("doc").alias("a"), F.col("low").alias("b")).distinct(),
                              bags, least), "links")
@@ -270,14 +291,24 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     last = written(_blockwise(_still_open(members, comp), bags, least), "links")
     if not last.isEmpty():
         comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(last))
+    if apart_ids:  # a class is named by the smallest id of its documents
+        ids = reps.select("node", F.col("doc").alias("_id"))
+        named = comp.join(ids, "node").groupBy("component").agg(F.min("_id").alias("_name"))
+        comp = comp.join(named, "component").select("node", F.col("_name").alias("component"))
 
-    found = (sketched.join(reps.select("digest", F.col("doc").alias("node")), "digest", "left")
+    found = (sketched.join(reps.select("digest", "node", F.col("doc").alias("own")), "digest", "left")
              .join(comp, "node", "left"))
-    class_id = F.coalesce("component", "node", "doc_id")
-    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), class_id).alias("class_id")).withColumn(
+    class_id = F.coalesce("component", "own", "doc_id")
+    return found.select("doc_id", "text_hash", F.when(F.col("doc_id").isNotNull(), class_id).alias("class_id")).withColumn(
         "kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
 
 
+def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest doc_id of its class)
+    and kept (it is that document)."""
+    return _classes(docs, least).drop("text_hash")
+
+
 def _still_open(members: DataFrame, comp: DataFrame) -> DataFrame:
     """(key, doc, component, main, q_blocks, m_blocks) of the buckets that are
     spread over several components; ``main`` is the largest one."""
@@ -293,6 +324,7 @@ def _still_open(members: DataFrame, comp: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each class stays; a repeated row of it goes too."""
-    kept = near_copies(docs, least).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = _classes(docs, least).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("_kept_id")) & F.xxhash64("text").eqNullSafe(F.col("_kept_hash"))
+    named = docs.filter("doc_id IS NOT NULL").join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.filter("doc_id IS NULL"))

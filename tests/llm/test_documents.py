@@ -142,3 +142,54 @@ def test_repeats_documents_and_odd_rows(spark):
     got = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeats_report(odd).collect()}
     assert got == {None: (200, 0), 1: (0, 0), 2: (200, 0), 3: (49, 0)}
     assert repeats_report(odd.limit(0)).count() == 0
+
+
+def test_texts_that_share_an_id_keep_their_links(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(200))
+    a, b = text(), text()
+    rows = [(5, a), (5, b), (3, b.replace(" ", "  ", 1) + " tail"), (9, a + " end"), (7, text())]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.class_id, r.kept) for r in near_copies(df).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 7, True), (9, 5, False)]
+    assert sorted(r.text for r in drop_near_copies(df).collect()) == sorted([a, rows[2][1], rows[4][1]])
+
+
+def test_short_items_as_whole_words(spark):
+    docs = spark.createDataFrame([(1, "so The capital of Peru? it is Lima"), (2, "xthe capital of peru"), (3, "the capital of perus"),
+                                  (4, "the capital, of\nPERU"), (5, "a capital of peru")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "The capital of Peru"), (8, "short")], "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.edits) for r in find_leaks(docs, items).collect())
+    assert got == [(1, 7, 0), (4, 7, 0)]
+
+
+def test_very_many_languages(spark):
+    rng = random.Random(4)
+    sound = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(12)] for k in range(130)}
+    rows = [(i, " ".join(rng.choice(sound[name]) for _ in range(60)), name) for i, name in enumerate([n for n in sound for _ in range(8)])]
+    rows += [(None, "abc def", None)]
+    got = identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    truth = {i: n for i, _, n in rows}
+    right = [r.lang_pred == truth[r.doc_id] for r in got if r.held_out]
+    assert len(right) > 100 and sum(right) >= 0.95 * len(right)
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
+    once = identify(spark.createDataFrame([(1, "mein haus", "de"), (3, "", "de")], "doc_id bigint, text string, lang string")).collect()
+    assert {(r.doc_id, r.lang_pred) for r in once} == {(1, "de"), (3, "und")}
+
+
+def test_filters_say_what_plain_sets_say(spark):
+    """The bit-sliced filters against exact sets of each language's n-grams."""
+    import numpy as np
+
+    from eventlens.llm.language import LanguageFilters
+    rng = np.random.default_rng(3)
+    for n in (3, 64, 100):
+        gram = rng.choice(1 << 31, 3000, replace=False).astype(np.int64)
+        lang = rng.integers(0, n, 3000)
+        f = LanguageFilters.build([f"l{k:03d}" for k in range(n)], lang, gram, np.full(3000, 2))
+        bits = np.iinfo(f.masks.dtype).bits
+        mask = f.languages_of(gram.astype(np.uint32))
+        held = lambda l: (mask[:, l // bits] >> f.masks.dtype.type(l % bits)) & f.masks.dtype.type(1) == 1
+        for k in range(n):
+            assert held(k)[lang == k].all()                       # nothing is forgotten
+            assert held(k)[lang != k].mean() <= 0.01              # and few are taken for it
