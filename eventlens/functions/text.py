@@ -8,6 +8,8 @@ applied by ``normalize_text`` (TXT-02), whose result is that cut text.
 """
 from __future__ import annotations
 
+import html
+import json
 import re
 from typing import Sequence
 
@@ -58,38 +60,64 @@ def content_hash(title="title", description="content") -> Column:
 
 
 def strip_html(c) -> Column:
-    """TXT-03: drop script/style blocks and tags, decode entities, squeeze,
-    lower-case. Named entities in ``HTML_ENTITIES`` and decimal/hex numeric
-    entities are decoded natively."""
+    """TXT-03: drop script/style blocks and tags, decode entities
+    (``unescape_html``), squeeze, lower-case."""
     s = F.regexp_replace(col(c), r"(?is)<script.*?>.*?</script>", " ")
     s = F.regexp_replace(s, r"(?is)<style.*?>.*?</style>", " ")
     s = F.regexp_replace(s, r"(?s)<[^>]+>", " ")
-    s = _decode_numeric_entities(s)
-    for ent, ch in L.HTML_ENTITIES:
-        s = F.replace(s, F.lit(ent), F.lit(ch))
-    return F.lower(F.regexp_replace(s, r"(?U)\s+", " "))
-
-
-def _decode_numeric_entities(s: Column) -> Column:
-    """``&#NNN;`` / ``&#xHH;`` -> the code point, via split + transform."""
-    parts = F.split(s, "&#")
-
-    def dec(p):
-        m = F.regexp_extract(p, r"^([0-9]{1,7});", 1)
-        h = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6});", 1)
-        code = F.when(m != "", F.conv(m, 10, 16)).when(h != "", F.upper(h))
-        number = F.conv(F.coalesce(code, F.lit("0")), 16, 10).try_cast("long")
-        valid = code.isNotNull() & (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        code = F.when(code.isNull() | valid, code).otherwise("FFFD")  # no character: the replacement mark
-        ch = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        rest = F.when(m != "", F.substring(p, F.length(m) + 2, 1 << 30)) \
-                .when(h != "", F.substring(p, F.length(h) + 3, 1 << 30))
-        return F.when(code.isNotNull(), F.concat(ch, rest)).otherwise(F.concat(F.lit("&#"), p))
-
-    first = F.element_at(parts, 1)
-    tail = F.slice(parts, 2, 1 << 30)
-    return F.when(F.size(parts) <= 1, s).otherwise(
-        F.concat(first, F.array_join(F.transform(tail, dec), "")))
+    return F.lower(F.regexp_replace(unescape_html(s), r"(?U)\s+", " "))
+
+
+def _entity_tables() -> tuple[str, str, str]:
+    """From Python's table of the HTML5 names: names with a semicolon by their
+    first letter (JSON), those that may stand without one (an expression, the
+    longest first), and all of these by name (JSON)."""
+    by_letter: dict[str, dict[str, str]] = {}
+    bare = {}
+    for name, text in html.entities.html5.items():
+        if name.endswith(";"):
+            by_letter.setdefault(name[0], {})[name] = text
+        else:
+            bare[name] = text
+    return json.dumps(by_letter), "^(?:" + "|".join(sorted(bare, key=lambda n: (-len(n), n))) + ")", json.dumps(bare)
+
+
+#: What the first 160 numeric references stand for (control characters have replacements of their own).
+_LOW_REFERENCES = [html.unescape(f"&#{n};") for n in range(160)]
+
+
+def unescape_html(c) -> Column:
+    """Named and numeric character references as ``html.unescape`` decodes
+    them: with or without the semicolon where HTML5 allows it, the longest name
+    that fits, U+FFFD for what is no character. The text is split at ``&``, so
+    each reference costs one look at its own part."""
+    by_letter, bare, bare_table = _entity_tables()
+    named = F.from_json(F.lit(by_letter), "map<string,map<string,string>>")
+    short = F.from_json(F.lit(bare_table), "map<string,string>")
+
+    def decoded(p):
+        digits, hexa = F.regexp_extract(p, "^#([0-9]+);?", 1), F.regexp_extract(p, "^#[xX]([0-9a-fA-F]+);?", 1)
+        # More than ten digits (or eight hex ones) without leading zeros are beyond any character.
+        plain, plain16 = F.regexp_replace(digits, "^0+(?=.)", ""), F.regexp_replace(hexa, "^0+(?=.)", "")
+        number = (F.when(digits != "", F.when(F.length(plain) > 10, F.lit(1 << 40)).otherwise(plain.try_cast("bigint")))
+                  .when(hexa != "", F.when(F.length(plain16) > 8, F.lit(1 << 40)).otherwise(F.conv(plain16, 16, 10).try_cast("bigint"))))
+        none = number.between(0xFDD0, 0xFDEF) | (F.pmod(number, F.lit(0x10000)) >= 0xFFFE)
+        char = (F.when(number < 160, F.get(F.array(*[F.lit(x) for x in _LOW_REFERENCES]), number.cast("int")))
+                .when(number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), "\ufffd").when(none, "")
+                .otherwise(F.decode(F.unhex(F.lpad(F.hex(F.least(number, F.lit(0x10FFFF))), 8, "0")), "UTF-32")))
+        used = F.length(F.regexp_extract(p, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0))
+        whole = F.regexp_extract(p, "^[A-Za-z][A-Za-z0-9]{0,31};", 0)
+        of_name = F.element_at(F.element_at(named, F.substring(whole, 1, 1)), whole)
+        start = F.regexp_extract(p, bare, 0)
+        rest = lambda n: F.substring(p, n + 1, F.lit(1 << 30))
+        return (F.when(number.isNotNull(), F.concat(char, rest(used)))
+                .when((whole != "") & of_name.isNotNull(), F.concat(of_name, rest(F.length(whole))))
+                .when(start != "", F.concat(F.element_at(short, start), rest(F.length(start))))
+                .otherwise(F.concat(F.lit("&"), p)))
+
+    parts = F.split(col(c), "&", -1)
+    return F.when(~F.contains(col(c), F.lit("&")), col(c)).otherwise(
+        F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), decoded), "")))
 
 
 def language_score(text=None, *, norm=None) -> Column:

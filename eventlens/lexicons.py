@@ -185,7 +185,7 @@ SEVERITY_TYPE_BIAS = {"conflict": 4, "sanction": 4, "energy_disruption": 4, "tra
 NEGATIVE_TYPES = ["conflict", "sanction", "energy_disruption"]
 SIGNED_TYPES = ["regulation", "economic_data", "trade_policy"]
 
-# HTML entities decoded by the native HTML strip (others stay as text)
+# HTML entities that the test pages hold (the strip knows all of HTML5)
 HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
                  ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
                  ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"),

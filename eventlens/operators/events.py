@@ -310,6 +310,31 @@ def backfill_metadata(articles: DataFrame, as_of, n: int | None = None) -> DataF
     return FL.annotate_articles(todo.drop("nlp_processed_at")).withColumn("nlp_processed_at", ts_lit(as_of))
 
 
+def article_boundaries(links: DataFrame, articles: DataFrame, reach: int) -> DataFrame:
+    """(event_id, next_article, text): for each two neighbouring articles of an
+    event (newest published first, no time before all) the last ``reach``
+    words of the one and the first ``reach`` words that follow, over more than
+    one article where they are that short. A phrase of up to ``reach`` + 1
+    words that the joined text holds and no article alone stands in one of
+    these. Neighbours are found by row position, so the articles of a large
+    event are never in one task."""
+    words = F.filter(F.split(T.normalize_entity(T.article_text("title", "content")), " "), lambda t: t != "")
+    ends = (articles.select("article_id", "published_at", words.alias("_w")).where(F.size("_w") > 0)
+            .select("article_id", F.col("published_at").isNotNull().alias("_timed"), (-F.unix_micros("published_at")).alias("_late"),
+                    F.slice("_w", 1, reach).alias("head"), F.slice("_w", F.greatest(F.size("_w") - reach + 1, F.lit(1)), reach).alias("tail")))
+    from eventlens.operators.signals import row_index
+    placed = cut_lineage(row_index(links.select("event_id", "article_id").distinct().join(ends, "article_id"),
+                                   ["event_id", "_timed", "_late", "article_id"], out="at"))
+    # Each head goes to the articles up to ``reach`` places before it; the next ones of the same event follow the tail.
+    sent = placed.select(F.col("event_id").alias("_e"), F.col("article_id").alias("_a"), F.col("at").alias("_from"), "head",
+                         F.explode(F.sequence(F.lit(1), F.lit(max(reach, 1)))).alias("_step")).withColumn("_to", F.col("_from") - F.col("_step"))
+    after = (placed.drop("head").join(sent, (F.col("at") == F.col("_to")) & (F.col("event_id") == F.col("_e")))
+             .groupBy("event_id", "article_id").agg(F.first("tail").alias("tail"), F.min_by("_a", "_step").alias("next_article"),
+                                                    F.sort_array(F.collect_list(F.struct("_step", "head"))).alias("heads")))
+    following = F.slice(F.flatten(F.transform("heads", lambda h: h["head"])), 1, max(reach, 1))
+    return after.select("event_id", "next_article", F.array_join(F.concat("tail", following), " ").alias("text"))
+
+
 def backfill_entities(events: DataFrame, links: DataFrame, articles: DataFrame, assets: DataFrame,
                       edges: DataFrame, impacts: DataFrame | None = None, n: int | None = None,
                       corpus=None) -> dict[str, DataFrame]:
@@ -320,9 +345,10 @@ def backfill_entities(events: DataFrame, links: DataFrame, articles: DataFrame,
 
     The reference concatenates every article of an event into one string.
     Here mentions, tags and term counts are computed per article and merged
-    per event (sets and summed counts), which gives the same result without
-    building one unbounded string per event (only a phrase spanning the
-    boundary of two articles is not matched)."""
+    per event (sets and summed counts), and the places where one article ends
+    and the next begins are searched as short texts of their own
+    (``article_boundaries``): the same result without one unbounded string per
+    event."""
     ev = events
     if n is not None:
         ev = ev.orderBy(F.col("created_at").desc(), F.col("event_id").desc()).limit(n)
@@ -330,13 +356,20 @@ def backfill_entities(events: DataFrame, links: DataFrame, articles: DataFrame,
     la = (links.select("event_id", "article_id").join(ev.select("event_id", "event_type", "confidence_score"),
                                                       "event_id")
           .join(art, "article_id"))
-    aliases = MP.asset_aliases(assets)
-    per_art = MP.extract_mentions(la.select("article_id", "text").distinct(), aliases, key="article_id")
-    l1 = per_art.join(la.select("article_id", "event_id").distinct(), "article_id").select("event_id", "ticker").distinct()
-    atags = MP.entity_tags(la.select("article_id", "text").distinct(), per_art, assets, key="article_id")
+    aliases = MP.AliasIndex.of(MP.asset_aliases(assets))
+    reach = max(MP.TAG_WORDS, *aliases.known_phrases.lengths, 1) - 1
+    edges_of = article_boundaries(links.join(ev.select("event_id"), "event_id", "left_semi"), articles, reach)
+    own = la.select("article_id", "text").distinct()
+    read = cut_lineage(own.select("article_id", aliases.candidates(F.col("text")).alias("_cand"), MP.text_tags(F.col("text")).alias("text_tags"))
+                       .join(la.select("article_id", "event_id").distinct(), "article_id").select("event_id", "article_id", "_cand", "text_tags")
+                       .unionByName(edges_of.select("event_id", F.col("next_article").alias("article_id"),
+                                                    aliases.candidates(F.col("text")).alias("_cand"), MP.text_tags(F.col("text")).alias("text_tags"))))
+    l1 = aliases.mentions(read, "event_id", "_cand")
     w = Window.partitionBy("event_id").orderBy("tag")
-    tags = (atags.join(la.select("article_id", "event_id").distinct(), "article_id")
-            .select("event_id", F.explode("tags").alias("tag")).distinct()
+    text_tags = read.select("event_id", F.explode("text_tags").alias("tag"))
+    asset_tags = MP.merge_tags(l1.select("event_id").distinct().withColumn("text_tags", F.array().cast("array<string>")), l1, assets,
+                               key="event_id", most=None).select("event_id", F.explode("tags").alias("tag"))
+    tags = (text_tags.unionByName(asset_tags).distinct()
             .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= L.MAX_TAGS).drop("_rn"))
     key = "event_id"
     docs = ev.select(key, "event_type", "confidence_score")

@@ -127,10 +127,11 @@ def text_tags(text: Column) -> Column:
     return let(T.normalize_entity(F.coalesce(text, F.lit(""))), tags)
 
 
-def merge_tags(own: DataFrame, mentions: DataFrame, assets: DataFrame, *, key: str = "doc_id") -> DataFrame:
+def merge_tags(own: DataFrame, mentions: DataFrame, assets: DataFrame, *, key: str = "doc_id",
+               most: int | None = L.MAX_TAGS) -> DataFrame:
     """MAP-03: (key, tags) — the text's tags (``own``: key, text_tags) with
     ticker, first three name words capitalised, sector and country of every
-    mention; sorted, first 12."""
+    mention; sorted, first 12 (``most`` None: all)."""
     a = assets.select(
         F.upper("ticker").alias("ticker"),
         F.initcap(F.array_join(F.slice(F.split(T.normalize_entity(F.coalesce(F.col("name"), F.lit(""))), " "),
@@ -141,8 +142,8 @@ def merge_tags(own: DataFrame, mentions: DataFrame, assets: DataFrame, *, key: s
                                                 "sector", "country")).alias("_t")))
     mtags = per.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("_t"))).alias("_mt"))
     allt = F.array_union(F.col("text_tags"), F.coalesce(F.col("_mt"), F.array().cast("array<string>")))
-    return own.join(mtags, key, "left").select(
-        key, F.slice(F.array_sort(F.filter(allt, lambda x: x != "")), 1, L.MAX_TAGS).alias("tags"))
+    tags = F.array_sort(F.filter(allt, lambda x: x != ""))
+    return own.join(mtags, key, "left").select(key, (tags if most is None else F.slice(tags, 1, most)).alias("tags"))
 
 
 def entity_tags(docs: DataFrame, mentions: DataFrame, assets: DataFrame, *,
@@ -156,6 +157,11 @@ def _norm_alias(a: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", a.lower()).strip()
 
 
+#: Words of the longest term that ``text_tags`` looks for.
+TAG_WORDS = max(len(w.split()) for w in [*(_norm_alias(a) for _, aliases in L.TAG_COUNTRY_TERMS for a in aliases),
+                                         *(k for _, kws in L.TOPIC_TAGS for k in kws)])
+
+
 # ---------------------------------------------------------------------------
 # MAP-04 knowledge-graph spread
 # ---------------------------------------------------------------------------

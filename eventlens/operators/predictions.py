@@ -43,8 +43,9 @@ def due_predictions(preds: DataFrame, as_of, n: int | None = None) -> DataFrame:
 
 
 def verify_predictions(preds: DataFrame, prices: DataFrame, as_of,
-                       round_digits: int | None = None) -> DataFrame:
-    """PRD-02: settle due predictions against the nearest bars.
+                       round_digits: int | None = 4) -> DataFrame:
+    """PRD-02: settle due predictions against the nearest bars. The change is
+    stored with four decimals; the outcome is judged on the exact one.
 
     Both as-of lookups (at ``predicted_at`` and at ``resolve_at``) run as one
     pass over a two-rows-per-prediction target table. Predictions without a

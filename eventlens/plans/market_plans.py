@@ -88,7 +88,7 @@ def prd01(t):
 
 @plan("prd02_verify_predictions", oracle=f"""
     SELECT prediction_id, asset_id, predicted_direction, predicted_at, resolve_at, start_price, end_price,
-           CASE WHEN ok THEN pct END AS actual_change_pct,
+           CASE WHEN ok THEN round(pct, 4) END AS actual_change_pct,
            CASE WHEN NOT ok THEN 'pending'
                 WHEN predicted_direction = 'up' THEN
                   CASE WHEN pct >= 0.25 THEN 'correct' WHEN pct <= -0.25 THEN 'wrong' ELSE 'partial' END
