@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.functions.common import plus_seconds
+from eventlens.session import cut_lineage
 
 DAY = 86400
 
@@ -15,10 +16,28 @@ def _bucket(ts: Column, bucket_seconds: int) -> Column:
     return F.floor(F.unix_seconds(ts) / F.lit(bucket_seconds))
 
 
+#: Bars of a key and bucket from which the bucket is cut, and into how many parts at least.
+DENSE_ROWS = 2_000_000
+DENSE_PARTS = 256
+
+
+def dense_borders(bars: DataFrame, keys: Sequence[str], dense_rows: int = DENSE_ROWS) -> DataFrame | None:
+    """(keys, _b, _borders) of the buckets of ``bars`` (keys, _b, _t) with more
+    than ``dense_rows`` rows: times (microseconds) that cut one into parts of
+    about equal size. None if there is no such bucket, as for daily bars. The
+    quantile sketches are merged, so no bucket is in one task."""
+    dense = cut_lineage(bars.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > dense_rows).drop("_n"))
+    if dense.isEmpty():
+        return None
+    cuts = [k / DENSE_PARTS for k in range(1, DENSE_PARTS)]
+    return cut_lineage(bars.join(dense, [*keys, "_b"], "left_semi").groupBy(*keys, "_b")
+                       .agg(F.array_distinct(F.percentile_approx(F.unix_micros("_t"), cuts, 20 * DENSE_PARTS)).alias("_borders")))
+
+
 def asof_price(targets: DataFrame, prices: DataFrame, *, by: str | Sequence[str] = "asset_id",
                at: str = "target_at", ts: str = "ts", value: str = "close",
                direction: str = "nearest", out: str = "price",
-               bucket_seconds: int = 7 * DAY) -> DataFrame:
+               bucket_seconds: int = 7 * DAY, dense_rows: int = DENSE_ROWS) -> DataFrame:
     """MKT-01: price of the first bar at or after ``at``, else the last bar at
     or before it (``direction='nearest'``); ``'forward'`` and ``'backward'``
     take one side only. Every target row is kept; no price gives NULL.
@@ -29,8 +48,11 @@ def asof_price(targets: DataFrame, prices: DataFrame, *, by: str | Sequence[str]
     summary (first/last value per bucket, one row per bucket) carries the
     neighbour values across empty stretches. A hot key is therefore spread over
     its time buckets, and the carry table grows with time span, not rows.
-    ``bucket_seconds`` (default 7 days, right for daily bars) should shrink for
-    dense intraday data so that one (key, bucket) stays a small task.
+
+    A bucket (``bucket_seconds`` of a key) that holds more than ``dense_rows``
+    bars is cut again at quantiles of its own bar times, so a dense feed is
+    spread by its data; such buckets are few, and one border list is kept for
+    each (``dense_borders``).
     """
     keys = [by] if isinstance(by, str) else list(by)
     tcols = targets.columns
@@ -42,6 +64,14 @@ def asof_price(targets: DataFrame, prices: DataFrame, *, by: str | Sequence[str]
          .select(*keys, F.col(ts).alias("_t"), F.col(value).cast("double").alias("_v"))
          .withColumn("_b", _bucket(F.col("_t"), bucket_seconds))
          .withColumn("_k", F.lit(1)))
+    borders = dense_borders(p, keys, dense_rows)
+    if borders is None:
+        place = lambda df: df.withColumn("_b", F.struct("_b", F.lit(0).alias("_s")))
+    else:
+        def place(df):
+            inside = F.size(F.filter(F.coalesce("_borders", F.array().cast("array<bigint>")), lambda x: x <= F.unix_micros("_t")))
+            return (df.join(borders, [*keys, "_b"], "left").withColumn("_b", F.struct("_b", inside.alias("_s"))).drop("_borders"))
+    t, p = place(t), place(p)
     u = t.unionByName(p, allowMissingColumns=True)
     # For equal times the target sorts first, so a bar at exactly ``at`` is
     # "at or after"; the backward pass only matters when no such bar exists.

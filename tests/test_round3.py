@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from eventlens.functions import text as T
 from eventlens.operators import alerts as AL
 from eventlens.operators import events as EV
+from eventlens.operators.market import asof_price, dense_borders
 from eventlens.operators.serving import provider_health
 from eventlens.operators.signals import chrono_split, row_index
 from eventlens.sources import events as E
@@ -100,3 +101,29 @@ def test_health_over_a_long_log(spark):
             if q == p:
                 score, latency = max(0.05, min(1.0, 0.8 * score + 0.2 * ok)), 0.8 * latency + 0.2 * ms
         assert abs(got[p].score - score) < 1e-9 and abs(got[p].latency_ema - latency) < 1e-6
+
+
+def test_dense_bucket_is_cut_by_its_data(spark):
+    rng = random.Random(3)
+    day = 1_700_006_400  # one asset with most bars in one day, the others with few
+    bars = [(1, day + rng.randint(0, 86_000), float(k)) for k in range(6000)] + [(2, day + 3600 * k, float(k)) for k in range(48)]
+    bars = [(a, s * 1_000_000 + i % 7, v) for i, (a, s, v) in enumerate({(a, s): (a, s, v) for a, s, v in bars}.values())]
+    asks = [(i, rng.randint(1, 3), day + rng.randint(-90_000, 180_000)) for i in range(400)]
+    p = spark.createDataFrame(bars, "asset_id int, us bigint, close double").withColumn("ts", F.timestamp_micros("us"))
+    t = spark.createDataFrame(asks, "id int, asset_id int, s bigint").withColumn("target_at", F.timestamp_seconds("s"))
+    cell = p.select("asset_id", F.col("ts").alias("_t"), F.floor(F.unix_seconds("ts") / (7 * 86400)).alias("_b"))
+    cuts = dense_borders(cell, ["asset_id"], 1000).collect()
+    assert [r.asset_id for r in cuts] == [1] and len(cuts[0]["_borders"]) > 200 and dense_borders(cell, ["asset_id"], 10_000) is None
+    times = sorted(u for a, u, _ in bars if a == 1)
+    parts = [0] * (len(cuts[0]["_borders"]) + 1)
+    for u in times:
+        parts[sum(b <= u for b in cuts[0]["_borders"])] += 1
+    assert max(parts) <= 4 * len(times) / len(parts)
+    for way in ("nearest", "forward", "backward"):
+        cut = {r.id: r.price for r in asof_price(t, p, direction=way, dense_rows=1000).collect()}
+        assert cut == {r.id: r.price for r in asof_price(t, p, direction=way).collect()}
+        for i, a, s in asks:
+            after = min(((u, v) for x, u, v in bars if x == a and u >= s * 1_000_000), default=(0, None))[1]
+            before = max(((u, v) for x, u, v in bars if x == a and u <= s * 1_000_000), default=(0, None))[1]
+            want = {"forward": after, "backward": before, "nearest": before if after is None else after}[way]
+            assert cut[i] == want
