@@ -5,8 +5,8 @@ codebook (k-means on a bounded sample); the pairs of codewords form a product
 grid, and a vector lies in one cell of it. For each vector a multi-sequence
 traversal visits the cells of the grid in order of their distance, nearest
 first. How many cells are visited is calibrated before: partners are made at
-exactly the threshold cosine in random directions, and the traversal must
-reach ``TARGET`` of them. Vectors found in visited cells are verified in
+exactly the threshold cosine in random directions, and the traversal from one
+side or the other must reach ``TARGET`` of them. Vectors found in visited cells are verified in
 double precision.
 
 A pair is compared if either vector visits the other's cell, so links are
@@ -79,13 +79,18 @@ class MultiIndex:
         d -= (d * x).sum(1, keepdims=True) * x
         norm = np.linalg.norm(d, axis=1, keepdims=True)
         y = cosine * x + np.sqrt(1 - cosine * cosine) * d / np.where(norm > 0, norm, 1)
-        cell = index.cells(y)
-        rank = np.empty(len(x), np.int64)
-        for i in range(0, len(x), 32):
-            grid = index.grid(x[i:i + 32])
-            rank[i:i + 32] = (grid < grid[np.arange(len(grid)), cell[i:i + 32]][:, None]).sum(1)
+        # A pair is compared if either visits the other's cell: the nearer of the two ranks counts.
+        rank = np.minimum(index.ranks(x, index.cells(y)), index.ranks(y, index.cells(x)))
         return cls(index.left, index.right, int(np.quantile(rank, target, method="higher")) + 1)
 
+    def ranks(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """How many cells lie nearer to each vector than its ``cell`` (calibration only)."""
+        out = np.empty(len(x), np.int64)
+        for i in range(0, len(x), 32):
+            grid = self.grid(x[i:i + 32])
+            out[i:i + 32] = (grid < grid[np.arange(len(grid)), cell[i:i + 32]][:, None]).sum(1)
+        return out
+
     def grid(self, x: np.ndarray) -> np.ndarray:
         """Distance to every cell of the grid (calibration only)."""
         half = x.shape[1] // 2
