@@ -71,3 +71,17 @@ scored as (select i, item_id, r, doc_id,
     from asked join df using (term) join tf using (term), total where tf.doc_id is not null group by all)
 select item_id, cast(rank as integer) as rank, doc_id, score
 from (select *, row_number() over (partition by i order by score desc, doc_id) as rank from scored where score > 0) where rank <= 20"""
+
+
+def archives() -> str:
+    """Base 32 from the digest's hexadecimal form: five digits are four characters."""
+    chars = " || ".join(
+        f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {shift}) & 31), 1)"
+        for i in range(8) for shift in (15, 10, 5, 0))
+    return f"""
+with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
+m as (select *, min(page_id) over (partition by body) as first from p)
+select page_id, cast(octet_length(encode(body)) as bigint) as payload_bytes, {chars} as payload_digest,
+    case when page_id = first then 'response' else 'revisit' end as record_type,
+    case when page_id = first then null else first end as refers_to
+from m"""

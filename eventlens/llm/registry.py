@@ -93,6 +93,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _ORACLES: dict[str, Callable[[], str]] = {
+    "op7_warc": oracles.archives,
     "op12_licenses": oracles.licenses,
     "op13_search": oracles.search,
 }
