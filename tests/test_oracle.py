@@ -1,8 +1,4 @@
-"""Every registered query against its DuckDB oracle at sf0.01 (rows-only where
-no oracle exists). Model training and the streaming event build are slow
-rows-only checks and run when EVENTLENS_FULL=1."""
-import os
-
+"""Every registered query against its DuckDB oracle at sf0.01."""
 import pytest
 
 from eventlens.plans import REGISTRY
@@ -10,7 +6,6 @@ from eventlens.plans.check import compare, duck
 
 from paths import SF01
 
-SLOW = {"ml01_train_text", "ml02_train_mixed", "ml03_train_breakout", "ml04_train_forest", "str08_stream_events"}
 _con = None
 
 
@@ -23,8 +18,6 @@ def _duck():
 
 @pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_matches_oracle(spark, name):
-    if name in SLOW and not os.environ.get("EVENTLENS_FULL"):
-        pytest.skip("slow rows-only check (set EVENTLENS_FULL=1)")
     p = REGISTRY[name]
     r = compare(spark, SF01, name, p.fn, p.oracle, _duck())
-    assert r["status"] in ("match", "rows-only"), r
+    assert r["status"] == "match", r
