@@ -431,21 +431,22 @@ def snk03b(t):
 
 @plan("src12_fundamentals", oracle="""
     SELECT 'S' || s_suppkey AS ticker, s_acctbal * 1e6 AS market_cap, CAST(s_suppkey % 40 + 5 AS DOUBLE) AS pe_ratio,
-           s_acctbal / 1000 AS eps, CAST(NULL AS DOUBLE) AS dividend_yield, s_acctbal AS week_52_high,
-           s_acctbal / 2 AS week_52_low
-    FROM supplier""")
+           s_acctbal / 1000 AS eps, CASE WHEN s_suppkey % 3 = 1 THEN (s_suppkey % 7) / 100.0::DOUBLE END AS dividend_yield,
+           s_acctbal AS week_52_high, s_acctbal / 2 AS week_52_low
+    FROM supplier WHERE s_suppkey % 3 <> 2""")
 def src12(t):
-    """SRC-12: fundamentals payloads built from supplier balances and parsed."""
-    s = t.raw("supplier")
-    p = s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"),
-                 F.to_json(F.struct(F.struct((F.col("s_acctbal") * 1e6).alias("market_cap"),
-                                             (F.col("s_suppkey") % 40 + 5).alias("pe_ratio"),
-                                             (F.col("s_acctbal") / 1000).alias("eps"),
-                                             F.lit("n/a").alias("dividend_yield"),
-                                             F.col("s_acctbal").alias("week_52_high"),
-                                             (F.col("s_acctbal") / 2).alias("week_52_low")).alias("results")))
-                 .alias("payload"))
-    return SP.normalize_fundamentals(p)
+    """SRC-12: fundamentals payloads of both providers (polygon for a third of the suppliers, finnhub for another; the last has no metrics) parsed back."""
+    s = t.raw("supplier").withColumn("ticker", F.concat(F.lit("S"), F.col("s_suppkey").cast("string")))
+    figures = [(F.col("s_acctbal") * 1e6), (F.col("s_suppkey") % 40 + 5), (F.col("s_acctbal") / 1000)]
+    range_ = [F.col("s_acctbal"), F.col("s_acctbal") / 2]
+    named = lambda cols, names: F.struct(*[c.alias(n) for c, n in zip(cols, names)])
+    polygon = named([*figures, F.lit("n/a"), *range_], ["market_cap", "pe_ratio", "eps", "dividend_yield", "week_52_high", "week_52_low"])
+    finnhub = named([*figures, (F.col("s_suppkey") % 7) / 100.0, *range_],
+                    ["marketCapitalization", "peTTM", "epsTTM", "dividendYieldIndicatedAnnual", "52WeekHigh", "52WeekLow"])
+    kind = F.col("s_suppkey") % 3
+    first = s.where(kind == 0).select("ticker", F.to_json(F.struct(polygon.alias("results"))).alias("payload"))
+    other = s.where(kind > 0).select("ticker", F.when(kind == 1, F.to_json(F.struct(finnhub.alias("metric")))).otherwise('{"metric":{}}').alias("payload"))
+    return SP.normalize_fundamentals(first).unionByName(SP.normalize_fundamentals(other, "finnhub"))
 
 
 @plan("src14_latest_filing", oracle="""

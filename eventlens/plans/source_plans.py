@@ -207,18 +207,43 @@ def src05(t):
 
 
 @plan("src07_news_payloads", oracle="""
-    SELECT title, content, source, url, published_at,
-           sha256(title || '::' || coalesce(left(content, 200), '')) AS content_hash
-    FROM f_article WHERE published_at IS NOT NULL""")
+    SELECT title, CASE article_id % 5 WHEN 1 THEN NULL WHEN 3 THEN left(content, 200) ELSE content END AS content,
+           CASE article_id % 5 WHEN 1 THEN 'www.' || article_id % 7 || '.example' ELSE source END AS source, url,
+           published_at,
+           sha256(title || '::' || CASE article_id % 5 WHEN 0 THEN coalesce(left(content, 200), '') WHEN 1 THEN url
+                                                        WHEN 2 THEN content WHEN 3 THEN trim(left(content, 200)) ELSE content END) AS content_hash
+    FROM f_article""")
 def src07(t):
-    """SRC-07: NewsAPI payloads (one per publication minute) built from the articles and parsed back."""
-    a = t.article.where(F.col("published_at").isNotNull())
-    art = F.struct(F.col("title"), F.substring("content", 1, 200).alias("description"), F.col("content"),
-                   F.col("url"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"),
-                   F.struct(F.col("source").alias("name")).alias("source"))
-    payloads = (a.groupBy(F.date_trunc("minute", "published_at").alias("minute"))
-                .agg(F.to_json(F.struct(F.collect_list(art).alias("articles"))).alias("payload")))
-    return SP.normalize_news(payloads, "newsapi")
+    """SRC-07: payloads of all five news providers (an article goes to one of them) built from the articles and parsed back."""
+    a = t.article
+    iso = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    short = F.substring("content", 1, 200)
+    minute = F.date_trunc("minute", "published_at").alias("minute")
+
+    def sent(k: int, wrap, fields: dict, *by):
+        art = F.struct(*[c.alias(n) for n, c in fields.items()])
+        return (a.where(F.col("article_id") % 5 == k).groupBy(minute, *by)
+                .agg(F.to_json(wrap(F.collect_list(art))).alias("payload")))
+
+    title, url, body = F.col("title"), F.col("url"), F.col("content")
+    payloads = {
+        "newsapi": sent(0, lambda x: F.struct(x.alias("articles")), {
+            "title": title, "description": short, "content": body, "url": url, "publishedAt": iso, "source": F.struct(F.col("source").alias("name"))}),
+        "gdelt": sent(1, lambda x: F.struct(x.alias("articles")), {
+            "title": title, "url": url, "seendate": F.date_format("published_at", "yyyyMMdd'T'HHmmss'Z'"),
+            "domain": F.concat(F.lit("www."), (F.col("article_id") % 7).cast("string"), F.lit(".example"))}),
+        "eventregistry": sent(2, lambda x: F.struct(F.struct(x.alias("results")).alias("articles")), {
+            "title": title, "body": body, "url": url, "dateTimePub": iso, "source": F.struct(F.col("source").alias("title"))}),
+        "mediastack": sent(3, lambda x: F.struct(x.alias("data")), {
+            "title": title, "description": short, "content": short, "url": url, "published_at": iso, "source": F.col("source")}),
+        "rss": sent(4, lambda x: F.struct(F.struct(F.col("source").alias("title")).alias("feed"), x.alias("entries")), {
+            "title": title, "summary": body, "link": url, "published": iso}, "source"),
+    }
+    out = None
+    for provider, p in payloads.items():
+        rows = SP.normalize_news(p, provider)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @plan("src08_read_klines", oracle="""
@@ -274,16 +299,57 @@ def src09b(t):
     return SP.normalize_ohlcv(p, "binance")
 
 
+@plan("src09_ohlcv_others", oracle=_OHLCV_SQL)
+def src09c(t):
+    """SRC-09: payloads of the polygon, twelvedata, fcs and eodhd shapes (an asset's bars by one of them) built from the bars and parsed back."""
+    b = t.bar
+    num = {c: F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")}
+    short = {k[0]: v for k, v in num.items()}
+    ticker = F.col("asset_id").cast("string")
+
+    def sent(k: int, fields: dict, wrap):
+        row = F.struct(*[c.alias(n) for n, c in fields.items()])
+        return (b.where(F.col("asset_id") % 4 == k).groupBy(ticker.alias("ticker"), F.date_trunc("month", "ts").alias("m"))
+                .agg(F.to_json(wrap(F.collect_list(row))).alias("payload")))
+
+    day = F.date_format("ts", "yyyy-MM-dd")
+    parts = {
+        "polygon": sent(0, {"t": (F.unix_micros("ts") / 1000).cast("long").cast("string"), **short}, lambda x: F.struct(x.alias("results"))),
+        "twelvedata": sent(1, {"datetime": day, **num}, lambda x: F.struct(x.alias("values"))),
+        "fcs": sent(2, {"t": F.unix_seconds("ts").cast("string"), **short},
+                    lambda x: F.struct(F.lit(True).alias("status"), F.create_map(F.first(ticker), x).alias("response"))),
+        "eodhd": sent(3, {"date": day, **num}, lambda x: x),
+    }
+    out = None
+    for provider, p in parts.items():
+        rows = SP.normalize_ohlcv(p, provider)
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("ticker", F.col("ticker").cast("bigint"))
+
+
 @plan("src10_quotes", oracle="""
-    SELECT asset_id AS ticker, price, 0.0::DOUBLE AS change, as_of, 'polygon' AS source
-    FROM f_quote WHERE provider = 'polygon' AND price > 0""")
+    SELECT asset_id AS ticker, price, CASE WHEN provider = 'polygon' THEN 0.0 ELSE change END::DOUBLE AS change,
+           CASE WHEN provider IN ('polygon', 'finnhub') THEN as_of END AS as_of, provider AS source
+    FROM f_quote WHERE price > 0""")
 def src10(t):
-    """SRC-10: polygon quote payloads built from the quote table and parsed back (non-positive rejected)."""
-    q = t.quote.where(F.col("provider") == "polygon")
-    p = q.select(F.col("asset_id").alias("ticker"), F.to_json(F.struct(F.array(F.struct(
-        F.col("price").alias("p"), (F.unix_micros("as_of") / 1000).cast("long").alias("t"))).alias("results")))
-        .alias("payload"))
-    return SP.normalize_quote(p, "polygon")
+    """SRC-10: quote payloads of all seven providers built from the quote table and parsed back (missing and non-positive prices rejected)."""
+    price, change = F.col("price").alias, F.col("change").alias
+    text = lambda c, n: F.col(c).cast("string").alias(n)
+    shapes = {
+        "polygon": F.struct(F.array(F.struct(price("p"), (F.unix_micros("as_of") / 1000).cast("long").alias("t"))).alias("results")),
+        "finnhub": F.struct(price("c"), change("d"), F.unix_seconds("as_of").alias("t")),
+        "twelvedata": F.struct(text("price", "price"), text("change", "change")),
+        "binance": F.struct(text("price", "lastPrice"), text("change", "priceChangePercent")),
+        "fcs": F.struct(F.array(F.struct(text("price", "c"), text("change", "ch"))).alias("response")),
+        "alphavantage": F.struct(F.struct(text("price", "05. price"), text("change", "09. change")).alias("Global Quote")),
+        "eodhd": F.struct(price("close"), change("change")),
+    }
+    out = None
+    for provider, shape in shapes.items():
+        p = t.quote.where(F.col("provider") == provider).select(F.col("asset_id").alias("ticker"), F.to_json(shape).alias("payload"))
+        rows = SP.normalize_quote(p, provider)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @plan("src11_trades", oracle="""

@@ -259,14 +259,27 @@ def parse_trades(raw: DataFrame, provider: str, payload: str = "payload") -> Dat
     raise ValueError(provider)
 
 
-def normalize_fundamentals(raw: DataFrame, payload: str = "payload", key: str = "ticker") -> DataFrame:
-    """SRC-12: fundamentals payload (polygon-style ``results`` object) ->
-    market cap, P/E, EPS, dividend yield, 52-week high/low (bad -> NULL)."""
-    g = lambda path: F.get_json_object(F.col(payload), path).try_cast("double")
-    return raw.select(key, g("$.results.market_cap").alias("market_cap"), g("$.results.pe_ratio").alias("pe_ratio"),
-                      g("$.results.eps").alias("eps"), g("$.results.dividend_yield").alias("dividend_yield"),
-                      g("$.results.week_52_high").alias("week_52_high"),
-                      g("$.results.week_52_low").alias("week_52_low"))
+#: Where each provider's fundamentals payload holds a figure.
+FUNDAMENTAL_PATHS = {
+    "polygon": {"market_cap": "$.results.market_cap", "pe_ratio": "$.results.pe_ratio", "eps": "$.results.eps",
+                "dividend_yield": "$.results.dividend_yield", "week_52_high": "$.results.week_52_high",
+                "week_52_low": "$.results.week_52_low"},
+    "finnhub": {"market_cap": "$.metric.marketCapitalization", "pe_ratio": "$.metric.peTTM", "eps": "$.metric.epsTTM",
+                "dividend_yield": "$.metric.dividendYieldIndicatedAnnual", "week_52_high": "$.metric.52WeekHigh",
+                "week_52_low": "$.metric.52WeekLow"},
+}
+
+
+def normalize_fundamentals(raw: DataFrame, provider: str = "polygon", payload: str = "payload", key: str = "ticker") -> DataFrame:
+    """SRC-12: fundamentals payload (polygon ``results``, finnhub ``metric``)
+    -> market cap, P/E, EPS, dividend yield, 52-week high/low (bad -> NULL). A
+    finnhub payload without metrics gives no row."""
+    rows = raw
+    if provider == "finnhub":
+        metric = F.get_json_object(F.col(payload), "$.metric")
+        rows = raw.where(metric.isNotNull() & (metric != "{}"))
+    return rows.select(key, *[F.get_json_object(F.col(payload), path).try_cast("double").alias(name)
+                              for name, path in FUNDAMENTAL_PATHS[provider].items()])
 
 
 # ---------------------------------------------------------------------------
