@@ -166,6 +166,13 @@ _ACLED_SQL = """
 def src03(t):
     """SRC-03/04/05: ACLED-style weekly CSV (mixed date formats, lower-case
     headers) landed from the orders table, sniffed, read and normalised."""
+    n = SE.normalize_acled(SE.read_rows(t.spark, _land_acled(t)), "acled_fixture")
+    return n.select("canonical_id", "provider_record_id", "event_date", "title", "description", "country", "admin1",
+                    "event_type", "sub_event_type", "fatalities", "num_articles", "sentiment_score", "sentiment_label")
+
+
+def _land_acled(t) -> str:
+    """Weekly files from the orders; tab-separated, one quarter with semicolons."""
     o = t.raw("orders")
     ok = F.col("o_orderkey")
     week = (F.when(ok % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
@@ -180,10 +187,9 @@ def src03(t):
                     (ok % 9).cast("string").alias("events"), (ok % 3).cast("string").alias("fatalities"),
                     ok.cast("string").alias("id"))
     path = _scratch(t, "acled")
-    rows.write.option("header", True).option("sep", "\t").csv(path)
-    n = SE.normalize_acled(SE.read_rows(t.spark, path), "acled_fixture")
-    return n.select("canonical_id", "provider_record_id", "event_date", "title", "description", "country", "admin1",
-                    "event_type", "sub_event_type", "fatalities", "num_articles", "sentiment_score", "sentiment_label")
+    rows.where("cast(id as bigint) % 4 > 0").write.option("header", True).option("sep", "\t").csv(f"{path}/tabs")
+    rows.where("cast(id as bigint) % 4 = 0").write.option("header", True).option("sep", ";").csv(f"{path}/semicolons")
+    return path
 
 
 @plan("src05_parse_date", oracle="""
@@ -403,34 +409,57 @@ def _land_gdelt(t):
     return path
 
 
+def _combined(t):
+    raw = SE.read_gdelt(t.spark, _land_gdelt(t))
+    reut = SE.normalize_gdelt(raw.where(SE.is_reuters("SOURCEURL", "Actor1Code", "Actor1Name", "Actor2Code",
+                                                      "Actor2Name")), "reuters")
+    weekly = SE.read_rows(t.spark, _land_acled(t))
+    return SE.combine_events(reut, SE.normalize_acled(weekly, "acled_fixture"), SE.normalize_gdelt(raw, "gdelt"),
+                             read={"reuters": raw, "acled": weekly, "gdelt": raw})
+
+
 @plan("src16_combine_events", oracle=gdelt_full_sql("""
-    SELECT 'reuters' AS provider, count(*) AS written FROM g WHERE is_reuters
+    SELECT 'reuters' AS provider, (SELECT count(*) FROM g WHERE is_reuters) AS written,
+           (SELECT count(*) FROM n) - (SELECT count(*) FROM g WHERE is_reuters) AS skipped
+    UNION ALL
+    SELECT 'acled', count(*) FILTER (WHERE o_orderkey % 5 <> 4), count(*) FILTER (WHERE o_orderkey % 5 = 4) FROM orders
     UNION ALL
-    SELECT 'gdelt', count(*) FROM g WHERE canonical_id NOT IN (SELECT canonical_id FROM g WHERE is_reuters)
+    SELECT 'gdelt', (SELECT count(*) FROM g WHERE canonical_id NOT IN (SELECT canonical_id FROM g WHERE is_reuters)),
+           (SELECT count(*) FROM n) - (SELECT count(*) FROM g)
     UNION ALL
-    SELECT 'duplicates_skipped', count(*) FROM g WHERE canonical_id IN (SELECT canonical_id FROM g WHERE is_reuters)"""))
+    SELECT 'duplicates_skipped', 0, count(*) FROM g WHERE canonical_id IN (SELECT canonical_id FROM g WHERE is_reuters)"""))
 def src16(t):
-    """SRC-16: Reuters rows (by provenance) suppress the same canonical id in GDELT; counts by provider."""
-    raw = SE.read_gdelt(t.spark, _land_gdelt(t))
-    reut = SE.normalize_gdelt(raw.where(SE.is_reuters("SOURCEURL", "Actor1Code", "Actor1Name", "Actor2Code",
-                                                      "Actor2Name")), "reuters")
-    gd = SE.normalize_gdelt(raw, "gdelt")
-    return SE.combine_events(reut, None, gd)[1]
+    """SRC-16: Reuters rows (by provenance) suppress the same canonical id in GDELT, ACLED between: written and skipped rows by provider."""
+    return _combined(t)[1]
+
+
+_ACLED_ROWS = _ACLED_SQL.format(countries="[" + ", ".join(f"'{c}'" for c in FX.FIXTURE_COUNTRIES) + "]")
+
+
+@plan("src16_combined_rows", oracle=gdelt_full_sql(f"""
+    SELECT 'reuters' AS provider, canonical_id, provider_record_id, event_date, title, event_type, num_articles FROM g WHERE is_reuters
+    UNION ALL
+    SELECT 'acled', canonical_id, provider_record_id, event_date, title, event_type, num_articles FROM ({_ACLED_ROWS})
+    UNION ALL
+    SELECT 'gdelt', canonical_id, provider_record_id, event_date, title, event_type, num_articles FROM g
+    WHERE canonical_id NOT IN (SELECT canonical_id FROM g WHERE is_reuters)"""))
+def src16b(t):
+    """SRC-16: the combined rows of the three providers."""
+    return _combined(t)[0].select("provider", "canonical_id", "provider_record_id", "event_date", "title", "event_type", "num_articles")
 
 
 @plan("src17_incremental", oracle="""
     SELECT n.asset_id AS symbol, n.ts AS timestamp, n.close,
            date_diff('day', CAST(h.hw AS DATE), DATE '2002-01-01') + 5 AS window_days
-    FROM f_bar n JOIN (SELECT asset_id, max(ts) AS hw FROM f_bar WHERE ts < TIMESTAMP '2000-01-01' GROUP BY 1) h
+    FROM f_bar n LEFT JOIN (SELECT asset_id, max(ts) AS hw FROM f_bar WHERE ts < TIMESTAMP '2000-01-01' AND asset_id % 10 <> 3 GROUP BY 1) h
       USING (asset_id)
-    WHERE CAST(n.ts AS DATE) >= CAST(h.hw AS DATE)""")
+    WHERE h.hw IS NULL OR CAST(n.ts AS DATE) >= CAST(h.hw AS DATE)""")
 def src17(t):
-    """SRC-17: bars after each asset's stored high-water mark (history before 2000) with the fetch window."""
-    stored = t.bar.where(F.col("ts") < F.lit("2000-01-01").cast("timestamp")).select(
+    """SRC-17: bars after each asset's stored high-water mark (history before 2000) with the fetch window; a tenth of the assets has no history and gets every bar."""
+    stored = t.bar.where((F.col("ts") < F.lit("2000-01-01").cast("timestamp")) & (F.col("asset_id") % 10 != 3)).select(
         F.col("asset_id").alias("symbol"), F.col("ts").alias("timestamp"))
     new = t.bar.select(F.col("asset_id").alias("symbol"), F.col("ts").alias("timestamp"), "close")
-    out = SE.incremental(stored, new, as_of="2002-01-01 00:00:00")
-    return out.join(stored.select("symbol").distinct(), "symbol", "left_semi")
+    return SE.incremental(stored, new, as_of="2002-01-01 00:00:00")
 
 
 @plan("snk01_upsert", oracle="""
