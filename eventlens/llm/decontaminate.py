@@ -33,6 +33,8 @@ from eventlens.llm.common import byte_codes, mix64, polynomial_hashes, text_slic
 Q = 8
 EDIT_RATE = 0.08
 MIN_ITEM, SHORT_ITEM = 2 * Q, 40
+#: Entries (q-gram of a text, item that holds it) that are counted together.
+PIECE = 1 << 21
 #: Items are read by every task; a larger benchmark is checked group by group.
 MAX_ITEM_BYTES = 16 << 20
 
@@ -142,6 +144,32 @@ class BenchmarkIndex:
         return cls(ids, data, bounds, budget, need, np.ceil(np.log2(2 * budget + 1)).astype(np.int64) if len(budget) else budget,
                    grams, np.append(first, len(order)), item[order], place[order], seen)
 
+    def _counted(self, hit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, band) keys and how many q-grams each shares, for hits at
+        places ``hit`` of the q-grams numbered ``at``. A q-gram that many items
+        hold gives an entry for each of them: entries are made and counted about
+        ``PIECE`` at a time."""
+        count = self.first[at + 1] - self.first[at]
+        ends = np.cumsum(count)
+        # diagonals counted from the slice's start; texts lie one after another, so bands of two texts are told
+        # apart by checking the text of the region later
+        back = int(self.offsets[:, 1].max()) if len(self.offsets) else 0
+        keys, counts, begin = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        while begin < len(hit):
+            done = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + PIECE, side="right")))
+            c = count[begin:end]
+            which = np.repeat(self.first[at[begin:end]] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+            item = self.item[which]
+            band = (np.repeat(hit[begin:end], c) - self.place[which] + back) >> self.shift[item]
+            k, n = np.unique((item.astype(np.int64) << 40) | band, return_counts=True)
+            keys.append(k), counts.append(n)
+            begin = end
+        key, number = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, number, np.concatenate(counts))
+        return key, total
+
     def regions(self, data: np.ndarray, offsets: np.ndarray):
         """(text number, item number, start, end, edits) in normalised bytes."""
         if len(data) < Q or not len(self.grams):
@@ -155,18 +183,9 @@ class BenchmarkIndex:
         number = np.searchsorted(offsets, hit, side="right") - 1
         inside = hit + Q <= offsets[number + 1]
         hit, at, number = hit[inside], at[inside], number[inside]
-        count = self.first[at + 1] - self.first[at]
-        total = int(count.sum())
-        if not total:
+        key, n = self._counted(hit, at)
+        if not len(key):
             return
-        which = np.repeat(self.first[at] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(total)
-        item, place = self.item[which], self.place[which]
-        pos = np.repeat(hit, count)
-        # diagonals counted from the slice's start; texts lie one after another, so bands of two texts are told
-        # apart by checking the text of the region below
-        diagonal = pos - place + int(self.offsets[:, 1].max() if len(self.offsets) else 0)
-        band = diagonal >> self.shift[item]
-        key, n = np.unique((item.astype(np.int64) << 40) | band, return_counts=True)
         follows = np.append((key[1:] == key[:-1] + 1), False)
         both = n + np.where(follows, np.append(n[1:], 0), 0)
         found = np.flatnonzero(both >= self.need[key >> 40])
