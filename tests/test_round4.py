@@ -1,10 +1,11 @@
-"""Bars that close at 0."""
+"""Bars that close at 0, files of one row group, the throttle's last minutes, gates, substring aliases, similar events in classes."""
 import math
 
 from pyspark.sql import functions as F
 
 from eventlens.operators import features as X
 from eventlens.operators import ml as ML
+from eventlens.session import spread
 
 
 def _klines(spark, closes):
@@ -29,3 +30,20 @@ def test_candles_after_a_close_of_zero(spark):
     _, _, metrics = ML.train_forest(train, ["open_time", "symbol"], X.CANDLE_FEATURES, num_trees=3)
     m = metrics.first()
     assert m.train_rows + m.test_rows == train.count()
+
+
+def test_a_file_of_one_row_group_is_dealt_over_the_slots(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(40000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v")).coalesce(1).write.parquet(path)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        t = spark.read.parquet(path)
+        assert t.rdd.getNumPartitions() >= 8 and max(r["count"] for r in t.groupBy(F.spark_partition_id()).count().collect()) == 40000
+        for dealt in (spread(t, ["id"]), spread(t)):
+            rows = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(rows) == 40000 and max(rows) < 2 * 40000 / 8
+        even = t.repartition(8)
+        assert spread(even) is even
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
