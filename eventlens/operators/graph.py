@@ -1,7 +1,7 @@
 """Knowledge-graph construction (KG-01..05): nodes and edges as DataFrames."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens import lexicons as L
@@ -124,7 +124,7 @@ def filing_edges(filings: DataFrame, assets: DataFrame, *, text: str = "text",
     An occurrence is a run of whole words equal to the alias's words: the
     filing's word n-grams that may be aliases are joined to them by equality.
     ``substring=True`` also matches inside words (left to right,
-    non-overlapping); that takes a join on ``contains``."""
+    non-overlapping), with substrings in the place of n-grams."""
     find = _substring_windows if substring else _word_windows
     f = filings.select(F.col(key).alias("_fid"), F.upper(source).alias("src"), F.coalesce(F.col(text), F.lit("")).alias("_x"))
     occ = find(f, filing_aliases(assets))
@@ -169,18 +169,39 @@ def _word_windows(f: DataFrame, aliases: DataFrame) -> DataFrame:
             .join(al.select("ticker", F.array_join("words", " ").alias("gram")), "gram").where("src <> ticker").select("src", "ticker", "win"))
 
 
+#: Code points of an alias's head: longer aliases are looked for only where a known head stands.
+HEAD = 4
+
+
 def _substring_windows(f: DataFrame, al: DataFrame) -> DataFrame:
-    """(src, ticker, win) of occurrences anywhere; places are found by
-    splitting the text on the alias."""
-    pairs = f.join(al, f["_x"].contains(al["alias"]) & (f["src"] != al["ticker"]))
-    parts = F.split(F.col("_x"), F.concat(F.lit("\\Q"), F.col("alias"), F.lit("\\E")), -1)
-    # Start of occurrence i (0-based chars) = sum of lengths of parts[0..i] + i * len(alias).
-    occ = pairs.select("_fid", "src", "ticker", "alias", "_x",
-                       F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("i", "_p"))
-    wp = Window.partitionBy("_fid", "ticker", "alias").orderBy("i")
-    occ = occ.withColumn("_cum", F.sum(F.length("_p")).over(wp.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.col("_cum") + F.col("i") * F.length("alias")
-    return occ.select("src", "ticker", _window_text(start, start + F.length("alias")).alias("win"))
+    """(src, ticker, win) of occurrences anywhere. The aliases that may occur
+    in a text are found inside its row: its substrings of an alias's length are
+    sifted by bitmaps, from ``HEAD`` code points on only where an alias's head
+    stands. The places of each are found by splitting the text on it; what
+    leaves the row is joined to the aliases by equality."""
+    known = PhraseFilter.of(al.select(F.array("alias").alias("words")))
+    heads = PhraseFilter.of(al.where(F.length("alias") >= HEAD).select(F.array(F.substring("alias", 1, HEAD)).alias("words")))
+    lengths = [r[0] for r in al.select(F.length("alias")).distinct().collect()]
+    # The substrings of n code points, one from each place (the last n - 1 places have none).
+    cut = lambda n: F.regexp_extract_all("_x", F.lit(f"(?s)(?=(.{{{n}}})).")  , F.lit(1))
+    found = [F.filter(F.array_distinct(cut(n)), known.may_be) for n in sorted(lengths) if n < HEAD]
+    long = [n for n in sorted(lengths) if n >= HEAD]
+    if long:
+        starts = let(cut(HEAD), lambda h: F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: heads.may_be(F.get(h, i - 1))))
+        at = F.when(F.length("_x") >= HEAD, starts).otherwise(F.array().cast("array<int>"))
+        pieces = F.flatten(F.transform(at, lambda i: F.array(*[F.substring(F.col("_x"), i, F.lit(n)) for n in long])))
+        found.append(F.filter(F.array_distinct(pieces), known.may_be))
+    if not found:
+        return f.select("src", F.lit("").alias("ticker"), F.lit("").alias("win")).limit(0)
+
+    def placed(g):
+        parts = F.split(F.col("_x"), F.concat(F.lit("\\Q"), g, F.lit("\\E")), -1)
+        ends = let(parts, lambda ps: running_sums(F.transform(F.slice(ps, F.lit(1), F.size(ps) - 1), lambda p: (F.length(p) + F.length(g)).cast("bigint"))))
+        return F.transform(ends, lambda e: F.struct(g.alias("gram"), _window_text(e - F.length(g), e).alias("win")))
+
+    hits = F.flatten(F.transform(F.array_distinct(F.concat(*found)), placed))
+    return (f.select("src", F.explode(hits).alias("h")).select("src", "h.gram", "h.win")
+            .join(al.withColumnRenamed("alias", "gram"), "gram").where("src <> ticker").select("src", "ticker", "win"))
 
 
 def gazetteer(assets: DataFrame, extra: DataFrame | None = None) -> DataFrame:
