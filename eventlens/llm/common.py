@@ -1,6 +1,7 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -66,6 +67,21 @@ def text_slices(texts: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int
         row = end
 
 
+#: What a task leaves in its worker for the next task of the same operator (encoders with their tables).
+WORKER_MEMORY: dict[str, object] = {}
+
+
+def drop_worker_memory() -> None:
+    """Forget what another operator's tasks left in this worker, and give the
+    pages back: workers live on through the stages of a pipeline. It is made
+    again where it is needed, with the same results."""
+    if WORKER_MEMORY:
+        WORKER_MEMORY.clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def polynomial_hashes(codes: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
     """Polynomial hash (mod 2^64) of every window of ``length`` values of the
     uint64 array ``codes``, by doubling: H(2p)[i] = H(p)[i] * base^p + H(p)[i+p].

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import byte_codes, mix64, polynomial_hashes, text_slices
+from eventlens.llm.common import byte_codes, drop_worker_memory, mix64, polynomial_hashes, text_slices
 
 Q = 8
 EDIT_RATE = 0.08
@@ -241,6 +241,7 @@ def _leaks_of(docs: DataFrame, items: pa.Table) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex.build(ids, texts))
 
     def run(batches):
+        drop_worker_memory()
         index = shared.value
         for b in batches:
             doc_ids = b.column("doc_id")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventlens.llm.common import mix64, text_slices
+from eventlens.llm.common import drop_worker_memory, mix64, text_slices
 
 UNDETERMINED = "und"
 GRAM = 4
@@ -79,6 +79,7 @@ def _lower(texts: pa.Array) -> pa.Array:
 def gram_counts(labelled: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     """(lang, gram, n) over whole texts of n-grams seen ``least`` times; counted per batch, then added up."""
     def count(batches):
+        drop_worker_memory()
         for b in batches:
             for row, end, data, off in text_slices(_lower(b.column("text"))):
                 code, owner = _grams(data, off)
@@ -194,6 +195,7 @@ def predict(docs: DataFrame, model: LanguageFilters | None) -> DataFrame:
     ascii_letters[65:91] = ascii_letters[97:123] = True
 
     def run(batches):
+        drop_worker_memory()
         m = shared.value
         names = np.array(m.langs, dtype=object)
         for b in batches:

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import byte_codes, mix64, text_slices, written
+from eventlens.llm.common import byte_codes, drop_worker_memory, mix64, text_slices, written
 from eventlens.llm.components import components
 
 WORDS = 5
@@ -164,6 +164,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, digest, keys): a hash of the text, a digest of its
     words and the band keys; a text without words has neither of the last two."""
     def run(batches):
+        drop_worker_memory()
         for b in batches:
             for row, end, data, off in text_slices(pc.utf8_lower(b.column("text"))):
                 words, begin = word_hashes(data, off)
@@ -184,6 +185,7 @@ def multisets(docs: DataFrame) -> DataFrame:
     """(doc, bag): sorted hashes of (shingle, occurrence), so the overlap of
     two multisets is the intersection of their bags."""
     def run(batches):
+        drop_worker_memory()
         for b in batches:
             ids = b.column("doc_id")
             for row, end, data, off in text_slices(pc.utf8_lower(b.column("text"))):

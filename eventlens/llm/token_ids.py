@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from eventlens.llm.common import mix64, text_slices
+from eventlens.llm.common import WORKER_MEMORY, mix64, text_slices
 
 #: Chunks remembered in a worker (about 50 bytes each); a full memory is emptied.
 MAX_CHUNKS = 3 << 19
@@ -262,11 +262,10 @@ class ChunkEncoder:
             yield row, end, ids, ends[np.searchsorted(starts, offsets[1:])]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder of a tokenizer file (kept between tasks)."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder of a tokenizer file (kept between tasks, until a
+    task of another operator wants the memory)."""
+    key = f"encoder {path}"
+    if key not in WORKER_MEMORY:
+        WORKER_MEMORY[key] = ChunkEncoder(path)
+    return WORKER_MEMORY[key]
