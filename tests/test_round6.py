@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventlens.operators import features as X
+from eventlens.operators import ml as ML
 from eventlens.operators import signals as SG
 
 
@@ -57,3 +58,12 @@ def test_dataset_parts_grow_with_the_rows(spark, monkeypatch):
     assert fine.columns == plain.columns
     cols = ["symbol", "date", *[F.round(c, 9).alias(c) for c in fine.columns if c not in ("symbol", "date")]]
     assert not fine.select(cols).exceptAll(plain.select(cols)).count() and fine.count() == plain.count()
+
+
+def test_forest_reads_its_rows_once(spark):
+    rows = [(i, float(i % 7), float(i % 3), "up" if i % 7 > 3 else "down") for i in range(200)]
+    df, read = _counted(spark, rows, "k bigint, a double, b double, label string")
+    _, _, metrics = ML.train_forest(df, ["k"], ["a", "b"], num_trees=2)
+    got = metrics.first()
+    assert read.value == len(rows)
+    assert (got["train_rows"], got["test_rows"]) == (160, 40)
