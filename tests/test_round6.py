@@ -4,6 +4,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from eventlens.operators import corpora as C
 from eventlens.operators import features as X
 from eventlens.operators import ml as ML
 from eventlens.operators import signals as SG
@@ -67,3 +68,17 @@ def test_forest_reads_its_rows_once(spark):
     got = metrics.first()
     assert read.value == len(rows)
     assert (got["train_rows"], got["test_rows"]) == (160, 40)
+
+
+HISTORY = ("canonical_id string, title string, description string, published_at string, event_date string, event_type string, "
+           "sentiment_score string, country string, location_name string, actor1 string, actor2 string, sub_event_type string")
+
+
+def test_weak_tags_need_no_positions_when_every_row_has_an_id(spark, monkeypatch):
+    row = lambda i, key: (key, f"title {i}", "text", f"2024-01-0{i}T00:00:00Z", None, "Conflict", "0.7", "IR", " a  b ", "IR", None, "x")
+    ids = spark.createDataFrame([row(i, f"id{i}") for i in range(1, 5)], HISTORY)
+    mixed = spark.createDataFrame([row(1, "id1"), row(2, None), row(3, "id3")], HISTORY)
+    got = {r["id"]: r["tags"] for r in C.corpora_from_history(mixed, ["weak_ner"])["weak_ner"].collect()}
+    assert set(got) == {"id1", "hist-1", "id3"} and got["id1"] == ["IR", "a b", "Conflict", "x"]
+    monkeypatch.setattr(SG, "row_index", lambda *a, **k: pytest.fail("positions computed"))
+    assert {r["id"] for r in C.corpora_from_history(ids, ["weak_ner"])["weak_ner"].collect()} == {"id1", "id2", "id3", "id4"}
