@@ -130,10 +130,10 @@ def filing_edges(filings: DataFrame, assets: DataFrame, *, text: str = "text",
     occ = find(f, filing_aliases(assets))
     sup = F.greatest(*[F.col("win").contains(t) for t in L.SUPPLIER_TERMS])
     cus = F.greatest(*[F.col("win").contains(t) for t in L.CUSTOMER_TERMS])
-    hits = occ.select("src", "ticker", sup.alias("sup"), cus.alias("cus"))
-    e1 = hits.where("sup").select(F.col("ticker").alias("s"), F.col("src").alias("t"))
-    e2 = hits.where("cus").select(F.col("src").alias("s"), F.col("ticker").alias("t"))
-    cnt = e1.unionByName(e2).groupBy("s", "t").agg(F.count(F.lit(1)).alias("mentions"))
+    # Both directions of an occurrence leave its row together: a union of two would read the filings twice.
+    both = F.array_compact(F.array(F.when(sup, F.struct(F.col("ticker").alias("s"), F.col("src").alias("t"))),
+                                   F.when(cus, F.struct(F.col("src").alias("s"), F.col("ticker").alias("t")))))
+    cnt = occ.select(F.explode(both).alias("e")).groupBy("e.s", "e.t").agg(F.count(F.lit(1)).alias("mentions"))
     return cnt.select(node_key("ASSET", F.col("s")).alias("source_key"), node_key("ASSET", F.col("t")).alias("target_key"),
                       F.lit("SUPPLIES_TO").alias("relationship"),
                       F.least(F.lit(0.95), 0.45 + 0.08 * F.col("mentions")).alias("strength"),
@@ -164,8 +164,9 @@ def _word_windows(f: DataFrame, aliases: DataFrame) -> DataFrame:
         return let(known.grams(w), lambda gs: F.when(F.size(gs) > 0, placed(gs)).otherwise(F.array().cast(kind)))
 
     # Each step is bound once inside the row: a filter that the optimizer derives from it can't repeat it per word.
+    # The outer explode has no such filter, so a row's words are found once; the join drops the rows without a hit.
     hits = let(F.regexp_extract_all("_x", F.lit(WORD), F.lit(0)), windows)
-    return (f.select("src", F.explode(hits).alias("h")).select("src", "h.gram", "h.win")
+    return (f.select("src", F.explode_outer(hits).alias("h")).select("src", "h.gram", "h.win")
             .join(al.select("ticker", F.array_join("words", " ").alias("gram")), "gram").where("src <> ticker").select("src", "ticker", "win"))
 
 
@@ -200,7 +201,7 @@ def _substring_windows(f: DataFrame, al: DataFrame) -> DataFrame:
         return F.transform(ends, lambda e: F.struct(g.alias("gram"), _window_text(e - F.length(g), e).alias("win")))
 
     hits = F.flatten(F.transform(F.array_distinct(F.concat(*found)), placed))
-    return (f.select("src", F.explode(hits).alias("h")).select("src", "h.gram", "h.win")
+    return (f.select("src", F.explode_outer(hits).alias("h")).select("src", "h.gram", "h.win")
             .join(al.withColumnRenamed("alias", "gram"), "gram").where("src <> ticker").select("src", "ticker", "win"))
 
 

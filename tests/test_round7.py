@@ -46,3 +46,14 @@ def test_mentions_read_each_text_once(spark, assets, edges):
     assert sorted((r[0], r[1], round(r[2], 6)) for r in spread.collect()) == [(1, "S3", 0.48), (2, "S3", 0.48)]
     assert sorted(tuple(r) for r in found.collect()) == [(1, "S1"), (2, "S1"), (2, "S2")]
     assert reads.value == 5
+
+
+def test_filing_words_are_found_once_a_row(spark, assets):
+    read, reads = counted(spark)
+    filings = spark.createDataFrame([(1, "S3", "our supplier alpha steel corp ships"), (2, "S3", "nothing"), (3, "S3", None)],
+                                    "filing_id bigint, source_ticker string, raw string")
+    # "alpha steel" and "alpha steel corp" are both names of S1.
+    # "alpha steel" and "alpha steel corp" are both names of S1.
+    out = G.filing_edges(filings.select("filing_id", "source_ticker", read("raw").alias("text")), assets)
+    assert [(r["source_key"], r["target_key"], r["mentions"]) for r in out.collect()] == [("ASSET:S1", "ASSET:S3", 2)]
+    assert reads.value == 3
