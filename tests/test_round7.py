@@ -48,6 +48,20 @@ def test_mentions_read_each_text_once(spark, assets, edges):
     assert reads.value == 5
 
 
+def test_backfill_reads_each_text_once(spark, assets, edges):
+    read, reads = counted(spark)
+    articles = spark.createDataFrame([(1, "a", "news of alpha", "2024-01-02"), (2, "steel plant", "S2 rises", "2024-01-01"), (3, None, None, None)],
+                                     "article_id bigint, title string, raw string, at string")
+    articles = articles.select("article_id", "title", read("raw").alias("content"), F.col("at").cast("timestamp").alias("published_at"))
+    events = spark.createDataFrame([(7, "conflict", 0.5, "2024-01-03")], "event_id bigint, event_type string, confidence_score double, at string")
+    events = events.withColumn("created_at", F.col("at").cast("timestamp"))
+    links = spark.createDataFrame([(7, 1), (7, 2), (7, 2), (7, 3), (8, 1)], "event_id bigint, article_id bigint")
+    out = EV.backfill_entities(events, links, articles, assets, edges)["impacts"]
+    # "alpha steel" stands where the first article ends and the next begins.
+    assert sorted((r["ticker"], r["layer"]) for r in out.collect()) == [("S1", 1), ("S2", 1), ("S3", 2)]
+    assert reads.value == 3
+
+
 def test_filing_words_are_found_once_a_row(spark, assets):
     read, reads = counted(spark)
     filings = spark.createDataFrame([(1, "S3", "our supplier alpha steel corp ships"), (2, "S3", "nothing"), (3, "S3", None)],
