@@ -71,3 +71,14 @@ def test_filing_words_are_found_once_a_row(spark, assets):
     out = G.filing_edges(filings.select("filing_id", "source_ticker", read("raw").alias("text")), assets)
     assert [(r["source_key"], r["target_key"], r["mentions"]) for r in out.collect()] == [("ASSET:S1", "ASSET:S3", 2)]
     assert reads.value == 3
+
+
+def test_small_partitions_are_dealt_over_tasks(spark, tmp_path):
+    rows = spark.range(200).select(F.col("id"), F.concat(F.lit("d"), (F.col("id") % 40).cast("string")).alias("day"))
+    path = str(tmp_path / "t")
+    assert len(sinks.upsert_partitions(rows, path, ["id"], "day")) == 40
+    files = glob.glob(os.path.join(path, "day=*", "part-*.parquet"))
+    assert len(files) == 40 and len({re.search(r"part-(\d+)", f)[1] for f in files}) > 1
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    assert sinks.read_partitions(spark, path, rows.schema, "day").count() == 200
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
