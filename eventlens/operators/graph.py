@@ -125,15 +125,15 @@ def filing_edges(filings: DataFrame, assets: DataFrame, *, text: str = "text",
     filing's word n-grams that may be aliases are joined to them by equality.
     ``substring=True`` also matches inside words (left to right,
     non-overlapping), with substrings in the place of n-grams."""
-    find = _substring_windows if substring else _word_windows
+    find = _substring_hits if substring else _word_hits
     f = filings.select(F.col(key).alias("_fid"), F.upper(source).alias("src"), F.coalesce(F.col(text), F.lit("")).alias("_x"))
-    occ = find(f, filing_aliases(assets))
-    sup = F.greatest(*[F.col("win").contains(t) for t in L.SUPPLIER_TERMS])
-    cus = F.greatest(*[F.col("win").contains(t) for t in L.CUSTOMER_TERMS])
-    # Both directions of an occurrence leave its row together: a union of two would read the filings twice.
-    both = F.array_compact(F.array(F.when(sup, F.struct(F.col("ticker").alias("s"), F.col("src").alias("t"))),
-                                   F.when(cus, F.struct(F.col("src").alias("s"), F.col("ticker").alias("t")))))
-    cnt = occ.select(F.explode(both).alias("e")).groupBy("e.s", "e.t").agg(F.count(F.lit(1)).alias("mentions"))
+    hits, al = find(f, filing_aliases(assets))
+    # An alias may be many companies': a filing company's hits are counted before they meet them.
+    per = hits.groupBy("src", "gram").agg(F.sum(F.col("sup").cast("bigint")).alias("sup"), F.sum(F.col("cus").cast("bigint")).alias("cus"))
+    occ = per.join(al, "gram").where("src <> ticker")
+    both = F.filter(F.array(F.struct(F.col("ticker").alias("s"), F.col("src").alias("t"), F.col("sup").alias("n")),
+                            F.struct(F.col("src").alias("s"), F.col("ticker").alias("t"), F.col("cus").alias("n"))), lambda e: e["n"] > 0)
+    cnt = occ.select(F.explode(both).alias("e")).groupBy("e.s", "e.t").agg(F.sum("e.n").alias("mentions"))
     return cnt.select(node_key("ASSET", F.col("s")).alias("source_key"), node_key("ASSET", F.col("t")).alias("target_key"),
                       F.lit("SUPPLIES_TO").alias("relationship"),
                       F.least(F.lit(0.95), 0.45 + 0.08 * F.col("mentions")).alias("strength"),
@@ -145,64 +145,99 @@ def _window_text(start, end):
     return F.substring("_x", lo + 1, F.least(F.length("_x"), end + L.FILING_WINDOW).cast("int") - lo)
 
 
-def _word_windows(f: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(src, ticker, win) of whole-word occurrences. A filing's words, their
-    places and the n-grams that may be aliases are found inside its row; only
-    those leave it, each with its window."""
+def _hit(gram, win):
+    """An occurrence as it leaves its row: what its window says, not the window."""
+    named = lambda terms: F.greatest(*[win.contains(t) for t in terms])
+    return F.struct(gram.alias("gram"), named(L.SUPPLIER_TERMS).alias("sup"), named(L.CUSTOMER_TERMS).alias("cus"))
+
+
+def _leaving(f: DataFrame, hits) -> DataFrame:
+    """(src, gram, sup, cus). The outer explode has no filter that the optimizer
+    would derive from a plain one, so a row's hits are found once; the join
+    with the aliases drops the rows without a hit."""
+    return f.select("src", F.explode_outer(F.filter(hits, lambda h: h["sup"] | h["cus"])).alias("h")).select("src", "h.*")
+
+
+def _word_hits(f: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, gram, sup, cus) of whole-word occurrences, and (gram, ticker). A
+    filing's words, their places and the n-grams that may be aliases are found
+    inside its row; only those leave it."""
     words = F.regexp_extract_all("alias", F.lit(WORD), F.lit(0))
     al = aliases.select("ticker", words.alias("words")).where(F.size("words") > 0).distinct()
     known = PhraseFilter.of(al)
-    kind = "array<struct<gram:string,win:string>>"
+    kind = "array<struct<gram:string,sup:boolean,cus:boolean>>"
 
-    def windows(w):
+    def found(w):
         gaps = F.slice(F.split("_x", WORD, -1), F.lit(1), F.size(w))
         lengths = F.zip_with(gaps, w, lambda gap, word: (F.length(gap) + F.length(word)).cast("bigint"))
         start = lambda ends, g: F.get(ends, g["at"] - 1) - F.length(F.get(w, g["at"] - 1))
         stop = lambda ends, g: F.get(ends, g["at"] + g["n"] - 2)
-        placed = lambda gs: let(running_sums(lengths), lambda ends: F.transform(gs, lambda g: F.struct(
-            g["gram"].alias("gram"), _window_text(start(ends, g), stop(ends, g)).alias("win"))))
+        placed = lambda gs: let(running_sums(lengths), lambda ends: F.transform(gs, lambda g: let(
+            _window_text(start(ends, g), stop(ends, g)), lambda win: _hit(g["gram"], win))))
         return let(known.grams(w), lambda gs: F.when(F.size(gs) > 0, placed(gs)).otherwise(F.array().cast(kind)))
 
     # Each step is bound once inside the row: a filter that the optimizer derives from it can't repeat it per word.
-    # The outer explode has no such filter, so a row's words are found once; the join drops the rows without a hit.
-    hits = let(F.regexp_extract_all("_x", F.lit(WORD), F.lit(0)), windows)
-    return (f.select("src", F.explode_outer(hits).alias("h")).select("src", "h.gram", "h.win")
-            .join(al.select("ticker", F.array_join("words", " ").alias("gram")), "gram").where("src <> ticker").select("src", "ticker", "win"))
+    hits = _leaving(f, let(F.regexp_extract_all("_x", F.lit(WORD), F.lit(0)), found))
+    return hits, al.select("ticker", F.array_join("words", " ").alias("gram"))
 
 
 #: Code points of an alias's head: longer aliases are looked for only where a known head stands.
 HEAD = 4
 
 
-def _substring_windows(f: DataFrame, al: DataFrame) -> DataFrame:
-    """(src, ticker, win) of occurrences anywhere. The aliases that may occur
-    in a text are found inside its row: its substrings of an alias's length are
-    sifted by bitmaps, from ``HEAD`` code points on only where an alias's head
-    stands. The places of each are found by splitting the text on it; what
-    leaves the row is joined to the aliases by equality."""
+def _substring_hits(f: DataFrame, al: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, gram, sup, cus) of occurrences anywhere, and (gram, ticker). The
+    aliases that may occur in a text are found inside its row with their
+    places: its substrings of an alias's length are sifted by bitmaps, from
+    ``HEAD`` code points on only where an alias's head stands. A longer
+    substring is put together from those of ``HEAD`` code points, so that it
+    costs the same at the end of a long text as at its beginning."""
     known = PhraseFilter.of(al.select(F.array("alias").alias("words")))
     heads = PhraseFilter.of(al.where(F.length("alias") >= HEAD).select(F.array(F.substring("alias", 1, HEAD)).alias("words")))
-    lengths = [r[0] for r in al.select(F.length("alias")).distinct().collect()]
+    lengths = sorted(r[0] for r in al.select(F.length("alias")).distinct().collect())
     # The substrings of n code points, one from each place (the last n - 1 places have none).
     cut = lambda n: F.regexp_extract_all("_x", F.lit(f"(?s)(?=(.{{{n}}})).")  , F.lit(1))
-    found = [F.filter(F.array_distinct(cut(n)), known.may_be) for n in sorted(lengths) if n < HEAD]
-    long = [n for n in sorted(lengths) if n >= HEAD]
+    places = lambda c: F.when(F.size(c) > 0, F.sequence(F.lit(1), F.size(c))).otherwise(F.array().cast("array<int>"))
+    at = lambda gram, i, n: F.struct(gram.alias("gram"), i.alias("at"), F.lit(n).alias("n"))
+
+    def whole(h, i, n):
+        rest = n % HEAD
+        parts = [F.get(h, i + (HEAD * k - 1)) for k in range(n // HEAD)]
+        return F.concat(*parts, *([F.substring(F.get(h, i + (n - HEAD - 1)), HEAD - rest + 1, rest)] if rest else []))
+
+    def at_heads(h):
+        starts = F.filter(places(h), lambda i: heads.may_be(F.get(h, i - 1)))
+        return F.flatten(F.transform(starts, lambda i: F.filter(F.array(*[at(whole(h, i, n), i, n) for n in long]), lambda p: known.may_be(p["gram"]))))
+
+    def at_all(n):
+        return let(cut(n), lambda c: F.transform(F.filter(places(c), lambda i: known.may_be(F.get(c, i - 1))), lambda i: at(F.get(c, i - 1), i, n)))
+
+    found = [at_all(n) for n in lengths if n < HEAD]
+    long = [n for n in lengths if n >= HEAD]
     if long:
-        starts = let(cut(HEAD), lambda h: F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: heads.may_be(F.get(h, i - 1))))
-        at = F.when(F.length("_x") >= HEAD, starts).otherwise(F.array().cast("array<int>"))
-        pieces = F.flatten(F.transform(at, lambda i: F.array(*[F.substring(F.col("_x"), i, F.lit(n)) for n in long])))
-        found.append(F.filter(F.array_distinct(pieces), known.may_be))
+        found.append(let(cut(HEAD), at_heads))
     if not found:
-        return f.select("src", F.lit("").alias("ticker"), F.lit("").alias("win")).limit(0)
+        return f.select("src", F.lit("").alias("gram"), F.lit(False).alias("sup"), F.lit(False).alias("cus")).limit(0), al.withColumnRenamed("alias", "gram")
+    hits = let(_apart(F.concat(*found)), lambda ps: F.transform(ps, lambda p: let(
+        _window_text(p["at"] - 1, p["at"] + p["n"] - 1), lambda win: _hit(p["gram"], win))))
+    return _leaving(f, hits), al.withColumnRenamed("alias", "gram")
+
+
+def _apart(found):
+    """Of occurrences (gram, at, n) that overlap one of the same alias the first
+    from the left, as a split on the alias finds them."""
+    near = lambda ps, i: (F.get(ps, i)["gram"] == F.get(ps, i - 1)["gram"]) & (F.get(ps, i)["at"] < F.get(ps, i - 1)["at"] + F.get(ps, i)["n"])
+    kind = "array<struct<gram:string,at:int,n:int>>"
+
+    def step(kept, p):
+        return let(F.get(kept, F.size(kept) - 1), lambda last: F.when((last["gram"] == p["gram"]) & (p["at"] < last["at"] + p["n"]), kept)
+                   .otherwise(F.concat(kept, F.array(p))))
 
-    def placed(g):
-        parts = F.split(F.col("_x"), F.concat(F.lit("\\Q"), g, F.lit("\\E")), -1)
-        ends = let(parts, lambda ps: running_sums(F.transform(F.slice(ps, F.lit(1), F.size(ps) - 1), lambda p: (F.length(p) + F.length(g)).cast("bigint"))))
-        return F.transform(ends, lambda e: F.struct(g.alias("gram"), _window_text(e - F.length(g), e).alias("win")))
+    def of(ps):
+        places = F.when(F.size(ps) > 1, F.sequence(F.lit(1), F.size(ps) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.when(F.exists(places, lambda i: near(ps, i)), F.aggregate(ps, F.array().cast(kind), step)).otherwise(ps)
 
-    hits = F.flatten(F.transform(F.array_distinct(F.concat(*found)), placed))
-    return (f.select("src", F.explode_outer(hits).alias("h")).select("src", "h.gram", "h.win")
-            .join(al.withColumnRenamed("alias", "gram"), "gram").where("src <> ticker").select("src", "ticker", "win"))
+    return let(F.array_sort(found.cast(kind)), of)
 
 
 def gazetteer(assets: DataFrame, extra: DataFrame | None = None) -> DataFrame:
