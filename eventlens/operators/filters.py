@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventlens import lexicons as L
 from eventlens.functions import text as T
-from eventlens.functions.common import like_escape
+from eventlens.functions.common import like_escape, settled
 
 
 def _like(term: str) -> str:
@@ -112,8 +112,8 @@ def language_gate(df: DataFrame, code: str = "language_code", conf: str = "langu
 def relevance_gate(df: DataFrame, score: str = "relevance_score",
                    threshold: float = L.RELEVANCE_THRESHOLD) -> DataFrame:
     """FLT-08: label column and rows at or above the threshold."""
-    return (df.withColumn("relevance_label",
-                          F.when(F.col(score) >= threshold, "relevant").otherwise("irrelevant"))
+    return (settled(df, score).withColumn("relevance_label",
+                                          F.when(F.col(score) >= threshold, "relevant").otherwise("irrelevant"))
             .where(F.col(score) >= threshold))
 
 

@@ -35,3 +35,13 @@ def test_a_sparse_bitmap_holds_several_places_of_a_phrase(spark):
     assert known.places > 1
     assert probe.limit(2000).join(kept, "p").count() == 2000
     assert kept.count() < 2000 + 400   # one place a phrase lets 1 in 16 others pass
+
+
+def test_a_gate_does_not_compute_its_score_again(spark, t01):
+    from eventlens.functions import text as T
+    from eventlens.operators import filters as FL
+    prepared = T.prepare_text(t01.article, T.article_text("title", "content"))
+    scored = prepared.select("article_id", T.relevance_score(norm="_t_norm", nlow="_t_nlow", source="source").alias("relevance_score"))
+    plan = FL.relevance_gate(scored)._jdf.queryExecution().optimizedPlan().toString()
+    # The filter used to hold the squeezed text once for each of 54 keywords and more.
+    assert plan.count("regexp_replace") == 1
