@@ -45,3 +45,17 @@ def test_a_gate_does_not_compute_its_score_again(spark, t01):
     plan = FL.relevance_gate(scored)._jdf.queryExecution().optimizedPlan().toString()
     # The filter used to hold the squeezed text once for each of 54 keywords and more.
     assert plan.count("regexp_replace") == 1
+
+
+def test_scores_cut_their_text_once(spark):
+    from eventlens.functions import text as T
+    df = spark.createDataFrame([("The war and the strike",), ("",), ("é é é war",), (None,)], "x string")
+    lang = T.prepare_text(df, F.col("x")).withColumn("_lang", T.language_score(norm="_t_norm")).select("_lang.code", "_lang.confidence")
+    assert lang._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    got = [(r["code"], round(r["confidence"], 6)) for r in lang.collect()]
+    # 3 stop words of 5; nothing; 1 token, 6 of 9 characters ASCII
+    assert got == [("en", 0.92), ("unknown", 0.0), ("en", round(0.52 + 6 / 9 * 0.18, 6)), ("unknown", 0.0)]
+    low = F.lower(F.coalesce("x", F.lit("")))
+    signal = df.select(T.impact_signal(low=low).alias("s"), T.infer_event_type(low=low).alias("t")).select("s.polarity", "s.intensity", "t.event_type", "t._h")
+    assert signal._jdf.queryExecution().optimizedPlan().toString().count("missile") == df.select(
+        T.impact_signal(low=low), T.infer_event_type(low=low))._jdf.queryExecution().optimizedPlan().toString().count("missile")
