@@ -47,6 +47,10 @@ MAX_ITEM_BYTES = 16 << 20
 #: Ranges of documents that are cut together.
 BEAM = 64
 WINDOW_BYTES = 1 << 20
+#: Bytes of a row group of the index: readers decode all rows of one together.
+GROUP_BYTES = 8 << 20
+#: Texts handed to a task at a time.
+TEXT_ROWS = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -98,7 +102,8 @@ def statistics(docs: DataFrame) -> tuple[int, int]:
                     n_docs, n_terms = n_docs + int((terms > 0).sum()), n_terms + int(terms.sum())
         yield pa.RecordBatch.from_pydict({"docs": pa.array([n_docs], pa.int64()), "terms": pa.array([n_terms], pa.int64())})
 
-    row = docs.select("text").mapInArrow(count, "docs bigint, terms bigint").agg(F.sum("docs"), F.sum("terms")).first()
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        row = docs.select("text").mapInArrow(count, "docs bigint, terms bigint").agg(F.sum("docs"), F.sum("terms")).first()
     return row[0] or 0, row[1] or 0
 
 
@@ -152,9 +157,9 @@ class Treap:
     def decode(cls, height: int, masks: bytes, maxima: bytes) -> "Treap":
         pairs = np.frombuffer(masks, np.uint8)
         quad = np.stack([pairs & 15, pairs >> 4], 1).reshape(-1)
-        drop = _unplaned(maxima).astype(np.int64)
+        drop = _unplaned(maxima).astype(np.int32)
         first = 1 + np.append(0, np.cumsum(_ONES[quad]))
-        top = np.zeros(len(drop) + 1, np.int64)
+        top = np.zeros(len(drop) + 1, np.int32)         # an impact is below 10^6
         top[0] = drop[0]
         low, high = 0, 1
         for _ in range(height):
@@ -164,7 +169,7 @@ class Treap:
         inner = low                                      # cells above the single places
         all_masks = np.zeros(len(drop) + 1, np.uint8)
         all_masks[:inner] = quad[:inner]
-        starts = np.zeros(len(drop) + 1, np.int64)
+        starts = np.zeros(len(drop) + 1, np.int32)
         starts[:inner] = first[:inner]
         return cls(height, all_masks, starts, top)
 
@@ -198,13 +203,13 @@ class Treap:
                 c, l, x = c[~single], l[~single], x[~single]
             if not len(c):
                 continue
-            mask, first = self.masks[x].astype(np.int64), self.first[x]
+            mask, first = self.masks[x].astype(np.int64), self.first[x].astype(np.int64)
             row_half = (rows[None, :] >> (self.height - 1 - l)[:, None]) & 1
             for half in (0, 1):
                 quarter = 2 * row_half + half
                 there = (mask >> quarter) & 1 == 1
                 child = np.where(there, first + _ONES[mask & ((1 << quarter) - 1)], empty)
-                score = self.maxima[child] @ weights
+                score = self.maxima[child].astype(np.int64) @ weights
                 good = np.flatnonzero(score >= at_least)
                 if len(good):
                     column, level = np.append(column, 2 * c[good] + half), np.append(level, l[good] + 1)
@@ -268,8 +273,10 @@ def build_index(docs: DataFrame, n_docs: int, all_terms: int, block_bytes: int =
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Rows are megabytes long: the writer looks at its buffers after each of them, not after a hundred.
-    checks = {"parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1}
-    return written(rows.mapInArrow(build, INDEX), "lexical-index", compression="zstd", **checks)
+    checks = {"parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1,
+              "parquet.block.size": GROUP_BYTES}
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        return written(rows.mapInArrow(build, INDEX), "lexical-index", compression="zstd", **checks)
 
 
 @dataclass(frozen=True)

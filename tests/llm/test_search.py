@@ -86,3 +86,19 @@ def test_sql_gives_the_same_rows(spark):
     from eventlens.plans.check import compare
     r = compare(spark, SF01, "op13_search", queries()["op13_search"], oracle_sql()["op13_search"])
     assert r["status"] == "match", r
+
+
+def test_row_groups_of_the_index_are_bounded(spark, monkeypatch):
+    """A reader decodes a row group together: a file of one large group took more than an executor's heap."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from eventlens.llm import lexical_search as LS
+    monkeypatch.setattr(LS, "GROUP_BYTES", 1 << 15)
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 200), i -> hex(xxhash64(id, i)))) AS text")
+    n_docs, terms = LS.statistics(docs)
+    index = LS.build_index(docs, n_docs, terms, block_bytes=1 << 15)
+    assert (n_docs, terms) == (400, 80000)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    assert sum(m.num_rows for m in groups) > 20
+    assert max(m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)) == 1
